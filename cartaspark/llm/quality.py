@@ -2,13 +2,14 @@
 
 Two zstandard dictionaries are built, one of good and one of bad labelled texts.  A text that
 resembles good ones compresses better with the good dictionary.  The difference of the compressed
-sizes, divided by their sum, is turned into a probability by a logistic curve fitted on other
-labelled texts.  Long texts are compressed in blocks of ``BLOCK`` bytes, so that a dictionary counts
+sizes, divided by the text's own size, is turned into a probability by a logistic curve fitted on
+other labelled texts.  Texts are compressed in blocks of ``BLOCK`` bytes, so that a dictionary counts
 alike at every length; all blocks count.
 
 The model is fitted on at most ``sample_docs`` labelled documents of each class, chosen by a hash of
-their ids; half of them build the dictionaries, the others the curve.  The class shares of *all*
-labelled rows give the curve's prior.  An empty or null text has that prior as its score.  Extra
+their ids; half of them build the dictionaries, the others the curve.  The curve weighs classes by
+their shares among *all* labelled rows.  An empty or null text has the share of good ones as its
+score.  Extra
 columns are ignored; an empty table gives an empty result; without labels of both classes every
 score is the prior (1/2 without any).
 """
@@ -23,7 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-BLOCK = 4096
+BLOCK = 1024
 LEVEL = 3
 
 
@@ -38,7 +39,7 @@ class CompressionModel:
     def prepare(self) -> None:
         self._ways = []
         for content in (self.good, self.bad):
-            words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            words = zstandard.ZstdCompressionDict(content)
             words.precompute_compress(level=LEVEL)
             self._ways.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False))
 
@@ -48,7 +49,7 @@ class CompressionModel:
         for at in range(0, len(text), BLOCK):
             for k, way in enumerate(self._ways):
                 sizes[k] += len(way.compress(text[at : at + BLOCK]))
-        return (sizes[1] - sizes[0]) / (sizes[0] + sizes[1]) if text else 0.0
+        return (sizes[1] - sizes[0]) / len(text) if text else 0.0
 
     def score(self, text: str | None) -> float:
         data = (text or "").encode("utf-8", "surrogatepass")
@@ -58,21 +59,25 @@ class CompressionModel:
 
 
 def _dictionary(texts: list[bytes], size: int) -> bytes:
-    """Equal shares of every text, most of the room; zstandard finds later content cheapest to reach."""
-    share = max(64, size // max(1, len(texts)))
-    return b"\n".join(t[:share] for t in texts)[:size]
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Newton's method with equal weight for both classes and a slight ridge."""
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    """Train a dictionary on equal shares of every text; from too few texts it is their plain content."""
+    share = max(BLOCK, 40 * size // max(1, len(texts)))
+    samples = [t[:share][at : at + BLOCK] for t in texts for at in range(0, min(len(t), share), BLOCK)]
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(samples)[-size:]
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, prior: float, steps: int = 50) -> tuple[float, float]:
+    """Newton's method with a slight ridge; the classes weigh prior and 1 - prior."""
+    weight = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum()))
     scale = x.std() or 1.0
     design = np.stack([x / scale, np.ones_like(x)], 1)
     beta = np.zeros(2)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -40, 40)))
-        gradient = design.T @ (weight * (y - p)) - 1e-4 * beta
-        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-4 * np.eye(2)
+        gradient = design.T @ (weight * (y - p)) - 1e-6 * beta
+        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-6 * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
         beta += step
         if np.abs(step).max() < 1e-9:
@@ -80,7 +85,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
     return float(beta[0] / scale), float(beta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 1000, dictionary_bytes: int = 192 << 10) -> CompressionModel:
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 1000, dictionary_bytes: int = 112 << 10) -> CompressionModel:
     """docs: doc_id, text; labels: doc_id, label (1 good, 0 bad), one row per document."""
     labels = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -100,8 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 1000, dictionary_
     model.prepare()
     x = np.array([model.difference(t) for k in (0, 1) for t in halves[k][1]])
     y = np.array([k for k in (0, 1) for _ in halves[k][1]])
-    model.weight, model.bias = _logistic(x, y)
-    model.bias += float(np.log(prior / (1 - prior)))  # the curve was fitted with equal weights
+    model.weight, model.bias = _logistic(x, y, prior)
     del model._ways
     return model
 
