@@ -134,5 +134,5 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any that overlap a benchmark item; all columns stay."""
-    leaked = find_overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct()
+    leaked = find_overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct().hint("merge")
     return docs.join(leaked, docs["doc_id"].cast("long") == leaked["_leaked"], "left_anti")

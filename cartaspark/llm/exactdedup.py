@@ -96,7 +96,7 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", memtables: int = 4, dig
     open_ = assigned.where("n > 1").select("doc_id", "digest", "keep_id")
     settled, round_ = [], 0
     while True:
-        hits = rows.join(open_.distinct(), "doc_id")
+        hits = rows.join(open_.distinct().hint("merge"), "doc_id")  # texts move alike at every size
         hits = hits.where(digest(F.col("text")) == F.col("digest"))  # ids may repeat with other texts
         survivors = hits.where(F.col("doc_id") == F.col("keep_id")).groupBy("digest").agg(F.min("text").alias("keep_text"))
         checked = hits.join(survivors, "digest").select("doc_id", "digest", "keep_id", (F.col("text") == F.col("keep_text")).alias("same"), F.col("text").alias("_text"))

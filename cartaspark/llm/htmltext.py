@@ -251,4 +251,4 @@ def extract(pages: DataFrame) -> DataFrame:
             out = [main_text(line, kind, text, other or []) for text, kind, line, other in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
-    return parsed.join(near, "row", "left").select("page_id", "url", "texts", "kinds", "lines", "near").mapInArrow(finish, "page_id long, url string, text string")
+    return parsed.join(near.hint("merge"), "row", "left").select("page_id", "url", "texts", "kinds", "lines", "near").mapInArrow(finish, "page_id long, url string, text string")

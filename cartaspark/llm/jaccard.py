@@ -230,9 +230,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, threshold: int) -> Data
 
     needed = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
-    sets = texts.join(needed, "key", "left_semi").select("key", "text").mapInArrow(arrays, "key long, hashes binary")
+    sets = texts.join(needed.hint("merge"), "key", "left_semi").select("key", "text").mapInArrow(arrays, "key long, hashes binary")
     one, two = sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("key").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def _allowed(pairs: DataFrame, signatures: DataFrame, threshold: int) -> DataFrame:
@@ -250,7 +250,7 @@ def _allowed(pairs: DataFrame, signatures: DataFrame, threshold: int) -> DataFra
 
     one = signatures.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("x"))
     two = signatures.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("y"))
-    near = pairs.join(one, "a").join(two, "b").where((100 * F.col("n1") >= threshold * F.col("n2")) & (100 * F.col("n2") >= threshold * F.col("n1")))
+    near = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where((100 * F.col("n1") >= threshold * F.col("n2")) & (100 * F.col("n2") >= threshold * F.col("n1")))
     return near.select("a", "b", "n1", "n2", "x", "y").mapInArrow(bound, "a long, b long")
 
 
@@ -357,5 +357,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
 def keep_one_each(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """The documents that carry the smallest id of their component, and those without an id; all columns stay."""
     found = near_duplicates(docs, k, threshold)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct().hint("merge")
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
