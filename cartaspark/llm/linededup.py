@@ -236,10 +236,10 @@ class LineIndex:
 
         The text of a document whose lines all go is empty.  A null text stays null if its (empty) line stays.
         """
-        # few documents with hot lines would still cost a shuffle of all texts: the lines go to the texts by id
         drops = self.scratch.save(self.hot_lines(docs).withColumnRenamed("doc_id", "_key"), f"drops-{self.version}-{id(docs)}")
         lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-        joined = docs.join(drops, docs["doc_id"].cast("long") == drops["_key"], "left")
+        # by sort-merge at every size: what is dropped grows with the corpus and has no bound for a broadcast
+        joined = docs.join(drops.hint("merge"), docs["doc_id"].cast("long") == drops["_key"], "left")
         kept = F.concat_ws("\n", F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(F.col("lines"), i), x)), lambda x: x.isNotNull()))
         none_left = F.size("lines") >= F.size(lines)
         text = F.when(F.col("lines").isNull(), F.col("text")).when(none_left, F.lit("")).otherwise(kept)
