@@ -18,6 +18,7 @@ an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -29,6 +30,10 @@ def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
+#: Digests of one file of a run.
+FILE_ROWS = 2_000_000
+
+
 class DigestIndex:
     """Sorted digest runs: (digest, keep_id, n)."""
 
@@ -39,24 +44,27 @@ class DigestIndex:
             raise ValueError(f"keep must be smallest or largest, not {keep}")
         self.spark, self.scratch, self.fanout = spark, scratch, fanout
         self._best: Callable = F.min if keep == "smallest" else F.max
-        self.levels: list[list[str]] = []
+        self.levels: list[list[tuple[str, int]]] = []
         self._made = 0
 
-    def _flush(self, entries: DataFrame, level: int) -> None:
-        """Write one sorted run.  Digests are spread evenly, so ranges of them are, too."""
+    def _flush(self, entries: DataFrame, level: int, rows: int) -> None:
+        """Write one sorted run of at most `rows` digests, with Bloom filters of the size that its files need."""
         name = f"run-{level}-{self._made}"
         self._made += 1
-        writer = entries.repartition("digest").sortWithinPartitions("digest").write.option("compression", "zstd")
-        writer.option("parquet.bloom.filter.enabled#digest", "true").parquet(f"{self.scratch.root}/{name}")
+        files = max(math.ceil(rows / FILE_ROWS), min(self.spark.sparkContext.defaultParallelism, math.ceil(rows / 20_000)), 1)
+        writer = entries.repartition(files, "digest").sortWithinPartitions("digest").write.option("compression", "zstd")
+        writer = writer.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", str(max(64, rows // files)))
+        writer.parquet(f"{self.scratch.root}/{name}")
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(name)
+        self.levels[level].append((name, rows))
         if len(self.levels[level]) >= self.fanout:
             self._merge(level)
 
     def _merge(self, level: int) -> None:
-        names, self.levels[level] = self.levels[level], []
-        self._flush(self._merged(names), level + 1)
+        runs, self.levels[level] = self.levels[level], []
+        names = [name for name, _ in runs]
+        self._flush(self._merged(names), level + 1, sum(rows for _, rows in runs))
         self.scratch.drop(*names)
 
     def _read(self, name: str) -> DataFrame:
@@ -69,12 +77,12 @@ class DigestIndex:
         return runs if len(names) == 1 else runs.groupBy("digest").agg(self._best("keep_id").alias("keep_id"), F.sum("n").alias("n"))
 
     def insert(self, rows: DataFrame) -> None:
-        """rows: digest, doc_id."""
-        self._flush(rows.groupBy("digest").agg(self._best("doc_id").cast("long").alias("keep_id"), F.count("*").alias("n")), 0)
+        """rows: digest, doc_id; a table on disk, as it is counted first."""
+        self._flush(rows.groupBy("digest").agg(self._best("doc_id").cast("long").alias("keep_id"), F.count("*").alias("n")), 0, rows.count())
 
     def entries(self) -> DataFrame:
         """All digests with surviving id and count, over all levels."""
-        names = [x for level in self.levels for x in level]
+        names = [name for level in self.levels for name, _ in level]
         return self._merged(names) if names else self.spark.createDataFrame([], self.SCHEMA)
 
 
@@ -97,10 +105,12 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", memtables: int = 4, dig
     settled, round_ = [], 0
     while True:
         hits = rows.join(open_.distinct().hint("merge"), "doc_id")  # texts move alike at every size
-        hits = hits.where(digest(F.col("text")) == F.col("digest"))  # ids may repeat with other texts
+        # once to the shared folder: survivors and the rows held against them come from the same texts
+        hits = scratch.save(hits.where(digest(F.col("text")) == F.col("digest")), f"hits-{round_}")  # ids may repeat with other texts
         survivors = hits.where(F.col("doc_id") == F.col("keep_id")).groupBy("digest").agg(F.min("text").alias("keep_text"))
-        checked = hits.join(survivors, "digest").select("doc_id", "digest", "keep_id", (F.col("text") == F.col("keep_text")).alias("same"), F.col("text").alias("_text"))
-        checked = scratch.save(checked.select("doc_id", "digest", "keep_id", "same"), f"checked-{round_}")
+        checked = hits.join(survivors.hint("merge"), "digest").select("doc_id", "digest", "keep_id", (F.col("text") == F.col("keep_text")).alias("same"))
+        checked = scratch.save(checked, f"checked-{round_}")
+        scratch.drop(f"hits-{round_}")
         wrong = checked.where(~F.col("same"))
         if wrong.isEmpty():
             break
