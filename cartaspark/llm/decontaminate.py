@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import free_name
 from .text import ASCII_MARK, LENGTH, PLACES, mix, pieces, utf8, words
 
 MASKS = ("111111", "11011011", "1011001011", "1100110011")
@@ -134,5 +135,6 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any that overlap a benchmark item; all columns stay."""
-    leaked = find_overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct().hint("merge")
-    return docs.join(leaked, docs["doc_id"].cast("long") == leaked["_leaked"], "left_anti")
+    name = free_name(docs, "_leaked")
+    leaked = find_overlaps(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct().hint("merge")
+    return docs.join(leaked, docs["doc_id"].cast("long") == leaked[name], "left_anti")

@@ -134,8 +134,8 @@ def fit(labelled: DataFrame, sample_docs: int = 1500, max_grams: int = 30_000, s
     return LanguageFilters.build(sets)
 
 
-def identify(docs: DataFrame, model: LanguageFilters, carry: bool = False) -> DataFrame:
-    """doc_id, lang_pred and score of every document; with `carry` all columns of docs and these two."""
+def identify(docs: DataFrame, model: LanguageFilters, carry: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """doc_id, lang_pred and score of every document; with `carry` all columns of docs and these two, under the given names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,9 +144,9 @@ def identify(docs: DataFrame, model: LanguageFilters, carry: bool = False) -> Da
             pairs = [shared.value.identify(x.as_py()) for x in batch.column(at)]
             lang, score = pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.float64())
             columns = batch.columns if carry else [batch.column(0)]
-            names = batch.schema.names if carry else ["doc_id"]
-            yield pa.RecordBatch.from_arrays([*columns, lang, score], names=[*names, "lang_pred", "score"])
+            own = batch.schema.names if carry else ["doc_id"]
+            yield pa.RecordBatch.from_arrays([*columns, lang, score], names=[*own, *names])
 
-    source = docs.drop("lang_pred", "score") if carry else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = docs if carry else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if carry or f.name == "doc_id")
-    return source.mapInArrow(predict, f"{kept}, lang_pred string, score double")
+    return source.mapInArrow(predict, f"{kept}, `{names[0]}` string, `{names[1]}` double")

@@ -21,13 +21,14 @@ columns are carried along untouched; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import Scratch
+from .shared import Scratch, free_name
 from .text import mix
 
 STRIP = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -232,19 +233,21 @@ class LineIndex:
         return found.join(hot, ["shard", "key"], "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
     def apply(self, docs: DataFrame) -> DataFrame:
-        """All documents and columns, text replaced by the kept lines; n_lines and n_dropped are appended.
+        """All documents and columns, text replaced by the kept lines; n_lines and n_dropped are appended (and replace columns of these names).
 
         The text of a document whose lines all go is empty.  A null text stays null if its (empty) line stays.
         """
-        drops = self.scratch.save(self.hot_lines(docs).withColumnRenamed("doc_id", "_key"), f"drops-{self.version}-{id(docs)}")
+        key, gone = free_name(docs, "_key"), free_name(docs, "_gone")
+        drops = self.hot_lines(docs).select(F.col("doc_id").alias(key), F.col("lines").alias(gone))
+        drops = self.scratch.save(drops, f"drops-{uuid.uuid4().hex}")
         lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
         # by sort-merge at every size: what is dropped grows with the corpus and has no bound for a broadcast
-        joined = docs.join(drops.hint("merge"), docs["doc_id"].cast("long") == drops["_key"], "left")
-        kept = F.concat_ws("\n", F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(F.col("lines"), i), x)), lambda x: x.isNotNull()))
-        none_left = F.size("lines") >= F.size(lines)
-        text = F.when(F.col("lines").isNull(), F.col("text")).when(none_left, F.lit("")).otherwise(kept)
+        joined = docs.join(drops.hint("merge"), docs["doc_id"].cast("long") == drops[key], "left")
+        kept = F.concat_ws("\n", F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(F.col(gone), i), x)), lambda x: x.isNotNull()))
+        none_left = F.size(gone) >= F.size(lines)
+        text = F.when(F.col(gone).isNull(), F.col("text")).when(none_left, F.lit("")).otherwise(kept)
         own = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-        return joined.select(*own, text.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_dropped"))
+        return joined.select(*own, text.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:

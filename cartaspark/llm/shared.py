@@ -52,3 +52,11 @@ class Scratch:
             fs, at = hadoop_fs(self.spark, f"{self.root}/{name}")
             with contextlib.suppress(Exception):
                 fs.delete(at, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cartaspark.llm import decontaminate, jaccard, langid, linededup, packing
 from cartaspark.llm.queries import CAPACITY, language_model, table, vocabulary
-from cartaspark.llm.shared import Scratch
+from cartaspark.llm.shared import Scratch, free_name
 
 #: Least share of a text's n-grams that its language must know.
 MIN_LANGUAGE_SCORE = 0.4
@@ -20,8 +20,9 @@ MIN_LANGUAGE_SCORE = 0.4
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters and those that are hardly in any learned language."""
-    found = langid.identify(docs, language_model(docs), carry=True)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    names = free_name(docs, "lang_pred"), free_name(docs, "score")
+    found = langid.identify(docs, language_model(docs), carry=True, names=names)
+    return found.where((F.col(names[0]) != "und") & (F.col(names[1]) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
