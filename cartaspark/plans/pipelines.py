@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import bounds, corners, retile as R, sheets as S, tiles as T
+from ..sources.scratch import materialise
 
 
 class MissingSheets(ValueError):
@@ -42,10 +43,10 @@ def process_sheets(sheets: DataFrame, images: DataFrame, zoom: int, finder: S.Fi
 
 def build_tiles(blocks: DataFrame, min_zoom: int, max_zoom: int, priority: DataFrame | None = None, size: int = 256) -> DataFrame:
     """A full pyramid from blocks at max_zoom, without wholly transparent tiles."""
-    level = T.mosaic(blocks.where(F.col("z") == max_zoom), priority, size)
+    level = materialise(T.mosaic(blocks.where(F.col("z") == max_zoom), priority, size), "level")
     levels = [level]
-    for _ in range(max_zoom - min_zoom):  # as many rounds as zoom levels
-        level = T.overview_tiles(level, size)
+    for _ in range(max_zoom - min_zoom):  # as many rounds as zoom levels; each is read twice
+        level = materialise(T.overview_tiles(level, size), "level")
         levels.append(level)
     return T.drop_transparent(reduce(DataFrame.unionByName, levels))
 
@@ -69,15 +70,15 @@ def retile(sheets: DataFrame, changed: DataFrame, redo: DataFrame | None, blocks
     siblings, which come from the archive (z, x, y, data).
     """
     check_changed(changed, sheets)
-    _, affected = R.requirements(sheets, changed, redo, max_zoom)
+    affected = materialise(R.requirements(sheets, changed, redo, max_zoom)[1], "affected")
     base = T.mosaic(blocks.join(affected, R.KEY, "left_semi"), priority, size)
     empty = affected.join(base.select(*R.KEY), R.KEY, "left_anti").select(F.col("z").cast("int").alias("z"), "x", "y", F.lit(bytes(4 * size * size)).alias("data"))
-    level = base.unionByName(empty)
+    level = materialise(base.unionByName(empty), "level")
     levels = [level]
-    siblings = R.sibling_tiles(affected, max_zoom, min_zoom)
+    siblings = materialise(R.sibling_tiles(affected, max_zoom, min_zoom), "siblings")
     for z in range(max_zoom - 1, min_zoom - 1, -1):
         old = R.copy_plan(siblings.where(F.col("z") == z + 1), level, archive.where(F.col("z") == z + 1)).select("z", "x", "y", "data")
-        level = T.overview_tiles(level.unionByName(old), size)
+        level = materialise(T.overview_tiles(level.unionByName(old), size), "level")
         levels.append(level)
     return reduce(DataFrame.unionByName, levels)
 
@@ -87,6 +88,7 @@ def update_tileset(old_bounds: DataFrame, new_bounds: DataFrame, blocks: DataFra
     from ..sources.geojson import boxes_of
 
     redo = boxes_of(bounds.diff_bounds(old_bounds, new_bounds).withColumn("sheet_id", F.concat(F.lit("dummy_"), F.xxhash64("sheet_id", "reason").cast("string"))))
+    redo = materialise(redo, "redo")
     if redo.isEmpty():
         return archive
     nothing = new_bounds.select("sheet_id").limit(0)
