@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
+RADIUS = 6378137.0
+
 
 def envelope(ring: Column) -> Column:
     """struct<west, south, east, north> of a ring."""
@@ -46,3 +50,13 @@ def box_overlap(ax: Column, ay: Column, aw: Column, ah: Column, bx: Column, by:
     """Area that two boxes share."""
     zero = F.lit(0)
     return F.greatest(zero, F.least(ax + aw, bx + bw) - F.greatest(ax, bx)) * F.greatest(zero, F.least(ay + ah, by + bh) - F.greatest(ay, by))
+
+
+def to_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Longitude and latitude (EPSG:4326) as spherical web-mercator metres (EPSG:3857)."""
+    return F.radians(lon) * RADIUS, F.ln(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * RADIUS
+
+
+def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
+    """The inverse of to_mercator."""
+    return F.degrees(x / RADIUS), F.degrees(2 * F.atan(F.exp(y / RADIUS)) - math.pi / 2)

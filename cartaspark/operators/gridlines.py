@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import inside
 from ..functions.scalar import between_multiples
+from .sheets import transform_points
 
 
 def lattice(boxes: DataFrame, step: int) -> DataFrame:
@@ -32,3 +33,24 @@ def on_sheet(lines: DataFrame, cutlines: DataFrame) -> DataFrame:
     """Pixel lines (sheet_id, px1, py1, px2, py2, ...) of which either end lies in the sheet's cutline (sheet_id, ring)."""
     both = lines.join(cutlines.select("sheet_id", F.col("ring").alias("_ring")), "sheet_id")
     return both.where(inside(F.col("_ring"), F.col("px1"), F.col("py1")) | inside(F.col("_ring"), F.col("px2"), F.col("py2"))).drop("_ring")
+
+
+def locate_grid_lines(cutlines: DataFrame, gcps: DataFrame, step: int, factor: float = 1.0) -> DataFrame:
+    """Grid lines of sheets in pixels and in world coordinates: sheet_id, px1, py1, px2, py2, wx1, wy1, wx2, wy2.
+
+    cutlines: sheet_id, ring (closed, pixels); gcps: sheet_id, gcps.  The ring is taken to the world,
+    its box scaled and rounded, covered with a lattice of multiples of `step`, and the unit segments of
+    its nodes are taken back; a segment stays if either end lies in the ring.
+    """
+    corners = cutlines.select("sheet_id", F.posexplode("ring").alias("pos", "p")).select("sheet_id", F.col("pos").cast("long").alias("point_id"), F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"))
+    world = transform_points(corners, gcps)
+    box = world.groupBy("sheet_id").agg(*[F.rint(f(c) * factor).cast("long").alias(n) for f, c, n in ((F.min, "tx", "xmin"), (F.min, "ty", "ymin"), (F.max, "tx", "xmax"), (F.max, "ty", "ymax"))])
+    lines = segments(lattice(box, step), step).withColumn("line", F.xxhash64("x1", "y1", "x2", "y2"))
+    world_of = lambda n: (F.col(n) / factor).alias(f"w{n}")
+    lines = lines.select("sheet_id", "line", *[world_of(n) for n in ("x1", "y1", "x2", "y2")])
+    ends = lines.select("sheet_id", F.inline(F.array(*[F.struct((F.col("line") if k == 1 else F.xxhash64("line", F.lit(2))).alias("point_id"), F.col(f"wx{k}").alias("x"), F.col(f"wy{k}").alias("y")) for k in (1, 2)])))
+    back = transform_points(ends, gcps, inverse=True)
+    one, two = (back.select(F.col("sheet_id"), F.col("point_id").alias(f"e{k}"), F.col("tx").alias(f"px{k}"), F.col("ty").alias(f"py{k}")) for k in (1, 2))
+    keyed = lines.withColumn("e1", F.col("line")).withColumn("e2", F.xxhash64("line", F.lit(2)))
+    both = keyed.join(one, ["sheet_id", "e1"]).join(two, ["sheet_id", "e2"])
+    return on_sheet(both, cutlines).select("sheet_id", "px1", "py1", "px2", "py2", "wx1", "wy1", "wx2", "wy2")

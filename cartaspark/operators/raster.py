@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.scratch import materialise
+
 SHEET = "sheet_id"
 
 
@@ -70,7 +72,7 @@ def components(mask: DataFrame, value: str, rounds: int = 64) -> DataFrame:
             order = Window.partitionBy(SHEET, across).orderBy(along)
             run = rows.withColumn("_run", F.col(along) - F.row_number().over(order))
             rows = run.withColumn("label", F.min("label").over(Window.partitionBy(SHEET, across, "_run"))).drop("_run")
-        rows = rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows
+        rows = materialise(rows, "components")
         if rows.join(before.select(SHEET, "r", "c", F.col("label").alias("_old")), [SHEET, "r", "c"]).where("label <> _old").isEmpty():
             break
     return rows

@@ -298,6 +298,31 @@ def locate_corners(image: np.ndarray, box: list[int], o: SheetOptions, finder: F
     return out
 
 
+def locate_corners_generic(image: np.ndarray, points: np.ndarray, o: SheetOptions, finder: Finder | None = None) -> list[tuple[float, float]]:
+    """Corners of a sheet with any number of them, near the given ring of points (its end not repeated).
+
+    Window centres lie half a window inside the ring (mitre offset); the map lies from a window's corner
+    towards its centre.  Given corners (`corner_overrides`, one for each point or null) beat found ones.
+    """
+    find = finder or FINDERS[o.finder]
+    given = o.corner_overrides or (None,) * len(points)
+    if len(given) != len(points):
+        raise ValueError("there must be as many corner overrides as points")
+    size = np.maximum(2, (np.ptp(points, axis=0) * o.corner_ratio).astype(int))
+    centres = K.offset_ring(points, -float(size.min()) / 2)
+    out = []
+    for own, point, centre in zip(given, np.asarray(points, float), centres, strict=True):
+        if own is not None:
+            out.append((float(own[0]), float(own[1])))
+            continue
+        direction = tuple(1 if d >= 0 else -1 for d in (centre - point))
+        x, y = np.maximum(0, np.rint(centre - size / 2).astype(int))
+        angle = {(1, 1): 45.0, (1, -1): -45.0, (-1, -1): -135.0, (-1, 1): 135.0}[direction]
+        px, py = find(image[y : y + size[1], x : x + size[0]], direction, angle, o)
+        out.append((float(px + x), float(py + y)))
+    return out
+
+
 CORNERS = "sheet_id string, corners array<struct<x:double,y:double>>, problem string"
 
 
@@ -321,6 +346,48 @@ def find_corners(images: DataFrame, areas: DataFrame, finder: Finder | None = No
     return _each(both, CORNERS, work)
 
 
+CORRECTED = "sheet_id string, x double, y double, new_x double, new_y double, type string"
+
+
+def correct_points(images: DataFrame, points: DataFrame, colours: tuple[str, ...], height: int, width: int, scale: int = 4, iterations: int = 1) -> DataFrame:
+    """Expected grid crossings (sheet_id, x, y) moved to the line crossing in their surroundings of 2 * height by 2 * width pixels.
+
+    Colours are tried in order: several crossings end the search without result; the last colour with
+    one crossing wins.
+    """
+    packed = points.groupBy("sheet_id").agg(F.collect_set(F.struct("x", "y")).alias("points"))
+
+    def correct(image: np.ndarray, x: float, y: float) -> tuple[float, float, str]:
+        px, py = int(x), int(y)
+        x0, y0 = max(0, px - width), max(0, py - height)
+        part = image[y0 : max(0, py + height), x0 : max(0, px + width)]
+        if not part.size:
+            return px, py, "invalid"
+        hit = None
+        for colour in colours:
+            found = K.intersections(K.colour_mask(part, colour, COLOURS), scale, iterations)
+            if len(found) > 1:
+                return x, y, "too_many_choices"
+            hit = found[0] if found else hit
+        if hit is None:
+            return x, y, "no_choices"
+        at = (hit[0] + x0, hit[1] + y0)
+        return *at, "unchanged" if at == (px, py) else "corrected"
+
+    def work(row):
+        image = pixels_of(row)
+        return [(row.sheet_id, float(p["x"]), float(p["y"]), *(v if isinstance(v, str) else float(v) for v in correct(image, p["x"], p["y"]))) for p in row.points]
+
+    return _each(images.select("sheet_id", "height", "width", "data").join(packed, "sheet_id"), CORRECTED, work)
+
+
+def cutline_properties(sheets: DataFrame) -> DataFrame:
+    """sheet_id, props: a sheet's index properties (map) overlaid by id, crs, gcps and pixel cutline (strings); later keys win."""
+    own = F.create_map(F.lit("id"), F.col("sheet_id"), F.lit("crs"), F.col("crs"), F.lit("gcps"), F.to_json("gcps"), F.lit("pixel_cutline"), F.to_json("cutline"))
+    base = F.map_filter("props", lambda k, v: ~k.isin("id", "crs", "gcps", "pixel_cutline"))
+    return sheets.select("sheet_id", F.map_concat(base, own).alias("props"))
+
+
 def transform_points(points: DataFrame, gcps: DataFrame, inverse: bool = False) -> DataFrame:
     """Thin-plate spline of points (sheet_id, point_id, x, y) by the sheet's control points (sheet_id, gcps: px, py, x, y)."""
 
@@ -330,7 +397,12 @@ def transform_points(points: DataFrame, gcps: DataFrame, inverse: bool = False)
         g = right["gcps"].iloc[0]
         pixel, world = np.array([[p["px"], p["py"]] for p in g]), np.array([[p["x"], p["y"]] for p in g])
         spline = ThinPlate(world, pixel) if inverse else ThinPlate(pixel, world)
-        t = spline(left[["x", "y"]].to_numpy())
+        points = left[["x", "y"]].to_numpy()
+        t = spline(points)
+        known = dict(zip(map(tuple, (world if inverse else pixel).tolist()), (pixel if inverse else world).tolist(), strict=True))
+        for i, point in enumerate(map(tuple, points.tolist())):  # a control point has its own value to the last bit
+            if point in known:
+                t[i] = known[point]
         return pd.DataFrame({"sheet_id": left["sheet_id"], "point_id": left["point_id"], "tx": t[:, 0], "ty": t[:, 1]})
 
     ThinPlate = K.ThinPlateSpline

@@ -483,6 +483,14 @@ def connected_boxes(spark, sf):
     return rows.mapInPandas(work, "sheet_id long, x long, y long, w long, h long, n long")
 
 
+@query("sheets", "SELECT sheet_id, round(radians(west) * 6378137.0, 3) AS x, round(ln(tan(0.7853981633974483 + radians(north) / 2)) * 6378137.0, 3) AS y, round(west, 6) AS lon, round(north, 6) AS lat FROM sheets")
+def mercator_round_trip(spark, sf):
+    x, y = G.to_mercator(F.col("west"), F.col("north"))
+    rows = relation(spark, sf, "sheets").select("sheet_id", x.alias("x"), y.alias("y"))
+    lon, lat = G.from_mercator(F.col("x"), F.col("y"))
+    return rows.select("sheet_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
 # text boxes, strings, metadata
 
 @query(

@@ -254,6 +254,36 @@ def test_finders_on_one_corner():
         H.nearest_intersection(np.full((60, 60, 3), 255, np.uint8), (1, 1), 45.0, o)
 
 
+def test_corners_of_a_polygon():
+    image = scanned_sheet()
+    ring = np.array([(81, 61), (81, 340), (418, 340), (418, 61)])
+    o = H.SheetOptions.of(json.dumps({"corner_ratio": 0.3, "find_line_scale": 3, "find_line_iter": 0, "max_corner_angle_diff": 60, "max_corner_angle_diff_cutoff": 80}))
+    found = H.locate_corners_generic(image, ring + 12 * np.array([(-1, -1), (-1, 1), (1, 1), (1, -1)]), o)  # a coarse outline lies a little outside
+    assert np.abs(np.array(found) - ring).max() <= 2
+    with pytest.raises(ValueError):
+        H.locate_corners_generic(image, ring, H.SheetOptions(corner_overrides=(None,)))
+
+
+def test_grid_lines_points_and_properties(spark):
+    ring = [(0.0, 0.0), (0.0, 100.0), (100.0, 100.0), (100.0, 0.0), (0.0, 0.0)]
+    cut = spark.createDataFrame([("s", ring)], "sheet_id string, ring array<struct<x:double,y:double>>")
+    gcps = spark.createDataFrame([("s", [(0.0, 0.0, 0.0, 20.0), (100.0, 0.0, 20.0, 20.0), (0.0, 100.0, 0.0, 0.0), (100.0, 100.0, 20.0, 0.0)])], "sheet_id string, gcps array<struct<px:double,py:double,x:double,y:double>>")
+    got = {tuple(round(v, 3) for v in r[1:]) for r in L.locate_grid_lines(cut, gcps, 10).collect()}
+    assert (50.0, 50.0, 100.0, 50.0, 10.0, 10.0, 20.0, 10.0) in got
+    assert all(0 <= a <= 100 and 0 <= b <= 100 or 0 <= c <= 100 and 0 <= d <= 100 for a, b, c, d, *_ in got)
+    points = spark.createDataFrame([("s", 1, 0.0, 100.0), ("s", 2, 50.0, 50.0)], "sheet_id string, point_id long, x double, y double")
+    moved = {r["point_id"]: (r["tx"], r["ty"]) for r in H.transform_points(points, gcps).collect()}
+    assert moved[1] == (0.0, 0.0) and np.allclose(moved[2], (10, 10))
+    image = scanned_sheet()
+    images = spark.createDataFrame([("s", *image.shape[:2], bytearray(image.tobytes()))], H.IMAGE)
+    expected = spark.createDataFrame([("s", 84.0, 58.0), ("s", 250.0, 200.0), ("s", -500.0, 5.0)], "sheet_id string, x double, y double")
+    kinds = {r["x"]: (r["new_x"], r["new_y"], r["type"]) for r in H.correct_points(images, expected, ("black",), 15, 15, 2, 0).collect()}
+    assert kinds[84.0] == (81.0, 61.0, "corrected") and kinds[250.0][2] == "no_choices" and kinds[-500.0][2] == "invalid"
+    sheets = cut.join(gcps, "sheet_id").select("sheet_id", "gcps", F.col("ring").alias("cutline"), F.lit("EPSG:4326").alias("crs"), F.create_map(F.lit("id"), F.lit("old"), F.lit("name"), F.lit("n")).alias("props"))
+    props = one(H.cutline_properties(sheets))["props"]
+    assert props["id"] == "s" and props["name"] == "n" and json.loads(props["gcps"])[0]["px"] == 0
+
+
 def tile(colour, alpha, size=4):
     out = np.zeros((size, size, 4), np.uint8)
     out[...] = (*colour, alpha)
