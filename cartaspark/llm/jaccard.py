@@ -4,21 +4,23 @@ Two documents link when 100 * |A & B| >= threshold * |A | B| over their sets of
 shingles (as 64-bit hashes).  No link between different sets is lost, and hot groups are never
 expanded into all pairs:
 
-1. *Signatures.*  One pass gives each document its set size, a 128-bit digest of its sorted hash
-   array and a bitmap of about two bits for each shingle.  Documents with equal digests form one
-   class; only the smallest id represents it.  The same pass counts shingles in a table of a fixed
-   number of buckets, which orders shingles from rare to frequent.
-2. *Candidates.*  By the prefix-filter bound, two linked sets share one of the first
+1. *Signatures.*  One pass gives each document its set size and a 128-bit digest of its sorted hash
+   array.  Documents with equal digests form one class; only the smallest id represents it.  The same
+   pass counts shingles in a table of a fixed number of buckets, which orders shingles from rare to
+   frequent.
+2. *Groups.*  By the prefix-filter bound, two linked sets share one of the first
    n - ceil(threshold * n) + 1 shingles of any common order.  Rare shingles come first, so passages
    that many documents share are met in few prefixes.  Classes that share such a shingle form a
-   group.
-3. *Stars.*  In each group every class is held against the smallest one of its size band only
-   (one pair a row).  Pairs whose bitmaps allow a link are verified by exact sorted-array
-   intersection; components of the links found so far are contracted.
-4. *Tiles.*  What is left of a group, rows of *different* components, is dealt into tiles of two
+   group.  Their hash arrays and bitmaps (about eight bits for each shingle) are written once.
+3. *Stars.*  In each group every class is held against one class of its size band: first the
+   smallest, then, for ROUNDS rounds, the first by a new random order (one pair a row).  Pairs whose
+   bitmaps allow a link are verified by exact sorted-array intersection; components of the links
+   found so far are contracted, and pairs inside a component are not looked at again.
+4. *Tiles.*  What is left, rows of *different* components in one group, is dealt into tiles of two
    adjacent size bands (sets further apart in size cannot link); a large tile is split into blocks.
    Within a tile bit counts bound the overlap of each pair from above; the pairs that remain are
-   verified exactly.
+   verified exactly.  Groups whose first member is the same are dealt as one, as near copies share
+   many shingles.
 5. Components of all links, with every class expanded to its documents, are the result.
 
 Bit counts: a bit that A has and B lacks stands for an element of A that B lacks, so
@@ -40,18 +42,22 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
-from .shared import Scratch
-from .text import pieces, shingle_sets, utf8, words
+from .shared import Scratch, free_name
+from .text import mix, pieces, shingle_sets, utf8, words
 
-COUNT_BITS = 22
-#: Rows of one side of a tile block.
-BLOCK_ROWS = 2048
-SIGNATURE = "doc_id long, n long, d1 long, d2 long, bits binary, counts binary"
+COUNT_BITS = 20
+#: Bits of the filter of ids whose sets are needed: a full one only means that more sets are written.
+NEED_BITS = 24
+#: Rounds of stars in random orders.
+ROUNDS = 2
+#: Rows of one side of a tile block, and the widest bitmap.  A bitmap that is too narrow bounds less, it loses nothing.
+BLOCK_ROWS, MOST_BITS = 2048, 1 << 16
+SIGNATURE = "doc_id long, n long, d1 long, d2 long, counts binary"
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """A bitmap with a power of two of bits, at least twice the number of hashes (64 at least)."""
-    width = max(64, 1 << int(2 * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    """A bitmap with a power of two of bits, at least eight times the number of hashes (64 at least) up to MOST_BITS."""
+    width = min(MOST_BITS, max(64, 1 << int(8 * len(hashes) - 1).bit_length())) if len(hashes) else 64
     bits = np.zeros(width, np.uint8)
     bits[(hashes & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -105,7 +111,7 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
             for part in pieces(batch, batch.schema.names[1]):
                 rows = []
                 for key, own in zip(part.column(0).to_pylist(), _sets(part.column(1), k), strict=True):
-                    rows.append((key, len(own), *_digest(own), bitmap(own), None))
+                    rows.append((key, len(own), *_digest(own), None))
                     waiting.append(own)
                     held += len(own)
                 yield _batch(rows, SIGNATURE)
@@ -114,7 +120,7 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
                     waiting, held = [], 0
         if waiting:
             counts += np.bincount((np.concatenate(waiting) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-        yield _batch([(None, 0, 0, 0, None, zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1))], SIGNATURE)
+        yield _batch([(None, 0, 0, 0, zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1))], SIGNATURE)
 
     keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
     return keyed.mapInArrow(sign, SIGNATURE)
@@ -211,13 +217,69 @@ def _groups(prefixes: DataFrame, threshold: int) -> DataFrame:
     return prefixes.repartition("token").sortWithinPartitions("token", "n", "d1", "doc_id").mapInArrow(stream, GROUPED)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) of ids that link, by exact intersection of their sorted hash arrays."""
+SETS = "doc_id long, n long, bits binary, hashes binary"
+
+
+def _needed(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter (two hashes) of ids (doc_id), packed: a fixed number of bits, joined in a tree of tasks."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (NEED_BITS - 3), np.uint8)
+        for batch in batches:
+            for at in _places(batch.column(0).to_numpy()):
+                np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["bits"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (NEED_BITS - 3), np.uint8)
+        for batch in batches:
+            for blob in batch.column(0):
+                bits |= np.frombuffer(zlib.decompress(blob.as_py()), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["bits"])
+
+    tables = ids.select("doc_id").mapInArrow(mark, "bits binary").repartition(6).mapInArrow(join, "bits binary")
+    blob = tables.coalesce(1).mapInArrow(join, "bits binary").collect()
+    return np.frombuffer(zlib.decompress(blob[0][0]), np.uint8) if blob else np.zeros(1 << (NEED_BITS - 3), np.uint8)
+
+
+def _passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    one, two = (((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) for at in _places(ids))
+    return one & two
+
+
+def _places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(ids.astype(np.int64).view(np.uint64))
+    return (h >> np.uint64(64 - NEED_BITS)).astype(np.int64), (h & np.uint64((1 << NEED_BITS) - 1)).astype(np.int64)
+
+
+def _sets_of(docs: DataFrame, k: int, needed) -> DataFrame:
+    """Size, bitmap and sorted hash array of the documents whose ids pass the filter."""
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, batch.schema.names[1]):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in _sets(part.column(1), k)], pa.binary())], names=["key", "hashes"])
+            own = batch.filter(pa.array(_passes(needed.value, batch.column(0).to_numpy())))
+            for part in pieces(own, own.schema.names[1]):
+                sets = _sets(part.column(1), k)
+                yield _batch([(key, len(x), bitmap(x), x.tobytes()) for key, x in zip(part.column(0).to_pylist(), sets, strict=True)], SETS)
+
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(arrays, SETS)
+
+
+def _only(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Hash arrays of the ids in pairs (and of few others, as a filter of fixed size picks them), so that only these are shuffled."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    needed = sets.sparkSession.sparkContext.broadcast(_needed(ids))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_passes(needed.value, batch.column(0).to_numpy())))
+
+    return sets.select("doc_id", "hashes").mapInArrow(pick, "doc_id long, hashes binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) of ids that link, by exact intersection of their sorted hash arrays (sets: doc_id, hashes)."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,14 +290,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, threshold: int) -> Data
                 ok.append(100 * common >= threshold * (len(one) + len(two) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    needed = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
-    sets = texts.join(needed.hint("merge"), "key", "left_semi").select("key", "text").mapInArrow(arrays, "key long, hashes binary")
-    one, two = sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("key").alias("b"), F.col("hashes").alias("y"))
+    one, two = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
     return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _allowed(pairs: DataFrame, signatures: DataFrame, threshold: int) -> DataFrame:
+def _allowed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose sizes and bit counts allow a link."""
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,39 +307,86 @@ def _allowed(pairs: DataFrame, signatures: DataFrame, threshold: int) -> DataFra
                 ok.append(may_link(n1, one, n2, two, threshold))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    one = signatures.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("x"))
-    two = signatures.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("y"))
+    one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("x"))
+    two = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("y"))
     near = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where((100 * F.col("n1") >= threshold * F.col("n2")) & (100 * F.col("n2") >= threshold * F.col("n1")))
     return near.select("a", "b", "n1", "n2", "x", "y").mapInArrow(bound, "a long, b long")
 
 
-TILE = "token long, tile int, block1 int, block2 int, n long, doc_id long, component long, low boolean, block int, bits binary"
+def _band(threshold: int, shift: float = 0.0):
+    """The size band: a factor a little over 100 / threshold wide, so linked sizes are never two bands apart."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / threshold + 1e-6)) + shift).cast("int")
 
 
-def _tile_pairs(tiles: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of different components in each tile block that sizes and bit counts allow.
+def _unsettled(grouped: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of groups that hold several components: token, n, doc_id, component."""
+    rows = grouped.select("token", "n", "doc_id").join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    rows = rows.withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    return rows.join(mixed, "token", "left_semi").select("token", "n", "doc_id", "component")
+
+
+def _stars(open_: DataFrame, threshold: int, round_: int) -> DataFrame:
+    """Pairs (a, b) of each class with the first class, by a random order of this round, of its group's size band; none inside a component."""
+    rows = open_.withColumn("band", _band(threshold, (round_ % 2) / 2))
+    first = F.min(F.struct(F.xxhash64(F.lit(round_), "doc_id").alias("h"), F.col("doc_id").alias("center"), F.col("component").alias("own"))).alias("c")
+    bands = rows.groupBy("token", "band").agg(first, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token", "band", "c.center", "c.own")
+    pairs = rows.join(bands, ["token", "band"]).where("component <> own")
+    return pairs.select(F.least("center", "doc_id").alias("a"), F.greatest("center", "doc_id").alias("b")).distinct()
+
 
-    A block has at most two sides of about BLOCK_ROWS rows.  Rows of the lower band meet each other
-    and those of the upper band.
+TILE = "first long, tile int, block1 int, block2 int, n long, doc_id long, component long, low boolean, block int, bits binary"
+
+
+def _tiles(open_: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Rows of groups with several components, dealt into tiles of adjacent size bands and their blocks."""
+    first = open_.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("first"))).alias("f"))
+    rows = open_.join(first.select("token", "f.first"), "token").select("first", "n", "doc_id", "component").distinct()
+    rows = rows.withColumn("band", _band(threshold)).withColumn("side", F.explode(F.array(F.lit(0), F.lit(-1))))
+    rows = rows.select("first", (F.col("band") + F.col("side")).alias("tile"), "n", "doc_id", "component", (F.col("side") == 0).alias("low"))
+    size = rows.groupBy("first", "tile").agg(F.count("*").alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or("low").alias("any_low"))
+    size = size.where("lo < hi and any_low").select("first", "tile", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = rows.join(size, ["first", "tile"])
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("first", "tile", F.least("block", "other").alias("block1"), F.greatest("block", "other").alias("block2"), "n", "doc_id", "component", "low", "block")
+    return rows.join(sets.select("doc_id", "bits"), "doc_id").select(*[x.split()[0] for x in TILE.split(", ")])
+
+
+def compare(rows: list[tuple], across: bool, threshold: int) -> Iterator[tuple[int, int]]:
+    """Pairs of ids in one tile block, of different components, that sizes and bit counts allow.
+
+    rows: (n, doc_id, component, low, block, bits).  Rows of the lower band meet each other and those of
+    the upper band; across two blocks only rows of different blocks meet.
     """
+    rows = sorted(rows, key=lambda r: r[:2])
+    width = 8 * min(len(r[5]) for r in rows)
+    words = np.stack([np.frombuffer(fold(int.from_bytes(r[5], "little"), 8 * len(r[5]), width).to_bytes(width // 8, "little"), np.uint64) for r in rows])
+    n, doc, component, low, block = (np.array(x) for x in zip(*(r[:5] for r in rows), strict=True))
+    stop = np.searchsorted(n, n * 100 // threshold, "right")
+    for i in range(len(rows) - 1):
+        j = np.arange(i + 1, stop[i])
+        j = j[(component[j] != component[i]) & (low[j] | low[i])]
+        if across:
+            j = j[block[j] != block[i]]
+        if not len(j):
+            continue
+        mine, missing = (np.bitwise_count(v).sum(1, dtype=np.int64) for v in (words[i] & ~words[j], words[j] & ~words[i]))
+        over = np.minimum(n[i] - mine, n[j] - missing)
+        for k in j[100 * over >= threshold * (n[i] + n[j] - over)].tolist():
+            a, b = int(doc[i]), int(doc[k])
+            yield (a, b) if a < b else (b, a)
+
 
-    def compare(group: list[tuple], across: bool) -> Iterator[tuple[int, int]]:
-        # (n, doc, component, low, block, bits, width)
-        least = min(r[6] for r in group)
-        rows = sorted((n, doc, comp, low, block, fold(bits, width, least)) for n, doc, comp, low, block, bits, width in group)
-        for i, (n1, doc1, comp1, low1, block1, bits1) in enumerate(rows):
-            for n2, doc2, comp2, low2, block2, bits2 in rows[i + 1 :]:
-                if 100 * n1 < threshold * n2:
-                    break
-                if comp1 != comp2 and (low1 or low2) and not (across and block1 == block2) and may_link(n1, bits1, n2, bits2, threshold):
-                    yield (doc1, doc2) if doc1 < doc2 else (doc2, doc1)
+def _tile_pairs(tiles: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of all tile blocks; a block has at most two sides of about BLOCK_ROWS rows."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, seen = None, [], set()
 
         def close(out: list) -> None:
             if len(group) > 1:
-                for pair in compare(group, across=key[2] != key[3]):
+                for pair in compare(group, key[2] != key[3], threshold):
                     if pair not in seen:
                         seen.add(pair)
                         out.append(pair)
@@ -290,72 +396,59 @@ def _tile_pairs(tiles: DataFrame, threshold: int) -> DataFrame:
         for batch in batches:
             out: list[tuple[int, int]] = []
             columns = [batch.column(i).to_pylist() for i in range(10)]
-            for token, tile, one, two, n, doc, comp, low, block, bits in zip(*columns, strict=True):
-                if (token, tile, one, two) != key:
+            for first, tile, one, two, *row in zip(*columns, strict=True):
+                if (first, tile, one, two) != key:
                     close(out)
-                    key, group = (token, tile, one, two), []
-                group.append((n, doc, comp, low, block, int.from_bytes(bits, "little"), 8 * len(bits)))
+                    key, group = (first, tile, one, two), []
+                group.append(tuple(row))
             yield _batch(out, "a long, b long")
         out = []
         close(out)
         yield _batch(out, "a long, b long")
 
-    dealt = tiles.repartition("token", "tile", "block1", "block2").sortWithinPartitions("token", "tile", "block1", "block2")
+    dealt = tiles.repartition("first", "tile", "block1", "block2").sortWithinPartitions("first", "tile", "block1", "block2")
     return dealt.mapInArrow(stream, "a long, b long").distinct()
 
 
-def _tiles(grouped: DataFrame, signatures: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
-    """Rows of groups with several components, dealt into tiles of adjacent size bands and their blocks."""
-    rows = grouped.select("token", "n", "doc_id").join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    rows = rows.join(mixed, "token", "left_semi")
-    # a factor a little over 100 / threshold: linked sizes are never two bands apart
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / threshold + 1e-6))).cast("int")
-    rows = rows.withColumn("band", band).withColumn("side", F.explode(F.array(F.lit(0), F.lit(-1))))
-    rows = rows.select("token", (F.col("band") + F.col("side")).alias("tile"), "n", "doc_id", "component", (F.col("side") == 0).alias("low"))
-    size = rows.groupBy("token", "tile").agg(F.count("*").alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or("low").alias("any_low"))
-    size = size.where("lo < hi and any_low").select("token", "tile", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"))
-    rows = rows.join(size, ["token", "tile"])
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", "tile", F.least("block", "other").alias("block1"), F.greatest("block", "other").alias("block2"), "n", "doc_id", "component", "low", "block")
-    bits = signatures.select("doc_id", "bits")
-    return rows.join(bits, "doc_id").select(*[x.split()[0] for x in TILE.split(", ")])
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """Components of the n-gram Jaccard self-join: doc_id, n_shingles, component_id, class_id (smallest id with an equal set)."""
-    scratch = Scratch(docs.sparkSession, "jaccard")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "jaccard")
     signed = scratch.save(_signatures(docs, k), "signed")
-    frequencies = docs.sparkSession.sparkContext.broadcast(_frequencies(signed))
-    signatures = signed.where("doc_id is not null").select("doc_id", "n", "d1", "d2", "bits")
-    classes = signatures.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"))
+    frequencies = spark.sparkContext.broadcast(_frequencies(signed))
+    signatures = signed.where("doc_id is not null").select("doc_id", "n", "d1", "d2")
+    grouped = scratch.save(_groups(_prefixes(docs, k, threshold, frequencies), threshold), "grouped", 5000)
+    sets = scratch.save(_sets_of(docs, k, spark.sparkContext.broadcast(_needed(grouped))), "sets")
+
+    pairs = grouped.where("center <> doc_id").select(F.least("center", "doc_id").alias("a"), F.greatest("center", "doc_id").alias("b")).distinct()
+    labels = None
+    for round_ in range(ROUNDS + 2):  # the first centers, random ones, then all that is left
+        if round_:
+            grouped = scratch.save(_unsettled(grouped, labels), f"open-{round_}")
+            pairs = _stars(grouped, threshold, round_) if round_ <= ROUNDS else _tile_pairs(_tiles(grouped, sets, threshold), threshold)
+        pairs = scratch.save(_allowed(pairs, sets, threshold) if round_ <= ROUNDS else pairs, f"pairs-{round_}")
+        own = scratch.save(_only(sets, pairs), f"sets-{round_}", 500)
+        found = scratch.save(_verified(pairs, own, threshold), f"links-{round_}", 500)  # two sets a row
+        scratch.drop(f"pairs-{round_}", f"sets-{round_}", "grouped" if round_ == 1 else f"open-{round_ - 1}")
+        if labels is None or not found.isEmpty():
+            # earlier components as stars: the graph stays as small as its nodes
+            edges = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            labels = connected_components(edges, scratch, f"components-{round_}")
+    scratch.drop(f"open-{ROUNDS + 1}", "sets")
 
-    grouped = scratch.save(_groups(_prefixes(docs, k, threshold, frequencies), threshold), "grouped")
-    stars = grouped.where("center <> doc_id").select(F.least("center", "doc_id").alias("a"), F.greatest("center", "doc_id").alias("b")).distinct()
-    stars = scratch.save(_allowed(stars, signatures, threshold), "stars")
-    links = scratch.save(_verified(docs, stars, k, threshold), "links")
-    labels = connected_components(links, scratch, "first")
-
-    more = scratch.save(_tile_pairs(_tiles(grouped, signatures, labels, threshold), threshold), "pairs")
-    scratch.drop("grouped", "stars")
-    if not more.isEmpty():
-        extra = scratch.save(_verified(docs, more, k, threshold), "extra")
-        labels = connected_components(links.unionByName(extra), scratch, "second")
-    scratch.drop("pairs")
-
-    rows = signatures.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left")
+    classes = signatures.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"))
+    rows = signatures.join(classes, ["n", "d1", "d2"], "left")
     rows = rows.select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id"))
     labelled = rows.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
     final = labelled.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
     final = scratch.save(final, "final")
-    scratch.drop("signed", "links", "extra")
+    scratch.drop("signed", *[f"links-{i}" for i in range(ROUNDS + 2)])
     return final
 
 
 def keep_one_each(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """The documents that carry the smallest id of their component, and those without an id; all columns stay."""
     found = near_duplicates(docs, k, threshold)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct().hint("merge")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    name = free_name(docs, "_gone")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct().hint("merge")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")

@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _LOCAL: list[str] = []
 
 
@@ -40,10 +41,15 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a table and return it as read back."""
+    def save(self, df: DataFrame, name: str, records: int = 2000) -> DataFrame:
+        """Write a table and return it as read back.  `records` bounds the rows of an Arrow batch meanwhile: few for wide rows."""
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(BATCH)
+        self.spark.conf.set(BATCH, str(min(records, int(before)) if int(before) > 0 else records))
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(BATCH, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
