@@ -17,62 +17,142 @@ than the id and the text are ignored, whatever their names.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from .shared import Scratch
+from .text import pieces
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BUCKETS = 1024
-#: Words kept in each of the two generations of the cache, and the longest word that is kept.
+#: Words kept in each of the two generations of a cache, and the longest word that is kept.
 CACHE_WORDS, CACHE_CHARS = 300_000, 48
-_CONTROL = re.compile("[\x1c-\x1f]")
-_GAP = re.compile(r"[\t-\r ]+")
+#: Text encoded at once; the more, the fewer words come up again.
+PIECE_BYTES = 8 << 20
+#: Letters up to U+024F (but for U+0130, whose lower case is two characters), then ASCII marks other than the apostrophe.
+_LETTERS_AND_MARKS = re.compile(r"((?:(?![\u0130])[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])+)([!-&(-/:-@\[-`{-~]*)\Z")
 _encoders: dict[str, WordEncoder] = {}
 
 
-class WordEncoder(dict):
-    """Token ids of whole texts, word by word.
+class Cache(dict):
+    """Ids by word in two generations, so that memory stays bounded while frequent words stay."""
 
-    For a tokenizer that drops white space and never joins across it (``splits_at_space``), ids of
-    a text are the ids of its words in order.  Frequent words are kept as packed little-endian ids
-    in two generations, so that memory stays bounded.  Other tokenizers encode whole texts.
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def put(self, words: list[str], ids: list[bytes]) -> None:
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self.update((w, i) for w, i in zip(words, ids, strict=True) if len(w) <= CACHE_CHARS)
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            return self.make(word)
+        self[word] = ids
+        return ids
+
+    def unknown(self, words: set[str]) -> set[str]:
+        return (words - self.keys()) - self.old.keys()
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write the UTF-8 bytes of code points from U+0080 to U+024F: printable Latin-1 bytes stand for themselves, the others follow from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    table = {b: chr(b) for b in shown}
+    for b in range(256):
+        table.setdefault(b, chr(256 + len(table) - len(shown)))
+    return {c: "".join(table[b] for b in chr(c).encode()) for c in range(0x80, 0x250)}
+
+
+class WordEncoder:
+    """Token ids of whole texts by way of their distinct words.
+
+    For a tokenizer that drops white space and never joins across it, ids of a text are the ids of its
+    words in order.  Arrow cuts a column of texts at ASCII white space and numbers its distinct words;
+    only those are looked at one by one, and their ids are put together by array operations.  If the
+    tokenizer also ignores case and keeps letters apart from marks, most words are a run of letters
+    and a run of marks; new runs of letters go to its model in one text, where a token that ends a
+    word tells runs apart.  These properties are probed; a tokenizer without them encodes whole texts
+    or words.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.old: dict[str, bytes] = {}
-        self.splits_at_space = self._ids("a b\n\tc") == b"".join(map(self._ids, "abc")) and not self._ids(" \n\t")
+        self.model, self.letters = Tokenizer(self.tokenizer.model), _byte_letters()
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or "\0"
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith(suffix)
+        self.by_word = self._ids("a b\n\tc") == b"".join(map(self._ids, "abc")) and not self._ids(" \n\t")
+        probes = ["word", "the", "\u00e9t\u00e9", "stra\u00dfe", "\u0142\u00f3d\u017a", "qzxj"]
+        self.by_part = self.by_word and self._letters(probes) == [self._ids(p) for p in probes] and all(self._ids(a.upper() + b) == self._ids(a.upper().lower()) + self._ids(b) for a in probes for b in (".", ",", "!!", '")', "***", "|"))
+        self.marks: dict[str, bytes] = {}
+        self.words = Cache(self._ids)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self._ids(word)
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.old = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if not self.splits_at_space:
-            return self._ids(text)
-        # str.split() also splits at U+001C to U+001F, which are no white space to the tokenizer
-        parts = _GAP.split(text) if _CONTROL.search(text) else text.split()
-        return b"".join(map(self.__getitem__, parts))
+    def _letters(self, runs: list[str]) -> list[bytes]:
+        """Ids of lower-case runs of letters; an empty list if ends of words do not tell them apart."""
+        written = " ".join(r if r.isascii() else r.translate(self.letters) for r in runs)
+        ids = np.array(self.model.encode_batch_fast([written], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(ends) != len(runs):
+            return []
+        data = ids.tobytes()
+        return [data[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _marks(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) >= CACHE_WORDS:
+                self.marks.clear()
+            self.marks[marks] = self._ids(marks)
+        return self.marks[marks]
+
+    def _prepare(self, words: list[str]) -> None:
+        """Encode the words that no cache has."""
+        fresh = [(w, m[1].lower(), m[2]) for w in self.words.unknown(set(words)) if (m := _LETTERS_AND_MARKS.match(w))]
+        runs = list({run for _, run, _ in fresh})
+        made = dict(zip(runs, self._letters(runs), strict=True)) if runs else {}
+        self.words.put([w for w, _, _ in fresh], [made[run] + self._marks(marks) if marks else made[run] for _, run, marks in fresh])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): text i has ids[offsets[i]:offsets[i + 1]]; null counts as empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if self.by_word:
+            lists = pc.ascii_split_whitespace(texts)
+            numbered = lists.flatten().dictionary_encode()
+            words = numbered.dictionary.to_pylist()
+            if self.by_part:
+                self._prepare(words)
+            made = [self.words[w] for w in words]
+            which = numbered.indices.to_numpy()
+            first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        else:
+            made, which, first = [self._ids(t) for t in texts.to_pylist()], np.arange(len(texts)), np.arange(len(texts) + 1)
+        sizes = np.array([len(m) // 4 for m in made], np.int64)
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        pool = np.frombuffer(b"".join(made), "<u4")
+        length = sizes[which] if len(which) else np.zeros(0, np.int64)
+        place = np.concatenate(([0], np.cumsum(length)))
+        at = np.repeat((starts[which] if len(which) else starts[:0]) - place[:-1], length) + np.arange(place[-1])
+        return pool[at], place[first]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -89,12 +169,13 @@ def cut_into_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, whole.schema.names[1], PIECE_BYTES)):
             rows: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
+            ids, offsets = encode(batch.column(1))
+            for key, lo, hi in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                own = ids[lo:hi].tobytes() + end
+                for k, at in enumerate(range(0, len(own), step)):
+                    part = own[at : at + step]
                     rows.append((key, k, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
