@@ -251,4 +251,8 @@ def extract(pages: DataFrame) -> DataFrame:
             out = [main_text(line, kind, text, other or []) for text, kind, line, other in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
-    return parsed.join(near.hint("merge"), "row", "left").select("page_id", "url", "texts", "kinds", "lines", "near").mapInArrow(finish, "page_id long, url string, text string")
+    # the texts of pages without undecided blocks need not meet anything
+    other = F.exists("kinds", lambda k: k == OTHER)
+    plain = parsed.where(~other).select("page_id", "url", F.array_join("texts", "\n").alias("text"))
+    mixed = parsed.where(other).join(near.hint("merge"), "row", "left").select("page_id", "url", "texts", "kinds", "lines", "near")
+    return plain.unionByName(mixed.mapInArrow(finish, "page_id long, url string, text string"))
