@@ -320,10 +320,10 @@ def _band(threshold: int, shift: float = 0.0):
 
 def _unsettled(grouped: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of groups that hold several components: token, n, doc_id, component."""
-    rows = grouped.select("token", "n", "doc_id").join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    rows = grouped.select("token", "n", "doc_id").join(labels.select(F.col("node").alias("doc_id"), "component").hint("merge"), "doc_id", "left")
     rows = rows.withColumn("component", F.coalesce("component", "doc_id"))
     mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    return rows.join(mixed, "token", "left_semi").select("token", "n", "doc_id", "component")
+    return rows.join(mixed.hint("merge"), "token", "left_semi").select("token", "n", "doc_id", "component")
 
 
 def _stars(open_: DataFrame, threshold: int, round_: int) -> DataFrame:
@@ -331,7 +331,7 @@ def _stars(open_: DataFrame, threshold: int, round_: int) -> DataFrame:
     rows = open_.withColumn("band", _band(threshold, (round_ % 2) / 2))
     first = F.min(F.struct(F.xxhash64(F.lit(round_), "doc_id").alias("h"), F.col("doc_id").alias("center"), F.col("component").alias("own"))).alias("c")
     bands = rows.groupBy("token", "band").agg(first, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token", "band", "c.center", "c.own")
-    pairs = rows.join(bands, ["token", "band"]).where("component <> own")
+    pairs = rows.join(bands.hint("merge"), ["token", "band"]).where("component <> own")
     return pairs.select(F.least("center", "doc_id").alias("a"), F.greatest("center", "doc_id").alias("b")).distinct()
 
 
@@ -341,7 +341,7 @@ TILE = "first long, tile int, block1 int, block2 int, n long, doc_id long, compo
 def _tiles(open_: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Rows of groups with several components, dealt into tiles of adjacent size bands and their blocks."""
     first = open_.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("first"))).alias("f"))
-    rows = open_.join(first.select("token", "f.first"), "token").select("first", "n", "doc_id", "component").distinct()
+    rows = open_.join(first.select("token", "f.first").hint("merge"), "token").select("first", "n", "doc_id", "component").distinct()
     rows = rows.withColumn("band", _band(threshold)).withColumn("side", F.explode(F.array(F.lit(0), F.lit(-1))))
     rows = rows.select("first", (F.col("band") + F.col("side")).alias("tile"), "n", "doc_id", "component", (F.col("side") == 0).alias("low"))
     size = rows.groupBy("first", "tile").agg(F.count("*").alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or("low").alias("any_low"))
@@ -437,9 +437,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     scratch.drop(f"open-{ROUNDS + 1}", "sets")
 
     classes = signatures.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"))
-    rows = signatures.join(classes, ["n", "d1", "d2"], "left")
+    rows = signatures.join(classes.hint("merge"), ["n", "d1", "d2"], "left")
     rows = rows.select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id"))
-    labelled = rows.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
+    labelled = rows.join(labels.withColumnRenamed("node", "class_id").hint("merge"), "class_id", "left")
     final = labelled.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
     final = scratch.save(final, "final")
     scratch.drop("signed", *[f"links-{i}" for i in range(ROUNDS + 2)])
