@@ -14,7 +14,8 @@ ASCII_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 ASCII_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-SLICE = 1 << 20
+#: Bytes hashed at once; work arrays take about forty times as much.
+SLICE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -132,7 +133,7 @@ def shingle_sets(hashes: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarr
     return out
 
 
-def pieces(batch: pa.RecordBatch, column: str, size: int = 4 << 20):
+def pieces(batch: pa.RecordBatch, column: str, size: int = 1 << 20):
     """Cut a record batch into runs of rows with about `size` bytes of text, so that work arrays stay small."""
     _, offsets = utf8(batch.column(batch.schema.get_field_index(column)))
     lo = 0
@@ -140,3 +141,4 @@ def pieces(batch: pa.RecordBatch, column: str, size: int = 4 << 20):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
         yield batch.slice(lo, hi - lo)
         lo = hi
+    pa.default_memory_pool().release_unused()  # workers live on between tasks and share an executor's memory

@@ -12,14 +12,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cartaspark.llm import decontaminate, jaccard, langid, linededup, packing
 from cartaspark.llm.queries import CAPACITY, language_model, table, vocabulary
-from cartaspark.llm.shared import Scratch, free_name
+from cartaspark.llm.shared import BATCH, Scratch, free_name
 
 #: Least share of a text's n-grams that its language must know.
 MIN_LANGUAGE_SCORE = 0.4
+#: Rows of an Arrow batch in this application's session: whole texts are wide.
+BATCH_ROWS = "2000"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters and those that are hardly in any learned language."""
+    spark.conf.set(BATCH, BATCH_ROWS)
     names = free_name(docs, "lang_pred"), free_name(docs, "score")
     found = langid.identify(docs, language_model(docs), carry=True, names=names)
     return found.where((F.col(names[0]) != "und") & (F.col(names[1]) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
@@ -27,6 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that ten or more documents hold; n_chars follows the text."""
+    spark.conf.set(BATCH, BATCH_ROWS)
     cleaned = linededup.dedup_lines(docs, min_docs=10, min_chars=1)
     n_chars = F.length("text").cast("long")
     return cleaned.withColumn("n_chars", F.when(F.col("n_dropped") > 0, n_chars).otherwise(F.col("n_chars"))).select(*docs.columns)
@@ -34,16 +38,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest id."""
+    spark.conf.set(BATCH, BATCH_ROWS)
     return jaccard.keep_one_each(docs, k=5, threshold=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that overlap a benchmark item."""
+    spark.conf.set(BATCH, BATCH_ROWS)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The plan of training sequences; see cartaspark.llm.packing."""
+    spark.conf.set(BATCH, BATCH_ROWS)
     return packing.pack(docs, vocabulary(), CAPACITY, 0)
 
 
