@@ -6,7 +6,8 @@ items are held against the seeds of every window of every document; around each
 laid over the document without gaps, and the best-scoring stretch (+1 for an equal token, -3 for a
 substituted one) must have ``min_overlap`` equal tokens, or four fifths of a shorter item.
 
-Tokens are runs of characters other than ASCII marks and white space, with A-Z lower-cased.
+Tokens are runs of characters other than ASCII marks and white space, case-folded by Unicode's rules:
+``CIÓN`` equals ``ción`` and ``STRASSE`` equals ``straße``.
 Benchmark items are brought to the executors in blocks of at most ``block_chars`` characters: a
 larger benchmark takes more passes over the documents, not more memory.
 
@@ -31,6 +32,11 @@ MASKS = ("111111", "11011011", "1011001011", "1100110011")
 SCHEMA = "doc_id long, item_id long, doc_token int, item_token int, n_tokens int, n_equal int"
 
 
+def _folded(column: pa.Array) -> pa.Array:
+    """Texts without case; null counts as empty."""
+    return pa.array([(t or "").casefold() for t in column.to_pylist()], pa.large_string())
+
+
 def _seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     """The seed hash at every place where the mask fits."""
     n = len(hashes) - len(mask) + 1
@@ -48,7 +54,7 @@ class SeedTable:
     """Seeds of some benchmark items, for one mask each: sorted hashes with item number and place."""
 
     def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...], min_tokens: int):
-        data, offsets = utf8(pa.array([t or "" for _, t in items], pa.string()))
+        data, offsets = utf8(_folded(pa.array([t for _, t in items], pa.string())))
         hashes, _, _, first = words(data, offsets, ASCII_MARK)
         self.ids = [i for i, _ in items]
         self.tokens = [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -115,7 +121,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13,
             for batch in batches:
                 rows = []
                 for part in pieces(batch, batch.schema.names[1]):
-                    hashes, _, _, first = words(*utf8(part.column(1)), ASCII_MARK)
+                    hashes, _, _, first = words(*utf8(_folded(part.column(1))), ASCII_MARK)
                     keys = part.column(0)
                     for text, item, shift in sorted(seeds.hits(hashes, first)):
                         tokens, doc = seeds.tokens[item], hashes[first[text] : first[text + 1]]

@@ -28,6 +28,14 @@ def test_short_items(spark, make_docs):
     assert [r["doc_id"] for r in D.find_overlaps(docs, items).collect()] == [1]
 
 
+def test_upper_cased_accented_passages(spark, make_docs):
+    item = "la acción más fácil será también útil según él año über straße fünf größe müde école déjà où très"
+    items = spark.createDataFrame([(5, item)], "item_id long, text string")
+    docs = make_docs([(1, f"Antes. {item.upper()}. Después."), (2, item.title()), (3, re.sub("[áéíóú]", "x", item))])
+    got = {r["doc_id"]: r["n_equal"] for r in D.find_overlaps(docs, items).collect()}
+    assert got == {1: 19, 2: 19}
+
+
 def test_decontamination_on_the_small_tables(spark):
     sf = "/root/testdata/sf0.01"
     items = {r[0]: re.findall(r"[^\W_]+", r[1].lower()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()}
