@@ -3,8 +3,11 @@
 A seed mask such as ``11011011`` takes some token positions of a window and ignores the others, so
 two passages still share seed hashes where tokens have been substituted.  Seeds of all benchmark
 items are held against the seeds of every window of every document; around each hit the item is
-laid over the document without gaps, and the best-scoring stretch (+1 for an equal token, -3 for a
-substituted one) must have ``min_overlap`` equal tokens, or four fifths of a shorter item.
+laid over the document without gaps.  A pair is kept if some stretch of it, three quarters of whose
+tokens at least are equal, has ``min_overlap`` equal tokens, or four fifths of the tokens of an item
+too short for that.  With the default bounds every such stretch holds a hit of one of the two masks,
+wherever the substitutions are: without ``1111`` and ``11011`` all runs of equal tokens are of three
+at most and no single substitution has two on both sides.
 
 Tokens are runs of characters other than ASCII marks and white space, case-folded by Unicode's rules:
 ``CIÓN`` equals ``ción`` and ``STRASSE`` equals ``straße``.
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from .shared import free_name
 from .text import ASCII_MARK, LENGTH, PLACES, mix, pieces, utf8, words
 
-MASKS = ("111111", "11011011", "1011001011", "1100110011")
+MASKS = ("1111", "11011")
 SCHEMA = "doc_id long, item_id long, doc_token int, item_token int, n_tokens int, n_equal int"
 
 
@@ -57,9 +60,9 @@ class SeedTable:
         data, offsets = utf8(_folded(pa.array([t for _, t in items], pa.string())))
         hashes, _, _, first = words(data, offsets, ASCII_MARK)
         self.ids = [i for i, _ in items]
-        self.tokens = [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+        self.hashes, self.first = hashes, first
         rows: dict[str, list[tuple[np.ndarray, int]]] = {}
-        for k, own in enumerate(self.tokens):
+        for k, own in enumerate(hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)):
             if len(own) >= min_tokens:
                 fitting = [m for m in masks if len(m) <= len(own)] or ["1" * len(own)]
                 for mask in fitting:
@@ -74,35 +77,76 @@ class SeedTable:
             may[seeds >> np.uint64(44)] = True
             self.by_mask[mask] = (seeds[order], item[order], place[order], may)
 
-    def hits(self, hashes: np.ndarray, first: np.ndarray) -> set[tuple[int, int, int]]:
-        """(text number, item number, diagonal) of all seed hits."""
-        out = set()
+    def hits(self, hashes: np.ndarray, first: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text numbers, item numbers and diagonals of all seed hits, each once; `most` bounds the hits worked on at once."""
+        longest = int(np.diff(self.first).max(initial=0))
+        span = longest + int(np.diff(first).max(initial=0)) + 1
+        found = [np.zeros(0, np.int64)]
         for mask, (seeds, item, place, may) in self.by_mask.items():
             own = _seeds(hashes, mask)
             at = np.flatnonzero(may[own >> np.uint64(44)])
             lo = np.searchsorted(seeds, own[at], "left")
-            hi = np.searchsorted(seeds, own[at], "right")
-            some = hi > lo
-            at, lo, hi = at[some], lo[some], hi[some]
+            times = np.searchsorted(seeds, own[at], "right") - lo
             text = np.searchsorted(first, at, "right") - 1
-            inside = at + len(mask) <= first[text + 1]
-            for i, a, b, t in zip(at[inside].tolist(), lo[inside].tolist(), hi[inside].tolist(), text[inside].tolist(), strict=True):
-                for j in range(a, b):
-                    out.add((t, int(item[j]), i - int(first[t]) - int(place[j])))
-        return out
-
-
-def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, equal tokens) of the stretch with the highest score, +1 and -3 a token; the first of equals."""
+            some = (times > 0) & (at + len(mask) <= first[text + 1])
+            at, lo, times, text = at[some], lo[some], times[some], text[some]
+            for part in _runs(times, most):
+                which = np.repeat(np.arange(part.start, part.stop), times[part])
+                seed = lo[which] + _counted(times[part])
+                shift = at[which] - first[text[which]] - place[seed]
+                found.append(np.unique((text[which] * len(self.ids) + item[seed]) * span + shift + longest))
+        pair, shift = np.divmod(np.unique(np.concatenate(found)), span)
+        return *np.divmod(pair, max(1, len(self.ids))), shift - longest
+
+    def overlaps(self, hashes: np.ndarray, first: np.ndarray, min_overlap: int, most: int = 1 << 20) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """(text number, item number, first tokens in text and item, tokens, equal tokens) of each diagonal that reaches the bound."""
+        text, item, shift = self.hits(hashes, first, most)
+        size = np.diff(self.first)[item]
+        bound = np.minimum(min_overlap, -(-4 * size // 5))
+        lo = np.maximum(0, -shift)
+        length = np.minimum(size, np.diff(first)[text] - shift) - lo
+        for part in _runs(length, most):
+            at = _counted(length[part])
+            mine = np.repeat(self.first[item[part]] + lo[part], length[part]) + at
+            theirs = np.repeat(first[text[part]] + lo[part] + shift[part], length[part]) + at
+            equal = self.hashes[mine] == hashes[theirs]
+            ends = np.cumsum(length[part])
+            starts = ends - length[part]
+            for k in np.flatnonzero(np.add.reduceat(equal, starts, dtype=np.int64) >= bound[part]).tolist():
+                start, end, same = widest_stretch(equal[starts[k] : ends[k]])
+                i = part.start + k
+                if same >= bound[i]:
+                    yield int(text[i]), int(item[i]), int(lo[i] + shift[i]) + start, int(lo[i]) + start, end - start, same
+
+
+def _counted(times: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n of `times`."""
+    return np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+
+
+def _runs(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Cut into runs whose sizes sum up to `most` or that have one member."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield slice(lo, hi)
+        lo = hi
+
+
+def widest_stretch(equal: np.ndarray) -> tuple[int, int, int]:
+    """(start, end, equal tokens) of the stretch with the most equal tokens, three quarters of its tokens at least; the first of equals, without substitutions at its ends."""
     score = np.concatenate(([0], np.cumsum(np.where(equal, 1, -3))))
-    low = np.minimum.accumulate(score)
-    end = int(np.argmax(score[1:] - low[:-1])) + 1
-    start = int(np.argmin(score[:end]))
-    return start, end, int(equal[start:end].sum())
+    count = np.concatenate(([0], np.cumsum(equal)))
+    # for each end the first start from which the score does not fall
+    starts = np.searchsorted(-np.minimum.accumulate(score), -score, "left")
+    end = int(np.argmax(count - count[starts]))
+    start = int(starts[end])
+    inside = start + np.flatnonzero(equal[start:end])
+    return (int(inside[0]), int(inside[-1]) + 1, len(inside)) if len(inside) else (0, 0, 0)
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13, min_tokens: int = 8, masks: tuple[str, ...] = MASKS, block_chars: int = 4_000_000) -> DataFrame:
-    """Pairs of a document (doc_id, text) and a benchmark item (item_id, text) that overlap; the best stretch of each pair.
+    """Pairs of a document (doc_id, text) and a benchmark item (item_id, text) that overlap; the stretch of each pair with the most equal tokens.
 
     Returns doc_id, item_id, doc_token and item_token (first tokens of the stretch), n_tokens, n_equal.
     """
@@ -123,12 +167,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13,
                 for part in pieces(batch, batch.schema.names[1]):
                     hashes, _, _, first = words(*utf8(_folded(part.column(1))), ASCII_MARK)
                     keys = part.column(0)
-                    for text, item, shift in sorted(seeds.hits(hashes, first)):
-                        tokens, doc = seeds.tokens[item], hashes[first[text] : first[text + 1]]
-                        lo, hi = max(0, -shift), min(len(tokens), len(doc) - shift)
-                        start, end, same = best_stretch(tokens[lo:hi] == doc[lo + shift : hi + shift])
-                        if same >= min(min_overlap, -(-4 * len(tokens) // 5)):
-                            rows.append((keys[text].as_py(), seeds.ids[item], lo + start + shift, lo + start, end - start, same))
+                    for text, item, *place in seeds.overlaps(hashes, first, min_overlap):
+                        rows.append((keys[text].as_py(), seeds.ids[item], *place))
                 columns = list(zip(*rows, strict=True)) or [()] * 6
                 types = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])

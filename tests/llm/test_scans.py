@@ -36,6 +36,42 @@ def test_upper_cased_accented_passages(spark, make_docs):
     assert got == {1: 19, 2: 19}
 
 
+def test_every_overlap_within_the_bound_is_found(spark, make_docs):
+    import random
+
+    rng = random.Random(4)
+    items = {n: [f"i{n}t{k}" for k in range(n)] for n in (8, 10, 15, 17, 40)}
+    rows, want = [], {}
+
+    def add(n, gone):
+        words = ["other" if k in gone else w for k, w in enumerate(items[n])]
+        # the rule by brute force: the most equal tokens of a stretch with three quarters equal
+        most = max((sum(k not in gone for k in range(a, b)) for a in range(n) for b in range(a + 1, n + 1) if 4 * sum(k in gone for k in range(a, b)) <= b - a), default=0)
+        if most >= min(13, -(-4 * n // 5)):
+            want[len(rows), n] = most
+        rows.append((len(rows), "lead in " + " ".join(words) + " tail"))
+
+    add(15, {2, 12})
+    add(40, set(range(3, 40, 4)))
+    assert want == {(0, 15): 13, (1, 40): 30}
+    for k in range(8):
+        add(8, {k})
+    assert len(want) == 10
+    for n in items:
+        for _ in range(150):
+            add(n, set(rng.sample(range(n), rng.randrange(n // 3 + 1))))
+    table = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]): r["n_equal"] for r in D.find_overlaps(make_docs(rows), table).collect()} == want
+
+
+def test_hits_in_small_runs(spark):
+    data = ["a b c d e f g h i j k l m n o p", "c d e f g h a b c d e f g h i j k l m n x", "", "a b"]
+    hashes, _, _, first = D.words(*D.utf8(D._folded(D.pa.array(data))), D.ASCII_MARK)
+    seeds = D.SeedTable([(7, data[0]), (8, ""), (9, data[0][:23])], D.MASKS, 8)
+    whole = list(seeds.overlaps(hashes, first, 13))
+    assert whole and whole == list(seeds.overlaps(hashes, first, 13, most=3))
+
+
 def test_decontamination_on_the_small_tables(spark):
     sf = "/root/testdata/sf0.01"
     items = {r[0]: re.findall(r"[^\W_]+", r[1].lower()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()}
