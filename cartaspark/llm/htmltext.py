@@ -9,7 +9,10 @@ that happen to repeat on the next page and keeps menus of pages without a neighb
 
 * blocks inside ``<article>`` or ``<main>`` are text, even if the neighbour has them as well;
 * blocks inside navigation, header, footer, aside, form and similar elements, or in elements whose
-  class or id names an advert, notice, sidebar or comment, are never text.
+  class or id names an advert, notice, sidebar or comment, are never text.  Inside ``<article>`` or
+  ``<main>`` headers are text, and a name counts only if it is a whole class (or the id of a ``div``)
+  that says advert, comments, newsletter, sharing or the like: ``entry-header``, ``related-work`` and
+  the ids of headings and sections name parts of the text.
 
 All other blocks stay only if neither neighbour shares them.
 
@@ -46,11 +49,22 @@ BLOCK = {
 CHROME = {"nav", "header", "footer", "aside", "form", "menu", "button", "dialog", "head"}
 TEXT = {"article", "main"}
 _CHROME_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|related|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Whole classes of what is no text even inside an article.
+_CHROME_IN_TEXT = re.compile(r"(?:ads?|adsbygoogle|adverts?|advertisements?|breadcrumbs?|comments?|navbar|newsletter|pager|pagination|popup|promo|share|sharing|sidebar|sponsored|subscribe)(?:-(?:area|bar|box|buttons?|container|form|list|section|signup|slot|unit|wrapper))?", re.I)
 _CHROME_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu", "menubar", "toolbar"}
 CLOSES = {"p": BLOCK - {"body", "html", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 MAIN, OTHER, DROP = 2, 1, 0
 
 
+def _names_chrome(tag: str, name: str, value: str, in_text: bool) -> bool:
+    """Whether a class or id names what is never text."""
+    if tag in ("html", "body", *TEXT):
+        return False
+    if not in_text:
+        return _CHROME_NAME.search(value) is not None
+    return (name == "class" or tag == "div") and any(_CHROME_IN_TEXT.fullmatch(word) for word in value.split())
+
+
 def _kind(tag: str, attributes: str, inherited: int, in_text: bool) -> int:
     """Whether what stands in an element is text, undecided or chrome."""
     if inherited == DROP or tag in RAW:
@@ -61,7 +75,7 @@ def _kind(tag: str, attributes: str, inherited: int, in_text: bool) -> int:
         for name, *values in _ATTRIBUTE.findall(attributes):
             value = next((v for v in values if v), "")
             name = name.lower()
-            if name == "hidden" or name == "role" and value.lower() in _CHROME_ROLE or name in ("class", "id") and tag not in ("html", "body", *TEXT) and _CHROME_NAME.search(value):
+            if name == "hidden" or name == "role" and value.lower() in _CHROME_ROLE or name in ("class", "id") and _names_chrome(tag, name, value, in_text):
                 return DROP
     return MAIN if tag in TEXT else inherited
 

@@ -140,6 +140,15 @@ def test_blocks():
     assert H.blocks("") == H.blocks("<script>x") == []
 
 
+def test_names_inside_articles():
+    page = """<div class="page-header">Site</div><article><header class="entry-header"><h1>Title</h1></header><h2 id="comments">On comments</h2>
+    <section id="related-work"><p>Others</p></section><div class="social-history">Life</div><div class="menu-planning notice">Food</div><div class="text widget">More</div>
+    <div class="ad">Buy</div><div class="box Comments-area">Nice</div><div id="comments">Me too</div><ul class="share-buttons"><li>Post</ul><p class="newsletter">Mail</p></article>
+    <main><div class="header">Head</div><p class="advert">Buy</p></main><div class="social-history">Links</div>"""
+    assert [t for t, _ in H.blocks(page)] == ["Title", "On comments", "Others", "Life", "Food", "More", "Head"]
+    assert {k for _, k in H.blocks(page)} == {H.MAIN}
+
+
 def test_differencing_decides_undecided_blocks(spark):
     page = lambda body: f"<div>Template line</div><p>{body}</p><div>Imprint of the site</div>"
     rows = [(i, f"http://h.example/a/{i}?q=1", page(f"body {i}"), "clash", 1) for i in range(9)]
