@@ -6,6 +6,8 @@ window spans a whole table.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.scratch import materialise
@@ -59,14 +61,15 @@ def interior(points: DataFrame, height: str | Column, width: str | Column) -> Da
     return points.where((F.col("r") > 0) & (F.col("r") < h - 1) & (F.col("c") > 0) & (F.col("c") < w - 1))
 
 
-def components(mask: DataFrame, value: str, rounds: int = 64) -> DataFrame:
+def components(mask: DataFrame, value: str, rounds: int | None = None) -> DataFrame:
     """4-connected components by minimum label propagation along runs: sheet_id, r, c, label (r * 2^32 + c of the first pixel).
 
     Each round spreads labels along whole horizontal and vertical runs, so the number of rounds follows
-    the number of turns of the shapes, not their size.
+    the number of turns of the shapes, not their size.  Rounds go on until no
+    label changes; with `rounds`, shapes that need more raise an error.
     """
     rows = mask.where(F.col(value) > 0).select(SHEET, "r", "c", (F.shiftleft(F.col("r").cast("long"), 32) + F.col("c")).alias("label"))
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         before = rows
         for along, across in (("c", "r"), ("r", "c")):
             order = Window.partitionBy(SHEET, across).orderBy(along)
@@ -74,8 +77,8 @@ def components(mask: DataFrame, value: str, rounds: int = 64) -> DataFrame:
             rows = run.withColumn("label", F.min("label").over(Window.partitionBy(SHEET, across, "_run"))).drop("_run")
         rows = materialise(rows, "components")
         if rows.join(before.select(SHEET, "r", "c", F.col("label").alias("_old")), [SHEET, "r", "c"]).where("label <> _old").isEmpty():
-            break
-    return rows
+            return rows
+    raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
 def component_boxes(labelled: DataFrame) -> DataFrame:

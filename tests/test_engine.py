@@ -153,6 +153,15 @@ def test_rings(spark):
     assert L.on_sheet(lines, ring).count() == 1
 
 
+def test_components_do_not_stop_early(spark):
+    # a staircase: each round carries the first label down by one step
+    rows = [("s", r, c, 1) for k in range(4) for r, c in ((k, 4 - k), (k, 3 - k))]
+    mask = spark.createDataFrame(rows, "sheet_id string, r long, c long, m int")
+    assert {r["label"] for r in X.components(mask, "m").collect()} == {3}
+    with pytest.raises(RuntimeError):
+        X.components(mask, "m", rounds=2)
+
+
 def test_components_as_relation_equal_the_kernel(spark):
     from cartaspark.operators import kernels as K
 
