@@ -14,6 +14,7 @@ from .shared import shared_folder
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
+ARRIVALS = 8
 GOOD_FROM = 0.3
 
 
@@ -34,16 +35,24 @@ def remainder(doc_id: Column, by: int) -> Column:
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents arrive in eight parts, are appended as small shards, compacted and read back: one row per document with its shard."""
+    """Documents arrive in ARRIVALS parts in the order of their ids (those without an id first); each is appended and compacted.
+
+    One row per document, read back from the store, with the shard that holds it.
+    """
     docs = table(spark, sf_dir, "documents")
-    store = ShardedTable(spark, f"{shared_folder(spark)}/sharding-{uuid.uuid4().hex}", target_bytes=64 << 20, first_tier_bytes=1 << 20)
-    store.append_arrivals(docs.withColumn("_arrival", F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int")), "_arrival")
-    made = store.compact()
-    store.vacuum()
-    shards = spark.createDataFrame([(s["path"].split("/data/")[1], s["rows"], s["bytes"]) for s in made["shards"]], "shard string, shard_rows long, shard_bytes long")
+    store = ShardedTable(spark, f"{shared_folder(spark)}/sharding-{uuid.uuid4().hex}", target_bytes=64 << 20, keep_versions=1)
+    lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    cuts = [lo + (hi - lo + 1) * k // ARRIVALS for k in range(1, ARRIVALS)] if lo is not None else []
+    key = F.col("doc_id")
+    for start, end in zip([None, *cuts], [*cuts, None], strict=True):
+        part = F.lit(True) if start is None else key >= start
+        part = part if end is None else part & (key < end)
+        store.append(docs.where(part | key.isNull() if start is None else part))
+        store.compact()
+    version = store.version()
     place = F.element_at(F.split(F.col("_metadata.file_path"), "/data/"), -1)
-    rows = store.read().select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("text_sha256"), place.alias("shard"))
-    return rows.join(shards, "shard").select("doc_id", "n_chars", "text_sha256", "shard", "shard_rows", "shard_bytes", F.lit(made["version"]).cast("long").alias("version"))
+    found = store.read() if store.manifest()["runs"] else docs.limit(0)
+    return found.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("text_sha256"), place.alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"), F.lit(version).cast("long").alias("version"))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

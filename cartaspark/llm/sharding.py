@@ -1,17 +1,22 @@
 """A table of immutable shards with size-tiered compaction and a versioned manifest.
 
-* ``append`` writes arriving rows as small immutable shards and commits a manifest that lists them.
-* ``compact`` groups live shards into tiers of similar size (a factor of ``fanout`` wide).  A tier
-  with at least ``fanout`` shards is merged: one Spark job reads its files and packs them, without a
-  shuffle and in the files' own order, into new shards of about ``target_bytes``.  Shards of the
-  target size are never rewritten, so a row is written about log_fanout(target / first size) times.
+* ``append`` writes arriving rows as one *run*, a folder of small immutable shards, and commits a
+  manifest that lists it.  The bytes of the arrival, not the number of its tasks, set how many shards
+  it gets: one for each ``target_bytes / fanout``.
+* ``compact`` puts runs into tiers of similar size (a factor of ``fanout`` wide).  A tier with at least
+  ``fanout`` runs is merged: one Spark job reads their shards and packs them, without a shuffle, into
+  shards of about ``target_bytes``, which are one run again.  Runs whose shards have reached half the
+  target on average are never rewritten, so a row is written about log_fanout(target / arrival) times.
+  A merge that does not lower the number of shards is thrown away, so compaction always ends.
 * A commit writes ``manifest/<version>.json`` under a temporary name and renames it without
-  overwriting; the rename is atomic, and of two writers of one version one fails and can retry.
-  Readers use the newest manifest; files of older versions stay until ``vacuum``.
+  overwriting; the rename is atomic, and of two writers of one version one fails and can retry.  The
+  manifest has one entry for each run, however many shards and rows that holds.
+* Readers use the newest manifest.  Runs that the newest ``keep_versions`` manifests do not name any
+  more are deleted by the commit that retires them; ``vacuum`` also deletes what failed jobs left.
 
-A job that loses executors is retried by Spark; one that fails leaves files that no manifest names.
+A job that loses executors is retried by Spark; one that fails leaves a folder that no manifest names.
 Row counts before and after a merge must agree or nothing is committed.  Any columns and nulls are
-kept as they are; repeated rows are kept; an empty append commits a version without new shards.
+kept as they are; repeated rows are kept; an empty append commits a version without a new run.
 """
 
 from __future__ import annotations
@@ -20,7 +25,8 @@ import json
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BinaryType, DataType, NumericType, StringType, StructType
 
 from .shared import hadoop_fs
 
@@ -29,24 +35,37 @@ class CommitConflict(RuntimeError):
     """Another writer has committed this version."""
 
 
+def _width(name: str, kind: DataType) -> Column:
+    """About the bytes that a column's value takes."""
+    column = F.col(f"`{name}`")
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.octet_length(column).cast("long")
+    if isinstance(kind, NumericType) or not isinstance(kind, StructType) and kind.typeName() not in ("array", "map", "variant"):
+        return F.lit(8).cast("long")
+    return F.octet_length(F.to_json(F.struct(column))).cast("long")
+
+
 class ShardedTable:
-    def __init__(self, spark: SparkSession, root: str, target_bytes: int = 256 << 20, fanout: int = 4, first_tier_bytes: int = 1 << 20):
-        self.spark, self.root, self.target, self.fanout, self.first = spark, root.rstrip("/"), target_bytes, fanout, first_tier_bytes
+    def __init__(self, spark: SparkSession, root: str, target_bytes: int = 256 << 20, fanout: int = 4, first_tier_bytes: int = 1 << 20, keep_versions: int = 2):
+        self.spark, self.root, self.target, self.fanout, self.first, self.keep = spark, root.rstrip("/"), target_bytes, fanout, first_tier_bytes, max(1, keep_versions)
 
     # manifest
 
-    def version(self) -> int:
-        """The newest committed version; 0 if there is none."""
+    def _versions(self) -> list[int]:
         fs, at = hadoop_fs(self.spark, f"{self.root}/manifest")
         if not fs.exists(at):
-            return 0
+            return []
         names = [s.getPath().getName() for s in fs.listStatus(at)]
-        return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def version(self) -> int:
+        """The newest committed version; 0 if there is none."""
+        return max(self._versions(), default=0)
 
     def manifest(self, version: int | None = None) -> dict:
         version = self.version() if version is None else version
         if not version:
-            return {"version": 0, "schema": None, "shards": []}
+            return {"version": 0, "schema": None, "runs": []}
         fs, at = hadoop_fs(self.spark, f"{self.root}/manifest/{version:010d}.json")
         stream = fs.open(at)
         try:
@@ -54,8 +73,8 @@ class ShardedTable:
         finally:
             stream.close()
 
-    def _commit(self, base: int, schema: str, shards: list[dict]) -> dict:
-        made = {"version": base + 1, "schema": schema, "shards": sorted(shards, key=lambda s: s["path"])}
+    def _commit(self, base: int, schema: str, runs: list[dict]) -> dict:
+        made = {"version": base + 1, "schema": schema, "runs": sorted(runs, key=lambda r: r["run"])}
         jvm = self.spark.sparkContext._jvm
         fs, temporary = hadoop_fs(self.spark, f"{self.root}/manifest/.{uuid.uuid4().hex}.tmp")
         stream = fs.create(temporary, False)
@@ -73,40 +92,48 @@ class ShardedTable:
             if "FileAlreadyExists" in str(error):
                 raise CommitConflict(f"version {base + 1} exists") from error
             raise
+        self._retire(made["version"])
         return made
 
+    def _retire(self, newest: int) -> None:
+        """Delete manifests older than the newest `keep_versions` and the runs that only they name."""
+        versions = [v for v in self._versions() if v <= newest]
+        old, live = versions[: -self.keep], versions[-self.keep :]
+        if not old:
+            return
+        named = {r["run"] for v in live for r in self.manifest(v)["runs"]}
+        for version in old:
+            gone = [r["run"] for r in self.manifest(version)["runs"] if r["run"] not in named]
+            for path in (*(f"data/{run}" for run in gone), f"manifest/{version:010d}.json"):
+                fs, at = hadoop_fs(self.spark, f"{self.root}/{path}")
+                fs.delete(at, True)
+
     # writing
 
-    def _write(self, df: DataFrame, parts: list[str] | None = None) -> list[dict]:
-        """Write shards under a folder of their own and return their paths, sizes and rows."""
-        folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(*parts) if parts else writer).parquet(folder)
+    def _write(self, df: DataFrame) -> dict | None:
+        """Write one run and return its entry; None, and no folder, without rows."""
+        run = uuid.uuid4().hex
+        folder = f"{self.root}/data/{run}"
+        df.write.option("compression", "zstd").parquet(folder)
         fs, at = hadoop_fs(self.spark, folder)
-        files, sizes = fs.listFiles(at, True), {}
+        files, size, n = fs.listFiles(at, True), 0, 0
         while files.hasNext():
             one = files.next()
             if one.getPath().getName().endswith(".parquet"):
-                sizes[one.getPath().toString()] = one.getLen()
-        if not sizes:
-            return []
-        table = self.spark.read.schema(df.schema).parquet(*sizes)
-        rows = {r["path"]: r["n"] for r in table.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n")).collect()}
-        tail = {p.split("/data/")[1]: n for p, n in rows.items()}
-        found = [{"path": p, "bytes": b, "rows": tail.get(p.split("/data/")[1], 0)} for p, b in sizes.items()]
-        return [s for s in found if s["rows"]]
+                size, n = size + one.getLen(), n + 1
+        rows = self.spark.read.schema(df.schema).parquet(folder).count() if n else 0  # reads the footers alone
+        if not rows:
+            fs.delete(at, True)
+            return None
+        return {"run": run, "shards": n, "bytes": size, "rows": rows}
 
     def append(self, df: DataFrame) -> dict:
-        """Write arriving rows as small shards (one for each task) and commit them."""
-        base = self.manifest()
-        return self._commit(base["version"], df.schema.json(), [*base["shards"], *self._write(df)])
-
-    def append_arrivals(self, df: DataFrame, arrival: str) -> dict:
-        """Append several arrivals in one job: the rows of each value of `arrival` (a column that is not stored) become shards of their own."""
+        """Write arriving rows as a run of small shards and commit it."""
         base = self.manifest()
-        kept = df.drop(arrival)
-        shards = self._write(df, [arrival])
-        return self._commit(base["version"], kept.schema.json(), [*base["shards"], *shards])
+        widths = [F.coalesce(_width(f.name, f.dataType), F.lit(0).cast("long")) for f in df.schema.fields]
+        size = df.agg(F.sum(sum(widths[1:], widths[0])) if widths else F.lit(0)).first()[0] or 0
+        run = self._write(df.coalesce(max(1, math.ceil(size * self.fanout / self.target))))
+        return self._commit(base["version"], df.schema.json(), [*base["runs"], *([run] if run else [])])
 
     # compaction
 
@@ -114,58 +141,58 @@ class ShardedTable:
         """0 up to the first tier's size; then one for each factor of `fanout`."""
         return 0 if size <= self.first else 1 + int(math.log(size / self.first, self.fanout))
 
-    def plan(self, shards: list[dict]) -> list[list[dict]]:
-        """Groups of shards to merge: tiers that are full and below the target."""
+    def plan(self, runs: list[dict]) -> list[list[dict]]:
+        """Groups of runs to merge: full tiers of runs below the target whose shards would become fewer."""
         tiers: dict[int, list[dict]] = {}
-        for shard in shards:
-            if shard["bytes"] < self.target // 2:
-                tiers.setdefault(self.tier(shard["bytes"]), []).append(shard)
-        return [sorted(v, key=lambda s: s["path"]) for _, v in sorted(tiers.items()) if len(v) >= self.fanout]
+        for run in runs:
+            if run["bytes"] < run["shards"] * self.target // 2:
+                tiers.setdefault(self.tier(run["bytes"]), []).append(run)
+        full = [sorted(v, key=lambda r: r["run"]) for _, v in sorted(tiers.items()) if len(v) >= self.fanout]
+        return [v for v in full if math.ceil(sum(r["bytes"] for r in v) / self.target) < sum(r["shards"] for r in v)]
 
     def compact_once(self) -> bool:
-        """Merge every full tier once; False if no tier is full."""
+        """Merge every full tier once; False if no merge lowered the number of shards."""
         base = self.manifest()
-        groups = self.plan(base["shards"])
-        if not groups:
-            return False
-        shards = {s["path"]: s for s in base["shards"]}
-        for group in groups:
+        runs, changed = {r["run"]: r for r in base["runs"]}, False
+        for group in self.plan(base["runs"]):
             made = self._merge(base["schema"], group)
-            if sum(s["rows"] for s in made) != sum(s["rows"] for s in group):
+            if (made["rows"] if made else 0) != sum(r["rows"] for r in group):
                 raise RuntimeError("a merge changed the number of rows")
-            for shard in group:
-                del shards[shard["path"]]
-            shards |= {s["path"]: s for s in made}
-        self._commit(base["version"], base["schema"], list(shards.values()))
-        return True
-
-    def _merge(self, schema: str, group: list[dict]) -> list[dict]:
-        """Pack the files of a group into splits of the target size, each of which becomes one shard."""
+            if made["shards"] >= sum(r["shards"] for r in group):
+                fs, at = hadoop_fs(self.spark, f"{self.root}/data/{made['run']}")
+                fs.delete(at, True)
+                continue
+            for run in group:
+                del runs[run["run"]]
+            runs[made["run"]], changed = made, True
+        if changed:
+            self._commit(base["version"], base["schema"], list(runs.values()))
+        return changed
+
+    def _merge(self, schema: str, group: list[dict]) -> dict | None:
+        """Pack the shards of a group into splits of the target size, each of which becomes one shard."""
         own = self.spark.newSession()
-        for key, value in (("maxPartitionBytes", self.target), ("openCostInBytes", 0), ("minPartitionNum", max(1, sum(s["bytes"] for s in group) // self.target))):
+        for key, value in (("maxPartitionBytes", self.target), ("openCostInBytes", 0), ("minPartitionNum", max(1, sum(r["bytes"] for r in group) // self.target))):
             own.conf.set(f"spark.sql.files.{key}", str(value))
-        return self._write(own.read.schema(_schema(schema)).parquet(*[s["path"] for s in group]))
-
-    def compact(self, rounds: int = 32) -> dict:
-        """Merge until no tier is full."""
-        for _ in range(rounds):
-            if not self.compact_once():
-                break
+        packed = own.read.schema(_schema(schema)).parquet(*[f"{self.root}/data/{r['run']}" for r in group])
+        # never more tasks than shards of the target size, whatever the session says about splits
+        return self._write(packed.coalesce(max(1, math.ceil(sum(r["bytes"] for r in group) / self.target))))
+
+    def compact(self) -> dict:
+        """Merge until no tier is full; every round lowers the number of shards."""
+        while self.compact_once():
+            pass
         return self.manifest()
 
     def vacuum(self) -> int:
-        """Delete data files that the newest manifest does not name; returns how many.  Older versions cannot be read after that."""
-        live = {s["path"].split("/data/")[1] for s in self.manifest()["shards"]}
+        """Delete data that no kept manifest names, such as what failed jobs left; returns how many folders.  Not while another writer is at work."""
+        live = {r["run"] for v in self._versions() for r in self.manifest(v)["runs"]}
         fs, at = hadoop_fs(self.spark, f"{self.root}/data")
         if not fs.exists(at):
             return 0
-        files, gone = fs.listFiles(at, True), []
-        while files.hasNext():
-            path = files.next().getPath()
-            if path.getName().endswith(".parquet") and path.toString().split("/data/")[1] not in live:
-                gone.append(path)
+        gone = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName() not in live]
         for path in gone:
-            fs.delete(path, False)
+            fs.delete(path, True)
         return len(gone)
 
     # reading
@@ -176,11 +203,9 @@ class ShardedTable:
         if not at["schema"]:
             raise ValueError("nothing has been appended")
         schema = _schema(at["schema"])
-        paths = [s["path"] for s in at["shards"]]
+        paths = [f"{self.root}/data/{r['run']}" for r in at["runs"]]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
 
-def _schema(text: str):
-    from pyspark.sql.types import StructType
-
+def _schema(text: str) -> StructType:
     return StructType.fromJson(json.loads(text))
