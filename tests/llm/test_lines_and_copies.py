@@ -31,11 +31,25 @@ def test_line_dedup(make_docs):
     assert set(docs.columns) <= set(got.columns)
 
 
-def test_without_broadcast_filters(spark, make_docs):
-    index = L.LineIndex(spark, 10, max_filter_bytes=0)
+def test_filters_of_shards_alone_and_of_heavy_lines_alone(spark, make_docs):
     docs = make_docs(ROWS)
-    index.insert(docs)
-    assert held(index.apply(docs)) == wanted(ROWS, 10)
+    for share in (2.0, 0.0):
+        index = L.LineIndex(spark, 10, shard_keys=1, heavy_share=share)
+        index.insert(docs)
+        assert index.shards > 16 and held(index.apply(docs)) == wanted(ROWS, 10)
+
+
+def test_rows_with_null_and_repeated_ids(spark, make_docs):
+    texts = [f"hot\nown {i}" for i in range(12)] + ["hot\nx", "HOT \n \nhot", "a\nhot\nb", "hot", None, ""]
+    ids = list(range(12)) + [None, None, 50, 50, 50, None]
+    count = brute_lines(list(enumerate(texts)), 10)
+    want = sorted((str(ids[i]), "\n".join(kept), n, n - len(kept)) for i, (kept, n) in count.items())
+    for share in (2.0, 1e-4):
+        index = L.LineIndex(spark, 10, heavy_share=share)
+        docs = make_docs(list(zip(ids, texts, strict=True)))
+        index.insert(docs)
+        got = index.apply(docs).select("doc_id", "text", "n_lines", "n_dropped").collect()
+        assert sorted((str(r[0]), r[1] or "", r[2], r[3]) for r in got) == want
 
 
 def test_deletion_is_the_reverse_of_insertion(spark, make_docs):
@@ -62,8 +76,8 @@ def test_cuckoo_filter():
     made = L.CuckooFilter.of(keys)
     assert made.contains(keys).all()
     assert made.contains(rng.integers(0, 1 << 63, (20000, 2), dtype=np.uint64)).mean() < 0.01
-    for k in keys[:1000]:
-        assert made.delete(k)
+    assert made.delete(keys[:1000])
+    assert not made.delete(rng.integers(0, 1 << 63, (3, 2), dtype=np.uint64))
     assert made.contains(keys[1000:]).all()
     assert made.contains(keys[:1000]).mean() < 0.01
 
