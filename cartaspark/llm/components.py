@@ -11,8 +11,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
     """edges: a, b (long).  Returns node, component for every node of an edge; component is the smallest node.
 
     Alternates large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce
-    and Beyond", 2014).  Minima are pre-aggregated before the shuffle, so a hub with very many
-    neighbours does not land in one task; each round is written to the shared folder.
+    and Beyond", 2014).  Minima are pre-aggregated before the shuffle.  The joins that bring a minimum
+    back to the rows of a node are left to adaptive execution, which splits the partition of a hub with
+    very many neighbours; their rows are two numbers.  Each round is written to the shared folder.
     """
     current = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     current = scratch.save(current, f"{name}-0")

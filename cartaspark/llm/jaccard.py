@@ -6,12 +6,13 @@ expanded into all pairs:
 
 1. *Signatures.*  One pass gives each document its set size and a 128-bit digest of its sorted hash
    array.  Documents with equal digests form one class; only the smallest id represents it.  The same
-   pass counts shingles in a table of a fixed number of buckets, which orders shingles from rare to
-   frequent.
+   pass counts shingles in a table of buckets (two for each document, 2^20 to 2^24), which orders
+   shingles from rare to frequent; counts never saturate.
 2. *Groups.*  By the prefix-filter bound, two linked sets share one of the first
    n - ceil(threshold * n) + 1 shingles of any common order.  Rare shingles come first, so passages
    that many documents share are met in few prefixes.  Classes that share such a shingle form a
-   group.  Their hash arrays and bitmaps (about eight bits for each shingle) are written once.
+   group; shingles of buckets far above the average are dealt to many tasks.  The hash arrays and
+   bitmaps (about eight bits for each shingle) of all grouped classes are written once.
 3. *Stars.*  In each group every class is held against one class of its size band: first the
    smallest, then, for ROUNDS rounds, the first by a new random order (one pair a row).  Pairs whose
    bitmaps allow a link are verified by exact sorted-array intersection; components of the links
@@ -26,28 +27,37 @@ expanded into all pairs:
 Bit counts: a bit that A has and B lacks stands for an element of A that B lacks, so
 |A & B| <= |A| - popcount(bits A & ~bits B), and likewise for B.
 
-Null and empty texts have no shingles and link with nothing.  Documents without an id are left out
-of the result.  Rows with equal ids: the first by digest counts.  Extra columns are ignored; an
-empty table gives an empty result.
+Null and empty texts have no shingles and link with nothing.  Ids are the nodes of the graph: rows
+with equal ids are one node, and a link of one holds for all.  A row without an id is a node of its
+own (one with all rows without an id that carry the same text) and is returned as well; it never
+gives its component a name, so a component of such rows alone has a null component_id.  Ids of
+LEAST_SURROGATE (3 * 2^61) and more are not supported: they would be taken for rows without an id.
+Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import connected_components
 from .shared import Scratch, free_name
 from .text import mix, pieces, shingle_sets, utf8, words
 
-COUNT_BITS = 20
-#: Bits of the filter of ids whose sets are needed: a full one only means that more sets are written.
-NEED_BITS = 24
+#: Fewest and most buckets of the count table, as powers of two.  At the most it takes 32 MB; a crowded table orders less sharply, it loses nothing.
+COUNT_BITS = (20, 24)
+#: The same for the bits of the filter of ids whose sets are needed (16 MB at the most): a full one only means that more sets are written.
+NEED_BITS = (20, 27)
+#: Shingles whose bucket counts more than HOT_ROWS above HOT_TIMES the average are dealt to several tasks.
+HOT_ROWS, HOT_TIMES = 4096, 8
+#: Nodes from here on stand for rows without an id.
+LEAST_SURROGATE = 3 << 61
 #: Rounds of stars in random orders.
 ROUNDS = 2
 #: Rows of one side of a tile block, and the widest bitmap.  A bitmap that is too narrow bounds less, it loses nothing.
@@ -102,11 +112,31 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _signatures(docs: DataFrame, k: int) -> DataFrame:
-    """A row per document; each task adds one row without id that holds its shingle counts (capped at 255, compressed)."""
+def _bits(n: int, least: int, most: int) -> int:
+    """The power of two that holds n, within bounds."""
+    return min(most, max(least, int(max(1, n) - 1).bit_length()))
+
+
+def _node() -> Column:
+    """The id of a row; a surrogate that follows from its text if it has none."""
+    surrogate = F.lit(LEAST_SURROGATE) + F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << 61) - 1))
+    return F.coalesce(F.col("doc_id").cast("long"), surrogate)
+
+
+def _nodes(docs: DataFrame) -> DataFrame:
+    return docs.select(_node().alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _signatures(nodes: DataFrame, k: int, bits: int) -> DataFrame:
+    """A row per document; each task adds one row without id that holds its shingle counts (compressed)."""
+    shift = np.uint64(64 - bits)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, waiting, held = np.zeros(1 << COUNT_BITS, np.uint32), [], 0
+        counts, waiting, held = np.zeros(1 << bits, np.uint32), [], 0
+
+        def add() -> None:
+            np.add.at(counts, (np.concatenate(waiting) >> shift).astype(np.intp), np.uint32(1))
+
         for batch in batches:
             for part in pieces(batch, batch.schema.names[1]):
                 rows = []
@@ -116,122 +146,135 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
                     held += len(own)
                 yield _batch(rows, SIGNATURE)
                 if held > 1 << 20:
-                    counts += np.bincount((np.concatenate(waiting) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+                    add()
                     waiting, held = [], 0
         if waiting:
-            counts += np.bincount((np.concatenate(waiting) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-        yield _batch([(None, 0, 0, 0, zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1))], SIGNATURE)
+            add()
+        yield _batch([(None, 0, 0, 0, zlib.compress(counts.tobytes(), 1))], SIGNATURE)
 
-    keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    return keyed.mapInArrow(sign, SIGNATURE)
+    return nodes.mapInArrow(sign, SIGNATURE)
 
 
-def _frequencies(signed: DataFrame) -> np.ndarray:
-    """The sum of all count tables: a fixed number of buckets, summed in a tree of tasks."""
+def _frequencies(signed: DataFrame, bits: int) -> tuple[np.ndarray, float]:
+    """Counts of all buckets on a scale of 1024 steps a doubling, summed in a tree of tasks, and their average."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNT_BITS, np.uint32)
+        total = np.zeros(1 << bits, np.uint64)
         for batch in batches:
-            kind = np.uint8 if batch.schema.names[0] == "counts" else np.uint32
+            kind = np.uint32 if batch.schema.names[0] == "counts" else np.uint64
             for blob in batch.column(0):
-                own = np.frombuffer(zlib.decompress(blob.as_py()), kind)
-                total += np.minimum(own, np.uint32(0xFFFFFFFF) - total)
+                total += np.frombuffer(zlib.decompress(blob.as_py()), kind)
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["total"])
 
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in add(batches):
+            total = np.frombuffer(zlib.decompress(batch.column(0)[0].as_py()), np.uint64)
+            steps = np.round(np.log2(total + 1.0) * 1024).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(steps.tobytes(), 1)], pa.binary()), pa.array([float(total.mean())])], names=["steps", "mean"])
+
     tables = signed.where("counts is not null").select("counts")
-    first = tables.repartition(6).mapInArrow(add, "total binary")
-    blob = first.coalesce(1).mapInArrow(add, "total binary").collect()
-    total = np.frombuffer(zlib.decompress(blob[0][0]), np.uint32) if blob else np.zeros(1 << COUNT_BITS, np.uint32)
-    return np.minimum(total, 65535).astype(np.uint16)
+    adders = max(1, math.isqrt(tables.count()))  # one table of each task of the first pass
+    found = tables.repartition(adders).mapInArrow(add, "total binary").coalesce(1).mapInArrow(scale, "steps binary, mean double").first()
+    return np.frombuffer(zlib.decompress(found["steps"]), np.uint16), found["mean"]
 
 
-PREFIX = "token long, n long, d1 long, doc_id long"
+PREFIX = "token long, part int, n long, d1 long, doc_id long"
 
 
-def _prefixes(docs: DataFrame, k: int, threshold: int, frequencies) -> DataFrame:
+def _prefixes(nodes: DataFrame, k: int, threshold: int, frequencies, bits: int, mean: float) -> DataFrame:
+    """The prefix of every document.  `part` is -1, or one of several for shingles that very many documents may hold."""
+    shift, hot = np.uint64(64 - bits), HOT_ROWS + HOT_TIMES * mean
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequencies.value
         for batch in batches:
             for part in pieces(batch, batch.schema.names[1]):
-                tokens, sizes, digests, ids, lengths = [], [], [], [], []
+                tokens, ranks, sizes, digests, ids, lengths = [], [], [], [], [], []
                 for key, own in zip(part.column(0).to_pylist(), _sets(part.column(1), k), strict=True):
                     n = len(own)
                     if not n:
                         continue
                     take = n - (-(-threshold * n // 100)) + 1
-                    rank = often[(own >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
-                    tokens.append(own[np.argsort(rank, kind="stable")[:take]])
+                    rank = often[(own >> shift).astype(np.int64)]
+                    first = np.argsort(rank, kind="stable")[:take]
+                    tokens.append(own[first])
+                    ranks.append(rank[first])
                     sizes.append(n)
                     digests.append(_digest(own)[0])
                     ids.append(key)
                     lengths.append(take)
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.repeat(np.array(x, np.int64), lengths)) for x in (sizes, digests, ids))], names=["token", "n", "d1", "doc_id"])
+                    n, d1, doc = (np.repeat(np.array(x, np.int64), lengths) for x in (sizes, digests, ids))
+                    parts = np.ceil(np.exp2(np.concatenate(ranks) / 1024.0) / hot)
+                    salt = np.where(parts > 1, mix(d1.view(np.uint64)).astype(np.float64) / 2.0**64 * parts, -1).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(tokens).view(np.int64), salt, n, d1, doc)], names=["token", "part", "n", "d1", "doc_id"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(cut, PREFIX)
+    return nodes.mapInArrow(cut, PREFIX)
 
 
 GROUPED = "token long, n long, doc_id long, center long"
 
 
 def _groups(prefixes: DataFrame, threshold: int) -> DataFrame:
-    """Tokens that at least two classes share: a row per class with the center it is held against.
+    """Tokens that at least two classes share, or may share: a row per class with the center it is held against.
 
-    Rows come sorted, so a group of any size streams through; only its last row is held back.
+    Rows come sorted, so a group of any size streams through; only its last row is held back.  In each
+    part of a token that is dealt to several tasks, every class is kept.
     """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (token, n, d1, doc_id, open): the newest class; open: nothing of its group is out yet
+        last = None  # (token, part, n, d1, doc_id, open): the newest class; open: nothing of its group is out yet
         center = (0, 0)
         for batch in batches:
-            token, n, d1, doc = (batch.column(i).to_numpy() for i in range(4))
+            token, part, n, d1, doc = (batch.column(i).to_numpy() for i in range(5))
             if not len(token):
                 continue
             fresh = np.ones(len(token), bool)
-            fresh[1:] = (token[1:] != token[:-1]) | (n[1:] != n[:-1]) | (d1[1:] != d1[:-1])
+            fresh[1:] = (token[1:] != token[:-1]) | (part[1:] != part[:-1]) | (n[1:] != n[:-1]) | (d1[1:] != d1[:-1])
             if last is not None:
-                fresh[0] = (token[0], n[0], d1[0]) != last[:3]
-            token, n, d1, doc = token[fresh], n[fresh], d1[fresh], doc[fresh]
+                fresh[0] = (token[0], part[0], n[0], d1[0]) != last[:4]
+            token, part, n, d1, doc = token[fresh], part[fresh], n[fresh], d1[fresh], doc[fresh]
             if not len(token):
                 continue
             same = np.empty(len(token), bool)  # as the class before
-            same[1:] = token[1:] == token[:-1]
-            same[0] = last is not None and token[0] == last[0]
+            same[1:] = (token[1:] == token[:-1]) & (part[1:] == part[:-1])
+            same[0] = last is not None and (token[0], part[0]) == last[:2]
             rows = []
-            more = same.copy()
+            more = same | (part >= 0)
             more[:-1] |= same[1:]
             at = np.flatnonzero(more)
-            for t, size, key, joined in zip(token[at].tolist(), n[at].tolist(), doc[at].tolist(), same[at].tolist(), strict=True):
+            for t, p, size, key, joined in zip(token[at].tolist(), part[at].tolist(), n[at].tolist(), doc[at].tolist(), same[at].tolist(), strict=True):
                 if not joined:
                     center = (size, key)
-                elif last is not None and last[4] and last[0] == t:  # the group began in an earlier batch
-                    center = (last[1], last[3])
-                    rows.append((t, last[1], last[3], last[3]))
-                    last = (*last[:4], False)
+                elif last is not None and last[5] and last[:2] == (t, p):  # the group began in an earlier batch
+                    center = (last[2], last[4])
+                    rows.append((t, last[2], last[4], last[4]))
+                    last = (*last[:5], False)
                 if 100 * center[0] < threshold * size:
                     center = (size, key)
                 rows.append((t, size, key, center[1]))
-            last = (int(token[-1]), int(n[-1]), int(d1[-1]), int(doc[-1]), not bool(same[-1]))
+            last = (int(token[-1]), int(part[-1]), int(n[-1]), int(d1[-1]), int(doc[-1]), not bool(more[-1]))
             yield _batch(rows, GROUPED)
 
-    return prefixes.repartition("token").sortWithinPartitions("token", "n", "d1", "doc_id").mapInArrow(stream, GROUPED)
+    return prefixes.repartition("token", "part").sortWithinPartitions("token", "part", "n", "d1", "doc_id").mapInArrow(stream, GROUPED)
 
 
 SETS = "doc_id long, n long, bits binary, hashes binary"
 
 
-def _needed(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter (two hashes) of ids (doc_id), packed: a fixed number of bits, joined in a tree of tasks."""
+def _needed(ids: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter (two hashes, about eight bits an id within NEED_BITS) of n ids (doc_id), packed, joined in a tree of tasks."""
+    size = 1 << (_bits(8 * n, *NEED_BITS) - 3)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << (NEED_BITS - 3), np.uint8)
+        bits = np.zeros(size, np.uint8)
         for batch in batches:
-            for at in _places(batch.column(0).to_numpy()):
+            for at in _places(batch.column(0).to_numpy(), size):
                 np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["bits"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << (NEED_BITS - 3), np.uint8)
+        bits = np.zeros(size, np.uint8)
         for batch in batches:
             for blob in batch.column(0):
                 bits |= np.frombuffer(zlib.decompress(blob.as_py()), np.uint8)
@@ -239,37 +282,49 @@ def _needed(ids: DataFrame) -> np.ndarray:
 
     tables = ids.select("doc_id").mapInArrow(mark, "bits binary").repartition(6).mapInArrow(join, "bits binary")
     blob = tables.coalesce(1).mapInArrow(join, "bits binary").collect()
-    return np.frombuffer(zlib.decompress(blob[0][0]), np.uint8) if blob else np.zeros(1 << (NEED_BITS - 3), np.uint8)
+    return np.frombuffer(zlib.decompress(blob[0][0]), np.uint8) if blob else np.zeros(size, np.uint8)
 
 
 def _passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    one, two = (((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) for at in _places(ids))
+    one, two = (((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) for at in _places(ids, len(bits)))
     return one & two
 
 
-def _places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(ids.astype(np.int64).view(np.uint64))
-    return (h >> np.uint64(64 - NEED_BITS)).astype(np.int64), (h & np.uint64((1 << NEED_BITS) - 1)).astype(np.int64)
+def _places(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    h, last = mix(ids.astype(np.int64).view(np.uint64)), np.uint64(8 * size - 1)
+    return ((h >> np.uint64(32)) & last).astype(np.int64), (h & last).astype(np.int64)
 
 
-def _sets_of(docs: DataFrame, k: int, needed) -> DataFrame:
+def _sets_of(nodes: DataFrame, k: int, needed) -> DataFrame:
     """Size, bitmap and sorted hash array of the documents whose ids pass the filter."""
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written: set[int] = set()  # surrogates: rows without an id and with one text are one node
         for batch in batches:
-            own = batch.filter(pa.array(_passes(needed.value, batch.column(0).to_numpy())))
+            keys = batch.column(0).to_numpy()
+            pick = _passes(needed.value, keys)
+            for i in np.flatnonzero(pick & (keys >= LEAST_SURROGATE)).tolist():
+                pick[i] = keys[i] not in written
+                if len(written) < 1 << 20:  # only saves repeats, which are dropped later
+                    written.add(int(keys[i]))
+            own = batch.filter(pa.array(pick))
             for part in pieces(own, own.schema.names[1]):
                 sets = _sets(part.column(1), k)
                 yield _batch([(key, len(x), bitmap(x), x.tobytes()) for key, x in zip(part.column(0).to_pylist(), sets, strict=True)], SETS)
 
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(arrays, SETS)
+    return nodes.mapInArrow(arrays, SETS)
+
+
+def _once(sets: DataFrame) -> DataFrame:
+    """Rows of one surrogate once; ids, which are almost all rows, do not move."""
+    alone = sets.where(F.col("doc_id") >= LEAST_SURROGATE).groupBy("doc_id").agg(*[F.first(c).alias(c) for c in ("n", "bits", "hashes")])
+    return sets.where(F.col("doc_id") < LEAST_SURROGATE).unionByName(alone)
 
 
 def _only(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Hash arrays of the ids in pairs (and of few others, as a filter of fixed size picks them), so that only these are shuffled."""
+    """Hash arrays of the ids in pairs (and of few others that the filter lets pass), so that only these are shuffled."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    needed = sets.sparkSession.sparkContext.broadcast(_needed(ids))
+    needed = sets.sparkSession.sparkContext.broadcast(_needed(ids, 2 * pairs.count()))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,43 +437,52 @@ def _tile_pairs(tiles: DataFrame, threshold: int) -> DataFrame:
     """Pairs of all tile blocks; a block has at most two sides of about BLOCK_ROWS rows."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, seen = None, [], set()
-
-        def close(out: list) -> None:
-            if len(group) > 1:
-                for pair in compare(group, key[2] != key[3], threshold):
-                    if pair not in seen:
-                        seen.add(pair)
-                        out.append(pair)
+        key, group, seen, out = None, [], set(), []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for pair in compare(group, key[2] != key[3], threshold) if len(group) > 1 else ():
+                if pair not in seen:
+                    seen.add(pair)
+                    out.append(pair)
+                if len(out) >= 100_000:
+                    yield _batch(out, "a long, b long")
+                    out.clear()
                 if len(seen) > 1_000_000:  # only saves repeats
                     seen.clear()
 
         for batch in batches:
-            out: list[tuple[int, int]] = []
             columns = [batch.column(i).to_pylist() for i in range(10)]
             for first, tile, one, two, *row in zip(*columns, strict=True):
                 if (first, tile, one, two) != key:
-                    close(out)
+                    yield from close()
                     key, group = (first, tile, one, two), []
                 group.append(tuple(row))
             yield _batch(out, "a long, b long")
-        out = []
-        close(out)
+            out.clear()
+        yield from close()
         yield _batch(out, "a long, b long")
 
     dealt = tiles.repartition("first", "tile", "block1", "block2").sortWithinPartitions("first", "tile", "block1", "block2")
     return dealt.mapInArrow(stream, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
-    """Components of the n-gram Jaccard self-join: doc_id, n_shingles, component_id, class_id (smallest id with an equal set)."""
+def _components(docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """node, n_shingles, component and class (nodes) of every row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    signed = scratch.save(_signatures(docs, k), "signed")
-    frequencies = spark.sparkContext.broadcast(_frequencies(signed))
+    nodes = _nodes(docs)
+    bits = _bits(2 * docs.count(), *COUNT_BITS)
+    signed = scratch.save(_signatures(nodes, k, bits), "signed")
+    steps, mean = _frequencies(signed, bits)
     signatures = signed.where("doc_id is not null").select("doc_id", "n", "d1", "d2")
-    grouped = scratch.save(_groups(_prefixes(docs, k, threshold, frequencies), threshold), "grouped", 5000)
-    sets = scratch.save(_sets_of(docs, k, spark.sparkContext.broadcast(_needed(grouped))), "sets")
+    grouped = scratch.save(_groups(_prefixes(nodes, k, threshold, spark.sparkContext.broadcast(steps), bits, mean), threshold), "grouped", 5000)
+    sets = _once(scratch.save(_sets_of(nodes, k, spark.sparkContext.broadcast(_needed(grouped, grouped.count()))), "sets"))
+    classes = signatures.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"))
+    rows = signatures.join(classes.hint("merge"), ["n", "d1", "d2"], "left")
+    rows = scratch.save(rows.select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "rows")
+    # ids that repeat with different texts tie their classes together
+    ties = rows.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a < b")
+    ties = ties.select("a", F.col("doc_id").alias("b")).unionByName(rows.join(ties.hint("merge"), "doc_id").select("a", F.col("class_id").alias("b"))).where("a <> b").distinct()
 
     pairs = grouped.where("center <> doc_id").select(F.least("center", "doc_id").alias("a"), F.greatest("center", "doc_id").alias("b")).distinct()
     labels = None
@@ -432,23 +496,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
         scratch.drop(f"pairs-{round_}", f"sets-{round_}", "grouped" if round_ == 1 else f"open-{round_ - 1}")
         if labels is None or not found.isEmpty():
             # earlier components as stars: the graph stays as small as its nodes
-            edges = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            edges = found.unionByName(ties if labels is None else labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
             labels = connected_components(edges, scratch, f"components-{round_}")
-    scratch.drop(f"open-{ROUNDS + 1}", "sets")
+    scratch.drop(f"open-{ROUNDS + 1}", "sets", "signed")
 
-    classes = signatures.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"))
-    rows = signatures.join(classes.hint("merge"), ["n", "d1", "d2"], "left")
-    rows = rows.select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id"))
     labelled = rows.join(labels.withColumnRenamed("node", "class_id").hint("merge"), "class_id", "left")
-    final = labelled.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
+    final = labelled.select(F.col("doc_id").alias("node"), F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component"), F.col("class_id").alias("class"))
     final = scratch.save(final, "final")
-    scratch.drop("signed", *[f"links-{i}" for i in range(ROUNDS + 2)])
+    scratch.drop("rows", *[f"links-{i}" for i in range(ROUNDS + 2)])
     return final
 
 
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
+    """Components of the n-gram Jaccard self-join: doc_id, n_shingles, component_id, class_id (smallest id with an equal set)."""
+    named = lambda c: F.when(F.col(c) < LEAST_SURROGATE, F.col(c))
+    return _components(docs, k, threshold).select(named("node").alias("doc_id"), "n_shingles", named("component").alias("component_id"), named("class").alias("class_id"))
+
+
 def keep_one_each(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
-    """The documents that carry the smallest id of their component, and those without an id; all columns stay."""
-    found = near_duplicates(docs, k, threshold)
-    name = free_name(docs, "_gone")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct().hint("merge")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
+    """The documents that carry the smallest id of their component; all columns stay.
+
+    Rows without an id stay only in components without any id; of those the ones with one of the texts stay.
+    """
+    name = free_name(docs, "_node")
+    gone = _components(docs, k, threshold).where("node <> component").select(F.col("node").alias(name)).distinct().hint("merge")
+    return docs.withColumn(name, _node()).join(gone, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

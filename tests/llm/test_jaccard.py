@@ -77,14 +77,31 @@ def test_other_threshold(make_docs):
     check(make_docs(rows), rows, threshold=60)
 
 
+def test_parts_of_hot_shingles_give_the_same(make_docs, monkeypatch):
+    monkeypatch.setattr(J, "HOT_ROWS", 3)
+    monkeypatch.setattr(J, "HOT_TIMES", 0)
+    rows = corpus(8)
+    check(make_docs(rows), rows)
+
+
 def test_empty_and_null_ids(make_docs):
     assert J.near_duplicates(make_docs([])).collect() == []
-    docs = make_docs([(None, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")])
-    assert {(r[0], r[2]) for r in J.near_duplicates(docs).collect()} == {(1, 1), (2, 1)}
-    assert sorted((r["doc_id"] or 0) for r in J.keep_one_each(docs).collect()) == [0, 1]
+    near = " ".join(f"w{i}" for i in range(40))
+    docs = make_docs([(None, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, near), (None, near + " x"), (None, near + " y"), (9, "z " + near), (None, "p q r s t u v"), (None, "p q r s t u v"), (None, None), (None, "")])
+    got = sorted((r[0] or 0, r[1], r[2] or 0) for r in J.near_duplicates(docs).collect())
+    assert got == sorted([(0, 2, 1), (1, 2, 1), (2, 2, 1), (0, 36, 9), (0, 37, 9), (0, 37, 9), (9, 37, 9), (0, 3, 0), (0, 3, 0), (0, 0, 0), (0, 0, 0)])
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in J.keep_one_each(docs).collect())
+    assert kept == [(0, ""), (0, ""), (0, "p q r s t u v"), (0, "p q r s t u v"), (1, "a b c d e f"), (9, "z " + near)]
     assert J.keep_one_each(docs).columns == docs.columns
 
 
+def test_rows_with_equal_ids_are_one_node(make_docs):
+    a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    docs = make_docs([(5, a), (5, b), (1, a), (7, b), (8, c), (8, c), (9, "")])
+    got = sorted((r[0], r[1], r[2]) for r in J.near_duplicates(docs).collect())
+    assert got == [(1, 3, 1), (5, 3, 1), (5, 3, 1), (7, 3, 1), (8, 3, 8), (8, 3, 8), (9, 0, 9)]
+
+
 def test_bit_counts_bound_the_overlap():
     import numpy as np
 
