@@ -6,7 +6,7 @@ expanded into all pairs:
 
 1. *Signatures.*  One pass gives each document its set size and a 128-bit digest of its sorted hash
    array.  Documents with equal digests form one class; only the smallest id represents it.  The same
-   pass counts shingles in a table of buckets (two for each document, 2^20 to 2^24), which orders
+   pass counts shingles in a table of buckets (16 for each document, 2^16 to 2^24), which orders
    shingles from rare to frequent; counts never saturate.
 2. *Groups.*  By the prefix-filter bound, two linked sets share one of the first
    n - ceil(threshold * n) + 1 shingles of any common order.  Rare shingles come first, so passages
@@ -51,7 +51,7 @@ from .shared import Scratch, free_name
 from .text import mix, pieces, shingle_sets, utf8, words
 
 #: Fewest and most buckets of the count table, as powers of two.  At the most it takes 32 MB; a crowded table orders less sharply, it loses nothing.
-COUNT_BITS = (20, 24)
+COUNT_BITS = (16, 24)
 #: The same for the bits of the filter of ids whose sets are needed (16 MB at the most): a full one only means that more sets are written.
 NEED_BITS = (20, 27)
 #: Shingles whose bucket counts more than HOT_ROWS above HOT_TIMES the average are dealt to several tasks.
@@ -106,7 +106,7 @@ def _digest(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "int": pa.int32()}
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "int": pa.int32(), "boolean": pa.bool_()}
     fields = [x.split() for x in schema.split(", ")]
     columns = list(zip(*rows, strict=True)) or [()] * len(fields)
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
@@ -150,7 +150,8 @@ def _signatures(nodes: DataFrame, k: int, bits: int) -> DataFrame:
                     waiting, held = [], 0
         if waiting:
             add()
-        yield _batch([(None, 0, 0, 0, zlib.compress(counts.tobytes(), 1))], SIGNATURE)
+        small = counts.max() < 256
+        yield _batch([(None, 0, 0, 0, zlib.compress((counts.astype(np.uint8) if small else counts).tobytes(), 1))], SIGNATURE)
 
     return nodes.mapInArrow(sign, SIGNATURE)
 
@@ -161,9 +162,9 @@ def _frequencies(signed: DataFrame, bits: int) -> tuple[np.ndarray, float]:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.uint64)
         for batch in batches:
-            kind = np.uint32 if batch.schema.names[0] == "counts" else np.uint64
             for blob in batch.column(0):
-                total += np.frombuffer(zlib.decompress(blob.as_py()), kind)
+                raw = zlib.decompress(blob.as_py())
+                total += np.frombuffer(raw, {1: np.uint8, 4: np.uint32, 8: np.uint64}[len(raw) >> bits])
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["total"])
 
     def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,18 +179,22 @@ def _frequencies(signed: DataFrame, bits: int) -> tuple[np.ndarray, float]:
     return np.frombuffer(zlib.decompress(found["steps"]), np.uint16), found["mean"]
 
 
-PREFIX = "token long, part int, n long, d1 long, doc_id long"
+PREFIX = "token long, part int, n long, d1 long, doc_id long, early boolean"
 
 
 def _prefixes(nodes: DataFrame, k: int, threshold: int, frequencies, bits: int, mean: float) -> DataFrame:
-    """The prefix of every document.  `part` is -1, or one of several for shingles that very many documents may hold."""
+    """The prefix of every document.  `part` is -1, or one of several for shingles that very many documents may hold.
+
+    `early` marks the first n - ceil(2 * threshold * n / (100 + threshold)) + 1 shingles: the smaller of
+    two linked sets has a shared shingle of its prefix there, so groups without an early row hold no link.
+    """
     shift, hot = np.uint64(64 - bits), HOT_ROWS + HOT_TIMES * mean
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequencies.value
         for batch in batches:
             for part in pieces(batch, batch.schema.names[1]):
-                tokens, ranks, sizes, digests, ids, lengths = [], [], [], [], [], []
+                tokens, ranks, early, sizes, digests, ids, lengths = [], [], [], [], [], [], []
                 for key, own in zip(part.column(0).to_pylist(), _sets(part.column(1), k), strict=True):
                     n = len(own)
                     if not n:
@@ -199,6 +204,7 @@ def _prefixes(nodes: DataFrame, k: int, threshold: int, frequencies, bits: int,
                     first = np.argsort(rank, kind="stable")[:take]
                     tokens.append(own[first])
                     ranks.append(rank[first])
+                    early.append(np.arange(take) <= n - (-(-2 * threshold * n // (100 + threshold))))
                     sizes.append(n)
                     digests.append(_digest(own)[0])
                     ids.append(key)
@@ -207,12 +213,12 @@ def _prefixes(nodes: DataFrame, k: int, threshold: int, frequencies, bits: int,
                     n, d1, doc = (np.repeat(np.array(x, np.int64), lengths) for x in (sizes, digests, ids))
                     parts = np.ceil(np.exp2(np.concatenate(ranks) / 1024.0) / hot)
                     salt = np.where(parts > 1, mix(d1.view(np.uint64)).astype(np.float64) / 2.0**64 * parts, -1).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(tokens).view(np.int64), salt, n, d1, doc)], names=["token", "part", "n", "d1", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(tokens).view(np.int64), salt, n, d1, doc, np.concatenate(early))], names=["token", "part", "n", "d1", "doc_id", "early"])
 
     return nodes.mapInArrow(cut, PREFIX)
 
 
-GROUPED = "token long, n long, doc_id long, center long"
+GROUPED = "token long, n long, doc_id long, center long, early boolean"
 
 
 def _groups(prefixes: DataFrame, threshold: int) -> DataFrame:
@@ -223,17 +229,17 @@ def _groups(prefixes: DataFrame, threshold: int) -> DataFrame:
     """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (token, part, n, d1, doc_id, open): the newest class; open: nothing of its group is out yet
+        last = None  # (token, part, n, d1, doc_id, early, open): the newest class; open: nothing of its group is out yet
         center = (0, 0)
         for batch in batches:
-            token, part, n, d1, doc = (batch.column(i).to_numpy() for i in range(5))
+            token, part, n, d1, doc, early = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
             if not len(token):
                 continue
             fresh = np.ones(len(token), bool)
             fresh[1:] = (token[1:] != token[:-1]) | (part[1:] != part[:-1]) | (n[1:] != n[:-1]) | (d1[1:] != d1[:-1])
             if last is not None:
                 fresh[0] = (token[0], part[0], n[0], d1[0]) != last[:4]
-            token, part, n, d1, doc = token[fresh], part[fresh], n[fresh], d1[fresh], doc[fresh]
+            token, part, n, d1, doc, early = (x[fresh] for x in (token, part, n, d1, doc, early))
             if not len(token):
                 continue
             same = np.empty(len(token), bool)  # as the class before
@@ -243,17 +249,17 @@ def _groups(prefixes: DataFrame, threshold: int) -> DataFrame:
             more = same | (part >= 0)
             more[:-1] |= same[1:]
             at = np.flatnonzero(more)
-            for t, p, size, key, joined in zip(token[at].tolist(), part[at].tolist(), n[at].tolist(), doc[at].tolist(), same[at].tolist(), strict=True):
+            for t, p, size, key, soon, joined in zip(*(x[at].tolist() for x in (token, part, n, doc, early, same)), strict=True):
                 if not joined:
                     center = (size, key)
-                elif last is not None and last[5] and last[:2] == (t, p):  # the group began in an earlier batch
+                elif last is not None and last[6] and last[:2] == (t, p):  # the group began in an earlier batch
                     center = (last[2], last[4])
-                    rows.append((t, last[2], last[4], last[4]))
-                    last = (*last[:5], False)
+                    rows.append((t, last[2], last[4], last[4], last[5]))
+                    last = (*last[:6], False)
                 if 100 * center[0] < threshold * size:
                     center = (size, key)
-                rows.append((t, size, key, center[1]))
-            last = (int(token[-1]), int(part[-1]), int(n[-1]), int(d1[-1]), int(doc[-1]), not bool(more[-1]))
+                rows.append((t, size, key, center[1], soon))
+            last = (int(token[-1]), int(part[-1]), int(n[-1]), int(d1[-1]), int(doc[-1]), bool(early[-1]), not bool(more[-1]))
             yield _batch(rows, GROUPED)
 
     return prefixes.repartition("token", "part").sortWithinPartitions("token", "part", "n", "d1", "doc_id").mapInArrow(stream, GROUPED)
@@ -374,11 +380,11 @@ def _band(threshold: int, shift: float = 0.0):
 
 
 def _unsettled(grouped: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of groups that hold several components: token, n, doc_id, component."""
-    rows = grouped.select("token", "n", "doc_id").join(labels.select(F.col("node").alias("doc_id"), "component").hint("merge"), "doc_id", "left")
+    """Rows of groups that hold several components and an early row: token, n, doc_id, early, component."""
+    rows = grouped.select("token", "n", "doc_id", "early").join(labels.select(F.col("node").alias("doc_id"), "component").hint("merge"), "doc_id", "left")
     rows = rows.withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    return rows.join(mixed.hint("merge"), "token", "left_semi").select("token", "n", "doc_id", "component")
+    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or("early").alias("any")).where("lo < hi and any").select("token")
+    return rows.join(mixed.hint("merge"), "token", "left_semi").select("token", "n", "doc_id", "early", "component")
 
 
 def _stars(open_: DataFrame, threshold: int, round_: int) -> DataFrame:
@@ -471,7 +477,7 @@ def _components(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     nodes = _nodes(docs)
-    bits = _bits(2 * docs.count(), *COUNT_BITS)
+    bits = _bits(16 * docs.count(), *COUNT_BITS)
     signed = scratch.save(_signatures(nodes, k, bits), "signed")
     steps, mean = _frequencies(signed, bits)
     signatures = signed.where("doc_id is not null").select("doc_id", "n", "d1", "d2")
