@@ -7,11 +7,13 @@ other labelled texts.  Texts are compressed in blocks of ``BLOCK`` bytes, so tha
 alike at every length; all blocks count.
 
 The model is fitted on at most ``sample_docs`` labelled documents of each class, chosen by a hash of
-their ids; half of them build the dictionaries, the others the curve.  The curve weighs classes by
-their shares among *all* labelled rows.  An empty or null text has the share of good ones as its
-score.  Extra
-columns are ignored; an empty table gives an empty result; without labels of both classes every
-score is the prior (1/2 without any).
+their ids; half of them build the dictionaries, the others the curve.  A dictionary is made from
+blocks spread evenly over each whole text, about forty times its size in all; only these blocks and
+one number for each text of the curve reach the driver, however long the texts are.  The curve weighs
+classes by their shares among *all* labelled rows.  An empty or null text has the share of good ones
+as its score.  Rows with equal ids are scored each by its own text and learn from the same label;
+rows without an id are scored and not learnt from.  Extra columns are ignored; an empty table gives
+an empty result; without labels of both classes every score is the prior (1/2 without any).
 """
 
 from __future__ import annotations
@@ -43,8 +45,9 @@ class CompressionModel:
             words.precompute_compress(level=LEVEL)
             self._ways.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False))
 
-    def difference(self, text: bytes) -> float:
+    def difference(self, text: str | bytes) -> float:
         """Over 0: the good dictionary suits better."""
+        text = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
         sizes = [0, 0]
         for at in range(0, len(text), BLOCK):
             for k, way in enumerate(self._ways):
@@ -58,10 +61,16 @@ class CompressionModel:
         return float(1 / (1 + np.exp(-np.clip(self.weight * self.difference(data) + self.bias, -40, 40))))
 
 
-def _dictionary(texts: list[bytes], size: int) -> bytes:
-    """Train a dictionary on equal shares of every text; from too few texts it is their plain content."""
-    share = max(BLOCK, 40 * size // max(1, len(texts)))
-    samples = [t[:share][at : at + BLOCK] for t in texts for at in range(0, min(len(t), share), BLOCK)]
+def spread_blocks(text: bytes, most: int) -> list[bytes]:
+    """At most `most` blocks of a text, spread evenly from its first to its last."""
+    n = -(-len(text) // BLOCK)
+    if n <= most:
+        return [text[i * BLOCK : (i + 1) * BLOCK] for i in range(n)]
+    return [text[i * BLOCK : (i + 1) * BLOCK] for i in sorted({round(k * (n - 1) / max(1, most - 1)) for k in range(most)})]
+
+
+def _dictionary(samples: list[bytes], size: int) -> bytes:
+    """Train a dictionary on blocks; from too few of them it is their plain content."""
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
@@ -91,33 +100,48 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 1000, dictionary_
     counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
-    texts: dict[int, list[bytes]] = {0: [], 1: []}
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = labels.where("label = 1").orderBy(*order).limit(sample_docs).unionByName(labels.where("label = 0").orderBy(*order).limit(sample_docs))
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 x sample_docs small rows
-    for r in sorted(sample.select("doc_id", "label", "text").collect(), key=lambda r: (hash(r["doc_id"] * 2654435761 % 4294967291), r["doc_id"])):
-        if r["text"]:
-            texts[r["label"]].append(r["text"].encode("utf-8", "surrogatepass"))
-    if min(len(texts[0]), len(texts[1])) < 2:
+    chosen = chosen.withColumn("half", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)).cast("int"))
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text <> ''").join(F.broadcast(chosen), "doc_id")  # at most 2 x sample_docs small rows
+    most = max(1, 40 * dictionary_bytes // max(1, sample_docs // 2) // BLOCK)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(2)):
+                found = spread_blocks(text.as_py().encode("utf-8", "surrogatepass"), most)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([found], pa.list_(pa.binary()))], names=["doc_id", "label", "blocks"])
+
+    blocks: dict[int, list[bytes]] = {0: [], 1: []}
+    drawn = sample.where("half = 0").select(F.col("doc_id").cast("long"), F.col("label").cast("int").alias("label"), "text").mapInArrow(draw, "doc_id long, label int, blocks array<binary>")
+    for r in sorted(drawn.collect()):
+        blocks[r["label"]] += [bytes(x) for x in r["blocks"]]
+    if min(len(blocks[0]), len(blocks[1])) < 1:
+        return CompressionModel(b"", b"", 0.0, 0.0, prior)
+    model = CompressionModel(_dictionary(blocks[1], dictionary_bytes), _dictionary(blocks[0], dictionary_bytes), 1.0, 0.0, prior)
+    measured = sample.where("half = 1").select(F.col("label").cast("long").alias("doc_id"), "text")
+    found = _each(measured, model, CompressionModel.difference, "difference").collect()
+    x, y = (np.array([r[k] for r in found], float) for k in ("difference", "doc_id"))
+    if len(set(y.tolist())) < 2:
         return CompressionModel(b"", b"", 0.0, 0.0, prior)
-    halves = {k: (v[: len(v) // 2], v[len(v) // 2 :]) for k, v in texts.items()}
-    model = CompressionModel(_dictionary(halves[1][0], dictionary_bytes), _dictionary(halves[0][0], dictionary_bytes), 1.0, 0.0, prior)
-    model.prepare()
-    x = np.array([model.difference(t) for k in (0, 1) for t in halves[k][1]])
-    y = np.array([k for k in (0, 1) for _ in halves[k][1]])
-    model.weight, model.bias = _logistic(x, y, prior)
-    del model._ways
+    at = np.lexsort((x, y))
+    model.weight, model.bias = _logistic(x[at], y[at], prior)
     return model
 
 
-def score(docs: DataFrame, model: CompressionModel) -> DataFrame:
-    """doc_id and score (0 to 1) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _each(rows: DataFrame, model: CompressionModel, what, name: str) -> DataFrame:
+    """doc_id and what(model, text) of rows of both."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         own.prepare()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.score(x.as_py()) for x in batch.column(1)], pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([what(own, x.as_py()) for x in batch.column(1)], pa.float64())], names=["doc_id", name])
+
+    return rows.mapInArrow(run, f"doc_id long, {name} double")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+def score(docs: DataFrame, model: CompressionModel) -> DataFrame:
+    """doc_id and score (0 to 1) of every document."""
+    return _each(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")), model, CompressionModel.score, "score")

@@ -39,9 +39,9 @@ def test_popcounts_are_corrected_for_false_positives():
     sets = {k: rng.integers(0, 1 << 63, 3000, dtype=np.uint64) for k in ("a", "b")}
     model = langid.LanguageFilters.build(sets)
     other = rng.integers(0, 1 << 63, 20000, dtype=np.uint64)
-    masks = model.table[langid._slots(other, model.bits)[0]]
+    masks = model.table[0][langid._slots(other, model.bits)[0]]
     for at in langid._slots(other, model.bits)[1:]:
-        masks = masks & model.table[at]
+        masks = masks & model.table[0][at]
     for k in range(2):
         assert abs(((masks >> k) & 1).mean() - model.fpr[k]) < 0.01
 
@@ -76,3 +76,66 @@ def test_quality_edge_cases(spark, make_docs):
     assert quality.score(make_docs([]), model).collect() == []
     none = quality.fit(docs, labels.limit(0))
     assert none.prior == 0.5
+
+
+def test_more_languages_than_a_word_has_bits(spark, make_docs):
+    rng = random.Random(4)
+    stems = {f"l{i:02d}": [chr(0x4E00 + 20 * i + j) + chr(0x4E00 + 20 * i + (j * 7) % 20) for j in range(20)] for i in range(70)}
+    rows = [(100 * k + j, " ".join(rng.choices(stems[lang], k=30)), lang) for k, lang in enumerate(stems) for j in range(4)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 70 and model.table.shape[0] == 2
+    probe = [(k, " ".join(rng.choices(words, k=8))) for k, words in enumerate(stems.values())]
+    got = {r[0]: r[1] for r in langid.identify(make_docs(probe), model).collect()}
+    assert [got[k] for k in range(70)] == list(stems)
+
+
+def test_language_by_brute_force_and_ties(spark, make_docs):
+    """Filters agree with exact sets of n-grams but for false positives; of equal counts the first name wins."""
+    rng = random.Random(5)
+    sets = {k: np.unique(np.concatenate([langid.grams(text(k, 200, rng)) for _ in range(3)])) for k in LANGUAGES}
+    model = langid.LanguageFilters.build(sets)
+    for k in LANGUAGES:
+        for _ in range(30):
+            probe = text(k, rng.randrange(1, 60), rng)
+            found = langid.grams(probe)
+            exact = {n: np.isin(found, own).sum() for n, own in sets.items()}
+            name, score = model.identify(probe)
+            assert exact[name] >= max(exact.values()) - 0.1 * len(found)
+            assert abs(score - exact[name] / len(found)) < 0.1
+    same = langid.LanguageFilters.build({"b": sets["xx"], "a": sets["xx"]})
+    assert same.identify(text("xx", 20, rng))[0] == "a"
+    docs = make_docs([(7, "ka mo"), (7, "sch ung"), (None, "ka mo")])
+    assert sorted((r[0] or 0, r[1]) for r in langid.identify(docs, model).collect()) == [(0, "xx"), (7, "xx"), (7, "yy")]
+
+
+def test_dictionaries_see_the_ends_of_long_texts(spark, make_docs):
+    data = b"".join(bytes([i]) * quality.BLOCK for i in range(200))
+    drawn = quality.spread_blocks(data, 7)
+    assert len(drawn) == 7 and drawn[0][0] == 0 and drawn[-1][0] == 199 and quality.spread_blocks(b"ab", 7) == [b"ab"]
+    rng = random.Random(6)
+    noise = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    good, bad = [noise(3) for _ in range(30)], [noise(3) for _ in range(30)]
+    make = lambda i, pool: noise(3000) + " ".join(rng.choices(pool, k=400))
+    rows = [(i, make(i, good if i % 2 else bad)) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, label int")
+    model = quality.fit(make_docs(rows), labels)
+    probe = make_docs([(1, " ".join(rng.choices(good, k=100))), (2, " ".join(rng.choices(bad, k=100))), (2, " ".join(rng.choices(good, k=100)))])
+    got = sorted((r[0], r[1] > 0.5) for r in quality.score(probe, model).collect())
+    assert got == [(1, True), (2, False), (2, True)]
+
+
+def test_score_equals_plain_compression(spark, make_docs):
+    """Brute force: the size difference and the curve, written out."""
+    import zstandard
+
+    model = quality.CompressionModel(b"alpha beta gamma delta " * 40, b"one two three four five " * 40, 9.0, 0.2, 0.5)
+    texts = ["alpha gamma " * 300, "two five three " * 5, "x", "é" * 3000]
+    want = []
+    for t in texts:
+        size = []
+        for d in (model.good, model.bad):
+            way = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+            size.append(sum(len(way.compress(t.encode()[i : i + 1024])) for i in range(0, len(t.encode()), 1024)))
+        want.append(1 / (1 + np.exp(-(9.0 * (size[1] - size[0]) / len(t.encode()) + 0.2))))
+    got = {r[0]: r[1] for r in quality.score(make_docs(list(enumerate(texts))), model).collect()}
+    assert np.allclose([got[i] for i in range(4)], want, atol=0.02)
