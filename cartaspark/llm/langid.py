@@ -7,10 +7,12 @@ text, the popcount of each language is corrected for the filter's false positive
 decides; the score is the share of the text's n-grams that the language knows.
 
 The model is fitted on at most about ``sample_docs`` documents of each language, chosen by a hash of
-their ids, and holds at most ``max_grams`` n-grams a language and 64 languages: its size does not
-grow with the corpus.  A text that is null or has no letter is ``und`` with score 0.  Ties go to the
-language first in alphabetical order.  Extra columns are ignored; an empty table gives an empty
-result.  Without any training document every text is ``und``.
+their ids, and holds every n-gram that a sample has ``min_count`` times or more: its size grows with
+the number of languages, not with the corpus.  A slot has one 64-bit word for every 64 languages.  A
+text that is null or has no letter is ``und`` with score 0.  Ties go to the language first in
+alphabetical order.  Every row is judged by its own text, whatever its id; all rows of one id are in
+the sample or none.  Extra columns are ignored; an empty table gives an empty result.  Without any
+training document every text is ``und``.
 """
 
 from __future__ import annotations
@@ -73,41 +75,46 @@ class LanguageFilters:
     @classmethod
     def build(cls, sets: dict[str, np.ndarray]) -> LanguageFilters:
         languages = sorted(sets)
-        if len(languages) > 64:
-            raise ValueError("more than 64 languages")
         most = max((len(v) for v in sets.values()), default=0)
-        bits = min(21, max(10, int(np.ceil(np.log2(max(1, most) * 8)))))
-        kind = next(t for n, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(languages) <= n)
-        table = np.zeros(1 << bits, kind)
+        bits = min(24, max(10, int(np.ceil(np.log2(max(1, most) * 8)))))
+        kind = next((t for n, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32)) if len(languages) <= n), np.uint64)
+        table = np.zeros((-(-max(1, len(languages)) // 64), 1 << bits), kind)
         fpr = np.zeros(len(languages))
         for k, name in enumerate(languages):
+            word, bit = table[k // 64], kind(k % 64)
             for at in _slots(sets[name], bits):
-                table[at] |= kind(1 << k)
-            fpr[k] = float(((table >> kind(k)) & kind(1)).mean()) ** HASHES
+                word[at] |= kind(1) << bit
+            fpr[k] = float(((word >> bit) & kind(1)).mean()) ** HASHES
         return cls(languages, bits, table, fpr)
 
     def identify(self, text: str | None) -> tuple[str, float]:
         found = grams(text) if text else np.zeros(0, np.uint64)
         if not len(found) or not self.languages:
             return "und", 0.0
-        masks = self.table[(slots := _slots(found, self.bits))[0]]
-        for at in slots[1:]:
-            masks = masks & self.table[at]
-        one = self.table.dtype.type(1)
-        counts = np.array([np.count_nonzero(masks & (one << self.table.dtype.type(k))) for k in range(len(self.languages))])
+        slots, one = _slots(found, self.bits), self.table.dtype.type(1)
+        counts = np.zeros(len(self.languages))
+        for w, word in enumerate(self.table):
+            masks = word[slots[0]]
+            for at in slots[1:]:
+                masks = masks & word[at]
+            for k in range(64 * w, min(64 * w + 64, len(counts))):
+                counts[k] = np.count_nonzero(masks & (one << self.table.dtype.type(k % 64)))
         known = np.clip((counts - len(found) * self.fpr) / (1 - self.fpr), 0, len(found))
         best = int(known.argmax())
         return self.languages[best], float(known[best] / len(found))
 
 
-def fit(labelled: DataFrame, sample_docs: int = 1500, max_grams: int = 30_000, share: float = 0.25, min_count: int = 3) -> LanguageFilters:
+def fit(labelled: DataFrame, sample_docs: int = 1500, share: float = 0.25, min_count: int = 3) -> LanguageFilters:
     """labelled: doc_id, text, lang.  An n-gram belongs to a language if its rate there is at least `share` of its highest rate in any language."""
     labelled = labelled.select(F.col("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    bound = (F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("n")) * (1 << 31)).cast("long")
+    # one row a language: the labels are the classes of the model
+    bounds = {r["lang"]: r["bound"] for r in sizes.select("lang", bound.alias("bound")).collect()}
     picked: Column = F.lit(False)
-    for lang, n in sizes.items():
-        bound = F.lit(int(min(1.0, sample_docs / n) * (1 << 31)))
-        picked = picked | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < bound))
+    if bounds:
+        held = F.create_map(*[F.lit(x) for pair in sorted(bounds.items()) for x in pair])
+        picked = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < held[F.col("lang")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,19 +126,16 @@ def fit(labelled: DataFrame, sample_docs: int = 1500, max_grams: int = 30_000, s
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(values.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     counts = labelled.where(picked).select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.where(F.col("n") >= min_count).persist()
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    rates: dict[str, dict[int, float]] = {}
-    for lang in sorted(totals):
-        top = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(max_grams).select("gram", "n").collect()
-        rates[lang] = {r[0]: r[1] / totals[lang] for r in top}
-    counts.unpersist()
-    highest: dict[int, float] = {}
-    for own in rates.values():
-        for gram, rate in own.items():
-            highest[gram] = max(rate, highest.get(gram, 0))
-    sets = {lang: np.array(sorted(g for g, r in own.items() if r >= share * highest[g]), np.int64).view(np.uint64) for lang, own in rates.items()}
-    return LanguageFilters.build(sets)
+    found = counts.where(F.col("n") >= min_count).toArrow()  # of the samples alone
+    names, grams_ = found["lang"].to_numpy(), found["gram"].to_numpy()
+    rates = found["n"].to_numpy().astype(float)
+    kinds, lang = np.unique(names.astype(str), return_inverse=True)
+    rates /= np.bincount(lang, rates, len(kinds))[lang] if len(lang) else 1
+    _, gram = np.unique(grams_, return_inverse=True)
+    highest = np.zeros(gram.max() + 1 if len(gram) else 0)
+    np.maximum.at(highest, gram, rates)
+    typical = rates >= share * highest[gram]
+    return LanguageFilters.build({str(name): np.sort(grams_[typical & (lang == k)]).view(np.uint64) for k, name in enumerate(kinds)})
 
 
 def identify(docs: DataFrame, model: LanguageFilters, carry: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
