@@ -11,11 +11,12 @@ at most and no single substitution has two on both sides.
 
 Tokens are runs of characters other than ASCII marks and white space, case-folded by Unicode's rules:
 ``CIÓN`` equals ``ción`` and ``STRASSE`` equals ``straße``.
-Benchmark items are brought to the executors in blocks of at most ``block_chars`` characters: a
-larger benchmark takes more passes over the documents, not more memory.
+Benchmark items are brought to the executors in blocks of at most about ``block_chars`` characters,
+one block at a time: a larger benchmark takes more passes over the documents, not more memory.
 
-Items with fewer than ``min_tokens`` tokens (also null and empty ones) cannot be told from chance
-and never match.  A null text is empty and never matches.  Repeated document or item ids give one
+An item of fewer than ``min_tokens`` tokens matches where all its tokens stand in a row, as one
+substitution would leave too little.  Null and empty items, and those of marks alone, have no token
+and match nothing.  A null text is empty and never matches.  Repeated document or item ids give one
 row per pair of ids.  Extra columns are ignored; empty tables give an empty result.
 """
 
@@ -28,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import free_name
+from .shared import Scratch, free_name
 from .text import ASCII_MARK, LENGTH, PLACES, mix, pieces, utf8, words
 
 MASKS = ("1111", "11011")
@@ -59,11 +60,11 @@ class SeedTable:
     def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...], min_tokens: int):
         data, offsets = utf8(_folded(pa.array([t for _, t in items], pa.string())))
         hashes, _, _, first = words(data, offsets, ASCII_MARK)
-        self.ids = [i for i, _ in items]
+        self.ids, self.min_tokens = [i for i, _ in items], min_tokens
         self.hashes, self.first = hashes, first
         rows: dict[str, list[tuple[np.ndarray, int]]] = {}
         for k, own in enumerate(hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)):
-            if len(own) >= min_tokens:
+            if len(own):
                 fitting = [m for m in masks if len(m) <= len(own)] or ["1" * len(own)]
                 for mask in fitting:
                     rows.setdefault(mask, []).append((_seeds(own, mask), k))
@@ -102,7 +103,7 @@ class SeedTable:
         """(text number, item number, first tokens in text and item, tokens, equal tokens) of each diagonal that reaches the bound."""
         text, item, shift = self.hits(hashes, first, most)
         size = np.diff(self.first)[item]
-        bound = np.minimum(min_overlap, -(-4 * size // 5))
+        bound = np.where(size < self.min_tokens, size, np.minimum(min_overlap, -(-4 * size // 5)))
         lo = np.maximum(0, -shift)
         length = np.minimum(size, np.diff(first)[text] - shift) - lo
         for part in _runs(length, most):
@@ -151,6 +152,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13,
     Returns doc_id, item_id, doc_token and item_token (first tokens of the stretch), n_tokens, n_equal.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "overlaps")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(chars // block_chars) + 1
@@ -173,14 +175,18 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13,
                 types = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        found.append(texts.mapInArrow(search, SCHEMA))
+        found.append(scratch.save(texts.mapInArrow(search, SCHEMA), f"found-{block}"))
+        table.destroy()
     stretch = F.struct(F.col("n_equal"), -F.col("n_tokens"), -F.col("doc_token"), -F.col("item_token"))
     every = reduce(DataFrame.unionByName, found)
     return every.groupBy("doc_id", "item_id").agg(*[F.max_by(c, stretch).alias(c) for c in ("doc_token", "item_token", "n_tokens", "n_equal")])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any that overlap a benchmark item; all columns stay."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least_equal: int = 6, **options) -> DataFrame:
+    """The documents without any that overlap a benchmark item by `least_equal` tokens; all columns stay.
+
+    Shorter items are everyday phrases: ``find_overlaps`` names their matches, but no document goes for them.
+    """
     name = free_name(docs, "_leaked")
-    leaked = find_overlaps(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct().hint("merge")
+    leaked = find_overlaps(docs, benchmark, **options).where(F.col("n_equal") >= least_equal).select(F.col("doc_id").alias(name)).distinct().hint("merge")
     return docs.join(leaked, docs["doc_id"].cast("long") == leaked[name], "left_anti")

@@ -174,3 +174,18 @@ def test_article_text_of_all_small_pages(spark):
         blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", x))).strip() for x in re.split(r"</?(?:p|h1)>", body)]
         want = "\n".join(b for b in blocks if b)
         assert got[p["page_id"]] == (want, len(want))
+
+
+def test_short_items_match_whole_and_exactly(spark, make_docs):
+    items = spark.createDataFrame([(1, "Three odd words"), (2, "zyx"), (3, "..."), (4, None), (5, "six tokens are in this item")], "item_id long, text string")
+    docs = make_docs([(1, "here: three ODD words!"), (2, "three odd other words"), (3, "a zyx b"), (4, "six tokens are in this item"), (5, "six tokens are not this item"), (None, "zyx")])
+    got = {(r["doc_id"], r["item_id"], r["n_equal"]) for r in D.find_overlaps(docs, items).collect()}
+    assert got == {(1, 1, 3), (3, 2, 1), (4, 5, 6), (None, 2, 1)}
+    assert sorted(r["doc_id"] or 0 for r in D.decontaminate(docs, items).collect()) == [0, 1, 2, 3, 5]
+
+
+def test_blocks_of_the_benchmark_give_the_same(spark, make_docs):
+    items = spark.createDataFrame([(i, " ".join(f"q{i}x{j}" for j in range(20))) for i in range(9)], "item_id long, text string")
+    docs = make_docs([(i, "pre " + " ".join(f"q{i}x{j}" for j in range(20))) for i in range(9)])
+    whole = sorted(D.find_overlaps(docs, items).collect())
+    assert len(whole) == 9 and sorted(D.find_overlaps(docs, items, block_chars=300).collect()) == whole
