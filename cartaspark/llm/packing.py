@@ -33,7 +33,8 @@ from .shared import Scratch
 from .text import pieces
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
-BUCKETS = 1024
+#: Pieces of a bucket on average; a common length spreads over as many buckets as the corpus needs.
+BUCKET_PIECES, LEAST_BUCKETS = 1 << 18, 64
 #: Words kept in each of the two generations of a cache, and the longest word that is kept.
 CACHE_WORDS, CACHE_CHARS = 300_000, 48
 #: Text encoded at once; the more, the fewer words come up again.
@@ -261,8 +262,9 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
     cut = scratch.save(cut_into_pieces(docs, vocabulary, capacity, end_id), "pieces")
-    bucketed = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int"))
-    # at most BUCKETS x capacity rows, however many documents there are
+    buckets = max(LEAST_BUCKETS, -(-cut.count() // BUCKET_PIECES))
+    bucketed = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    # at most buckets x capacity rows, far fewer than pieces
     counts = bucketed.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = scratch.save(counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), "counts")

@@ -1,8 +1,8 @@
 """Scratch tables in the folder that the driver and all executors share.
 
 A table written here cuts the lineage and outlives a lost executor.  The folder is the one that
-the session names in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
-temporary folder is used.
+the session names in ``spark.checkpoint.dir``; only where that is unset and the session is local
+(tests, a laptop) a temporary folder is used.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The shared folder of the session, without a slash at its end."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _LOCAL:
             _LOCAL.append("file://" + tempfile.mkdtemp(prefix="cartaspark-"))
         named = _LOCAL[0]
