@@ -1,26 +1,28 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages are put in order of host and URL path; the pages before and after a page on the same host are
-its nearest.  A page's blocks of text are aligned with those of each neighbour by a longest common
-subsequence; shared blocks are the site's template and are deleted.
+Pages are put in order of host and URL path; the nearest pages with other lines before and after a
+page on the same host are its neighbours (copies of a page are not template, so they are passed
+over).  All blocks of text of a page, whatever element they stand in, are aligned with those of each
+neighbour by a longest common subsequence; blocks that a neighbour shares are the site's template
+and are deleted, the others stay.
 
-Two structural facts bound what differencing may decide, since on its own it deletes article lines
-that happen to repeat on the next page and keeps menus of pages without a neighbour:
+Where markup says plainly what a block is, it overrules differencing, which alone deletes article
+lines that happen to repeat on the next page and keeps adverts that do not:
 
-* blocks inside ``<article>`` or ``<main>`` are text, even if the neighbour has them as well;
+* blocks inside ``<article>`` or ``<main>`` stay, even if a neighbour has them as well;
 * blocks inside navigation, header, footer, aside, form and similar elements, or in elements whose
-  class or id names an advert, notice, sidebar or comment, are never text.  Inside ``<article>`` or
-  ``<main>`` headers are text, and a name counts only if it is a whole class (or the id of a ``div``)
-  that says advert, comments, newsletter, sharing or the like: ``entry-header``, ``related-work`` and
-  the ids of headings and sections name parts of the text.
-
-All other blocks stay only if neither neighbour shares them.
-
-Character references are decoded, white space inside a block becomes one space, blocks are joined by
-one newline.  A null or empty html gives an empty text.  A null URL has no host: such pages have no
-neighbours.  Pages with equal URLs are neighbours in order of page_id; a page that repeats a
-neighbour's whole text is not differenced against it, as it is a copy and not the template.  Extra
-columns are ignored; an empty table gives an empty result.
+  class or id names an advert, notice, sidebar or comment, go, even if no neighbour has them.  Inside
+  ``<article>`` or ``<main>`` headers are text, and a name counts only if it is a whole class (or the
+  id of a ``div``) that says advert, comments, newsletter, sharing or the like, and outside containers
+  such as ``div`` and ``section`` only if no other class stands beside it: ``entry-header``,
+  ``related-work``, ``<p class="share price">`` and the ids of headings name parts of the text.
+
+Every page's result says how many blocks it had, how many differencing found shared, and how many
+the markup overruled.  Character references are decoded, white space inside a block becomes one
+space, blocks are joined by one newline.  A null or empty html gives an empty text.  A null URL has
+no host: such pages have no neighbours.  Pages with equal URLs are in order of page_id; rows that
+agree in page_id, URL and html get the same result.  Extra columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .shared import Scratch
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 # fixed values of HTML
@@ -53,7 +56,9 @@ _CHROME_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|co
 _CHROME_IN_TEXT = re.compile(r"(?:ads?|adsbygoogle|adverts?|advertisements?|breadcrumbs?|comments?|navbar|newsletter|pager|pagination|popup|promo|share|sharing|sidebar|sponsored|subscribe)(?:-(?:area|bar|box|buttons?|container|form|list|section|signup|slot|unit|wrapper))?", re.I)
 _CHROME_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu", "menubar", "toolbar"}
 CLOSES = {"p": BLOCK - {"body", "html", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
-MAIN, OTHER, DROP = 2, 1, 0
+MAIN, OTHER, CHROME_KIND = 2, 1, 0
+#: Elements of an article that may be an advert, comments and the like as a whole.
+CONTAINER = {"div", "section", "aside", "ul", "ol", "dl", "table", "figure", "ins"}
 
 
 def _names_chrome(tag: str, name: str, value: str, in_text: bool) -> bool:
@@ -62,76 +67,83 @@ def _names_chrome(tag: str, name: str, value: str, in_text: bool) -> bool:
         return False
     if not in_text:
         return _CHROME_NAME.search(value) is not None
-    return (name == "class" or tag == "div") and any(_CHROME_IN_TEXT.fullmatch(word) for word in value.split())
+    if name == "id":
+        return tag == "div" and any(_CHROME_IN_TEXT.fullmatch(word) for word in value.split())
+    named = [_CHROME_IN_TEXT.fullmatch(word) is not None for word in value.split()]
+    return any(named) and (tag in CONTAINER or all(named))
 
 
 def _kind(tag: str, attributes: str, inherited: int, in_text: bool) -> int:
     """Whether what stands in an element is text, undecided or chrome."""
-    if inherited == DROP or tag in RAW:
-        return DROP
-    if tag in CHROME and not (tag == "header" and in_text):
-        return DROP
+    if inherited == CHROME_KIND or tag in CHROME and not (tag == "header" and in_text):
+        return CHROME_KIND
     if attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
             value = next((v for v in values if v), "")
             name = name.lower()
             if name == "hidden" or name == "role" and value.lower() in _CHROME_ROLE or name in ("class", "id") and _names_chrome(tag, name, value, in_text):
-                return DROP
+                return CHROME_KIND
     return MAIN if tag in TEXT else inherited
 
 
 def blocks(page: str) -> list[tuple[str, int]]:
-    """(text, MAIN or OTHER) of the blocks of a page in order; chrome is left out."""
+    """(text, MAIN, OTHER or CHROME_KIND) of all blocks of a page in order; scripts, styles and the like are no text."""
     out: list[tuple[str, int]] = []
     stack: list[tuple[str, int]] = []
-    parts: list[str] = []
-    kind, at, raw = OTHER, 0, None
+    open_tags: Counter[str] = Counter()
+    parts: dict[bool, list[tuple[str, int]]] = {True: [], False: []}  # chrome or not: an inline button is no part of its paragraph
+    kind, at = OTHER, 0
+
+    def add(text: str) -> None:
+        parts[kind == CHROME_KIND].append((text, kind))
 
     def flush() -> None:
-        if parts:
-            text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
-            parts.clear()
-            if text and kind != DROP:
-                out.append((text, kind))
+        for own in (parts[False], parts[True]):
+            if own:
+                text = _SPACE.sub(" ", entities.unescape("".join(t for t, _ in own))).strip()
+                if text:
+                    out.append((text, own[-1][1]))
+                own.clear()
+
+    def pop() -> str:
+        nonlocal kind
+        tag = stack.pop()[0]
+        open_tags[tag] -= 1
+        kind = stack[-1][1] if stack else OTHER
+        return tag
 
     for found in _TOKEN.finditer(page):
-        if raw is not None:
-            if found[2] and found[3].lower() == raw:
-                raw = None
-                at = found.end()
-            continue
         if found.start() < at:
             continue
-        if kind != DROP and found.start() > at:
-            parts.append(page[at : found.start()])
+        if found.start() > at:
+            add(page[at : found.start()])
         at = found.end()
         tag = (found[3] or "").lower()
         if not tag:
-            if found[1] and kind != DROP:
-                parts.append(entities.escape(found[1]))
+            if found[1]:
+                add(entities.escape(found[1]))
             continue
         if tag == "br":
-            parts.append(" ")
+            add(" ")
             continue
         if tag in BLOCK:
             flush()
         if found[2]:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
+            if open_tags[tag]:
+                while pop() != tag:
                     pass
-                kind = stack[-1][1] if stack else OTHER
         elif tag in RAW:
             if not found[4].rstrip().endswith("/"):
                 close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 at = close.end() if close else len(page)
         elif tag not in VOID and not (found[4].rstrip().endswith("/") and tag not in BLOCK):
             while stack and tag in CLOSES.get(stack[-1][0], ()):
-                stack.pop()
-                kind = stack[-1][1] if stack else OTHER
+                pop()
             kind = _kind(tag, found[4], kind, kind == MAIN)
             stack.append((tag, kind))
-    if at < len(page) and kind != DROP:
-        parts.append(page[at:])
+            open_tags[tag] += 1
+    if at < len(page):
+        add(page[at:])
     flush()
     return out
 
@@ -198,75 +210,100 @@ def _line(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def main_text(lines: list[int], kinds: list[int], texts: list[str], neighbours: list[list[int]]) -> str:
-    """The page's blocks without those that a neighbour shares, blocks of the article aside."""
-    drop = [False] * len(lines)
-    if any(k == OTHER for k in kinds):
-        for other in neighbours:
-            if other != lines:
-                drop = [d or s for d, s in zip(drop, shared_lines(lines, other), strict=True)]
-    return "\n".join(t for t, k, d in zip(texts, kinds, drop, strict=True) if k == MAIN or not d)
+def decide(lines: list[int], kinds: list[int], texts: list[str], neighbours: list[list[int]]) -> tuple[str, int, int, int]:
+    """(text, blocks, blocks that a neighbour shares, blocks where the markup overruled differencing) of a page."""
+    shared = [False] * len(lines)
+    for other in neighbours:
+        if other != lines:
+            shared = [d or s for d, s in zip(shared, shared_lines(lines, other), strict=True)]
+    keep = [k == MAIN or k == OTHER and not s for k, s in zip(kinds, shared, strict=True)]
+    overruled = sum(k == s for k, s in zip(keep, shared, strict=True))
+    return "\n".join(t for t, k in zip(texts, keep, strict=True) if k), len(lines), sum(shared), overruled
 
 
-PARSED = "page_id long, url string, host string, path string, texts array<string>, kinds array<int>, lines array<long>"
+LINES = "a1 long, a2 long, host string, path string, page_id long, url string, lines array<long>"
+PARSED = "a1 long, a2 long, page_id long, url string, texts array<string>, kinds array<int>, lines array<long>"
+RESULT = "page_id long, url string, text string, n_blocks int, n_shared int, n_overruled int"
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text of every page (page_id, url, html)."""
-    spark = pages.sparkSession
-    scratch = Scratch(spark, "html")
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, kinds, lines = [], [], []
-            for page in batch.column(4):
-                own = blocks(page.as_py() or "")
-                texts.append([t for t, _ in own])
-                kinds.append([k for _, k in own])
-                lines.append([_line(t) for t, _ in own])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32())), pa.array(lines, pa.list_(pa.int64()))], names=[x.split()[0] for x in PARSED.split(", ")])
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines = [[_line(t) for t, _ in blocks(page.as_py() or "")] for page in batch.column(6)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array(lines, pa.list_(pa.int64()))], names=_names(LINES))
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, kinds, lines = [], [], []
+        for page in batch.column(4):
+            own = blocks(page.as_py() or "")
+            texts.append([t if k != CHROME_KIND else "" for t, k in own])  # chrome never stays, so its text need not move
+            kinds.append([k for _, k in own])
+            lines.append([_line(t) for t, _ in own])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32())), pa.array(lines, pa.list_(pa.int64()))], names=_names(PARSED))
+
+
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = [batch.column(i).to_pylist() for i in range(2, 6)]
+        out = [decide(line, kind, text, near or []) for text, kind, line, near in zip(*columns, strict=True)]
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(columns[0], pa.string()), *(pa.array(c, pa.int32()) for c in columns[1:])], names=_names(RESULT))
 
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the runs of copies within a task's sorted rows."""
+    from pyspark import TaskContext
+
+    part, last, at = TaskContext.get().partitionId(), None, -1
+    for batch in batches:
+        inside = np.zeros(batch.num_rows, np.int64)
+        for i, key in enumerate(zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+            at += key != last
+            last, inside[i] = key, at
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(inside), part, np.int32)), pa.array(inside)], names=["a1", "a2", "host", "lines", "digest", "part", "inside"])
+
+
+def _neighbours(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """For each address (a1, a2) the lines of the nearest pages with other lines on its host: two arrays at most.
+
+    One global order by (host, path), so that a host of any size spreads over tasks.
+    """
+    order = ["host", "path", "page_id", "url", "a1", "a2"]
+    keyed = lines.where("host <> ''").withColumn("digest", F.xxhash64("lines"))
+    numbered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("a1", "a2", "host", "lines", "digest").mapInArrow(_numbered, "a1 long, a2 long, host string, lines array<long>, digest long, part int, inside long")
+    ordered = scratch.save(numbered, "ordered")
+    key = F.struct("host", "digest")
+    ends = ordered.groupBy("part").agg(F.max("inside").alias("last"), F.min_by(key, "inside").alias("from"), F.max_by(key, "inside").alias("to")).orderBy("part")
+    starts, total, before = [], 0, None
+    for r in ends.collect():  # one row per task
+        total -= r["from"] == before  # a run of copies that goes on from the task before
+        starts.append((r["part"], total))
+        total, before = total + r["last"] + 1, r["to"]
+    starts = ordered.sparkSession.createDataFrame(starts, "part int, start long")
+    placed = ordered.join(F.broadcast(starts), "part").select("a1", "a2", "host", "lines", (F.col("start") + F.col("inside")).alias("place"))
+    mine = placed.select("a1", "a2", "host", "place").distinct().withColumn("place", F.explode(F.array(F.col("place") - 1, F.col("place") + 1)))
+    first = placed.groupBy("host", "place").agg(F.first("lines").alias("lines"))  # all rows of a run have the same lines
+    return mine.join(first.hint("merge"), ["host", "place"]).groupBy("a1", "a2").agg(F.collect_list("lines").alias("near"))
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text and counts of blocks of every page (page_id, url, html)."""
+    scratch = Scratch(pages.sparkSession, "html")
     url = F.col("url").cast("string")
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
-    parsed = scratch.save(source.mapInArrow(parse, PARSED).withColumn("row", F.monotonically_increasing_id()), "parsed")
-
-    # Nearest pages: one global order by (host, path), so that a host of any size spreads over tasks.
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n, dtype=np.int64))], names=["row", "host", "part", "inside"])
-            at += n
-
-    keys = parsed.where("host <> ''").select("row", "host", "path", "page_id", "url")
-    order = ["host", "path", "page_id", "url", "row"]
-    ordered = keys.repartitionByRange(*order).sortWithinPartitions(*order).select("row", "host").mapInArrow(number, "row long, host string, part int, inside long")
-    ordered = scratch.save(ordered, "ordered")
-    starts, total = {}, 0
-    for r in ordered.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # one row per task
-        starts[r["part"]] = total
-        total += r["n"]
-    first = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])[F.col("part")] if starts else F.lit(0)
-    ordered = ordered.select("row", "host", (first + F.col("inside")).cast("long").alias("place"))
-    # only pages that hold undecided blocks need their neighbours' lines
-    undecided = parsed.where(F.exists("kinds", lambda k: k == OTHER)).select("row")
-    mine = ordered.join(undecided, "row", "left_semi").select("row", "host", F.explode(F.array(F.col("place") - 1, F.col("place") + 1)).alias("place"))
-    beside = mine.join(ordered.select(F.col("row").alias("other"), "host", "place"), ["host", "place"]).select("row", "other")
-    lines = parsed.select(F.col("row").alias("other"), "lines")
-    near = beside.join(lines, "other").groupBy("row").agg(F.collect_list("lines").alias("near"))  # two at most
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(2, 6)]
-            out = [main_text(line, kind, text, other or []) for text, kind, line, other in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
-
-    # the texts of pages without undecided blocks need not meet anything
-    other = F.exists("kinds", lambda k: k == OTHER)
-    plain = parsed.where(~other).select("page_id", "url", F.array_join("texts", "\n").alias("text"))
-    mixed = parsed.where(other).join(near.hint("merge"), "row", "left").select("page_id", "url", "texts", "kinds", "lines", "near")
-    return plain.unionByName(mixed.mapInArrow(finish, "page_id long, url string, text string"))
+    row = [F.col("page_id").isNull(), F.col("page_id"), F.col("url").isNull(), F.col("url"), F.col("html")]
+    source = source.select(F.xxhash64(F.lit(1), *row).alias("a1"), F.xxhash64(F.lit(2), *row[::-1]).alias("a2"), "*")
+    lines = scratch.save(source.select("a1", "a2", "host", "path", "page_id", "url", "html").mapInArrow(_lines, LINES), "lines")
+    near = scratch.save(_neighbours(lines, scratch), "near")
+    scratch.drop("lines", "ordered")
+    # pages are parsed again instead of being kept: only the text of blocks that may stay is shuffled
+    parsed = source.select("a1", "a2", "page_id", "url", "html").mapInArrow(_parsed, PARSED)
+    met = parsed.join(near.hint("merge"), ["a1", "a2"], "left").select("page_id", "url", "texts", "kinds", "lines", "near")
+    return met.mapInArrow(_decided, RESULT)
