@@ -41,9 +41,15 @@ def canonical_ring(ring: Column) -> Column:
 
 
 def inside(ring: Column, x: Column, y: Column) -> Column:
-    """Even-odd test of a point in a closed ring; points on the left and upper edges may count as inside."""
+    """Even-odd test of a point in a closed ring; points on its edges are not inside."""
     crossing = lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0)) + e["a"]["x"])
-    return F.size(F.filter(edges(ring), crossing)) % 2 == 1
+
+    def on(e):
+        cross = (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (x - e["a"]["x"])
+        between = lambda v, k: (v >= F.least(e["a"][k], e["b"][k])) & (v <= F.greatest(e["a"][k], e["b"][k]))
+        return (cross == 0) & between(x, "x") & between(y, "y")
+
+    return (F.size(F.filter(edges(ring), crossing)) % 2 == 1) & ~F.exists(edges(ring), on)
 
 
 def box_overlap(ax: Column, ay: Column, aw: Column, ah: Column, bx: Column, by: Column, bw: Column, bh: Column) -> Column:

@@ -301,12 +301,12 @@ def remove_line(image: np.ndarray, line: tuple, line_buffer: float, blur_buffer:
     mask = fill_polygon(strip.shape[0], strip.shape[1], band(rl) - lo)
     if not mask.any():
         return image
-    blurred = strip
     pad = size // 2
+    # reflected once beyond its sides, so that a strip thinner than the kernel is blurred as well
+    blurred = np.pad(strip, ((pad, pad), (pad, pad), *[(0, 0)] * (strip.ndim - 2)), mode="reflect" if min(strip.shape[:2]) > 1 else "edge")
     for _ in range(1 + repeat):
-        if min(blurred.shape[:2]) <= pad:
-            break
         blurred = median_blur(blurred, size)
+    blurred = blurred[pad : pad + strip.shape[0], pad : pad + strip.shape[1]]
     out = image.copy()
     out[lo[1] : hi[1], lo[0] : hi[0]][mask] = blurred[mask]
     return out

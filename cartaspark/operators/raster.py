@@ -115,20 +115,19 @@ def arm_counts(points: DataFrame, mask: DataFrame, value: str, factor: int, cwid
     """
     reach, side = 10 * factor, max(0, cwidth - 1)
     p = points.select(SHEET, F.col("r").alias("pr"), F.col("c").alias("pc"))
-    near = p.join(mask.where(F.col(value) > 0).select(SHEET, "r", "c"), SHEET).where((F.abs(F.col("r") - F.col("pr")) <= F.lit(max(reach, side))) & (F.abs(F.col("c") - F.col("pc")) <= F.lit(max(reach, side))))
-    dr, dc = F.col("r") - F.col("pr"), F.col("c") - F.col("pc")
-    weight = lambda off: F.when(off == 0, 3 if cwidth else 1).when(F.abs(off) <= side, 1 if cwidth else 0).otherwise(0)
-    low, left = F.least(F.col("pr") + reach, F.lit(height - 1)), F.least(F.col("pc") + reach, F.lit(width - 1))
-    arms = {
-        "down": F.when((dr >= 0) & (F.col("r") < low), weight(dc)),
-        "up": F.when((dr < 0) & (F.col("r") >= F.greatest(F.col("pr") - reach, F.lit(0))), weight(dc)),
-        "right": F.when((dc >= 0) & (F.col("c") < left), weight(dr)),
-        "left": F.when((dc < 0) & (F.col("c") >= F.greatest(F.col("pc") - reach, F.lit(0))), weight(dr)),
-    }
-    sums = near.groupBy(SHEET, "pr", "pc").agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(k) for k, v in arms.items()])
+    # the pixels of each point's arms meet the mask by equality, so work does not grow with the sheet
+    steps = p.distinct().withColumn("t", F.explode(F.sequence(F.lit(-reach), F.lit(reach - 1)))).withColumn("off", F.explode(F.sequence(F.lit(-side), F.lit(side))))
+    steps = steps.withColumn("down", F.explode(F.array(F.lit(True), F.lit(False))))
+    along = lambda p, end: F.when(F.col("t") >= 0, F.col(p) + F.col("t") < F.least(F.col(p) + reach, F.lit(end - 1))).otherwise(F.col(p) + F.col("t") >= F.greatest(F.col(p) - reach, F.lit(0)))
+    steps = steps.where(F.when(F.col("down"), along("pr", height)).otherwise(along("pc", width)))
+    r, c = (F.col(k) + F.when(F.col("down") == F.lit(d), F.col("t")).otherwise(F.col("off")) for k, d in (("pr", True), ("pc", False)))
+    weight = F.when(F.col("off") == 0, 3 if cwidth else 1).otherwise(1 if cwidth else 0)
+    at = steps.select(SHEET, "pr", "pc", r.alias("r"), c.alias("c"), weight.alias("weight"), F.when(F.col("down"), F.when(F.col("t") >= 0, "down").otherwise("up")).otherwise(F.when(F.col("t") >= 0, "right").otherwise("left")).alias("arm"))
+    near = at.join(mask.where(F.col(value) > 0).select(SHEET, "r", "c"), [SHEET, "r", "c"])
     bound = threshold * factor * (2 * cwidth + 1) / 3
-    count = sum((F.when(F.col(k) > bound, 1).otherwise(0) for k in arms), F.lit(0))
-    return p.join(sums, [SHEET, "pr", "pc"], "left").select(SHEET, F.col("pr").alias("r"), F.col("pc").alias("c"), F.coalesce(count, F.lit(0)).cast("long").alias("arms"))
+    lines = near.groupBy(SHEET, "pr", "pc", "arm").agg(F.sum("weight").alias("n")).where(F.col("n") > bound)
+    count = lines.groupBy(SHEET, "pr", "pc").agg(F.count("*").alias("arms"))
+    return p.join(count, [SHEET, "pr", "pc"], "left").select(SHEET, F.col("pr").alias("r"), F.col("pc").alias("c"), F.coalesce("arms", F.lit(0)).cast("long").alias("arms"))
 
 
 def four_way_point(arms_by_factor: DataFrame) -> DataFrame:

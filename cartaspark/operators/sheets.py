@@ -241,7 +241,7 @@ def four_way(image, direction, anchor_angle, o):
     mask = _mask(image, o)
     points = K.intersections(mask, o.find_line_scale, o.find_line_iter)
     for factor in (1, 2, 4, 8):
-        found = [p for p in points if arms(mask, *p, factor, o.cwidth, o.ext_thresh / 10 * 3) == 4]
+        found = [p for p in points if arms(mask, *p, factor, o.cwidth, o.ext_thresh) == 4]
         if not found:
             raise NotFound("no crossing with four arms")
         if len(found) == 1:
@@ -262,7 +262,7 @@ def _biggest_box(mask: np.ndarray, o: SheetOptions) -> np.ndarray:
 def biggest_contour_corner(image, direction, anchor_angle, o):
     """The outer corner of the largest component's box."""
     x, y, w, h, _ = _biggest_box(_mask(image, o), o).tolist()
-    corner = (x if direction[0] > 0 else x + w - 1, y if direction[1] > 0 else y + h - 1)
+    corner = (x if direction[0] > 0 else x + w, y if direction[1] > 0 else y + h)
     if _gap(_anchor(image.shape, direction), corner, anchor_angle) > o.max_corner_angle_diff:
         raise NotFound("angle too high")
     return corner
@@ -328,14 +328,11 @@ CORNERS = "sheet_id string, corners array<struct<x:double,y:double>>, problem st
 
 def find_corners(images: DataFrame, areas: DataFrame, finder: Finder | None = None) -> DataFrame:
     """Corners of every sheet, in pixels of the full image; `problem` says why there are none."""
-    margin = 0.25
 
     def work(row):
         o = SheetOptions.of(getattr(row, "extra", None))
         image = pixels_of(row)
         box = [int(v / row.ratio) for v in (row.x, row.y, row.w, row.h)]
-        cw, ch = int(box[2] * o.corner_ratio * margin), int(box[3] * o.corner_ratio * margin)
-        box = [max(0, box[0] - cw), max(0, box[1] - ch), box[2] + 2 * cw, box[3] + 2 * ch]
         box[2], box[3] = min(box[2], image.shape[1] - box[0]), min(box[3], image.shape[0] - box[1])
         try:
             return [(row.sheet_id, [{"x": x, "y": y} for x, y in locate_corners(image, box, o, finder)], None)]
@@ -391,22 +388,29 @@ def cutline_properties(sheets: DataFrame) -> DataFrame:
 def transform_points(points: DataFrame, gcps: DataFrame, inverse: bool = False) -> DataFrame:
     """Thin-plate spline of points (sheet_id, point_id, x, y) by the sheet's control points (sheet_id, gcps: px, py, x, y)."""
 
-    def work(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=["sheet_id", "point_id", "tx", "ty"])
-        g = right["gcps"].iloc[0]
-        pixel, world = np.array([[p["px"], p["py"]] for p in g]), np.array([[p["x"], p["y"]] for p in g])
-        spline = ThinPlate(world, pixel) if inverse else ThinPlate(pixel, world)
-        points = left[["x", "y"]].to_numpy()
-        t = spline(points)
-        known = dict(zip(map(tuple, (world if inverse else pixel).tolist()), (pixel if inverse else world).tolist(), strict=True))
-        for i, point in enumerate(map(tuple, points.tolist())):  # a control point has its own value to the last bit
-            if point in known:
-                t[i] = known[point]
-        return pd.DataFrame({"sheet_id": left["sheet_id"], "point_id": left["point_id"], "tx": t[:, 0], "ty": t[:, 1]})
-
     ThinPlate = K.ThinPlateSpline
-    return points.groupBy("sheet_id").cogroup(gcps.select(F.col("sheet_id").alias("_sheet"), "gcps").groupBy("_sheet")).applyInPandas(work, "sheet_id string, point_id long, tx double, ty double")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, spline, known = None, None, {}
+        for frame in frames:
+            ids, packed = frame["sheet_id"].to_numpy(), frame["gcps"].to_numpy()
+            xy, out = frame[["x", "y"]].to_numpy(float), np.empty((len(frame), 2))
+            edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)] if len(ids) else [0]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):  # rows of a sheet stand together, as the join sorts them
+                if ids[lo] != last or spline is None:
+                    g = packed[lo]
+                    pixel, world = np.array([[p["px"], p["py"]] for p in g], float), np.array([[p["x"], p["y"]] for p in g], float)
+                    source, target = (world, pixel) if inverse else (pixel, world)
+                    last, spline, known = ids[lo], ThinPlate(source, target), dict(zip(map(tuple, source.tolist()), target.tolist(), strict=True))
+                out[lo:hi] = spline(xy[lo:hi])
+                for i in range(lo, hi):  # a control point has its own value to the last bit
+                    own = known.get((xy[i, 0], xy[i, 1]))
+                    if own is not None:
+                        out[i] = own
+            yield pd.DataFrame({"sheet_id": frame["sheet_id"], "point_id": frame["point_id"], "tx": out[:, 0], "ty": out[:, 1]})
+
+    met = points.select("sheet_id", "point_id", "x", "y").join(gcps.select("sheet_id", "gcps").where(F.size("gcps") > 0).hint("merge"), "sheet_id")
+    return met.select("sheet_id", "point_id", "x", "y", "gcps").mapInPandas(run, "sheet_id string, point_id long, tx double, ty double")
 
 
 def remove_grid_lines(images: DataFrame, lines: DataFrame) -> DataFrame:

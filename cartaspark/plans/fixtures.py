@@ -18,7 +18,7 @@ SQL = {
     "redo_boxes": """SELECT 'dummy_' || CAST(s_suppkey AS STRING) AS sheet_id,
         CAST((s_suppkey * 97) % 3400 AS DOUBLE) / 10 - 170 + 0.021 AS west, CAST((s_suppkey * 61) % 1500 AS DOUBLE) / 10 - 75 + 0.023 AS south,
         CAST((s_suppkey * 97) % 3400 AS DOUBLE) / 10 - 170 + 1.221 AS east, CAST((s_suppkey * 61) % 1500 AS DOUBLE) / 10 - 75 + 0.923 AS north
-        FROM {supplier} WHERE s_suppkey < 20""",
+        FROM {supplier} WHERE s_suppkey % 100 < 20""",
     "bounds_old": """SELECT CAST(p_partkey AS STRING) AS sheet_id,
         '{{"type":"Point","coordinates":[' || CAST((p_partkey * 37) % 3400 AS STRING) || ',' || CAST((p_partkey * 53) % 1500 AS STRING) || ']}}' AS geom_json,
         CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE p_brand END AS digest FROM {part} WHERE p_partkey % 7 <> 0""",

@@ -11,7 +11,11 @@ from ..sources.scratch import materialise
 
 
 class MissingSheets(ValueError):
-    """Changed sheets that have no bounds."""
+    """Changed sheets that have no bounds; `sheets` (sheet_id) names all of them."""
+
+    def __init__(self, sheets: DataFrame, n: int, some: list[str]):
+        super().__init__(f"{n} sheets without bounds, among them {', '.join(some)}")
+        self.sheets = sheets
 
 
 def process_sheets(sheets: DataFrame, images: DataFrame, zoom: int, finder: S.Finder | None = None, done: DataFrame | None = None, grid_lines: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -19,20 +23,22 @@ def process_sheets(sheets: DataFrame, images: DataFrame, zoom: int, finder: S.Fi
 
     sheets: sheet_id, ring (closed, lon/lat, from upper left counter-clockwise), extra (JSON or null);
     images: sheet_id, height, width, data.  Sheets in `done` (sheet_id) are skipped.  Returns the stages
-    areas, rotations, corners, gcps, blocks, bounds and problems; nothing runs until one is used.
+    areas, rotations, corners, gcps, blocks, bounds and problems.  The deskewed images are written to the
+    shared folder once, as corners, warp and problems all read them; the rest runs when it is used.
+    Corners are sought on the image with its grid lines, many of them lie on crossings; what is warped
+    is the image without them.
     """
     todo = sheets if done is None else sheets.join(done.select("sheet_id"), "sheet_id", "left_anti")
     scans = S.fill_insets(images.join(todo.select("sheet_id", "extra"), "sheet_id"))
     areas = S.map_areas(scans)
     turns = S.rotations(areas)
-    upright = S.rotate_images(scans, turns)
+    upright = materialise(S.rotate_images(scans, turns), "upright")
     upright_areas = S.map_areas(upright)
-    if grid_lines is not None:
-        upright = S.remove_grid_lines(upright, grid_lines)
+    clean = upright if grid_lines is None else S.remove_grid_lines(upright, grid_lines)
     found = S.find_corners(upright, upright_areas, finder)
     good = found.where("problem is null").select("sheet_id", "corners")
     gcps = corners.control_points(todo.select("sheet_id", "ring"), good)
-    blocks = S.warp_to_tiles(upright, gcps, zoom)
+    blocks = S.warp_to_tiles(clean, gcps, zoom)
     digest = blocks.groupBy("sheet_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("/", "z", "x", "y", F.sha2("data", 256)))), ","), 256).alias("digest"))
     ring = F.transform("ring", lambda p: F.array(p["x"], p["y"]))
     geometry = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
@@ -52,9 +58,10 @@ def build_tiles(blocks: DataFrame, min_zoom: int, max_zoom: int, priority: DataF
 
 
 def check_changed(changed: DataFrame, sheets: DataFrame) -> None:
-    missing = [r[0] for r in R.missing_sheets(changed, sheets).orderBy("sheet_id").take(20)]
-    if missing:
-        raise MissingSheets(f"sheets without bounds: {', '.join(missing)}")
+    missing = R.missing_sheets(changed, sheets)
+    n = missing.count()
+    if n:
+        raise MissingSheets(missing, n, [r[0] for r in missing.orderBy("sheet_id").take(20)])
 
 
 def pull_list(sheets: DataFrame, changed: DataFrame, redo: DataFrame | None, zoom: int) -> DataFrame:

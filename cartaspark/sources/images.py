@@ -2,15 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .listing import sheet_id_of
 
 
+def _bgr(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data = []
+        for channels, raw in zip(batch.column(3).to_pylist(), batch.column(4), strict=True):
+            own = np.frombuffer(raw.as_buffer(), np.uint8).reshape(-1, channels)
+            data.append((np.repeat(own, 3, 1) if channels == 1 else own[:, :3]).tobytes())
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(data, pa.binary())], names=["sheet_id", "height", "width", "data"])
+
+
 def read_images(spark: SparkSession, folder: str, extension: str) -> DataFrame:
-    """Images that the JVM decodes (png, jpeg, gif, bmp), as BGR; images with other layouts are left out."""
-    rows = spark.read.format("image").option("dropInvalid", "true").option("pathGlobFilter", f"*{extension}").load(folder)
-    return rows.where("image.nChannels = 3").select(sheet_id_of(F.col("image.origin"), extension).alias("sheet_id"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.data").alias("data"))
+    """Images that the JVM decodes (png, jpeg, gif, bmp), as BGR: grey ones get three equal channels, alpha is left out.  See also image_problems."""
+    images = _images(spark, folder, extension).where("image.nChannels > 0")
+    other = images.where("image.nChannels <> 3").select("sheet_id", "image.height", "image.width", "image.nChannels", "image.data")
+    return images.where("image.nChannels = 3").select("sheet_id", "image.height", "image.width", "image.data").unionByName(other.mapInArrow(_bgr, "sheet_id string, height int, width int, data binary"))
+
+
+def image_problems(spark: SparkSession, folder: str, extension: str) -> DataFrame:
+    """sheet_id and problem of the files that cannot be decoded."""
+    return _images(spark, folder, extension).where("image.nChannels <= 0 or image is null").select("sheet_id", F.lit("not a readable image").alias("problem"))
+
+
+def _images(spark: SparkSession, folder: str, extension: str) -> DataFrame:
+    rows = spark.read.format("image").option("dropInvalid", "false").option("pathGlobFilter", f"*{extension}").load(folder)
+    return rows.select(sheet_id_of(F.col("image.origin"), extension).alias("sheet_id"), "image")
 
 
 def best_version(spark: SparkSession, versions: list[tuple[DataFrame, int]]) -> DataFrame:
