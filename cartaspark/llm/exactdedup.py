@@ -8,7 +8,9 @@ the next level and keeps the smallest (or largest) id of each digest.
 
 Equal digests are only *hits*.  Every hit is verified byte by byte against the text of the
 surviving row; rows that differ (a digest collision) are grouped anew among themselves until all
-rows are settled, so results are right for any digest function.
+rows are settled, so results are right for any digest function.  A Bloom filter of the repeated
+digests (about eight bits each, 16 MB at the most: a crowded one only lets more texts pass) is asked
+in the scan, so the texts of other rows do not move.
 
 A null text counts as empty.  Rows with equal ids are separate rows: all rows that carry the
 surviving id are kept.  A row without an id never survives a row that has one; if no row of a group
@@ -20,9 +22,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .jaccard import _needed, _passes
 from .shared import Scratch
 
 
@@ -100,31 +105,35 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", memtables: int = 4, dig
     found = log.drop("memtable").join(index.entries(), "digest")
     assigned = scratch.save(found, "assigned")
 
-    # byte verification of hits, against the surviving row of each digest
-    open_ = assigned.where("n > 1").select("doc_id", "digest", "keep_id")
+    # byte verification of hits, against the surviving row of each digest; a filter of the repeated digests
+    # stands before the shuffle, so that hardly another text moves
+    repeated = scratch.save(index.entries().where("n > 1").select("digest", "keep_id"), "repeated")
+    filter_ = spark.sparkContext.broadcast(_needed(repeated.select(F.xxhash64("digest").alias("doc_id")), repeated.count()))
+
+    @F.pandas_udf("boolean")
+    def may_repeat(h: pd.Series) -> pd.Series:
+        return pd.Series(_passes(filter_.value, h.to_numpy()))
+
+    own = rows.select("doc_id", digest(F.col("text")).alias("digest"), "text").where(may_repeat(F.xxhash64("digest")))
+    hits = scratch.save(own.join(repeated.hint("merge"), "digest").select("doc_id", "digest", "keep_id", "text"), "hits-0", 500)
     settled, round_ = [], 0
     while True:
-        hits = rows.join(open_.distinct().hint("merge"), "doc_id")  # texts move alike at every size
-        # once to the shared folder: survivors and the rows held against them come from the same texts
-        hits = scratch.save(hits.where(digest(F.col("text")) == F.col("digest")), f"hits-{round_}")  # ids may repeat with other texts
-        survivors = hits.where(F.col("doc_id") == F.col("keep_id")).groupBy("digest").agg(F.min("text").alias("keep_text"))
-        checked = hits.join(survivors.hint("merge"), "digest").select("doc_id", "digest", "keep_id", (F.col("text") == F.col("keep_text")).alias("same"))
-        checked = scratch.save(checked, f"checked-{round_}")
+        survivors = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("keep_text"))
+        same = F.col("text") == F.col("keep_text")
+        checked = hits.join(survivors.hint("merge"), "digest").select("doc_id", "digest", "keep_id", same.alias("same"), F.when(~same, F.col("text")).alias("text"))
+        checked = scratch.save(checked, f"checked-{round_}", 500)
         scratch.drop(f"hits-{round_}")
-        wrong = checked.where(~F.col("same"))
+        settled.append(checked.where("same").select("doc_id", "digest", "keep_id", F.lit(round_).alias("round")))
+        wrong = checked.where("not same")
         if wrong.isEmpty():
             break
-        settled.append(checked.where("same").select("doc_id", "digest", "keep_id"))
         best = wrong.groupBy("digest").agg((F.min if keep == "smallest" else F.max)("doc_id").alias("keep_id"))
-        open_ = scratch.save(wrong.select("doc_id", "digest").join(best, "digest").select("doc_id", "digest", "keep_id"), f"open-{round_}")
         round_ += 1
-    if settled:
-        settled.append(checked.select("doc_id", "digest", "keep_id"))
-        final = settled[0]
-        for more in settled[1:]:
-            final = final.unionByName(more)
-        sizes = final.groupBy("keep_id").agg(F.count("*").alias("n"))
-        final = final.join(sizes, "keep_id").select("digest", "doc_id", "keep_id", "n")
+        hits = scratch.save(wrong.select("doc_id", "digest", "text").join(best.hint("merge"), "digest").select("doc_id", "digest", "keep_id", "text"), f"hits-{round_}", 500)
+    if round_:
+        final = reduce(DataFrame.unionByName, settled)
+        sizes = final.groupBy("digest", "round").agg(F.count("*").alias("n"))  # one text a digest and round
+        final = final.join(sizes, ["digest", "round"]).select("digest", "doc_id", "keep_id", "n")
         assigned = assigned.where("n = 1").unionByName(final)
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
     return assigned.select("doc_id", "keep_id", F.col("n").alias("group_size"), kept.alias("kept"), "digest")

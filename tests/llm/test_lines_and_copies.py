@@ -123,3 +123,10 @@ def test_index_levels_merge(spark):
 def test_sha256_of_texts(make_docs):
     got = E.exact_dedup(make_docs([(1, "é"), (2, None)])).collect()
     assert {r[0]: bytes(r["digest"]).hex() for r in got} == {1: hashlib.sha256("é".encode()).hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
+
+
+def test_colliding_digests_of_rows_without_id(make_docs):
+    weak = lambda text: F.lit(b"x")
+    rows = [(None, "a"), (1, "b"), (2, "b"), (None, "c"), (None, "c"), (3, "d"), (None, "b")]
+    got = E.exact_dedup(make_docs(rows), "smallest", digest=weak).collect()
+    assert sorted((str(r[0]), str(r[1]), r[2], r[3]) for r in got) == sorted([("None", "None", 1, True), ("1", "1", 3, True), ("2", "1", 3, False), ("None", "1", 3, False), ("None", "None", 2, True), ("None", "None", 2, True), ("3", "3", 1, True)])
