@@ -272,7 +272,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
     placed = spark.sparkContext.broadcast(_segments(plan_bins(histogram, capacity)))
 
     inside = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "start")
-    numbered = bucketed.withColumn("_inside", F.row_number().over(inside) - 1).join(counts.drop("_n"), ["length", "_bucket"])
+    numbered = bucketed.withColumn("_inside", F.row_number().over(inside) - 1).join(counts.drop("_n").hint("merge"), ["length", "_bucket"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
