@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import Scratch
@@ -222,7 +223,7 @@ def decide(lines: list[int], kinds: list[int], texts: list[str], neighbours: lis
 
 
 LINES = "a1 long, a2 long, host string, path string, page_id long, url string, lines array<long>"
-PARSED = "a1 long, a2 long, page_id long, url string, texts array<string>, kinds array<int>, lines array<long>"
+PARSED = "a1 long, a2 long, page_id long, url string, texts binary, kinds array<int>, lines array<long>"
 RESULT = "page_id long, url string, text string, n_blocks int, n_shared int, n_overruled int"
 
 
@@ -237,20 +238,26 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=6)
     for batch in batches:
         texts, kinds, lines = [], [], []
         for page in batch.column(4):
             own = blocks(page.as_py() or "")
-            texts.append([t if k != CHROME_KIND else "" for t, k in own])  # chrome never stays, so its text need not move
+            # chrome never stays, so its text need not move; no block holds a newline
+            texts.append(pack.compress("\n".join(t if k != CHROME_KIND else "" for t, k in own).encode("utf-8", "surrogatepass")))
             kinds.append([k for _, k in own])
             lines.append([_line(t) for t, _ in own])
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32())), pa.array(lines, pa.list_(pa.int64()))], names=_names(PARSED))
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(texts, pa.binary()), pa.array(kinds, pa.list_(pa.int32())), pa.array(lines, pa.list_(pa.int64()))], names=_names(PARSED))
 
 
 def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         columns = [batch.column(i).to_pylist() for i in range(2, 6)]
-        out = [decide(line, kind, text, near or []) for text, kind, line, near in zip(*columns, strict=True)]
+        out = []
+        for packed, kind, line, near in zip(*columns, strict=True):
+            texts = unpack.decompress(packed).decode("utf-8", "surrogatepass").split("\n") if line else []
+            out.append(decide(line, kind, texts, near or []))
         columns = list(zip(*out, strict=True)) or [()] * 4
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(columns[0], pa.string()), *(pa.array(c, pa.int32()) for c in columns[1:])], names=_names(RESULT))
 
