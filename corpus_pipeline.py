@@ -2,8 +2,9 @@
 each group of near duplicates, drop benchmark passages, pack into training sequences.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of `documents`.  Null texts are treated as empty; each stage keeps rows whose id is null.  A
-document whose lines are all dropped stays with an empty text.
+of `documents`.  Null texts are treated as empty.  Rows without an id are documents like others; of
+near duplicates they stay only where no duplicate has an id.  A document whose lines are all dropped
+stays with an empty text.
 """
 
 from __future__ import annotations
