@@ -43,13 +43,13 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str, records: int = 2000) -> DataFrame:
-        """Write a table and return it as read back.  `records` bounds the rows of an Arrow batch meanwhile: few for wide rows."""
+    def save(self, df: DataFrame, name: str, records: int = 2000, by: str | None = None) -> DataFrame:
+        """Write a table (in folders of the values of `by`) and return it as read back.  `records` bounds the rows of an Arrow batch meanwhile: few for wide rows."""
         path = f"{self.root}/{name}"
         before = self.spark.conf.get(BATCH)
         self.spark.conf.set(BATCH, str(min(records, int(before)) if int(before) > 0 else records))
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            df.write.option("compression", "zstd").parquet(path, partitionBy=by)
         finally:
             self.spark.conf.set(BATCH, before)
         return self.spark.read.schema(df.schema).parquet(path)
