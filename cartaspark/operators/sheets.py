@@ -52,7 +52,14 @@ class SheetOptions:
     expect_band_count: int = 0
     corner_max_dist_ratio: float = 1.0
     corner_min_dist_ratio: float = 0.0
+    min_expected_points: int = 1
+    remove_corner_edges_ratio: float | None = None
     corner_erode: int = 0
+    min_corner_contour_area_ratio: float = 0.0
+    max_corner_contour_area_ratio: float | None = None
+    min_corner_dist_ratio: float = 0.0
+    pixel_adjustment: int = 0
+    picked_corner_max_dist_from_contour_ratio: float | None = None
     warp_resampling_method: str = "bilinear"
     warp_output_height: int = 6500
     jpeg_export_quality: int = 75
@@ -192,6 +199,20 @@ def _mask(image: np.ndarray, o: SheetOptions) -> np.ndarray:
     return K.colour_mask(image, o.line_color, COLOURS)
 
 
+def _without_edges(mask: np.ndarray, direction: tuple[int, int], o: SheetOptions) -> np.ndarray:
+    """The mask without the bands at its two outer edges, if the sheet asks for that; see raster.clear_corner_edges."""
+    if o.remove_corner_edges_ratio is None:
+        return mask
+    h, w = mask.shape
+    hd, wd = int(h * o.remove_corner_edges_ratio), int(w * o.remove_corner_edges_ratio)
+    out = mask.copy()
+    cols = slice(0, max(0, wd - 1)) if direction[0] > 0 else slice(max(0, w - wd + 1), max(0, w - 1))
+    rows = slice(0, hd + 1) if direction[1] > 0 else slice(max(0, h - hd + 1), max(0, h - 1))
+    out[:, cols] = 0
+    out[rows] = 0
+    return out
+
+
 def _anchor(shape: tuple, direction: tuple[int, int]) -> tuple[int, int]:
     return (shape[1] if direction[0] < 0 else 0), (shape[0] if direction[1] < 0 else 0)
 
@@ -212,7 +233,7 @@ def nearest_intersection(image, direction, anchor_angle, o, points=None, bounds=
     reach = [(np.hypot(p[0] - anchor[0], p[1] - anchor[1]) / diagonal, p) for p in points]
     if bounds:
         reach = [(d, p) for d, p in reach if o.corner_min_dist_ratio < d < o.corner_max_dist_ratio and _gap(anchor, p, anchor_angle) < o.max_corner_angle_diff_cutoff]
-    if not reach:
+    if len(reach) < max(1, o.min_expected_points if bounds else 1):
         raise NotFound("too few points")
     _, best = min(reach, key=lambda x: x[0])
     if _gap(anchor, best, anchor_angle) > o.max_corner_angle_diff:
@@ -238,7 +259,7 @@ def arms(mask: np.ndarray, x: int, y: int, factor: int, cwidth: int, threshold:
 
 def four_way(image, direction, anchor_angle, o):
     """The only crossing with four arms, with arm lengths growing until one is left."""
-    mask = _mask(image, o)
+    mask = _without_edges(_mask(image, o), direction, o)
     points = K.intersections(mask, o.find_line_scale, o.find_line_iter)
     for factor in (1, 2, 4, 8):
         found = [p for p in points if arms(mask, *p, factor, o.cwidth, o.ext_thresh) == 4]
@@ -249,29 +270,54 @@ def four_way(image, direction, anchor_angle, o):
     raise NotFound("several crossings with four arms")
 
 
-def _biggest_box(mask: np.ndarray, o: SheetOptions) -> np.ndarray:
+def _biggest(mask: np.ndarray, o: SheetOptions) -> tuple[list[int], np.ndarray]:
+    """Box and pixels of the component with the largest box below the allowed share of the window."""
     if o.corner_erode:
         mask = K.erode(mask, 2 * o.corner_erode + 1, 2 * o.corner_erode + 1)
     labels, n = K.label(mask)
     if not n:
         raise NotFound("no contour")
     found = K.boxes(labels, n)
-    return found[int((found[:, 2] * found[:, 3]).argmax())]
+    area = found[:, 2] * found[:, 3]
+    if o.max_corner_contour_area_ratio is not None:
+        area = np.where(area < o.max_corner_contour_area_ratio * mask.size, area, -1)
+    best = int(area.argmax())
+    if area[best] < 0:
+        raise NotFound("contours too large")
+    return found[best, :4].tolist(), labels == best + 1
 
 
 def biggest_contour_corner(image, direction, anchor_angle, o):
-    """The outer corner of the largest component's box."""
-    x, y, w, h, _ = _biggest_box(_mask(image, o), o).tolist()
+    """The outer corner of the largest component's box, moved by `pixel_adjustment` towards the map.
+
+    The box must have its least share of the window, and the corner its least distance (in diagonals)
+    from the window's.  With `picked_corner_max_dist_from_contour_ratio`, a corner too far from the
+    component is refused, and one off it moves towards the map by its distance from it.
+    """
+    mask = _without_edges(_mask(image, o), direction, o)
+    (x, y, w, h), on = _biggest(mask, o)
+    diagonal, anchor = float(np.hypot(*mask.shape)), _anchor(image.shape, direction)
+    if w * h < o.min_corner_contour_area_ratio * mask.size:
+        raise NotFound("contour too small")
     corner = (x if direction[0] > 0 else x + w, y if direction[1] > 0 else y + h)
-    if _gap(_anchor(image.shape, direction), corner, anchor_angle) > o.max_corner_angle_diff:
+    corner = tuple(v + o.pixel_adjustment * d for v, d in zip(corner, direction, strict=True))
+    if np.hypot(corner[0] - anchor[0], corner[1] - anchor[1]) / diagonal < o.min_corner_dist_ratio:
+        raise NotFound("corner too near to the window's")
+    if _gap(anchor, corner, anchor_angle) > o.max_corner_angle_diff:
         raise NotFound("angle too high")
+    if o.picked_corner_max_dist_from_contour_ratio is not None:
+        r, c = np.nonzero(on)
+        off = float(np.hypot(c - corner[0], r - corner[1]).min())
+        if off > o.picked_corner_max_dist_from_contour_ratio * diagonal:
+            raise NotFound("corner too far from the contour")
+        corner = tuple(v + off * d for v, d in zip(corner, direction, strict=True))
     return corner
 
 
 def contour_intersection(image, direction, anchor_angle, o):
     """The nearest crossing inside the largest component's box."""
     mask = _mask(image, o)
-    x, y, w, h, _ = _biggest_box(mask, o).tolist()
+    (x, y, w, h), _ = _biggest(mask, o)
     points = [p for p in K.intersections(mask, o.find_line_scale, o.find_line_iter) if x < p[0] < x + w and y < p[1] < y + h]
     return nearest_intersection(image, direction, anchor_angle, o, points, bounds=False)
 
@@ -440,7 +486,8 @@ TILE = "sheet_id string, z int, x long, y long, height int, width int, data bina
 def warp_to_tiles(images: DataFrame, gcps: DataFrame, zoom: int, size: int = 256) -> DataFrame:
     """Every sheet resampled to the web tiles that it touches: sheet_id, z, x, y, height, width, data (BGRA).
 
-    Pixels outside the ring of control points are transparent, and so are tiles' parts off the image.
+    Pixels outside both the ring of control points and the sheet's `pixel_cutlines` (rings on the upright
+    image) are transparent, and so are tiles' parts off the image.
     """
     world = 2 * np.pi * RADIUS
 
@@ -452,7 +499,12 @@ def warp_to_tiles(images: DataFrame, gcps: DataFrame, zoom: int, size: int = 256
         n = size << zoom
         place = np.column_stack([(merc[:, 0] / world + 0.5) * n, (0.5 - merc[:, 1] / world) * n])
         spline = K.ThinPlateSpline(place, pixel)
-        lo, hi = np.floor(place.min(0) / size).astype(int), np.floor((place.max(0) - 1e-9) / size).astype(int)
+        more, reach = np.zeros(image.shape[:2], bool), [place]
+        for ring in o.pixel_cutlines:
+            more |= K.fill_polygon(*image.shape[:2], np.array(ring, float))
+            reach.append(K.ThinPlateSpline(pixel, place)(np.array(ring, float)))
+        reach = np.concatenate(reach)
+        lo, hi = np.floor(reach.min(0) / size).astype(int), np.floor((reach.max(0) - 1e-9) / size).astype(int)
         out = []
         for ty in range(lo[1], hi[1] + 1):
             for tx in range(lo[0], hi[0] + 1):
@@ -461,6 +513,9 @@ def warp_to_tiles(images: DataFrame, gcps: DataFrame, zoom: int, size: int = 256
                 px, py = at[:, 0].reshape(size, size), at[:, 1].reshape(size, size)
                 colour = K.sample(image, px, py, o.warp_resampling_method)
                 inside = K.fill_polygon(size, size, place - (tx * size + 0.5, ty * size + 0.5))
+                if o.pixel_cutlines:
+                    r, c = (np.clip(np.rint(v), 0, k - 1).astype(int) for v, k in ((py, image.shape[0]), (px, image.shape[1])))
+                    inside |= more[r, c]
                 inside &= (px > -0.5) & (px < image.shape[1] - 0.5) & (py > -0.5) & (py < image.shape[0] - 0.5)
                 tile = np.dstack([colour, np.where(inside, 255, 0).astype(np.uint8)])
                 tile[~inside] = 0

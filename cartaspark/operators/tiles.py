@@ -46,18 +46,34 @@ def mosaic(parts: DataFrame, priority: DataFrame | None = None, size: int = 256)
     return dealt.mapInPandas(paint, TILE)
 
 
-def overview_tiles(tiles: DataFrame, size: int = 256) -> DataFrame:
-    """Parent tiles of all given tiles: means of 2 x 2 pixels weighted by alpha; missing children are transparent."""
+def halving(size: int, resampling: str) -> np.ndarray:
+    """The weights (size x 2 size) with which a row of 2 size pixels becomes one of size: mean of two, or Lanczos with three lobes."""
+    if resampling == "mean":
+        return np.repeat(np.eye(size), 2, 1) / 2
+    if resampling != "lanczos":
+        raise ValueError(f"unknown resampling {resampling}; known: mean, lanczos")
+    away = (np.arange(2 * size)[None, :] - (2 * np.arange(size)[:, None] + 0.5)) / 2
+    weights = np.where(np.abs(away) < 3, np.sinc(away) * np.sinc(away / 3), 0)
+    return weights / weights.sum(1, keepdims=True)
+
+
+def overview_tiles(tiles: DataFrame, size: int = 256, resampling: str = "mean") -> DataFrame:
+    """Parent tiles of all given tiles, colours weighted by alpha; missing children are transparent.
+
+    Like the children of a tile, its kernel ends at the tile's edge.
+    """
+    weights = halving(size, resampling)
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         whole = np.zeros((2 * size, 2 * size, 4))
         for x, y, data in zip(rows["x"], rows["y"], rows["data"], strict=True):
             r, c = (int(y) & 1) * size, (int(x) & 1) * size
             whole[r : r + size, c : c + size] = np.frombuffer(data, np.uint8).reshape(size, size, 4)
-        quads = whole.reshape(size, 2, size, 2, 4)
-        alpha = quads[..., 3:].sum((1, 3))
-        colour = (quads[..., :3] * quads[..., 3:]).sum((1, 3)) / np.maximum(alpha, 1)
-        out = np.rint(np.concatenate([colour, alpha / 4], -1)).astype(np.uint8)
+        whole[..., :3] *= whole[..., 3:]
+        small = np.einsum("ir,rck,jc->ijk", weights, whole, weights, optimize=True)
+        alpha = np.clip(small[..., 3:], 0, 255)
+        colour = np.where(alpha > 0, small[..., :3] / np.maximum(alpha, 0.25), 0)
+        out = np.rint(np.clip(np.concatenate([colour, alpha], -1), 0, 255)).astype(np.uint8)
         return pd.DataFrame([(*map(int, key), out.tobytes())], columns=[*KEY, "data"])
 
     up = tiles.select((F.col("z") - 1).cast("int").alias("pz"), F.shiftright("x", 1).alias("px"), F.shiftright("y", 1).alias("py"), "x", "y", "data")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import bounds, corners, retile as R, sheets as S, tiles as T
+from ..sources import geojson, tilestore
 from ..sources.scratch import materialise
 
 
@@ -47,16 +48,38 @@ def process_sheets(sheets: DataFrame, images: DataFrame, zoom: int, finder: S.Fi
     return {"areas": areas, "rotations": turns, "corners": found, "gcps": gcps, "blocks": blocks, "bounds": exported, "problems": problems}
 
 
-def build_tiles(blocks: DataFrame, min_zoom: int, max_zoom: int, priority: DataFrame | None = None, size: int = 256) -> DataFrame:
+def build_tiles(blocks: DataFrame, min_zoom: int, max_zoom: int, priority: DataFrame | None = None, size: int = 256, resampling: str = "mean") -> DataFrame:
     """A full pyramid from blocks at max_zoom, without wholly transparent tiles."""
     level = materialise(T.mosaic(blocks.where(F.col("z") == max_zoom), priority, size), "level")
     levels = [level]
     for _ in range(max_zoom - min_zoom):  # as many rounds as zoom levels; each is read twice
-        level = materialise(T.overview_tiles(level, size), "level")
+        level = materialise(T.overview_tiles(level, size, resampling), "level")
         levels.append(level)
     return T.drop_transparent(reduce(DataFrame.unionByName, levels))
 
 
+def tile(blocks: DataFrame, path: str, name: str, description: str, attribution: str, max_zoom: int, min_zoom: int = 0, extension: str = "png", priority: DataFrame | None = None, size: int = 256, resampling: str = "lanczos") -> DataFrame:
+    """Build a pyramid from blocks, encode it, write it as a tile store; returns its metadata (one row `value`), also written under `path`/_metadata."""
+    kind = tilestore.tile_format(extension)
+    if kind != "png":
+        raise ValueError(f"no codec for {kind} at hand; only png tiles can be written")
+    tiles = T.encode_png(build_tiles(blocks, min_zoom, max_zoom, priority, size, resampling), size)
+    tilestore.write_store(tiles, path)
+    about = [F.lit(v) for v in (name, description, attribution, kind, "1", min_zoom, max_zoom)]
+    value = blocks.sparkSession.range(1).select(tilestore.metadata_json(*about).alias("value"))
+    value.coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}/_metadata")
+    return value
+
+
+def collect_bounds(spark: SparkSession, folder: str, base: str | None = None, delete_ids: list[str] | None = None) -> DataFrame:
+    """The features of a folder of `.geojsonl` files over those of an earlier collection (a path), of which the deleted ids are left out."""
+    if delete_ids and base is None:
+        raise ValueError("ids can only be deleted from an earlier collection")
+    old = None if base is None else geojson.read_collection(spark, base)
+    gone = spark.createDataFrame([(i,) for i in delete_ids], "sheet_id string") if delete_ids else None
+    return bounds.upsert_bounds(geojson.read_feature_files(spark, folder), old, gone)
+
+
 def check_changed(changed: DataFrame, sheets: DataFrame) -> None:
     missing = R.missing_sheets(changed, sheets)
     n = missing.count()
@@ -69,7 +92,7 @@ def pull_list(sheets: DataFrame, changed: DataFrame, redo: DataFrame | None, zoo
     return R.requirements(sheets, changed, redo, zoom)[0]
 
 
-def retile(sheets: DataFrame, changed: DataFrame, redo: DataFrame | None, blocks: DataFrame, archive: DataFrame, min_zoom: int, max_zoom: int, priority: DataFrame | None = None, size: int = 256) -> DataFrame:
+def retile(sheets: DataFrame, changed: DataFrame, redo: DataFrame | None, blocks: DataFrame, archive: DataFrame, min_zoom: int, max_zoom: int, priority: DataFrame | None = None, size: int = 256, resampling: str = "mean") -> DataFrame:
     """The tiles that a change replaces, all zoom levels.
 
     Base tiles are painted again from the blocks of all sheets that touch them; an affected tile that no
@@ -85,19 +108,17 @@ def retile(sheets: DataFrame, changed: DataFrame, redo: DataFrame | None, blocks
     siblings = materialise(R.sibling_tiles(affected, max_zoom, min_zoom), "siblings")
     for z in range(max_zoom - 1, min_zoom - 1, -1):
         old = R.copy_plan(siblings.where(F.col("z") == z + 1), level, archive.where(F.col("z") == z + 1)).select("z", "x", "y", "data")
-        level = materialise(T.overview_tiles(level.unionByName(old), size), "level")
+        level = materialise(T.overview_tiles(level.unionByName(old), size, resampling), "level")
         levels.append(level)
     return reduce(DataFrame.unionByName, levels)
 
 
-def update_tileset(old_bounds: DataFrame, new_bounds: DataFrame, blocks: DataFrame, archive: DataFrame, min_zoom: int, max_zoom: int, priority: DataFrame | None = None, size: int = 256) -> DataFrame:
+def update_tileset(old_bounds: DataFrame, new_bounds: DataFrame, blocks: DataFrame, archive: DataFrame, min_zoom: int, max_zoom: int, priority: DataFrame | None = None, size: int = 256, resampling: str = "mean") -> DataFrame:
     """Compare two snapshots of bounds and return the whole updated tile set; the archive itself if nothing changed."""
-    from ..sources.geojson import boxes_of
-
-    redo = boxes_of(bounds.diff_bounds(old_bounds, new_bounds).withColumn("sheet_id", F.concat(F.lit("dummy_"), F.xxhash64("sheet_id", "reason").cast("string"))))
+    redo = geojson.boxes_of(bounds.diff_bounds(old_bounds, new_bounds).withColumn("sheet_id", F.concat(F.lit("dummy_"), F.xxhash64("sheet_id", "reason").cast("string"))))
     redo = materialise(redo, "redo")
     if redo.isEmpty():
         return archive
     nothing = new_bounds.select("sheet_id").limit(0)
-    fresh = retile(boxes_of(new_bounds), nothing, redo, blocks, archive, min_zoom, max_zoom, priority, size)
+    fresh = retile(geojson.boxes_of(new_bounds), nothing, redo, blocks, archive, min_zoom, max_zoom, priority, size, resampling)
     return R.merged_archive(T.with_transparency(fresh), T.with_transparency(archive.select("z", "x", "y", "data"))).drop("is_transparent")

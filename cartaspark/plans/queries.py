@@ -532,8 +532,10 @@ def metadata_json(spark, sf):
 
 @query("px", "SELECT sheet_id, bool_or(v >= 200) AS visible FROM px GROUP BY sheet_id HAVING bool_or(v >= 200)")
 def transparent_filter(spark, sf):
-    rows = relation(spark, sf, "px").groupBy("sheet_id").agg(F.bool_or(F.col("v") >= 200).alias("visible"))
-    return rows.where("visible")
+    """Images as tiles that are opaque where a value is 200 or more; wholly transparent ones go."""
+    rows = relation(spark, sf, "px").groupBy("sheet_id").agg(F.array_sort(F.collect_list(F.struct("r", "c", "v"))).alias("p"))  # 64 pixels an image
+    alpha = F.transform("p", lambda p: F.when(p["v"] >= 200, "000000FF").otherwise("00000000"))
+    return T.drop_transparent(rows.select("sheet_id", F.unhex(F.array_join(alpha, "")).alias("data"))).select("sheet_id", F.lit(True).alias("visible"))
 
 
 @query("sheet_events", "SELECT op, count(*) AS n, count(DISTINCT sheet_id) AS n_sheets FROM sheet_events GROUP BY op")

@@ -1,7 +1,8 @@
-"""Tile stores: Parquet tables partitioned by zoom, and foreign z/x/y folders."""
+"""Tile stores: versioned Parquet tables partitioned by zoom, and foreign z/x/y folders."""
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,23 +18,38 @@ def tile_format(extension: str) -> str:
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """z, x, y and the other columns of a store; a filter on z reads only that zoom's files."""
-    return spark.read.parquet(path)
+    """z, x, y and the other columns of a store's last version; a filter on z reads only that zoom's files.
+
+    A folder without versions is read as a plain Parquet table.
+    """
+    found = _versions(spark, path)
+    return spark.read.parquet(f"{path.rstrip('/')}/v{max(found)}" if found else path)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [entry.getPath().getName() for entry in fs.listStatus(at)] if fs.exists(at) else []
+    return [int(name[1:]) for name in names if re.fullmatch(r"v\d+", name)]
 
 
 def write_store(tiles: DataFrame, path: str) -> None:
-    """Write beside the old store, then swap: a reader never sees half a store, a failed run changes nothing."""
+    """Write a new version; one rename makes it visible, so a reader always finds a whole store and a failed run changes nothing.
+
+    The version before stays for those who still read it; older ones are deleted.
+    """
     spark = tiles.sparkSession
-    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    root = path.rstrip("/")
+    fresh = f"{root}/_new-{uuid.uuid4().hex}"
     tiles.repartition("z", "x").sortWithinPartitions("x", "y").write.partitionBy("z").parquet(fresh)
     jvm = spark.sparkContext._jvm
-    at, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
+    before = _versions(spark, path)
+    new, at = jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(f"{root}/v{max(before, default=0) + 1}")
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = jvm.org.apache.hadoop.fs.Path(f"{fresh}.old")
-    if fs.exists(at):
-        fs.rename(at, old)
-    fs.rename(new, at)
-    fs.delete(old, True)
+    if fs.exists(at) or not fs.rename(new, at):
+        raise RuntimeError(f"another writer made {at} meanwhile")
+    for old in sorted(before)[:-1]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/v{old}"), True)
 
 
 def read_folder(spark: SparkSession, folder: str, extension: str) -> DataFrame:

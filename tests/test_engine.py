@@ -111,6 +111,14 @@ def test_store_swap_and_reading(spark, tmp_path):
     tilestore.write_store(tiles, path)
     tilestore.write_store(tiles.where("z = 1"), path)
     assert tilestore.read_store(spark, path).count() == 1
+    former = tilestore.read_store(spark, path)
+    tilestore.write_store(tiles, path)
+    assert former.count() == 1 and tilestore.read_store(spark, path).count() == 2  # a reader of the version before goes on
+    tilestore.write_store(tiles, path)
+    assert sorted(p.name for p in (tmp_path / "store").iterdir()) == ["v3", "v4"]
+    with pytest.raises(Exception, match="broken"):
+        tilestore.write_store(tiles.withColumn("data", F.raise_error(F.lit("broken"))), path)
+    assert tilestore.read_store(spark, path).count() == 2
     (tmp_path / "f/2/3").mkdir(parents=True)
     (tmp_path / "f/2/3/1.png").write_bytes(b"x")
     assert tuple(one(tilestore.read_folder(spark, f"file://{tmp_path}/f", "png")))[:3] == (2, 3, 1)
@@ -263,6 +271,81 @@ def test_finders_on_one_corner():
         H.nearest_intersection(np.full((60, 60, 3), 255, np.uint8), (1, 1), 45.0, o)
 
 
+def test_rules_of_the_largest_contour():
+    find = lambda image, direction=(1, 1), angle=45.0, **o: H.biggest_contour_corner(image, direction, angle, H.SheetOptions(max_corner_angle_diff=60, **o))
+    image = np.full((60, 60, 3), 255, np.uint8)
+    image[20:40, 20:40] = 0
+    image[50:52, 50:52] = 0
+    assert find(image) == (20, 20) and find(image, (-1, -1), -135.0) == (40, 40)
+    assert find(image, pixel_adjustment=3) == (23, 23)
+    assert find(image, max_corner_contour_area_ratio=0.05) == (50, 50)  # the box of 400 of 3,600 pixels is too large
+    assert find(image, picked_corner_max_dist_from_contour_ratio=0.1) == (20, 20)
+    for o in ({"min_corner_contour_area_ratio": 0.2}, {"max_corner_contour_area_ratio": 0.0005}, {"min_corner_dist_ratio": 0.4}):
+        with pytest.raises(H.NotFound):
+            find(image, **o)
+    cross = np.full((60, 60, 3), 255, np.uint8)
+    cross[30, 10:] = cross[10:, 30] = 0  # the box's corner lies 20 pixels off both lines
+    assert find(cross, picked_corner_max_dist_from_contour_ratio=0.5) == (30.0, 30.0)
+    with pytest.raises(H.NotFound):
+        find(cross, picked_corner_max_dist_from_contour_ratio=0.1)
+    framed = image.copy()
+    framed[:5] = framed[:, :4] = 0  # bands of int(0.1 * 60) pixels: columns [0, 5), rows [0, 7)
+    assert find(framed) == (0, 0) and find(framed, remove_corner_edges_ratio=0.1) == (20, 20)
+
+
+def test_least_number_of_points():
+    image = np.full((60, 60, 3), 255, np.uint8)
+    image[30, 10:] = image[10:, 25] = 0
+    for least, ok in ((1, True), (2, False)):
+        o = H.SheetOptions(find_line_scale=3, find_line_iter=0, max_corner_angle_diff=60, max_corner_angle_diff_cutoff=60, min_expected_points=least)
+        if ok:
+            assert H.nearest_intersection(image, (1, 1), 45.0, o) == (25, 30)
+        else:
+            with pytest.raises(H.NotFound):
+                H.nearest_intersection(image, (1, 1), 45.0, o)
+
+
+def test_pixel_cutlines_widen_the_sheet(spark):
+    image = np.full((40, 40, 3), 7, np.uint8)
+    gcps = spark.createDataFrame([("a", [(10.0, 10.0, 10.0, 20.0), (10.0, 30.0, 10.0, 10.0), (30.0, 30.0, 20.0, 10.0), (30.0, 10.0, 20.0, 20.0)])], "sheet_id string, gcps array<struct<px:double,py:double,x:double,y:double>>")
+    shown = []
+    for extra in (None, '{"pixel_cutlines": [[[28, 12], [38, 12], [38, 28], [28, 28]]]}'):
+        images = spark.createDataFrame([("a", 40, 40, bytearray(image.tobytes()), extra)], H.IMAGE + ", extra string")
+        blocks = H.warp_to_tiles(images, gcps, 4, 64).collect()
+        shown.append(sum(int((np.frombuffer(r["data"], np.uint8)[3::4] > 0).sum()) for r in blocks))
+    assert 1.2 < shown[1] / shown[0] < 1.5  # 20 x 20 pixels and 8 x 16 more
+
+
+def test_halving():
+    for way in ("mean", "lanczos"):
+        m = T.halving(8, way)
+        assert np.allclose(m.sum(1), 1) and np.allclose(m, m[::-1, ::-1])
+    assert (T.halving(8, "lanczos") < 0).any()
+    with pytest.raises(ValueError):
+        T.halving(8, "cubic")
+
+
+def test_tile_and_collect_bounds(spark, tmp_path):
+    blocks = spark.createDataFrame([("a", 1, 0, 0, tile((1, 2, 3), 255)), ("b", 1, 1, 1, tile((5, 5, 5), 0))], "sheet_id string, z int, x long, y long, data binary")
+    path = f"file://{tmp_path}/tiles"
+    about = json.loads(one(P.tile(blocks, path, "n", "d", "a", max_zoom=1, size=4))["value"])
+    assert (about["format"], about["minzoom"], about["maxzoom"], about["name"]) == ("png", 0, 1, "n")
+    got = tilestore.read_store(spark, path).collect()
+    assert sorted((r["z"], r["x"], r["y"]) for r in got) == [(0, 0, 0), (1, 0, 0)] and all(bytes(r["data"]).startswith(b"\x89PNG") for r in got)
+    with pytest.raises(ValueError):
+        P.tile(blocks, path, "n", "d", "a", max_zoom=1, extension="webp")
+
+    feature = lambda i, x: {"type": "Feature", "properties": {"id": i}, "geometry": {"type": "Point", "coordinates": [x, 0]}}
+    collection(tmp_path / "old.geojson", [feature("p", 1), feature("q", 1), feature("r", 1)])
+    (tmp_path / "parts").mkdir()
+    (tmp_path / "parts/q.geojsonl").write_text(json.dumps(feature("q", 2)))
+    found = P.collect_bounds(spark, f"file://{tmp_path}/parts", f"file://{tmp_path}/old.geojson", ["r"])
+    assert sorted((r["sheet_id"], json.loads(r["geom_json"])["coordinates"][0]) for r in found.collect()) == [("p", 1), ("q", 2)]
+    assert P.collect_bounds(spark, f"file://{tmp_path}/parts").count() == 1
+    with pytest.raises(ValueError):
+        P.collect_bounds(spark, f"file://{tmp_path}/parts", None, ["r"])
+
+
 def test_corners_of_a_polygon():
     image = scanned_sheet()
     ring = np.array([(81, 61), (81, 340), (418, 340), (418, 61)])
