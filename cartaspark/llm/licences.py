@@ -10,7 +10,7 @@
 
 Words are runs of letters and digits, lower-cased; dots inside version numbers are kept apart as
 words of their own digits, so ``2.0`` is two words.  Names, years and holders are not part of the
-known sentences.  Null and empty texts have no match.  Repeated rows give repeated matches.  Extra
+known sentences.  Null and empty texts have no match.  Rows without an id are scanned too.  Repeated rows give repeated matches.  Extra
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -30,6 +31,9 @@ SENTENCES = {
     "apache2-copy": "You may obtain a copy of the License at",
     "apache2-asis": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied',
     "apache2-see": "See the License for the specific language governing permissions and limitations under the License",
+    "apache2-title": "Apache License Version 2.0, January 2004",
+    "apache2-terms": "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "apache2-means": '"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document',
     "apache2-the": "Licensed under the Apache License, Version 2.0 (the \"License\")",
     "mit-released": "Released under the MIT License",
     "mit-licensed": "Licensed under the MIT License",
@@ -46,6 +50,21 @@ SENTENCES = {
     "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
     "gpl-details": "See the GNU General Public License for more details",
+    "gpl2-only-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "gpl3-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gpl2-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "lgpl3-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "lgpl21-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "agpl3-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "gnu-verbatim": "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed",
+    "gnu-freedom": "The licenses for most software are designed to take away your freedom to share and change it",
+    "gpl3-copyleft": "The GNU General Public License is a free, copyleft license for software and other kinds of works",
+    "agpl3-copyleft": "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software",
+    "lgpl3-incorporates": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "lgpl-details": "See the GNU Lesser General Public License for more details",
+    "agpl-details": "See the GNU Affero General Public License for more details",
     "lgpl3-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version",
     "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -53,9 +72,31 @@ SENTENCES = {
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "bsd-asis": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED',
+    "bsd-advertising": "All advertising materials mentioning features or use of this software must display the following acknowledgement",
     "bsd3-licensed": "Licensed under the BSD 3-Clause License",
     "bsd2-licensed": "Licensed under the BSD 2-Clause License",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-asis": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS',
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "zlib-asis": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-liable": "In no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "zlib-origin": "The origin of this software must not be misrepresented; you must not claim that you wrote the original software",
+    "zlib-altered": "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software",
+    "zlib-notice": "This notice may not be removed or altered from any source distribution",
+    "bsl1-distributed": "Distributed under the Boost Software License, Version 1.0",
+    "bsl1-title": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "bsl1-grant": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following',
+    "cc0-title": "CC0 1.0 Universal",
+    "cc0-waived": "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work",
+    "epl2-title": "Eclipse Public License - v 2.0",
+    "epl2-terms": 'THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE ("AGREEMENT")',
+    "epl2-acceptance": "ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT",
+    "epl2-available": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "artistic2-title": "The Artistic License 2.0",
+    "mpl2-title": "Mozilla Public License Version 2.0",
+    "mpl2-contributor": '"Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software',
+    "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at",
     "mpl2-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "cc-by-4": "Licensed under CC BY 4.0",
     "cc-by-sa-4": "Licensed under CC BY-SA 4.0",
@@ -67,12 +108,14 @@ SENTENCES = {
     "cc-by-sa-4-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "cc-by-nc-4-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
     "unlicense-free": "This is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
     "reserved": "All rights reserved",
 }
 #: Rules: (licence, rule, sentences in order).  Long forms come with their short notices as rules of their own.
 RULES = [
     ("Apache-2.0", "notice", ["apache2-notice"]),
     ("Apache-2.0", "header", ["apache2-the", "apache2-use", "apache2-copy", "apache2-asis", "apache2-see"]),
+    ("Apache-2.0", "text", ["apache2-title", "apache2-terms", "apache2-means"]),
     ("Apache-2.0", "named", ["apache2-the"]),
     ("MIT", "released", ["mit-released"]),
     ("MIT", "licensed", ["mit-licensed"]),
@@ -89,13 +132,37 @@ RULES = [
     ("GPL-3.0-or-later", "notice", ["gpl-free", "gpl-hope", "gpl-details"]),
     ("GPL-2.0-or-later", "free", ["gpl2-free"]),
     ("GPL-2.0-or-later", "notice", ["gpl2-free", "gpl-hope", "gpl-details"]),
+    ("GPL-2.0-only", "free", ["gpl2-only-free"]),
+    ("GPL-2.0-only", "notice", ["gpl2-only-free", "gpl-hope", "gpl-details"]),
+    ("GPL-3.0", "text", ["gpl3-title", "gnu-verbatim", "gpl3-copyleft"]),
+    ("GPL-2.0", "text", ["gpl2-title", "gnu-verbatim", "gnu-freedom"]),
+    ("LGPL-3.0", "text", ["lgpl3-title", "gnu-verbatim", "lgpl3-incorporates"]),
+    ("LGPL-2.1", "text", ["lgpl21-title", "gnu-verbatim", "gnu-freedom"]),
+    ("AGPL-3.0", "text", ["agpl3-title", "gnu-verbatim", "agpl3-copyleft"]),
     ("LGPL-3.0-or-later", "free", ["lgpl3-free"]),
+    ("LGPL-3.0-or-later", "notice", ["lgpl3-free", "lgpl-hope", "lgpl-details"]),
+    ("LGPL-2.1-or-later", "free", ["lgpl21-free"]),
+    ("LGPL-2.1-or-later", "notice", ["lgpl21-free", "lgpl-hope", "lgpl-details"]),
     ("AGPL-3.0-or-later", "free", ["agpl3-free"]),
+    ("AGPL-3.0-or-later", "notice", ["agpl3-free", "gpl-hope", "agpl-details"]),
     ("BSD-2-Clause", "text", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-asis"]),
     ("BSD-3-Clause", "text", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-asis"]),
+    ("BSD-4-Clause", "text", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-advertising"]),
     ("BSD-3-Clause", "licensed", ["bsd3-licensed"]),
     ("BSD-2-Clause", "licensed", ["bsd2-licensed"]),
     ("ISC", "grant", ["isc-grant"]),
+    ("ISC", "text", ["isc-grant", "isc-asis"]),
+    ("0BSD", "grant", ["0bsd-grant"]),
+    ("Zlib", "text", ["zlib-asis", "zlib-liable", "zlib-grant", "zlib-origin", "zlib-altered", "zlib-notice"]),
+    ("BSL-1.0", "distributed", ["bsl1-distributed"]),
+    ("BSL-1.0", "text", ["bsl1-title", "bsl1-grant"]),
+    ("CC0-1.0", "title", ["cc0-title"]),
+    ("CC0-1.0", "waived", ["cc0-waived"]),
+    ("EPL-2.0", "text", ["epl2-title", "epl2-terms", "epl2-acceptance"]),
+    ("EPL-2.0", "available", ["epl2-available"]),
+    ("Artistic-2.0", "text", ["artistic2-title", "gnu-verbatim"]),
+    ("MPL-2.0", "text", ["mpl2-title", "mpl2-contributor"]),
+    ("MPL-2.0", "notice", ["mpl2-subject", "mpl2-copy"]),
     ("MPL-2.0", "subject", ["mpl2-subject"]),
     ("CC-BY-4.0", "licensed", ["cc-by-4"]),
     ("CC-BY-4.0", "work", ["cc-by-4-long"]),
@@ -107,8 +174,13 @@ RULES = [
     ("CC-BY-NC-SA-4.0", "licensed", ["cc-by-nc-sa-4"]),
     ("CC-BY-NC-ND-4.0", "licensed", ["cc-by-nc-nd-4"]),
     ("Unlicense", "free", ["unlicense-free"]),
+    ("Unlicense", "text", ["unlicense-free", "unlicense-anyone"]),
     ("all-rights-reserved", "notice", ["reserved"]),
 ]
+# Names of licences in file headers; each gives a sentence and a rule of its own.
+NAMED = ["0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "EPL-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0", "Unlicense", "Zlib"]
+SENTENCES |= {f"spdx-{name}": f"SPDX-License-Identifier: {name}" for name in NAMED}
+RULES += [(name, "identifier", [f"spdx-{name}"]) for name in NAMED]
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -198,7 +270,8 @@ class RuleSet:
         at = [i]
         for want in ids[1:]:
             for j in range(at[-1] + 1, len(found)):
-                if len(_WORD.findall(text, found[at[-1]][2], found[j][1])) > self.max_gap:
+                between = _WORD.finditer(text, found[at[-1]][2], found[j][1])
+                if next(islice(between, self.max_gap, None), None):
                     return None
                 if found[j][0] == want:
                     at.append(j)

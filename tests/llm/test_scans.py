@@ -58,7 +58,7 @@ def test_every_overlap_within_the_bound_is_found(spark, make_docs):
         add(8, {k})
     assert len(want) == 10
     for n in items:
-        for _ in range(150):
+        for _ in range(300):
             add(n, set(rng.sample(range(n), rng.randrange(n // 3 + 1))))
     table = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]): r["n_equal"] for r in D.find_overlaps(make_docs(rows), table).collect()} == want
@@ -225,3 +225,83 @@ def test_differencing_takes_part_on_the_given_pages(spark):
 
     found = op4_html_extraction(spark, "/root/testdata/sf0.01").agg(F.sum("n_blocks"), F.sum("n_shared"), F.sum("n_overruled")).first()
     assert 0 < found[1] < found[0] and found[2] < found[0]  # hardly a block of these pages comes again on the next
+
+
+def brute_licences(text, sentences, rules, max_gap):
+    """Every sentence tried at every word, every rule at every sentence."""
+    import re
+
+    words = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text)]
+    mark = lambda gap, marks: any(c in marks for c in gap)
+    gaps = [text[(words[i - 1][2] if i else 0) : words[i][1]] for i in range(len(words))] + [text[words[-1][2] :] if words else ""]
+    known = {name: [w.lower() for w in re.findall(r"[^\W_]+", s)] for name, s in sentences.items()}
+    found, i = [], 0
+    while i < len(words):
+        fits = [(len(ws), name) for name, ws in known.items() if [w for w, _, _ in words[i : i + len(ws)]] == ws and (i + len(ws) == len(words) or mark(gaps[i + len(ws)], "\n.!?;:,("))]
+        if fits and (i == 0 or mark(gaps[i], "\n.!?;:")):
+            n, name = max(fits)
+            found.append((name, i, i + n))
+            i += n
+        else:
+            i += 1
+    options = []
+    for licence, rule, ids in rules:
+        for start in range(len(found)):
+            at, j = [start], start
+            while len(at) < len(ids) and j + 1 < len(found):
+                j += 1
+                if found[j][1] - found[at[-1]][2] > max_gap:
+                    break
+                if found[j][0] == ids[len(at)]:
+                    at.append(j)
+            if found[start][0] == ids[0] and len(at) == len(ids):
+                options.append((-len(ids), words[found[start][1]][1], licence, rule, words[found[at[-1]][2] - 1][2], at))
+    taken, out = set(), []
+    for n, start, licence, rule, end, at in sorted(options):
+        if taken.isdisjoint(at):
+            taken.update(at)
+            out.append((licence, rule, start, end, -n))
+    return sorted(out, key=lambda m: (m[2], m[3], m[0], m[1]))
+
+
+def test_licence_rules_against_brute_force():
+    import random
+
+    from cartaspark.llm import licences
+
+    rng, names, scanner = random.Random(5), sorted(licences.SENTENCES), licences.RuleSet(max_gap=20)
+    hits = 0
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            ids = list(rng.choice(licences.RULES)[2])
+            if rng.random() < 0.3:
+                rng.shuffle(ids)
+            if rng.random() < 0.3:
+                ids.insert(rng.randrange(len(ids) + 1), rng.choice(names))
+            for name in ids:
+                parts.append(rng.choice((str, str.upper))(licences.SENTENCES[name]).replace(" ", rng.choice((" ", "\n  "))))
+                parts.append(" ".join(["filler"] * rng.choice((0, 0, 3, 19, 20, 21, 40))))
+        text = rng.choice((". ", "\n", "; ")).join(parts)
+        want = brute_licences(text, licences.SENTENCES, licences.RULES, 20)
+        assert scanner.scan(text) == want, text
+        hits += sum(m[4] > 1 for m in want)
+    assert hits > 50
+
+
+def test_every_licence_rule_is_found_in_its_own_sentences():
+    from cartaspark.llm import licences
+
+    scanner = licences.RuleSet()
+    for licence, rule, ids in licences.RULES:
+        found = scanner.scan("\n".join(f"{licences.SENTENCES[i]}." for i in ids))
+        assert [(m[0], m[1], m[4]) for m in found] == [(licence, rule, len(ids))]
+    assert scanner.scan("SPDX-License-Identifier: MIT-1") == [] and scanner.scan("SPDX-License-Identifier: GPL-2.0-or-later\n")[0][0] == "GPL-2.0-or-later"
+
+
+def test_licences_of_long_repeated_and_nameless_rows(make_docs):
+    from cartaspark.llm import licences
+
+    long = "filler words. " * 100_000 + "\nMIT License\n"
+    got = licences.scan(make_docs([(1, long), (1, long), (None, "MIT License"), (2, None), (3, "")])).collect()
+    assert sorted((str(r[0]), r[1], r[4] - r[3]) for r in got) == [("1", "MIT", 11), ("1", "MIT", 11), ("None", "MIT", 11)]
