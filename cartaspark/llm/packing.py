@@ -17,10 +17,11 @@ than the id and the text are ignored, whatever their names.
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,8 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BUCKET_PIECES, LEAST_BUCKETS = 1 << 18, 64
 #: Words kept in each of the two generations of a cache, and the longest word that is kept.
 CACHE_WORDS, CACHE_CHARS = 300_000, 48
-#: Text encoded at once; the more, the fewer words come up again.
-PIECE_BYTES = 8 << 20
+#: Text encoded at once, in bytes and documents; the more, the fewer words come up again.
+PIECE_BYTES, BATCH_ROWS = 16 << 20, 5000
 #: Letters up to U+024F (but for U+0130, whose lower case is two characters), then ASCII marks other than the apostrophe.
 _LETTERS_AND_MARKS = re.compile(r"((?:(?![\u0130])[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])+)([!-&(-/:-@\[-`{-~]*)\Z")
 _encoders: dict[str, WordEncoder] = {}
@@ -156,6 +157,18 @@ class WordEncoder:
         return pool[at], place[first]
 
 
+@contextlib.contextmanager
+def no_cycle_search() -> Iterator[None]:
+    """Pause the search for reference cycles: encoding makes millions of short-lived objects and no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder for a vocabulary file; it outlives single tasks."""
     if path not in _encoders:
@@ -172,7 +185,8 @@ def cut_into_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int
         encode = encoder(vocabulary).encode
         for batch in (part for whole in batches for part in pieces(whole, whole.schema.names[1], PIECE_BYTES)):
             rows: list[tuple] = []
-            ids, offsets = encode(batch.column(1))
+            with no_cycle_search():
+                ids, offsets = encode(batch.column(1))
             for key, lo, hi in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 own = ids[lo:hi].tobytes() + end
                 for k, at in enumerate(range(0, len(own), step)):
@@ -261,7 +275,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
-    cut = scratch.save(cut_into_pieces(docs, vocabulary, capacity, end_id), "pieces")
+    cut = scratch.save(cut_into_pieces(docs, vocabulary, capacity, end_id), "pieces", BATCH_ROWS)
     buckets = max(LEAST_BUCKETS, -(-cut.count() // BUCKET_PIECES))
     bucketed = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     # at most buckets x capacity rows, far fewer than pieces
