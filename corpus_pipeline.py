@@ -51,7 +51,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The plan of training sequences; see cartaspark.llm.packing."""
-    spark.conf.set(BATCH, BATCH_ROWS)
+    spark.conf.set(BATCH, str(packing.BATCH_ROWS))
     return packing.pack(docs, vocabulary(), CAPACITY, 0)
 
 
