@@ -67,6 +67,13 @@ def common_ids(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.select("sheet_id").intersect(new.select("sheet_id"))
 
 
+def changed_digests(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Sheets of both snapshots whose digests differ: sheet_id, old_digest, new_digest; missing digests are equal to each other."""
+    side = lambda df, tag: df.select("sheet_id", F.col("digest").alias(tag))
+    both = side(old, "old_digest").join(side(new, "new_digest"), "sheet_id")
+    return both.where(~F.col("old_digest").eqNullSafe(F.col("new_digest")))
+
+
 def with_digest(features: DataFrame, contents: DataFrame) -> DataFrame:
     """Add the SHA-256 of each sheet's exported content (sheet_id, content)."""
     return features.drop("digest").join(content_digest(contents), "sheet_id", "left")

@@ -21,6 +21,12 @@ def usable_chars(chars: DataFrame, size: int = 30) -> DataFrame:
     return chars.where((F.col("w") > 0) & (F.col("h") > 0) & (F.col("w") < size) & (F.col("h") < size))
 
 
+def word_area(words: DataFrame, confidence: int = 20) -> DataFrame:
+    """Per sheet the number of words and the area of those recognised with more than `confidence`."""
+    area = F.when(F.col("conf") > confidence, F.col("w") * F.col("h")).otherwise(0)
+    return words.groupBy("sheet_id").agg(F.count("*").alias("n"), F.sum(area).cast("long").alias("area"))
+
+
 def chars_in_words(chars: DataFrame, words: DataFrame, ratio: float = 0.8, max_area: float = 1.1, cell: int = 64) -> DataFrame:
     """Characters that lie on a word of their sheet to more than `ratio` of their area and are at most `max_area` times its area.
 

@@ -175,9 +175,7 @@ def id_common(spark, sf):
 
 @query("bounds_old bounds_new", "SELECT o.sheet_id, o.digest AS old_digest, n.digest AS new_digest FROM bounds_old o JOIN bounds_new n USING (sheet_id) WHERE o.digest IS DISTINCT FROM n.digest")
 def digest_changed(spark, sf):
-    old, new = relation(spark, sf, "bounds_old"), relation(spark, sf, "bounds_new")
-    both = old.select("sheet_id", F.col("digest").alias("old_digest")).join(new.select("sheet_id", F.col("digest").alias("new_digest")), "sheet_id")
-    return both.where(~F.col("old_digest").eqNullSafe(F.col("new_digest")))
+    return B.changed_digests(relation(spark, sf, "bounds_old"), relation(spark, sf, "bounds_new"))
 
 
 @query("payloads", "SELECT sheet_id, sha256(content) AS digest FROM payloads")
@@ -506,7 +504,7 @@ def ocr_char_word_semijoin(spark, sf):
 
 @query("ocr_words", "SELECT sheet_id, count(*) AS n, CAST(sum(CASE WHEN conf > 20 THEN w * h ELSE 0 END) AS BIGINT) AS area FROM ocr_words GROUP BY sheet_id")
 def ocr_word_area(spark, sf):
-    return relation(spark, sf, "ocr_words").groupBy("sheet_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("conf") > 20, F.col("w") * F.col("h")).otherwise(0)).cast("long").alias("area"))
+    return O.word_area(relation(spark, sf, "ocr_words"))
 
 
 @query("", """SELECT o_orderkey AS k, '<SourceFilename relativeToVRT="0">/data/tiffs/' || CAST(o_orderkey AS VARCHAR) || '.tif</SourceFilename>' AS line FROM orders""")
@@ -543,16 +541,20 @@ def event_counts(spark, sf):
     return relation(spark, sf, "sheet_events").groupBy("op").agg(F.count("*").alias("n"), F.countDistinct("sheet_id").alias("n_sheets"))
 
 
-# kernels without SQL form
+# array kernels; those without SQL have no exact form there
 
-@query()
+@query(
+    "sheets",
+    """SELECT sheet_id, CAST(i AS BIGINT) AS point_id, round(west + f * (east - west), 6) AS tx, round(north + f * (south - north), 6) AS ty
+    FROM sheets, (VALUES (0, 0.0::DOUBLE), (1, 0.5::DOUBLE), (2, 1.0::DOUBLE)) p(i, f)""",
+)
 def tps_transform(spark, sf):
-    """Pixel corners through each sheet's thin-plate spline."""
+    """Pixel corners through each sheet's thin-plate spline; between rectangles it is the affine map that the SQL states."""
     rings = _rings(relation(spark, sf, "sheets"))
     fixed = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((10, 20), (10, 800), (900, 800), (900, 20))])
     gcps = C.control_points(rings, rings.select("sheet_id", fixed.alias("corners")))
     points = rings.select("sheet_id", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("point_id"), F.lit(x).alias("x"), F.lit(y).alias("y")) for i, (x, y) in enumerate(((10.0, 20.0), (455.0, 410.0), (900.0, 800.0)))])).alias("p"))
-    return H.transform_points(points.select("sheet_id", "p.*"), gcps)
+    return H.transform_points(points.select("sheet_id", "p.*"), gcps).select("sheet_id", "point_id", F.round("tx", 6).alias("tx"), F.round("ty", 6).alias("ty"))
 
 
 def _images(spark: SparkSession, sf: str) -> DataFrame:
@@ -566,7 +568,13 @@ def _images(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("sheet_id").cast("string").alias("sheet_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), data(F.transform("p", lambda p: p["v"].cast("int"))).alias("data"), F.lit(None).cast("string").alias("extra"))
 
 
-@query()
+@query(
+    "px",
+    """WITH m AS (SELECT p.sheet_id, p.r, p.c, median(q.v) AS v
+        FROM px p, (VALUES (-1), (0), (1)) a(dr), (VALUES (-1), (0), (1)) b(dc), px q
+        WHERE q.sheet_id = p.sheet_id AND q.r = 7 - abs(7 - abs(p.r + dr)) AND q.c = 7 - abs(7 - abs(p.c + dc)) GROUP BY ALL)
+    SELECT CAST(sheet_id AS VARCHAR) AS sheet_id, CAST(sum(v) AS BIGINT) AS total FROM m GROUP BY sheet_id""",
+)
 def median_kernel(spark, sf):
     """3 x 3 medians with a mirrored border, a checksum per image."""
 
@@ -584,10 +592,22 @@ def rotate_kernel(spark, sf):
     return H.rotate_images(images, angles).select("sheet_id", "height", "width", "angle", "rotated", F.sha2("data", 256).alias("digest"))
 
 
-@query()
+@query(
+    "px",
+    """WITH top AS (SELECT key % 64 AS x, key // 64 AS y, max(CAST(sheet_id AS VARCHAR)) AS id FROM (SELECT DISTINCT sheet_id, (sheet_id * 37) % 2048 AS key FROM px) k GROUP BY ALL),
+    base AS (SELECT t.x, t.y + 32 AS y, p.r, p.c, p.v FROM top t JOIN px p ON CAST(p.sheet_id AS VARCHAR) = t.id),
+    cells AS (SELECT x >> 1 AS x, y >> 1 AS y, (y & 1) * 4 + (r >> 1) AS r, (x & 1) * 4 + (c >> 1) AS c, CAST(sum(v) AS BIGINT) AS s FROM base GROUP BY ALL),
+    up AS (SELECT x, y, r, c, s // 4 + CASE s % 4 WHEN 3 THEN 1 WHEN 2 THEN (s // 4) % 2 ELSE 0 END AS v FROM cells),
+    frame AS (SELECT DISTINCT u.x, u.y, i // 8 AS r, i % 8 AS c FROM up u, range(0, 64) g(i)),
+    px4 AS (SELECT 6 AS z, x, y, r, c, printf('%02X%02X%02XFF', v, v, v) AS h FROM base
+        UNION ALL SELECT 5 AS z, f.x, f.y, f.r, f.c, coalesce(printf('%02X%02X%02XFF', u.v, u.v, u.v), '00000000') AS h FROM frame f LEFT JOIN up u ON u.x = f.x AND u.y = f.y AND u.r = f.r AND u.c = f.c)
+    SELECT z, x, y, sha256(unhex(string_agg(h, '' ORDER BY r, c))) AS digest FROM px4 GROUP BY z, x, y""",
+)
 def render_tiles(spark, sf):
-    """Tiles painted from sheets' parts and one level of overviews."""
+    """Tiles painted from sheets' parts, the largest id on top, and one level of overviews (means)."""
     images = _images(spark, sf)
-    parts = images.select("sheet_id", F.lit(6).alias("z"), (F.crc32("sheet_id") % 64).alias("x"), (F.xxhash64("sheet_id") % 32 + 32).alias("y"), F.expr("cast(array_join(transform(sequence(0, 63), i -> concat(substring(hex(data), i * 6 + 1, 6), 'FF')), '') as string)").alias("h"))
-    base = T.mosaic(parts.select("sheet_id", "z", "x", "y", F.unhex("h").alias("data")), size=8)
+    key = (F.col("sheet_id").cast("long") * 37) % 2048
+    pixels = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.concat(F.substring(F.hex("data"), i * 6 + 1, F.lit(6)), F.lit("FF"))), "")
+    parts = images.select("sheet_id", F.lit(6).alias("z"), (key % 64).alias("x"), (F.floor(key / 64) + 32).alias("y"), F.unhex(pixels).alias("data"))
+    base = T.mosaic(parts, size=8)
     return base.unionByName(T.overview_tiles(base, 8)).select("z", "x", "y", F.sha2("data", 256).alias("digest"))

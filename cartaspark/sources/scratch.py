@@ -11,10 +11,12 @@ _LOCAL: list[str] = []
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder (spark.checkpoint.dir; a temporary one only where that is unset) and read it back, which cuts the lineage."""
+    """Write a table to the shared folder (spark.checkpoint.dir; a temporary one only where that is unset and the session is local) and read it back, which cuts the lineage."""
     spark = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _LOCAL:
             _LOCAL.append("file://" + tempfile.mkdtemp(prefix="cartaspark-"))
         folder = _LOCAL[0]
