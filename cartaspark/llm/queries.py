@@ -7,13 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exactdedup, htmltext, jaccard, langid, licences, linededup, packing, quality
+from . import decontaminate, exactdedup, htmltext, jaccard, langid, licences, linededup, merkle, packing, quality, spelling, tokencounts
 from .sharding import ShardedTable
 from .shared import shared_folder
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-VOCABULARY = "word_bpe_49k.json"
+VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
 CAPACITY = 2048
+TOKEN_LIMIT = 1024
 ARRIVALS = 8
 GOOD_FROM = 0.3
 
@@ -22,11 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary() -> str:
-    """The path of the public vocabulary; the same on every executor, as the package is installed there."""
+def vocabulary(name: str = VOCABULARY) -> str:
+    """The path of a public vocabulary; the same on every executor, as the package is installed there."""
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -102,13 +103,70 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(table(spark, sf_dir, "documents"), damage=199)
+    return spelling.variants(words.where((F.length("word") >= 6) & (F.col("n") >= 5)), ratio=5)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokencounts.count_tokens(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY))
+    return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record's proof, held against the root after the texts of a fifth of the records have been lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = {"text": F.translate("text", UPPER, LOWER)}
+    now = F.when(remainder(F.col("doc_id"), 5) == 0, merkle.leaf_digest(*(tampered.get(c, F.col(c)) for c in merkle.FIELDS)))
+    found = merkle.Manifest(docs, now).proofs()
+    found = found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), merkle.fold(F.coalesce("now", "leaf"), F.col("path")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_sharding, op2_ngram_jaccard, op3_best_fit_packing, op4_html_extraction, op5_quality_classifier, op6_language_id, op7_exact_dedup, op8_license_scans, op9_line_dedup, op10_benchmark_decontamination)
+        for f in (op1_sharding, op2_ngram_jaccard, op3_best_fit_packing, op4_html_extraction, op5_quality_classifier, op6_language_id, op7_exact_dedup, op8_license_scans, op9_line_dedup, op10_benchmark_decontamination, op11_spelling_variants, op12_token_counts, op13_merkle_manifest)
     }
 
 
+def _merkle_sql(levels: int = 7) -> str:
+    """Levels of all source trees, then of the tree of subroots; a level beyond a tree's root changes nothing, and `levels` of them hold 16 ** levels leaves."""
+    fields = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in merkle.FIELDS)
+    crc = _crc32_sql("hex(encode(doc_id::VARCHAR))")
+    tampered = fields.replace("text::VARCHAR", f"translate(text, '{UPPER}', '{LOWER}')")
+    steps = [f"""
+            doc AS (SELECT doc_id, coalesce('s' || source, '') AS tree, sha256({fields}) AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN sha256({tampered}) END AS now FROM documents),
+            s_0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS size FROM doc),
+            sn_0 AS (SELECT tree, idx, size, leaf AS digest FROM s_0)"""]
+
+    def climb(name: str) -> None:
+        for k in range(levels):
+            run = "PARTITION BY tree, idx // 16 ORDER BY idx ROWS BETWEEN"
+            steps.append(f"""{name}p_{k} AS (SELECT tree, idx, size, coalesce(string_agg(digest, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(digest, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}n_{k})""")
+            steps.append(f"""{name}n_{k + 1} AS (SELECT tree, idx // 16 AS idx, (size + 15) // 16 AS size, CASE WHEN size = 1 THEN min(digest) ELSE sha256(string_agg(digest, '' ORDER BY idx)) END AS digest FROM {name}n_{k} GROUP BY tree, idx // 16, size)""")
+
+    climb("s")
+    steps.append(f"tn_0 AS (SELECT '' AS tree, tree AS source, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS size, digest FROM sn_{levels})")
+    climb("t")
+    steps.append("d_0 AS (SELECT doc_id, leaf, tree, idx, '' AS proof, coalesce(now, leaf) AS acc FROM s_0)")
+    for k in range(2 * levels):
+        name = "s" if k < levels else "t"
+        steps.append(f"""d_{k + 1} AS (SELECT d.doc_id, d.leaf, d.tree, d.idx // 16 AS idx, proof || l || r AS proof, CASE WHEN size = 1 THEN acc ELSE sha256(l || acc || r) END AS acc FROM {f"d_{k}" if k != levels else "e"} d JOIN {name}p_{k % levels} p ON p.idx = d.idx AND p.tree = {"d.tree" if name == "s" else "''"})""")
+        if k == levels - 1:
+            steps.append(f"e AS (SELECT d.doc_id, d.leaf, d.tree, t.idx, d.proof, d.acc FROM d_{levels} d JOIN tn_0 t ON t.source = d.tree)")
+    return f"""
+            WITH {", ".join(steps)}
+            SELECT doc_id, leaf, n.digest AS subroot, t.digest AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = t.digest AS verified
+            FROM d_{2 * levels} d JOIN sn_{levels} n ON n.tree = d.tree, tn_{levels} t"""
+
+
+def _crc32_sql(hexes: str) -> str:
+    """CRC-32 of bytes that are given as a hex text: bit by bit, by the polynomial 0xEDB88320."""
+    octets = f"list_transform(range(1, 1 + length({hexes}) // 2), lambda i: ('0x' || substr({hexes}, 2 * i - 1, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, (x & 1) * 3988292384))))"
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express; the others are tested against brute force."""
     strip = r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
@@ -142,4 +200,22 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, CAST(max(n) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
                 sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
             FROM f GROUP BY doc_id""",
+        "op11_spelling_variants": rf"""
+            WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+            d AS (SELECT doc_id, run, count(*) AS n, hex(encode(doc_id || ':' || run)) AS hexes FROM r GROUP BY ALL),
+            h AS (SELECT run, n, CASE WHEN doc_id IS NOT NULL THEN {_crc32_sql("hexes")} END AS h FROM d),
+            v AS (SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+            w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM v WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+            x AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM w, unnest(range(1, length(word) + 1)) u(i)),
+            e AS (
+                SELECT a.word AS a, b.word AS b FROM x a JOIN x b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+                UNION SELECT x.word, w.word FROM x JOIN w ON w.word = x.rest UNION SELECT w.word, x.word FROM x JOIN w ON w.word = x.rest
+            ), k AS (SELECT e.a AS word, count(*) AS n_near, max(w.n) AS best_n FROM e JOIN w ON w.word = e.b GROUP BY e.a),
+            g AS (SELECT k.word, min(w.word) AS best FROM k JOIN e ON e.a = k.word JOIN w ON w.word = e.b AND w.n = k.best_n GROUP BY k.word),
+            f AS (
+                SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * w.n THEN best END AS form, CASE WHEN best_n >= 5 * w.n THEN best_n END AS form_n
+                FROM w LEFT JOIN k ON k.word = w.word LEFT JOIN g ON g.word = w.word
+            ), p AS (SELECT word, word AS at FROM f UNION ALL SELECT p.word, f.form FROM p JOIN f ON f.word = p.at WHERE f.form IS NOT NULL)
+            SELECT f.word, f.form, p.at AS root, f.n, f.n_near, f.form_n FROM f JOIN p ON p.word = f.word JOIN f l ON l.word = p.at AND l.form IS NULL""",
+        "op13_merkle_manifest": _merkle_sql(),
     }
