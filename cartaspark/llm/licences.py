@@ -9,8 +9,8 @@
    between two of them.  Of overlapping matches the one with more sentences wins, then the earlier.
 
 Words are runs of letters and digits, lower-cased; dots inside version numbers are kept apart as
-words of their own digits, so ``2.0`` is two words.  Names, years and holders are not part of the
-known sentences.  Null and empty texts have no match.  Rows without an id are scanned too.  Repeated rows give repeated matches.  Extra
+words of their own digits, so ``2.0`` is two words.  Where a known sentence names a holder or a
+product it has a placeholder ``*`` for one to PLACEHOLDER words.  Null and empty texts have no match.  Rows without an id are scanned too.  Repeated rows give repeated matches.  Extra
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -35,6 +35,11 @@ SENTENCES = {
     "apache2-terms": "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
     "apache2-means": '"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document',
     "apache2-the": "Licensed under the Apache License, Version 2.0 (the \"License\")",
+    "apache2-short": "Licensed under the Apache License 2.0",
+    "apache2-is": "This * is licensed under the Apache License, Version 2.0",
+    "apache2-is-short": "This * is licensed under the Apache License 2.0",
+    "mit-terms": "Distributed under the terms of the MIT License",
+    "mit-is-terms": "This * is distributed under the terms of the MIT License",
     "mit-released": "Released under the MIT License",
     "mit-licensed": "Licensed under the MIT License",
     "mit-project": "This project is licensed under the MIT License",
@@ -70,13 +75,15 @@ SENTENCES = {
     "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
-    "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "bsd-asis": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED',
+    "bsd-endorse": "Neither the name of * nor the names of * may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-endorse-author": "The name of * may not be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-endorse-names": "Neither the names of * nor the names of * may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-asis": 'THIS SOFTWARE IS PROVIDED BY * "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED',
     "bsd-advertising": "All advertising materials mentioning features or use of this software must display the following acknowledgement",
     "bsd3-licensed": "Licensed under the BSD 3-Clause License",
     "bsd2-licensed": "Licensed under the BSD 2-Clause License",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
-    "isc-asis": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS',
+    "isc-asis": 'THE SOFTWARE IS PROVIDED "AS IS" AND * DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS',
     "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "zlib-asis": "This software is provided 'as-is', without any express or implied warranty",
     "zlib-liable": "In no event will the authors be held liable for any damages arising from the use of this software",
@@ -117,6 +124,11 @@ RULES = [
     ("Apache-2.0", "header", ["apache2-the", "apache2-use", "apache2-copy", "apache2-asis", "apache2-see"]),
     ("Apache-2.0", "text", ["apache2-title", "apache2-terms", "apache2-means"]),
     ("Apache-2.0", "named", ["apache2-the"]),
+    ("Apache-2.0", "short", ["apache2-short"]),
+    ("Apache-2.0", "product", ["apache2-is"]),
+    ("Apache-2.0", "product-short", ["apache2-is-short"]),
+    ("MIT", "terms", ["mit-terms"]),
+    ("MIT", "product-terms", ["mit-is-terms"]),
     ("MIT", "released", ["mit-released"]),
     ("MIT", "licensed", ["mit-licensed"]),
     ("MIT", "project", ["mit-project"]),
@@ -147,6 +159,8 @@ RULES = [
     ("AGPL-3.0-or-later", "notice", ["agpl3-free", "gpl-hope", "agpl-details"]),
     ("BSD-2-Clause", "text", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-asis"]),
     ("BSD-3-Clause", "text", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-asis"]),
+    ("BSD-3-Clause", "author-text", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse-author", "bsd-asis"]),
+    ("BSD-3-Clause", "names-text", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse-names", "bsd-asis"]),
     ("BSD-4-Clause", "text", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-advertising"]),
     ("BSD-3-Clause", "licensed", ["bsd3-licensed"]),
     ("BSD-2-Clause", "licensed", ["bsd2-licensed"]),
@@ -182,10 +196,13 @@ NAMED = ["0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clau
 SENTENCES |= {f"spdx-{name}": f"SPDX-License-Identifier: {name}" for name in NAMED}
 RULES += [(name, "identifier", [f"spdx-{name}"]) for name in NAMED]
 _WORD = re.compile(r"[^\W_]+")
+#: Words that a placeholder stands for at most.
+PLACEHOLDER = 16
 
 
 def words_of(sentence: str) -> list[str]:
-    return _WORD.findall(sentence.lower())
+    """The words of a known sentence; ``*`` is a placeholder."""
+    return re.findall(r"[^\W_]+|\*", sentence.lower())
 
 
 @dataclass
@@ -211,13 +228,23 @@ class SentenceTrie:
         for begin in self.start.finditer(text):
             if begin.start() < free or not _can_begin(text, begin.start()):
                 continue
-            node, found = self.root, None
+            # places in the trie, each with the words that its placeholder may still take
+            states, found = [(self.root, 0)], None
             for word in _WORD.finditer(text, begin.start()):
-                node = node.get(word[0].lower())
-                if node is None:
+                own, ahead = word[0].lower(), []
+                for node, left in states:
+                    if own in node:
+                        ahead.append((node[own], 0))
+                    if "*" in node:
+                        ahead.append((node["*"], PLACEHOLDER - 1))
+                    if left:
+                        ahead.append((node, left - 1))
+                if not ahead:
                     break
-                if "" in node and _can_end(text, word.end()):
-                    found = (node[""], begin.start(), word.end())
+                states = ahead
+                names = [node[""] for node, _ in states if "" in node]
+                if names and _can_end(text, word.end()):
+                    found = (min(names), begin.start(), word.end())
             if found:
                 out.append(found)
                 free = found[2]
