@@ -16,8 +16,11 @@ one block at a time: a larger benchmark takes more passes over the documents, no
 
 An item of fewer than ``min_tokens`` tokens matches where all its tokens stand in a row, as one
 substitution would leave too little.  Null and empty items, and those of marks alone, have no token
-and match nothing.  A null text is empty and never matches.  Repeated document or item ids give one
-row per pair of ids.  Extra columns are ignored; empty tables give an empty result.
+and match nothing.  A null text is empty and never matches.  Items without an id are looked for like
+others and give a null item_id.  ``find_overlaps`` has one row for each pair of ids that occur with an
+overlap, where rows without an id (and items without one) count as one id; ``decontaminate`` judges
+every row by itself: rows are addressed by a hash of id and text, so neither a missing id nor one that
+several rows carry makes a leaked row stay or a clean one go.  Extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +32,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .linededup import row_address
 from .shared import Scratch, free_name
 from .text import ASCII_MARK, LENGTH, PLACES, mix, pieces, utf8, words
 
 MASKS = ("1111", "11011")
-SCHEMA = "doc_id long, item_id long, doc_token int, item_token int, n_tokens int, n_equal int"
+SCHEMA = "a1 long, a2 long, doc_id long, item_id long, doc_token int, item_token int, n_tokens int, n_equal int"
 
 
 def _folded(column: pa.Array) -> pa.Array:
@@ -146,17 +150,15 @@ def widest_stretch(equal: np.ndarray) -> tuple[int, int, int]:
     return (int(inside[0]), int(inside[-1]) + 1, len(inside)) if len(inside) else (0, 0, 0)
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13, min_tokens: int = 8, masks: tuple[str, ...] = MASKS, block_chars: int = 4_000_000) -> DataFrame:
-    """Pairs of a document (doc_id, text) and a benchmark item (item_id, text) that overlap; the stretch of each pair with the most equal tokens.
-
-    Returns doc_id, item_id, doc_token and item_token (first tokens of the stretch), n_tokens, n_equal.
-    """
+def _overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13, min_tokens: int = 8, masks: tuple[str, ...] = MASKS, block_chars: int = 4_000_000) -> DataFrame:
+    """A row (SCHEMA) for every diagonal of a row and an item that reaches the bound; a1, a2: the row's address."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "overlaps")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(chars // block_chars) + 1
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    one, two = row_address(docs)
+    texts = docs.select(one.alias("a1"), two.alias("a2"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = []
     for block in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
@@ -166,20 +168,27 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13,
             seeds = table.value
             for batch in batches:
                 rows = []
-                for part in pieces(batch, batch.schema.names[1]):
-                    hashes, _, _, first = words(*utf8(_folded(part.column(1))), ASCII_MARK)
-                    keys = part.column(0)
+                for part in pieces(batch, "text"):
+                    hashes, _, _, first = words(*utf8(_folded(part.column(3))), ASCII_MARK)
                     for text, item, *place in seeds.overlaps(hashes, first, min_overlap):
-                        rows.append((keys[text].as_py(), seeds.ids[item], *place))
-                columns = list(zip(*rows, strict=True)) or [()] * 6
-                types = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
+                        rows.append((*(part.column(c)[text].as_py() for c in range(3)), seeds.ids[item], *place))
+                columns = list(zip(*rows, strict=True)) or [()] * 8
+                types = (*[pa.int64()] * 4, *[pa.int32()] * 4)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         found.append(scratch.save(texts.mapInArrow(search, SCHEMA), f"found-{block}"))
         table.destroy()
+    return reduce(DataFrame.unionByName, found)
+
+
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """Pairs of a document (doc_id, text) and a benchmark item (item_id, text) that overlap; the stretch of each pair with the most equal tokens.
+
+    Returns doc_id, item_id, doc_token and item_token (first tokens of the stretch), n_tokens, n_equal.
+    Options: those of _overlaps.
+    """
     stretch = F.struct(F.col("n_equal"), -F.col("n_tokens"), -F.col("doc_token"), -F.col("item_token"))
-    every = reduce(DataFrame.unionByName, found)
-    return every.groupBy("doc_id", "item_id").agg(*[F.max_by(c, stretch).alias(c) for c in ("doc_token", "item_token", "n_tokens", "n_equal")])
+    return _overlaps(docs, benchmark, **options).groupBy("doc_id", "item_id").agg(*[F.max_by(c, stretch).alias(c) for c in ("doc_token", "item_token", "n_tokens", "n_equal")])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least_equal: int = 6, **options) -> DataFrame:
@@ -187,6 +196,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least_equal: int = 6, *
 
     Shorter items are everyday phrases: ``find_overlaps`` names their matches, but no document goes for them.
     """
-    name = free_name(docs, "_leaked")
-    leaked = find_overlaps(docs, benchmark, **options).where(F.col("n_equal") >= least_equal).select(F.col("doc_id").alias(name)).distinct().hint("merge")
-    return docs.join(leaked, docs["doc_id"].cast("long") == leaked[name], "left_anti")
+    one, two = free_name(docs, "_a1"), free_name(docs, "_a2")
+    leaked = _overlaps(docs, benchmark, **options).where(F.col("n_equal") >= least_equal).select(F.col("a1").alias(one), F.col("a2").alias(two)).distinct()
+    addressed = docs.select("*", *(a.alias(n) for a, n in zip(row_address(docs), (one, two), strict=True)))
+    return addressed.join(leaked.hint("merge"), [one, two], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -140,7 +140,7 @@ def _shard(shards: int) -> Column:
     return F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
 
 
-def _address(docs: DataFrame) -> tuple[Column, Column]:
+def row_address(docs: DataFrame) -> tuple[Column, Column]:
     """128 bits that stand for a row's id and text."""
     key, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
     return F.xxhash64(F.lit(1), key.isNull(), key, text), F.xxhash64(F.lit(2), text, key.isNull(), key)
@@ -251,7 +251,7 @@ class LineIndex:
                 at = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int32()), pa.array(digests, pa.binary()), pa.array(sure)], names=["a1", "a2", "line", "key", "sure"])
 
-        one, two = _address(docs)
+        one, two = row_address(docs)
         lines = docs.select(one.alias("a1"), two.alias("a2"), F.col("text").cast("string").alias("text")).mapInArrow(explode, "a1 long, a2 long, line int, key binary, sure boolean")
         lines = self.scratch.save(lines, f"lines-{uuid.uuid4().hex}")
 
@@ -289,7 +289,7 @@ class LineIndex:
         drops = self.scratch.save(drops, f"drops-{uuid.uuid4().hex}")
         lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
         # by sort-merge at every size: what is dropped grows with the corpus and has no bound for a broadcast
-        addressed = docs.select("*", *(a.alias(n) for a, n in zip(_address(docs), (one, two), strict=True)))
+        addressed = docs.select("*", *(a.alias(n) for a, n in zip(row_address(docs), (one, two), strict=True)))
         joined = addressed.join(drops.hint("merge"), [one, two], "left")
         # the lines between two dropped ones are cut out whole: time in proportion to lines and drops
         cuts = F.concat(F.array(F.lit(-1)), F.col(gone), F.array(F.size(lines)))
