@@ -30,8 +30,9 @@ Bit counts: a bit that A has and B lacks stands for an element of A that B lacks
 Null and empty texts have no shingles and link with nothing.  Ids are the nodes of the graph: rows
 with equal ids are one node, and a link of one holds for all.  A row without an id is a node of its
 own (one with all rows without an id that carry the same text) and is returned as well; it never
-gives its component a name, so a component of such rows alone has a null component_id.  Ids of
-LEAST_SURROGATE (3 * 2^61) and more are not supported: they would be taken for rows without an id.
+gives its component a name, so a component of such rows alone has a null component_id.  Rows without an id
+take node numbers from LEAST_SURROGATE (3 * 2^61) on; a table with ids up there has its ids replaced by
+their places in ascending order meanwhile, which changes no result.
 Extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -47,6 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import connected_components
+from .merkle import positions
 from .shared import Scratch, free_name
 from .text import mix, pieces, shingle_sets, utf8, words
 
@@ -513,10 +515,32 @@ def _components(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     return final
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id and text with ids below LEAST_SURROGATE, and the table of place and id where ids had to be replaced by places."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    largest = own.agg(F.max("doc_id")).first()[0]
+    if largest is None or largest < LEAST_SURROGATE:
+        return own, None
+    scratch = Scratch(docs.sparkSession, "ids")
+    ids = own.where("doc_id is not null").select(F.lit("").alias("tree"), F.col("doc_id").alias("key"), F.lit(b"").alias("digest"), "doc_id").distinct()
+    places = scratch.save(positions(ids, scratch, "ids").select("doc_id", F.col("idx").alias("place")), "places")
+    return own.join(places.hint("merge"), "doc_id", "left").select(F.col("place").alias("doc_id"), "text"), places
+
+
+def _with_ids(rows: DataFrame, places: DataFrame | None, names: tuple[str, ...]) -> DataFrame:
+    """Places in the named columns turned back into ids."""
+    for name in names if places is not None else ():
+        ids = places.select(F.col("place").alias(name), F.col("doc_id").alias("_id"))
+        rows = rows.join(ids.hint("merge"), name, "left").withColumn(name, F.col("_id")).drop("_id")
+    return rows
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """Components of the n-gram Jaccard self-join: doc_id, n_shingles, component_id, class_id (smallest id with an equal set)."""
+    docs, places = _numbered(docs)
     named = lambda c: F.when(F.col(c) < LEAST_SURROGATE, F.col(c))
-    return _components(docs, k, threshold).select(named("node").alias("doc_id"), "n_shingles", named("component").alias("component_id"), named("class").alias("class_id"))
+    found = _components(docs, k, threshold).select(named("node").alias("doc_id"), "n_shingles", named("component").alias("component_id"), named("class").alias("class_id"))
+    return _with_ids(found, places, ("doc_id", "component_id", "class_id")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
 def keep_one_each(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
@@ -524,6 +548,11 @@ def keep_one_each(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame
 
     Rows without an id stay only in components without any id; of those the ones with one of the texts stay.
     """
-    name = free_name(docs, "_node")
-    gone = _components(docs, k, threshold).where("node <> component").select(F.col("node").alias(name)).distinct().hint("merge")
-    return docs.withColumn(name, _node()).join(gone, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, places = _numbered(docs)
+    gone = _components(own, k, threshold).where("node <> component").select("node").distinct()
+    if places is not None:  # back to the ids; rows without an id have the same numbers either way
+        gone = gone.join(places.select(F.col("place").alias("node"), "doc_id").hint("merge"), "node", "left")
+    name, known = free_name(docs, "_node"), free_name(docs, "_has_id")
+    has_id = F.col("node") < LEAST_SURROGATE
+    gone = gone.select((F.col("node") if places is None else F.when(has_id, F.col("doc_id")).otherwise(F.col("node"))).alias(name), has_id.alias(known)).hint("merge")
+    return docs.withColumn(name, _node()).withColumn(known, F.col("doc_id").isNotNull()).join(gone, [name, known], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
