@@ -193,13 +193,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT d.doc_id, g.keep_id, g.n AS group_size, d.doc_id = g.keep_id AS kept, sha256(g.t) AS text_sha256
             FROM documents d JOIN g ON g.t = coalesce(d.text, '')""",
         "op9_line_dedup": rf"""
-            WITH l AS (SELECT doc_id, i, ls[i] AS line, len(ls) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents) q, unnest(range(1, len(ls) + 1)) u(i)),
+            WITH l AS (SELECT row, doc_id, i, ls[i] AS line, len(ls) AS n FROM (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents) q, unnest(range(1, len(ls) + 1)) u(i)),
             k AS (SELECT *, translate({strip}, '{UPPER}', '{LOWER}') AS key FROM l),
-            hot AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+            hot AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT row) >= 10),
             f AS (SELECT k.*, hot.key IS NOT NULL AS gone FROM k LEFT JOIN hot ON hot.key = k.key)
             SELECT doc_id, CAST(max(n) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
                 sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
-            FROM f GROUP BY doc_id""",
+            FROM f GROUP BY row, doc_id""",
         "op11_spelling_variants": rf"""
             WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
             d AS (SELECT doc_id, run, count(*) AS n, hex(encode(doc_id || ':' || run)) AS hexes FROM r GROUP BY ALL),

@@ -95,6 +95,17 @@ def test_empty_and_null_ids(make_docs):
     assert J.keep_one_each(docs).columns == docs.columns
 
 
+def test_ids_of_the_whole_range(make_docs):
+    big, a, b = 2**63 - 1, "a b c d e f g", "h i j k l m n"
+    docs = make_docs([(big, a), (-5, a), (3 << 61, b), ((3 << 61) + 1, b), (None, b), (None, "q r s t u v w"), (-(2**63), "")])
+    got = sorted((r[0] is None, r[0] or 0, r[1], r[2], r[3]) for r in J.near_duplicates(docs).collect() if r[2] is not None)
+    low = 3 << 61
+    assert got == sorted([(False, big, 3, -5, -5), (False, -5, 3, -5, -5), (False, low, 3, low, low), (False, low + 1, 3, low, low), (True, 0, 3, low, low), (False, -(2**63), 0, -(2**63), -(2**63))])
+    assert J.near_duplicates(docs).count() == 7
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in J.keep_one_each(docs).collect())
+    assert kept == sorted([(-5, a), (low, b), (0, "q r s t u v w"), (-(2**63), "")])
+
+
 def test_rows_with_equal_ids_are_one_node(make_docs):
     a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
     docs = make_docs([(5, a), (5, b), (1, a), (7, b), (8, c), (8, c), (9, "")])

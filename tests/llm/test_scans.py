@@ -22,6 +22,18 @@ def test_decontamination_edge_cases(spark, make_docs):
     assert D.find_overlaps(make_docs([]), items).collect() == D.find_overlaps(docs, items.limit(0)).collect() == []
 
 
+def test_rows_and_items_without_id_and_with_one_id(spark, make_docs):
+    from cartaspark.llm import decontaminate
+
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = make_docs([(None, f"x {item} y"), (2, "a clean text"), (2, f"{item} z"), (None, "clean too"), (3, "words of no item"), (4, f"{item} z")])
+    bench = spark.createDataFrame([(None, item), (None, None), (7, "another item that nobody holds at all here")], "item_id long, text string")
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in decontaminate.decontaminate(docs, bench).collect())
+    assert kept == [(0, "clean too"), (2, "a clean text"), (3, "words of no item")]
+    found = sorted((r["doc_id"] or 0, r["item_id"], r["n_equal"]) for r in decontaminate.find_overlaps(docs, bench).collect())
+    assert found == [(0, None, 20), (2, None, 20), (4, None, 20)]
+
+
 def test_short_items(spark, make_docs):
     items = spark.createDataFrame([(5, "nine words make a short item that still counts")], "item_id long, text string")
     docs = make_docs([(1, "so nine words make a short item that still counts!"), (2, "nine words make a short list")])
@@ -234,12 +246,21 @@ def brute_licences(text, sentences, rules, max_gap):
     words = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text)]
     mark = lambda gap, marks: any(c in marks for c in gap)
     gaps = [text[(words[i - 1][2] if i else 0) : words[i][1]] for i in range(len(words))] + [text[words[-1][2] :] if words else ""]
-    known = {name: [w.lower() for w in re.findall(r"[^\W_]+", s)] for name, s in sentences.items()}
+    known = {name: [w.lower() for w in re.findall(r"[^\W_]+|\*", s)] for name, s in sentences.items()}
+
+    def ends(ws, at):
+        if not ws:
+            return {at}
+        if ws[0] == "*":
+            return {e for n in range(1, 17) if at + n <= len(words) for e in ends(ws[1:], at + n)}
+        return ends(ws[1:], at + 1) if at < len(words) and words[at][0] == ws[0] else set()
+
     found, i = [], 0
     while i < len(words):
-        fits = [(len(ws), name) for name, ws in known.items() if [w for w, _, _ in words[i : i + len(ws)]] == ws and (i + len(ws) == len(words) or mark(gaps[i + len(ws)], "\n.!?;:,("))]
+        fits = [(e - i, name) for name, ws in known.items() for e in (ends(ws, i) if words[i][0] == ws[0] else ()) if e == len(words) or mark(gaps[e], "\n.!?;:,(")]
         if fits and (i == 0 or mark(gaps[i], "\n.!?;:")):
-            n, name = max(fits)
+            n = max(fits)[0]
+            name = min(own for e, own in fits if e == n)
             found.append((name, i, i + n))
             i += n
         else:
@@ -264,6 +285,24 @@ def brute_licences(text, sentences, rules, max_gap):
     return sorted(out, key=lambda m: (m[2], m[3], m[0], m[1]))
 
 
+HOLDERS = ["the copyright holder", "its contributors", "Example University", "the X Y Z Foundation, Inc. and A. N. Other", "THE REGENTS AND CONTRIBUTORS ``"]
+
+
+def test_holders_and_products():
+    from cartaspark.llm import licences
+
+    scanner, s = licences.RuleSet(), licences.SENTENCES
+    for holder in HOLDERS:
+        for endorse in ("bsd-endorse", "bsd-endorse-author", "bsd-endorse-names"):
+            text = ".\n".join(s[i].replace("*", holder) for i in ("bsd-redistribution", "bsd-source", "bsd-binary", endorse, "bsd-asis"))
+            assert [(m[0], m[4]) for m in scanner.scan(text)] == [("BSD-3-Clause", 5)]
+    two = ".\n".join(s[i].replace("*", "ACME") for i in ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-asis"))
+    assert [m[0] for m in scanner.scan(two)] == ["BSD-2-Clause"]
+    for text, licence in (("Licensed under the Apache License 2.0.", "Apache-2.0"), ("This library is licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("This software is distributed under the terms of the MIT license.", "MIT"), ("Distributed under the terms of the MIT license", "MIT")):
+        assert [m[0] for m in scanner.scan(text)] == [licence]
+    assert scanner.scan("Neither the name of " + "word " * 17 + "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.") == []
+
+
 def test_licence_rules_against_brute_force():
     import random
 
@@ -280,7 +319,7 @@ def test_licence_rules_against_brute_force():
             if rng.random() < 0.3:
                 ids.insert(rng.randrange(len(ids) + 1), rng.choice(names))
             for name in ids:
-                parts.append(rng.choice((str, str.upper))(licences.SENTENCES[name]).replace(" ", rng.choice((" ", "\n  "))))
+                parts.append(rng.choice((str, str.upper))(licences.SENTENCES[name].replace("*", rng.choice(HOLDERS))).replace(" ", rng.choice((" ", "\n  "))))
                 parts.append(" ".join(["filler"] * rng.choice((0, 0, 3, 19, 20, 21, 40))))
         text = rng.choice((". ", "\n", "; ")).join(parts)
         want = brute_licences(text, licences.SENTENCES, licences.RULES, 20)
@@ -294,7 +333,7 @@ def test_every_licence_rule_is_found_in_its_own_sentences():
 
     scanner = licences.RuleSet()
     for licence, rule, ids in licences.RULES:
-        found = scanner.scan("\n".join(f"{licences.SENTENCES[i]}." for i in ids))
+        found = scanner.scan("\n".join(f"{licences.SENTENCES[i].replace('*', 'some holder')}." for i in ids))
         assert [(m[0], m[1], m[4]) for m in found] == [(licence, rule, len(ids))]
     assert scanner.scan("SPDX-License-Identifier: MIT-1") == [] and scanner.scan("SPDX-License-Identifier: GPL-2.0-or-later\n")[0][0] == "GPL-2.0-or-later"
 
