@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .components import connected_components
 from .merkle import positions
 from .shared import Scratch, free_name
-from .text import mix, pieces, shingle_sets, utf8, words
+from .text import mix, pieces, release, shingle_sets, utf8, words
 
 #: Fewest and most buckets of the count table, as powers of two.  At the most it takes 32 MB; a crowded table orders less sharply, it loses nothing.
 COUNT_BITS = (16, 24)
@@ -469,6 +469,7 @@ def _tile_pairs(tiles: DataFrame, threshold: int) -> DataFrame:
             out.clear()
         yield from close()
         yield _batch(out, "a long, b long")
+        release()
 
     dealt = tiles.repartition("first", "tile", "block1", "block2").sortWithinPartitions("first", "tile", "block1", "block2")
     return dealt.mapInArrow(stream, "a long, b long").distinct()

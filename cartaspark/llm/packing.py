@@ -176,14 +176,14 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def cut_into_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32."""
+def cut_into_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, text_bytes: int = PIECE_BYTES) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32.  `text_bytes` are encoded at once."""
     end = np.array([end_id], "<u4").tobytes()
     step = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
-        for batch in (part for whole in batches for part in pieces(whole, whole.schema.names[1], PIECE_BYTES)):
+        for batch in (part for whole in batches for part in pieces(whole, whole.schema.names[1], text_bytes)):
             rows: list[tuple] = []
             with no_cycle_search():
                 ids, offsets = encode(batch.column(1))
@@ -268,14 +268,14 @@ def _segments(plan: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray,
     return {size: tuple(np.array(x, np.int64) for x in zip(*runs, strict=True)) for size, runs in out.items()}
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """Pack documents (doc_id, text) into sequences of at most `capacity` tokens.
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, text_bytes: int = PIECE_BYTES) -> DataFrame:
+    """Pack documents (doc_id, text) into sequences of at most `capacity` tokens; a task encodes `text_bytes` of text at once.
 
     Returns per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
-    cut = scratch.save(cut_into_pieces(docs, vocabulary, capacity, end_id), "pieces", BATCH_ROWS)
+    cut = scratch.save(cut_into_pieces(docs, vocabulary, capacity, end_id, text_bytes), "pieces", BATCH_ROWS)
     buckets = max(LEAST_BUCKETS, -(-cut.count() // BUCKET_PIECES))
     bucketed = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     # at most buckets x capacity rows, far fewer than pieces

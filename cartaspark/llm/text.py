@@ -5,6 +5,9 @@ Hashes have 64 bits.  All constants follow from one seed by the SplitMix64 rule.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -133,6 +136,13 @@ def shingle_sets(hashes: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarr
     return out
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on between tasks and share an executor's memory with others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str, size: int = 1 << 20):
     """Cut a record batch into runs of rows with about `size` bytes of text, so that work arrays stay small."""
     _, offsets = utf8(batch.column(batch.schema.get_field_index(column)))
@@ -141,4 +151,4 @@ def pieces(batch: pa.RecordBatch, column: str, size: int = 1 << 20):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
         yield batch.slice(lo, hi - lo)
         lo = hi
-    pa.default_memory_pool().release_unused()  # workers live on between tasks and share an executor's memory
+    release()
