@@ -19,6 +19,8 @@ from cartaspark.llm.shared import BATCH, Scratch, free_name
 MIN_LANGUAGE_SCORE = 0.4
 #: Rows of an Arrow batch in this application's session: whole texts are wide.
 BATCH_ROWS = "2000"
+#: Bytes of text that a task encodes at once: executors also hold what other stages left.
+TEXT_BYTES = 2 << 20
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The plan of training sequences; see cartaspark.llm.packing."""
     spark.conf.set(BATCH, BATCH_ROWS)
-    return packing.pack(docs, vocabulary(), CAPACITY, 0)
+    return packing.pack(docs, vocabulary(), CAPACITY, 0, TEXT_BYTES)
 
 
 STAGES = [
