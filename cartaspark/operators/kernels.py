@@ -6,7 +6,7 @@ import numpy as np
 
 
 def label(mask: np.ndarray) -> tuple[np.ndarray, int]:
-    """4-connected components by runs and union-find: labels from 1 in order of their first pixel, and their number."""
+    """8-connected components by runs and union-find: labels from 1 in order of their first pixel, and their number."""
     h, w = mask.shape
     out = np.zeros((h, w), np.int32)
     parent = [0]
@@ -24,7 +24,7 @@ def label(mask: np.ndarray) -> tuple[np.ndarray, int]:
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             own = 0
             for c, d, k in before:
-                if c < b and a < d:
+                if c <= b and a <= d:  # runs touch over an edge or a corner
                     k = root(k)
                     if own and own != k:
                         parent[max(own, k)] = min(own, k)

@@ -62,19 +62,19 @@ def interior(points: DataFrame, height: str | Column, width: str | Column) -> Da
 
 
 def components(mask: DataFrame, value: str, rounds: int | None = None) -> DataFrame:
-    """4-connected components by minimum label propagation along runs: sheet_id, r, c, label (r * 2^32 + c of the first pixel).
+    """8-connected components by minimum label propagation along runs: sheet_id, r, c, label (r * 2^32 + c of the first pixel).
 
-    Each round spreads labels along whole horizontal and vertical runs, so the number of rounds follows
-    the number of turns of the shapes, not their size.  Rounds go on until no
+    Each round spreads labels along whole runs in rows, columns and both diagonals, so the number of rounds
+    follows the number of turns of the shapes, not their size.  Rounds go on until no
     label changes; with `rounds`, shapes that need more raise an error.
     """
     rows = mask.where(F.col(value) > 0).select(SHEET, "r", "c", (F.shiftleft(F.col("r").cast("long"), 32) + F.col("c")).alias("label"))
     for _ in count() if rounds is None else range(rounds):
         before = rows
-        for along, across in (("c", "r"), ("r", "c")):
-            order = Window.partitionBy(SHEET, across).orderBy(along)
-            run = rows.withColumn("_run", F.col(along) - F.row_number().over(order))
-            rows = run.withColumn("label", F.min("label").over(Window.partitionBy(SHEET, across, "_run"))).drop("_run")
+        for along, across in (("c", F.col("r")), ("r", F.col("c")), ("r", F.col("r") - F.col("c")), ("r", F.col("r") + F.col("c"))):
+            line = rows.withColumn("_line", across)
+            run = line.withColumn("_run", F.col(along) - F.row_number().over(Window.partitionBy(SHEET, "_line").orderBy(along)))
+            rows = run.withColumn("label", F.min("label").over(Window.partitionBy(SHEET, "_line", "_run"))).drop("_line", "_run")
         rows = materialise(rows, "components")
         if rows.join(before.select(SHEET, "r", "c", F.col("label").alias("_old")), [SHEET, "r", "c"]).where("label <> _old").isEmpty():
             return rows

@@ -34,6 +34,8 @@ SQL = {
     "ocr_chars": """SELECT l_suppkey % 50 AS sheet_id, l_orderkey * 10 + l_linenumber AS char_id, (l_partkey * 13) % 1000 AS x, (l_orderkey * 3) % 1000 AS y,
         3 + l_partkey % 40 AS w, 4 + l_partkey % 9 AS h FROM {lineitem} WHERE l_linenumber = 1""",
     "lattice_ranges": "SELECT p_partkey AS sheet_id, (p_partkey * 29) % 4000 - 2000 AS lo, (p_partkey * 29) % 4000 - 2000 + p_partkey % 90 AS hi, CAST(25 AS BIGINT) AS step FROM {part}",
+    "patches": """SELECT CAST(o_custkey AS STRING) AS sheet_id, o_orderkey AS patch, (o_orderkey * 7) % 60 AS x, (o_custkey * 11 + o_orderkey * 3) % 60 AS y,
+        4 + o_orderkey % 17 AS w, 3 + o_orderkey % 13 AS h FROM {orders}""",
     "payloads": "SELECT doc_id AS sheet_id, text AS content FROM {documents}",
     "sheet_events": "SELECT event_id, ts, CAST(user_id AS STRING) AS sheet_id, event_type AS op, props FROM {events}",
 }
@@ -41,11 +43,15 @@ SPARK_SQL = {
     "px": """SELECT vec_id AS sheet_id, CAST(i DIV 8 AS BIGINT) AS r, CAST(i % 8 AS BIGINT) AS c,
         CAST(floor((greatest(CAST(-0.5 AS DOUBLE), least(CAST(0.499 AS DOUBLE), CAST(v AS DOUBLE))) + 0.5) * 256) AS BIGINT) AS v
         FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS i, v""",
+    "px16": """SELECT vec_id DIV 4 AS sheet_id, CAST(i DIV 8 + 8 * (vec_id % 4 DIV 2) AS BIGINT) AS r, CAST(i % 8 + 8 * (vec_id % 2) AS BIGINT) AS c, CASE WHEN v >= 0.02 THEN 1 ELSE 0 END AS m
+        FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS i, v""",
 }
 DUCK_SQL = {
     "px": """SELECT vec_id AS sheet_id, CAST(i // 8 AS BIGINT) AS r, CAST(i % 8 AS BIGINT) AS c,
         CAST(floor((greatest(CAST(-0.5 AS DOUBLE), least(CAST(0.499 AS DOUBLE), CAST(v AS DOUBLE))) + 0.5) * 256) AS BIGINT) AS v
         FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS v FROM {embeddings}) q""",
+    "px16": """SELECT vec_id // 4 AS sheet_id, CAST(i // 8 + 8 * (vec_id % 4 // 2) AS BIGINT) AS r, CAST(i % 8 + 8 * (vec_id % 2) AS BIGINT) AS c, CASE WHEN v >= 0.02 THEN 1 ELSE 0 END AS m
+        FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS v FROM {embeddings}) q""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 

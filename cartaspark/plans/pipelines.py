@@ -24,22 +24,21 @@ def process_sheets(sheets: DataFrame, images: DataFrame, zoom: int, finder: S.Fi
 
     sheets: sheet_id, ring (closed, lon/lat, from upper left counter-clockwise), extra (JSON or null);
     images: sheet_id, height, width, data.  Sheets in `done` (sheet_id) are skipped.  Returns the stages
-    areas, rotations, corners, gcps, blocks, bounds and problems.  The deskewed images are written to the
-    shared folder once, as corners, warp and problems all read them; the rest runs when it is used.
+    areas, rotations, corners, gcps, blocks, bounds and problems.  Areas, deskewed images, corners and blocks
+    are written to the shared folder once, as several stages read them; the rest runs when it is used.
     Corners are sought on the image with its grid lines, many of them lie on crossings; what is warped
     is the image without them.
     """
     todo = sheets if done is None else sheets.join(done.select("sheet_id"), "sheet_id", "left_anti")
     scans = S.fill_insets(images.join(todo.select("sheet_id", "extra"), "sheet_id"))
-    areas = S.map_areas(scans)
+    areas = materialise(S.map_areas(scans), "areas")
     turns = S.rotations(areas)
     upright = materialise(S.rotate_images(scans, turns), "upright")
-    upright_areas = S.map_areas(upright)
     clean = upright if grid_lines is None else S.remove_grid_lines(upright, grid_lines)
-    found = S.find_corners(upright, upright_areas, finder)
+    found = materialise(S.find_corners(upright, finder), "corners")
     good = found.where("problem is null").select("sheet_id", "corners")
     gcps = corners.control_points(todo.select("sheet_id", "ring"), good)
-    blocks = S.warp_to_tiles(clean, gcps, zoom)
+    blocks = materialise(S.warp_to_tiles(clean, gcps, zoom), "blocks")
     digest = blocks.groupBy("sheet_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("/", "z", "x", "y", F.sha2("data", 256)))), ","), 256).alias("digest"))
     ring = F.transform("ring", lambda p: F.array(p["x"], p["y"]))
     geometry = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))

@@ -8,8 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import colour, geometry as G, scalar as S, tilemath as M
-from ..operators import bounds as B, corners as C, gridlines as L, kernels as K, ocrtext as O, raster as X, retile as R, sheets as H, tiles as T
+from ..functions import colour, geometry as G, projections as J, scalar as S, tilemath as M
+from ..operators import bounds as B, contours, corners as C, gridlines as L, kernels as K, ocrtext as O, polygons as P, raster as X, retile as R, sheets as H, tiles as T
 from ..sources import geojson, listing, tilestore
 from .fixtures import relation, with_relations
 
@@ -460,12 +460,12 @@ def line_runs(spark, sf):
 @query(
     "px",
     """WITH RECURSIVE on_px AS (SELECT sheet_id, r, c FROM px WHERE v >= 128),
-    reach AS (SELECT sheet_id, r, c, r * 8 + c AS seed FROM on_px UNION SELECT o.sheet_id, o.r, o.c, s.seed FROM reach s JOIN on_px o ON o.sheet_id = s.sheet_id AND abs(o.r - s.r) + abs(o.c - s.c) = 1 WHERE s.seed < o.r * 8 + o.c),
+    reach AS (SELECT sheet_id, r, c, r * 8 + c AS seed FROM on_px UNION SELECT o.sheet_id, o.r, o.c, s.seed FROM reach s JOIN on_px o ON o.sheet_id = s.sheet_id AND abs(o.r - s.r) <= 1 AND abs(o.c - s.c) <= 1 WHERE s.seed < o.r * 8 + o.c),
     lab AS (SELECT sheet_id, r, c, min(seed) AS label FROM reach GROUP BY 1, 2, 3)
     SELECT sheet_id, min(c) AS x, min(r) AS y, max(c) - min(c) + 1 AS w, max(r) - min(r) + 1 AS h, count(*) AS n FROM lab GROUP BY sheet_id, label""",
 )
 def connected_boxes(spark, sf):
-    """Boxes and sizes of the 4-connected components, by the array kernel on whole sheets."""
+    """Boxes and sizes of the 8-connected components, by the array kernel on whole sheets."""
     rows = _mask(spark, sf).groupBy("sheet_id").agg(F.collect_list(F.when(F.col("m") == 1, F.col("r") * 8 + F.col("c"))).alias("on"))
 
     def work(frames):
@@ -481,6 +481,73 @@ def connected_boxes(spark, sf):
     return rows.mapInPandas(work, "sheet_id long, x long, y long, w long, h long, n long")
 
 
+@query(
+    "px16",
+    """WITH RECURSIVE reach AS (
+        SELECT sheet_id, m, r, c, r * 16 + c AS seed FROM px16
+        UNION SELECT o.sheet_id, o.m, o.r, o.c, s.seed FROM reach s JOIN px16 o ON o.sheet_id = s.sheet_id AND o.m = s.m AND abs(o.r - s.r) + abs(o.c - s.c) <= 1 + o.m AND abs(o.r - s.r) <= 1 AND abs(o.c - s.c) <= 1
+        WHERE s.seed < o.r * 16 + o.c
+    ), lab AS (SELECT sheet_id, m, r, c, min(seed) AS label FROM reach GROUP BY ALL),
+    whole AS (SELECT sheet_id, m, label, min(c) AS x, min(r) AS y, max(c) - min(c) + 1 AS w, max(r) - min(r) + 1 AS h FROM lab GROUP BY ALL),
+    hole AS (SELECT o.sheet_id, p.label FROM whole o JOIN lab p ON p.sheet_id = o.sheet_id AND p.m = 1 AND p.r * 16 + p.c + 1 = o.label WHERE o.m = 0 AND o.x > 0 AND o.y > 0 AND o.x + o.w < 16 AND o.y + o.h < 16)
+    SELECT CAST(sheet_id AS VARCHAR) AS sheet_id, x, y, w, h, (SELECT count(*) FROM hole WHERE hole.sheet_id = whole.sheet_id AND hole.label = whole.label) AS holes FROM whole WHERE m = 1""",
+)
+def contour_rings(spark, sf):
+    """Outer boxes and numbers of holes of all contours of masks of 16 x 16 pixels."""
+    rows = relation(spark, sf, "px16").groupBy("sheet_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "c", "m"))), lambda p: F.lpad(F.hex(p["m"]), 2, "0")), "").alias("hexes"))
+    masks = rows.select(F.col("sheet_id").cast("string").alias("sheet_id"), F.lit(16).alias("height"), F.lit(16).alias("width"), F.unhex("hexes").alias("data"))
+    return contours.with_holes(contours.contour_rings(masks)).select("sheet_id", *(F.col(c).cast("long").alias(c) for c in ("x", "y", "w", "h", "holes")))
+
+
+@query("patches", "SELECT sheet_id, count(DISTINCT (x + i) * 1000 + y + j) AS area FROM patches, range(0, 40) a(i), range(0, 40) b(j) WHERE i < w AND j < h GROUP BY sheet_id")
+def cutline_union(spark, sf):
+    """Area of the union of each sheet's rectangles, by the arrangement of their edges."""
+    x, y = (F.col(c).cast("double") for c in "xy")
+    corner = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    rings = relation(spark, sf, "patches").select("sheet_id", F.array(corner(x, y), corner(x + F.col("w"), y), corner(x + F.col("w"), y + F.col("h")), corner(x, y + F.col("h"))).alias("ring"))
+    return P.cutlines(rings, rings.limit(0)).select("sheet_id", F.round("area").cast("long").alias("area"))
+
+
+_ELL = "SELECT sheet_id, patch, x, y, w, h, patch % 5 - 2 AS shift FROM patches WHERE w >= 8 AND h >= 8"
+
+
+@query(
+    "patches",
+    f"""WITH ell AS ({_ELL}), point AS (SELECT *, x + (patch * 13) % (w + 6) - 3 + 0.5 AS px, y + (patch * 29) % (h + 6) - 3 + 0.5 AS py FROM ell)
+    SELECT patch, sheet_id, (px > x - shift AND px < x + w + shift AND py > y - shift AND py < y + h + shift AND NOT (px >= x + w // 2 + shift AND py >= y + h // 2 + shift)) AS inside FROM point""",
+)
+def point_in_buffer(spark, sf):
+    """Whether a point lies in a concave (L-shaped) ring widened or narrowed with mitred corners."""
+    rows = relation(spark, sf, "patches").where("w >= 8 and h >= 8").withColumn("by", F.col("patch") % 5 - 2)
+    x, y, x1, y1, xm, ym = (F.expr(e).cast("double") for e in ("x", "y", "x + w", "y + h", "x + w div 2", "y + h div 2"))
+    ring = F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in ((x, y), (x1, y), (x1, ym), (xm, ym), (xm, y1), (x, y1), (x, y))])
+    parts = P.buffered(rows.select(F.concat_ws("/", "sheet_id", "patch").alias("sheet_id"), ring.alias("ring"), "by"), "by").withColumnRenamed("sheet_id", "key")
+    point = rows.select("patch", "sheet_id", F.concat_ws("/", "sheet_id", "patch").alias("key"), F.expr("x + (patch * 13) % (w + 6) - 3 + 0.5D").alias("px"), F.expr("y + (patch * 29) % (h + 6) - 3 + 0.5D").alias("py"))
+    met = point.join(parts, "key")
+    return met.select("patch", "sheet_id", F.exists("parts", lambda r: G.inside(r, F.col("px"), F.col("py"))).alias("inside"))
+
+
+def _tm_sql() -> str:
+    """The same series as text, for the UTM zone of each sheet's western edge."""
+    e, radius, alpha, _ = J.utm(31)._constants()
+    north = " + ".join(["xi", *(f"{c:.17e} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(alpha, 1))])
+    east = " + ".join(["eta", *(f"{c:.17e} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(alpha, 1))])
+    return f"""WITH z AS (SELECT sheet_id, west, south, floor((west + 180) / 6) + 1 AS zone FROM sheets),
+        t AS (SELECT *, radians(west - (zone * 6 - 183)) AS lam, sinh(atanh(sin(radians(south))) - {e:.17e} * atanh({e:.17e} * sin(radians(south)))) AS t FROM z),
+        s AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t)
+        SELECT sheet_id, CAST(zone AS BIGINT) AS zone, round({radius * 0.9996:.17e} * ({east}) + 500000, 3) AS x, round({radius * 0.9996:.17e} * ({north}), 3) AS y, round(west, 8) AS lon, round(south, 8) AS lat FROM s"""
+
+
+@query("sheets", _tm_sql())
+def transverse_mercator_round_trip(spark, sf):
+    """Lower left corners of sheets in their UTM zones, and back."""
+    rows = relation(spark, sf, "sheets").select("sheet_id", "west", "south", (F.floor((F.col("west") + 180) / 6) + 1).alias("zone"))
+    x, y = J.utm(F.col("zone")).forward(F.col("west"), F.col("south"))
+    rows = rows.select("sheet_id", "zone", x.alias("x"), y.alias("y"))
+    lon, lat = J.utm(F.col("zone")).inverse(F.col("x"), F.col("y"))
+    return rows.select("sheet_id", "zone", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"))
+
+
 @query("sheets", "SELECT sheet_id, round(radians(west) * 6378137.0, 3) AS x, round(ln(tan(0.7853981633974483 + radians(north) / 2)) * 6378137.0, 3) AS y, round(west, 6) AS lon, round(north, 6) AS lat FROM sheets")
 def mercator_round_trip(spark, sf):
     x, y = G.to_mercator(F.col("west"), F.col("north"))

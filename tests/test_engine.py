@@ -162,10 +162,10 @@ def test_rings(spark):
 
 
 def test_components_do_not_stop_early(spark):
-    # a staircase: each round carries the first label down by one step
-    rows = [("s", r, c, 1) for k in range(4) for r, c in ((k, 4 - k), (k, 3 - k))]
+    # corridors joined at alternate ends: each round carries the first label on by a few turns
+    rows = [("s", r, c, 1) for r in range(25) for c in range(9) if r % 2 == 0 or c == (8 if r % 4 == 1 else 0)]
     mask = spark.createDataFrame(rows, "sheet_id string, r long, c long, m int")
-    assert {r["label"] for r in X.components(mask, "m").collect()} == {3}
+    assert {r["label"] for r in X.components(mask, "m").collect()} == {0}
     with pytest.raises(RuntimeError):
         X.components(mask, "m", rounds=2)
 
@@ -257,7 +257,9 @@ def test_options():
     with pytest.raises(ValueError):
         H.SheetOptions(resize_width=1, resize_height=1)
     assert H.SheetOptions.of(None) == H.SheetOptions()
-    assert H.SheetOptions.of('{"finder": "four_way", "unknown": 1}').finder == "four_way"
+    assert H.SheetOptions.of('{"finder": "four_way", "jpeg_export_quality": 50}').finder == "four_way"
+    with pytest.raises(ValueError, match="unknown options colour, finderr"):
+        H.SheetOptions.of('{"finderr": "four_way", "colour": 1}')
 
 
 def test_finders_on_one_corner():
@@ -290,6 +292,11 @@ def test_rules_of_the_largest_contour():
         find(cross, picked_corner_max_dist_from_contour_ratio=0.1)
     framed = image.copy()
     framed[:5] = framed[:, :4] = 0  # bands of int(0.1 * 60) pixels: columns [0, 5), rows [0, 7)
+    assert find(framed) == (0, 0) and find(framed, corner_erode=-1) == (0, 0)
+    thin = np.full((60, 60, 3), 255, np.uint8)
+    thin[20:23, 20:50] = thin[20:50, 20:23] = thin[20:50, 47:50] = thin[47:50, 20:50] = 0
+    assert find(thin, corner_erode=2) == (21, 21)  # a frame of three pixels outlives a square of two
+    assert find(thin, corner_erode=-2) == (20, 20)
     assert find(framed) == (0, 0) and find(framed, remove_corner_edges_ratio=0.1) == (20, 20)
 
 
@@ -346,14 +353,80 @@ def test_tile_and_collect_bounds(spark, tmp_path):
         P.collect_bounds(spark, f"file://{tmp_path}/parts", None, ["r"])
 
 
-def test_corners_of_a_polygon():
-    image = scanned_sheet()
-    ring = np.array([(81, 61), (81, 340), (418, 340), (418, 61)])
-    o = H.SheetOptions.of(json.dumps({"corner_ratio": 0.3, "find_line_scale": 3, "find_line_iter": 0, "max_corner_angle_diff": 60, "max_corner_angle_diff_cutoff": 80}))
-    found = H.locate_corners_generic(image, ring + 12 * np.array([(-1, -1), (-1, 1), (1, 1), (1, -1)]), o)  # a coarse outline lies a little outside
-    assert np.abs(np.array(found) - ring).max() <= 2
+def six_cornered():
+    """A white scan with a black collar around an L, and inside it lines that cross at its six corners."""
+    image = np.full((500, 600, 3), 255, np.uint8)
+    ring = [(60, 60), (60, 440), (540, 440), (540, 240), (300, 240), (300, 60)]
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
+        lo, hi = (min(x1, x2), min(y1, y2)), (max(x1, x2), max(y1, y2))
+        image[lo[1] : hi[1] + 3, lo[0] : hi[0] + 3] = 0
+    for x, y in ring:  # lines run on a little beyond their crossings
+        image[y : y + 3, x - 15 : x + 15] = image[y - 15 : y + 15, x : x + 3] = 0
+    collar = [(35, 35), (35, 465), (565, 465), (565, 215), (325, 215), (325, 35)]
+    for (x1, y1), (x2, y2) in zip(collar, collar[1:] + collar[:1], strict=True):
+        image[min(y1, y2) : max(y1, y2) + 3, min(x1, x2) : max(x1, x2) + 3] = 0
+    return image, ring
+
+
+SIX = json.dumps({"corner_ratio": 0.15, "corner_min_dist_ratio": 0.1, "find_line_scale": 3, "find_line_iter": 0, "max_corner_angle_diff": 90, "max_corner_angle_diff_cutoff": 90, "collar_erode": 0, "resize_factor": 0.5, "map_area_ratio_thresh": 0.3, "poly_approx_factor": 0.02, "corner_overrides": [None] * 6, "auto_rotate_thresh": 1.0, "max_contour_ratio": 0.95})
+
+
+def test_a_sheet_with_six_corners(spark):
+    image, ring = six_cornered()
+    lonlat = [(10.0, 50.0), (10.0, 49.0), (11.2, 49.0), (11.2, 49.5), (10.6, 49.5), (10.6, 50.0), (10.0, 50.0)]
+    images = spark.createDataFrame([("six", *image.shape[:2], bytearray(image.tobytes()))], H.IMAGE)
+    sheets = spark.createDataFrame([("six", lonlat, SIX)], SHEET)
+    out = P.process_sheets(sheets, images, 6)
+    assert out["problems"].collect() == []
+    found = np.array([tuple(p) for p in one(out["corners"])["corners"]])
+    assert found.shape == (6, 2) and np.abs(found - np.array(ring)).max() <= 3
+    assert len(one(out["gcps"])["gcps"]) == 6 and out["blocks"].count() > 0
+
+
+def test_windows_of_corners():
+    area = {"box": [10, 20, 100, 50], "ratio": (0.5, 0.5), "ring": np.array([(10, 20), (10, 70), (110, 70), (110, 20)])}
+    windows = H.corner_windows((200, 300, 3), area, H.SheetOptions(corner_ratio=0.125))
+    assert [(v.x, v.y, v.width, v.height) for v in windows] == [(20, 40, 25, 12), (20, 127, 25, 12), (194, 127, 25, 12), (194, 40, 25, 12)]  # 12.5 is rounded to 12; far ones begin a pixel earlier
+    given = H.corner_windows((200, 300, 3), area, H.SheetOptions(corner_overrides=((1, 2),) * 5))
+    assert [v.given for v in given] == [(1.0, 2.0)] * 5
     with pytest.raises(ValueError):
-        H.locate_corners_generic(image, ring, H.SheetOptions(corner_overrides=(None,)))
+        H.corner_windows((200, 300, 3), area, H.SheetOptions(corner_overrides=(None,) * 5))
+    some = H.ring_windows(np.array([(0, 0), (100, 0), (100, 80), (0, 80)]), 20, [None, (5, 5), None, None])
+    assert [(v.x, v.y, v.direction, v.given) for v in some] == [(0, 0, (1, 1), None), (0, 60, (1, -1), (5, 5)), (80, 60, (-1, -1), None), (80, 0, (-1, 1), None)]
+    with pytest.raises(H.NotFound):
+        H.ring_windows(np.array([(0, 0), (100, 0), (100, 8), (0, 8)]), 20, [None] * 4)
+
+
+def test_a_broken_sheet_beside_a_good_one(spark):
+    good = scanned_sheet()
+    blank = np.full((60, 80, 3), 255, np.uint8)
+    rows = [("good", *good.shape[:2], bytearray(good.tobytes()), EXTRA), ("blank", 60, 80, bytearray(blank.tobytes()), EXTRA), ("typo", *good.shape[:2], bytearray(good.tobytes()), '{"finderr": 1}'), ("colour", *good.shape[:2], bytearray(good.tobytes()), '{"band_color": "mauve"}')]
+    images = spark.createDataFrame([r[:4] for r in rows], H.IMAGE)
+    sheets = spark.createDataFrame([(r[0], RING, r[4]) for r in rows], SHEET)
+    out = P.process_sheets(sheets, images, 6)
+    problems = {r["sheet_id"]: r["problem"] for r in out["problems"].collect()}
+    assert problems.keys() == {"blank", "typo", "colour"} and "unknown options finderr" in problems["typo"] and "mauve" in problems["colour"]
+    assert [r["sheet_id"] for r in out["gcps"].collect()] == ["good"]
+
+
+def test_rules_of_the_map_area():
+    image = np.full((100, 120, 3), 255, np.uint8)
+    image[:, :] = 0  # the whole image is one component: not below the bound
+    o = H.SheetOptions(resize_factor=1.0, collar_erode=0, map_area_ratio_thresh=0.2)
+    with pytest.raises(H.NotFound):
+        H.map_area(image, o)
+    image[20:80, 10:110] = 255  # its hole is
+    assert H.map_area(image, o)["box"] == [9, 19, 102, 62]
+    image[30:40, 30:40] = 0
+    image[33:37, 33:37] = 255
+    # contour mode: the first hole of the largest contour below the bound
+    assert H.map_area(image, H.SheetOptions(resize_factor=1.0, collar_erode=0, map_area_ratio_thresh=0.0, use_bbox_area=False, max_contour_ratio=0.1))["box"] == [32, 32, 6, 6]
+    # a given colour beats the choices, null leaves it to them
+    grey = np.full((100, 120, 3), 255, np.uint8)
+    grey[10:90, 10:110] = 140
+    with pytest.raises(H.NotFound):
+        H.map_area(grey, H.SheetOptions(resize_factor=1.0, collar_erode=0, band_color_choices=("greyish",)))
+    assert H.map_area(grey, H.SheetOptions(resize_factor=1.0, collar_erode=0, band_color=None, band_color_choices=("black", "greyish")))["box"] == [10, 10, 100, 80]
 
 
 def test_grid_lines_points_and_properties(spark):
