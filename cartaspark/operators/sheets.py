@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.colour import COLOURS
+from ..sources.scratch import materialise
 from . import contours as C, kernels as K, polygons as P
 
 IMAGE = "sheet_id string, height int, width int, data binary"
@@ -67,6 +68,10 @@ class SheetOptions:
     warp_resampling_method: str = "bilinear"
     warp_output_height: int = 6500
     finder: str = "nearest_intersection"
+    remove_text: bool = True
+    text_removal_engine: str = "tesseract"
+    text_removal_border: int = 0
+    text_removal_iterations: int = 1
 
     def __post_init__(self):
         if self.resize_width is not None and self.resize_height is not None:
@@ -218,8 +223,34 @@ def rotate_images(images: DataFrame, angles: DataFrame) -> DataFrame:
     return _each(images.join(angles, "sheet_id"), IMAGE + ", extra string, original_height int, original_width int, angle double, rotated boolean", work)
 
 
+def text_mask(height: int, width: int, boxes: list[tuple[int, int, int, int]], engine: str, border: int, iterations: int) -> np.ndarray:
+    """Pixels under text boxes (x, y, w, h; the far sides included), widened by a square of `border` pixels, `iterations` times (below 0: narrowed).
+
+    With the engine "easyocr" all that is marked so far is widened after each box, so earlier boxes grow
+    with each later one; with "tesseract" it is widened once, after the last.
+    """
+    if engine not in ("tesseract", "easyocr"):
+        raise ValueError(f"unknown text engine {engine}")
+    mask = np.zeros((height, width), np.uint8)
+
+    def widened(mask: np.ndarray) -> np.ndarray:
+        for _ in range(iterations if border else 0):
+            mask = (K.dilate if border > 0 else K.erode)(mask, abs(border), abs(border))
+        return mask
+
+    for x, y, w, h in boxes:
+        mask[max(0, y) : max(0, y + h + 1), max(0, x) : max(0, x + w + 1)] = 255
+        if engine == "easyocr":
+            mask = widened(mask)
+    return widened(mask) if engine == "tesseract" else mask
+
+
 def _mask(image: np.ndarray, o: SheetOptions) -> np.ndarray:
-    return K.colour_mask(image, o.line_color, COLOURS)
+    """The lines of a window; what its fourth channel marks as text is none, if the sheet asks for that."""
+    mask = K.colour_mask(image[..., :3], o.line_color, COLOURS)
+    if image.shape[2] > 3 and o.remove_text:
+        mask[image[..., 3] > 0] = 0
+    return mask
 
 
 def _without_edges(mask: np.ndarray, direction: tuple[int, int], o: SheetOptions) -> np.ndarray:
@@ -449,11 +480,29 @@ def cut_windows(images: DataFrame) -> DataFrame:
     return _each(images, WINDOW, work, {"x", "y", "width", "height", "dx", "dy", "part_height", "part_width"})
 
 
-def find_corners(images: DataFrame, finder: Finder | None = None) -> DataFrame:
+def boxes_in_windows(windows: DataFrame, text_boxes: DataFrame) -> DataFrame:
+    """sheet_id, corner, boxes: the text boxes (sheet_id, ord, x, y, w, h; pixels of the upright image) that meet each window, in order, from the window's corner on.
+
+    Only boxes of the same sheet meet, and of windows only their places, not their pixels.
+    """
+    own = windows.where("problem is null and gx is null").select("sheet_id", "corner", F.greatest(F.lit(0), "x").alias("_x"), F.greatest(F.lit(0), "y").alias("_y"), "part_width", "part_height")
+    met = text_boxes.join(own, "sheet_id").where((F.col("x") + F.col("w") >= F.col("_x")) & (F.col("y") + F.col("h") >= F.col("_y")) & (F.col("x") < F.col("_x") + F.col("part_width")) & (F.col("y") < F.col("_y") + F.col("part_height")))
+    box = F.struct("ord", (F.col("x") - F.col("_x")).cast("int").alias("x"), (F.col("y") - F.col("_y")).cast("int").alias("y"), F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"))
+    return met.groupBy("sheet_id", "corner").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+
+
+def find_corners(images: DataFrame, finder: Finder | None = None, text_boxes: DataFrame | None = None) -> DataFrame:
     """Corners of every sheet, in pixels of the full image; `problem` says why there are none.
 
     The corners of a sheet are sought in parallel; of several problems the one of the first corner is reported.
+    With `text_boxes` (see boxes_in_windows) finders get a fourth channel that marks recognised text.
     """
+    windows = cut_windows(images)
+    if text_boxes is not None:
+        windows = materialise(windows, "windows")
+        windows = windows.join(boxes_in_windows(windows, text_boxes), ["sheet_id", "corner"], "left")
+
+    marked = text_boxes is not None
 
     def work(row):
         if row.problem is not None:
@@ -461,12 +510,15 @@ def find_corners(images: DataFrame, finder: Finder | None = None) -> DataFrame:
         given = None if row.gx is None or np.isnan(row.gx) else (float(row.gx), float(row.gy))
         window = Window(int(row.x), int(row.y), int(row.width), int(row.height), (int(row.dx), int(row.dy)), float(row.angle), given)
         try:
-            part = np.frombuffer(row.data, np.uint8).reshape(int(row.part_height), int(row.part_width), 3)
-            return [(row.sheet_id, int(row.corner), int(row.corners), *_found(part, window, SheetOptions.of(row.extra), finder), None)]
+            o, part = SheetOptions.of(row.extra), np.frombuffer(row.data, np.uint8).reshape(int(row.part_height), int(row.part_width), 3)
+            if marked:
+                boxes = [(b["x"], b["y"], b["w"], b["h"]) for b in (row.boxes if row.boxes is not None else ())]
+                part = np.dstack([part, text_mask(*part.shape[:2], boxes, o.text_removal_engine, o.text_removal_border, o.text_removal_iterations)])
+            return [(row.sheet_id, int(row.corner), int(row.corners), *_found(part, window, o, finder), None)]
         except Exception as e:
             return [(row.sheet_id, int(row.corner), int(row.corners), None, None, _problem(e))]
 
-    found = _each(cut_windows(images).repartition("sheet_id", "corner"), "sheet_id string, corner int, corners int, x double, y double, problem string", work)
+    found = _each(windows.repartition("sheet_id", "corner"), "sheet_id string, corner int, corners int, x double, y double, problem string", work)
     point = F.struct("corner", F.struct("x", "y").alias("p"))
     first = F.min(F.when(F.col("problem").isNotNull(), F.struct("corner", "problem")))["problem"]
     packed = found.groupBy("sheet_id").agg(F.transform(F.array_sort(F.collect_list(point)), lambda c: c["p"]).alias("corners"), first.alias("problem"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,7 +20,7 @@ class MissingSheets(ValueError):
         self.sheets = sheets
 
 
-def process_sheets(sheets: DataFrame, images: DataFrame, zoom: int, finder: S.Finder | None = None, done: DataFrame | None = None, grid_lines: DataFrame | None = None) -> dict[str, DataFrame]:
+def process_sheets(sheets: DataFrame, images: DataFrame, zoom: int, finder: S.Finder | None = None, done: DataFrame | None = None, grid_lines: DataFrame | Callable[[DataFrame, DataFrame], DataFrame] | None = None, text_boxes: DataFrame | None = None) -> dict[str, DataFrame]:
     """Scanned sheets to georeferenced blocks and bounds.
 
     sheets: sheet_id, ring (closed, lon/lat, from upper left counter-clockwise), extra (JSON or null);
@@ -27,17 +28,21 @@ def process_sheets(sheets: DataFrame, images: DataFrame, zoom: int, finder: S.Fi
     areas, rotations, corners, gcps, blocks, bounds and problems.  Areas, deskewed images, corners and blocks
     are written to the shared folder once, as several stages read them; the rest runs when it is used.
     Corners are sought on the image with its grid lines, many of them lie on crossings; what is warped
-    is the image without them.
+    is the image without them.  `grid_lines` is a table (see sheets.remove_grid_lines), or a callable that
+    gets the corners (sheet_id, corners) and control points (sheet_id, gcps) found and returns such a
+    table; it is called between these stages.  `text_boxes`: recognised text that finders must ignore
+    (see sheets.boxes_in_windows).
     """
     todo = sheets if done is None else sheets.join(done.select("sheet_id"), "sheet_id", "left_anti")
     scans = S.fill_insets(images.join(todo.select("sheet_id", "extra"), "sheet_id"))
     areas = materialise(S.map_areas(scans), "areas")
     turns = S.rotations(areas)
     upright = materialise(S.rotate_images(scans, turns), "upright")
-    clean = upright if grid_lines is None else S.remove_grid_lines(upright, grid_lines)
-    found = materialise(S.find_corners(upright, finder), "corners")
+    found = materialise(S.find_corners(upright, finder, text_boxes), "corners")
     good = found.where("problem is null").select("sheet_id", "corners")
     gcps = corners.control_points(todo.select("sheet_id", "ring"), good)
+    lines = grid_lines(good, gcps) if callable(grid_lines) else grid_lines
+    clean = upright if lines is None else S.remove_grid_lines(upright, lines)
     blocks = materialise(S.warp_to_tiles(clean, gcps, zoom), "blocks")
     digest = blocks.groupBy("sheet_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("/", "z", "x", "y", F.sha2("data", 256)))), ","), 256).alias("digest"))
     ring = F.transform("ring", lambda p: F.array(p["x"], p["y"]))

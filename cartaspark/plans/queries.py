@@ -527,6 +527,28 @@ def point_in_buffer(spark, sf):
     return met.select("patch", "sheet_id", F.exists("parts", lambda r: G.inside(r, F.col("px"), F.col("py"))).alias("inside"))
 
 
+@query(
+    "patches",
+    """WITH b AS (SELECT sheet_id, x, y, w, h, row_number() OVER (PARTITION BY sheet_id ORDER BY patch DESC) AS later FROM patches),
+    e AS (SELECT sheet_id, 'tesseract' AS engine, x - 2 AS x0, y - 2 AS y0, x + w + 2 AS x1, y + h + 2 AS y1 FROM b UNION ALL SELECT sheet_id, 'easyocr', x - 2 * later, y - 2 * later, x + w + 2 * later, y + h + 2 * later FROM b),
+    p AS (SELECT DISTINCT sheet_id, engine, i, j FROM e, range(0, 96) a(i), range(0, 96) c(j) WHERE i BETWEEN x0 AND x1 AND j BETWEEN y0 AND y1)
+    SELECT sheet_id, engine, count(*) AS pixels FROM p GROUP BY ALL""",
+)
+def text_masks(spark, sf):
+    """Pixels of 96 x 96 that the text masks of both engines mark; in one, earlier boxes grow with each later one."""
+    packed = P.spread(relation(spark, sf, "patches"), "sheet_id").groupBy("sheet_id").agg(F.array_sort(F.collect_list(F.struct("patch", "x", "y", "w", "h"))).alias("boxes"))
+
+    def work(frames):
+        for frame in frames:
+            out = []
+            for sheet, boxes in zip(frame["sheet_id"], frame["boxes"], strict=True):
+                own = [tuple(int(b[c]) for c in "xywh") for b in boxes]
+                out += [(sheet, e, int((H.text_mask(96, 96, own, e, 5, 1) > 0).sum())) for e in ("tesseract", "easyocr")]
+            yield pd.DataFrame(out, columns=["sheet_id", "engine", "pixels"])
+
+    return packed.mapInPandas(work, "sheet_id string, engine string, pixels long")
+
+
 def _tm_sql() -> str:
     """The same series as text, for the UTM zone of each sheet's western edge."""
     e, radius, alpha, _ = J.utm(31)._constants()

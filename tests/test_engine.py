@@ -383,6 +383,45 @@ def test_a_sheet_with_six_corners(spark):
     assert len(one(out["gcps"])["gcps"]) == 6 and out["blocks"].count() > 0
 
 
+def test_text_is_no_line(spark):
+    image = scanned_sheet()
+    image[30:33, 40:460] = 0  # a word struck through above the frame looks like one more line
+    images = spark.createDataFrame([("s1", *image.shape[:2], bytearray(image.tobytes()))], H.IMAGE)
+    sheets = spark.createDataFrame([("s1", RING, EXTRA)], SHEET)
+    boxes = spark.createDataFrame([("s1", 1, 35, 26, 430, 10), ("other", 1, 0, 0, 500, 400)], "sheet_id string, ord int, x int, y int, w int, h int")
+    found = [[(p["x"], p["y"]) for p in one(P.process_sheets(sheets, images, 6, text_boxes=t)["corners"])["corners"]] for t in (None, boxes)]
+    assert abs(found[0][0][1] - 31) <= 1 and abs(found[1][0][1] - 61) <= 1  # the first corner's row, with and without the word
+    mask = H.text_mask(20, 20, [(2, 2, 3, 3), (10, 10, 2, 2)], "easyocr", 3, 1)
+    assert mask[0, 0] and mask[9, 9] and not mask[8, 8] and (H.text_mask(20, 20, [(2, 2, 3, 3)], "tesseract", -3, 1) > 0).sum() == 4
+    with pytest.raises(ValueError):
+        H.text_mask(1, 1, [], "none", 0, 1)
+
+
+def test_grid_lines_from_corners(spark):
+    image = scanned_sheet()
+    image[200:202, 80:420] = 0
+
+    def lines(corners, gcps):
+        assert set(gcps.columns) >= {"sheet_id", "gcps"}
+        xs, ys = F.transform("corners", lambda p: p["x"]), F.transform("corners", lambda p: p["y"])
+        y = (F.array_min(ys) + F.array_max(ys)) / 2
+        return corners.select("sheet_id", F.lit(1).alias("ord"), F.array_min(xs).alias("x1"), y.alias("y1"), F.array_max(xs).alias("x2"), y.alias("y2"), F.lit(0.012).alias("line_buf_ratio"), F.lit(0.05).alias("blur_buf_ratio"), F.lit(0.04).alias("blur_kern_ratio"), F.lit(1).alias("blur_repeat"))
+
+    dark = []
+    for hook in (None, lines):
+        blocks = process(spark, image, grid_lines=hook)["blocks"].collect()
+        pixels = np.concatenate([np.frombuffer(b["data"], np.uint8).reshape(-1, 4) for b in blocks])
+        dark.append(int(((pixels[:, 0] < 128) & (pixels[:, 3] > 0)).sum()))
+    assert dark[1] < dark[0]
+
+
+def test_lines_near_the_edge(spark):
+    ring = [(0.0, 0.0), (0.0, 100.0), (100.0, 100.0), (100.0, 0.0), (0.0, 0.0)]
+    cut = spark.createDataFrame([("s", ring)], "sheet_id string, ring array<struct<x:double,y:double>>")
+    lines = spark.createDataFrame([("s", 104.0, 104.0, 120.0, 120.0), ("s", 50.0, 50.0, 300.0, 50.0), ("s", -9.0, 5.0, -20.0, 5.0)], "sheet_id string, px1 double, py1 double, px2 double, py2 double")
+    assert [L.on_sheet(lines, cut, b).count() for b in (0.0, 5.0, 10.0, -60.0)] == [1, 2, 3, 0]
+
+
 def test_windows_of_corners():
     area = {"box": [10, 20, 100, 50], "ratio": (0.5, 0.5), "ring": np.array([(10, 20), (10, 70), (110, 70), (110, 20)])}
     windows = H.corner_windows((200, 300, 3), area, H.SheetOptions(corner_ratio=0.125))
