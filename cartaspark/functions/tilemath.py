@@ -70,3 +70,23 @@ def flip_y(y: Column, z: Column) -> Column:
 
 def tile_path(z: Column, x: Column, y: Column, extension: Column) -> Column:
     return F.concat(F.concat_ws("/", z.cast("string"), x.cast("string"), y.cast("string")), F.lit("."), extension)
+
+
+def tile_id(z: Column, x: Column, y: Column) -> Column:
+    """Number of a tile along the Hilbert curve of its zoom, after all tiles of the zooms above; null for tiles outside their zoom (0 to 31)."""
+    one = F.lit(1).cast("long")
+    shift = lambda v, n: F.call_function("shiftleft", v, n)
+
+    def step(s: Column, k: Column) -> Column:
+        side = shift(one, k)
+        right, low = s["x"].bitwiseAND(side) != 0, s["y"].bitwiseAND(side) != 0
+        quarter = F.when(right, F.when(low, 2).otherwise(3)).otherwise(F.when(low, 1).otherwise(0)).cast("long")
+        turn = lambda c: F.when(right, side - 1 - c).otherwise(c)
+        return F.struct(F.when(low, s["x"]).otherwise(turn(s["y"])).alias("x"), F.when(low, s["y"]).otherwise(turn(s["x"])).alias("y"), (s["d"] + quarter * side * side).alias("d"))
+
+    z, x, y = z.cast("int"), x.cast("long"), y.cast("long")
+    levels = F.when(z > 0, F.sequence(z - 1, F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    along = F.aggregate(levels, F.struct(x.alias("x"), y.alias("y"), F.lit(0).cast("long").alias("d")), step)["d"]
+    above = F.call_function("div", shift(one, 2 * z) - 1, F.lit(3).cast("long"))
+    inside = z.between(0, 31) & (x >= 0) & (y >= 0) & (x < shift(one, z)) & (y < shift(one, z))
+    return F.when(inside, above + along)

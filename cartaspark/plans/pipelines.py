@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import bounds, corners, retile as R, sheets as S, tiles as T
-from ..sources import geojson, tilestore
+from ..sources import archive, geojson, tilestore
 from ..sources.scratch import materialise
 
 
@@ -75,6 +75,19 @@ def tile(blocks: DataFrame, path: str, name: str, description: str, attribution:
     return value
 
 
+def partition(sources: list[DataFrame], path: str, extension: str, about: str = "{}", part_bytes: int = archive.PART_BYTES) -> None:
+    """Write encoded tiles (z, x, y, data) of several sources as one set of archives of bounded size.
+
+    Where sources share a tile the first one's counts; a tile whose source says that it is transparent
+    (is_transparent) is left out, and so are the same tiles of later sources.
+    """
+    if not sources:
+        raise ValueError("no tiles given")
+    flagged = [s if "is_transparent" in s.columns else s.withColumn("is_transparent", F.lit(False)) for s in sources]
+    whole = reduce(lambda new, old: new.unionByName(old.join(new.select(*R.KEY), R.KEY, "left_anti")), [s.select(*R.KEY, "data", "is_transparent") for s in flagged])
+    archive.write_archives(whole.where(~F.col("is_transparent")), path, extension, about, part_bytes)
+
+
 def collect_bounds(spark: SparkSession, folder: str, base: str | None = None, delete_ids: list[str] | None = None) -> DataFrame:
     """The features of a folder of `.geojsonl` files over those of an earlier collection (a path), of which the deleted ids are left out."""
     if delete_ids and base is None:

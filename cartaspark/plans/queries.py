@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import colour, geometry as G, projections as J, scalar as S, tilemath as M
 from ..operators import bounds as B, contours, corners as C, gridlines as L, kernels as K, ocrtext as O, polygons as P, raster as X, retile as R, sheets as H, tiles as T
-from ..sources import geojson, listing, tilestore
+from ..sources import archive, geojson, listing, tilestore
+from ..sources.scratch import shared_path
 from .fixtures import relation, with_relations
 
 Z, MIN_Z = 9, 0
@@ -130,6 +131,36 @@ def overlap_precedence(spark, sf):
     return R.top_sheet(_edges(spark, sf), relation(spark, sf, "sheets"))
 
 
+_PYRAMID = f"WITH {_COVER}, pyramid AS (SELECT 9 - up AS z, x >> up AS x, y >> up AS y, count(*) AS n FROM edges, (SELECT CAST(u AS INTEGER) AS up FROM range(0, 10) r(u)) q GROUP BY ALL)"
+
+
+def _pyramid(spark: SparkSession, sf: str) -> DataFrame:
+    """Tiles of zooms 0 to 9 with the number of edges to sheets below each."""
+    up = _edges(spark, sf).select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(Z))).alias("up"))
+    shift = lambda c: F.call_function("shiftright", F.col(c), F.col("up"))
+    return up.groupBy((F.lit(Z) - F.col("up")).alias("z"), shift("x").alias("x"), shift("y").alias("y")).agg(F.count("*").alias("n"))
+
+
+@query(_BASE, _PYRAMID.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+walk AS (SELECT z, x, y, x AS a, y AS b, CAST(z - 1 AS INTEGER) AS k, CAST(0 AS BIGINT) AS d FROM pyramid
+    UNION ALL SELECT z, x, y,
+        CASE WHEN low = 1 THEN a WHEN rgt = 1 THEN side - 1 - b ELSE b END, CASE WHEN low = 1 THEN b WHEN rgt = 1 THEN side - 1 - a ELSE a END,
+        k - 1, d + side * side * CASE WHEN rgt = 1 THEN 3 - low ELSE low END
+    FROM (SELECT *, CAST(1 AS BIGINT) << k AS side, (a >> k) & 1 AS rgt, (b >> k) & 1 AS low FROM walk WHERE k >= 0) w)
+SELECT z, x, y, d + ((CAST(1 AS BIGINT) << CAST(2 * z AS INTEGER)) - 1) // 3 AS tile_id FROM walk WHERE k = -1""")
+def tile_ids(spark, sf):
+    """Numbers along the Hilbert curve, tiles of all zooms."""
+    return _pyramid(spark, sf).select("z", "x", "y", M.tile_id(F.col("z"), F.col("x"), F.col("y")).alias("tile_id"))
+
+
+@query(_BASE, f"{_PYRAMID} SELECT z, x, y, n FROM pyramid WHERE z >= 4")
+def archive_round_trip(spark, sf):
+    """A pyramid written as tile archives of a few kilobytes each and read again, the lower zooms alone."""
+    path = shared_path(spark, "archives")
+    archive.write_archives(_pyramid(spark, sf).select("z", "x", "y", F.col("n").cast("string").cast("binary").alias("data")), path, "png", part_bytes=4096)
+    return archive.read_archive(spark, path).where(F.col("z") >= 4).select("z", "x", "y", F.col("data").cast("string").cast("long").alias("n"))
+
+
 @query("tile_store", "SELECT z, x, y, CAST(z AS VARCHAR) || '/' || CAST(x AS VARCHAR) || '/' || CAST(y AS VARCHAR) || '.webp' AS path FROM tile_store")
 def tile_path_format(spark, sf):
     return relation(spark, sf, "tile_store").select("z", "x", "y", M.tile_path(F.col("z"), F.col("x"), F.col("y"), F.lit("webp")).alias("path"))
