@@ -122,6 +122,44 @@ def shrink(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return np.rint(out).astype(image.dtype).reshape(height, width, *image.shape[2:])
 
 
+#: Resampling methods: pixels on each side that a value is made of.
+REACH = {"nearest": 1, "bilinear": 1, "cubic": 2, "lanczos": 3}
+
+
+def reach(method: str) -> int:
+    if method not in REACH:
+        raise ValueError(f"unknown resampling method {method}; known: {', '.join(REACH)}")
+    return REACH[method]
+
+
+def weights(method: str, away: np.ndarray) -> np.ndarray:
+    """Weight of a pixel at a distance along one axis: cubic convolution (a = -1/2) or Lanczos with three lobes."""
+    d = np.abs(away)
+    if method == "cubic":
+        return np.where(d <= 1, (1.5 * d - 2.5) * d * d + 1, np.where(d < 2, ((-0.5 * d + 2.5) * d - 4) * d + 2, 0))
+    return np.where(d < 3, np.sinc(d) * np.sinc(d / 3), 0)
+
+
+def convolved(image: np.ndarray, x: np.ndarray, y: np.ndarray, method: str, fill: float) -> np.ndarray:
+    """sample() by a separable kernel; pixels off the image have no weight, places off it are `fill`."""
+    h, w = image.shape[:2]
+    r, tail = reach(method), (1,) * (image.ndim - 2)
+    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
+    total, mass = np.zeros((*x.shape, *image.shape[2:])), np.zeros(x.shape)
+    for dy in range(1 - r, r + 1):
+        wy = weights(method, y - (y0 + dy))
+        for dx in range(1 - r, r + 1):
+            xi, yi, share = x0 + dx, y0 + dy, wy * weights(method, x - (x0 + dx))
+            ok = (xi >= 0) & (xi < w) & (yi >= 0) & (yi < h)
+            total[ok] += image[yi[ok], xi[ok]] * share[ok].reshape(-1, *tail)
+            mass[ok] += share[ok]
+    on = (x > -0.5) & (x < w - 0.5) & (y > -0.5) & (y < h - 0.5)
+    out = np.where(on.reshape(*x.shape, *tail), total / np.where(on, mass, 1).reshape(*x.shape, *tail), fill)
+    if np.issubdtype(image.dtype, np.integer):
+        out = np.clip(np.rint(out), np.iinfo(image.dtype).min, np.iinfo(image.dtype).max)
+    return out.astype(image.dtype)
+
+
 def sample(image: np.ndarray, x: np.ndarray, y: np.ndarray, method: str = "bilinear", fill: float = 0) -> np.ndarray:
     """Values at fractional pixel places (pixel centres are whole numbers); outside is `fill`."""
     h, w = image.shape[:2]
@@ -131,8 +169,8 @@ def sample(image: np.ndarray, x: np.ndarray, y: np.ndarray, method: str = "bilin
         out = np.full((*x.shape, *image.shape[2:]), fill, image.dtype)
         out[ok] = image[yi[ok], xi[ok]]
         return out
-    if method != "bilinear":
-        raise ValueError(f"unknown resampling method {method}")
+    if reach(method) > 1:
+        return convolved(image, x, y, method, fill)
     x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
     total = np.zeros((*x.shape, *image.shape[2:]))
     for dy in (0, 1):

@@ -76,6 +76,7 @@ class SheetOptions:
     def __post_init__(self):
         if self.resize_width is not None and self.resize_height is not None:
             raise ValueError("give a resize width or a resize height, not both")
+        K.reach(self.warp_resampling_method)
 
     @classmethod
     def of(cls, extra: str | None) -> SheetOptions:
@@ -606,56 +607,3 @@ def remove_grid_lines(images: DataFrame, lines: DataFrame) -> DataFrame:
         return [(*_image(row.sheet_id, image), getattr(row, "extra", None))]
 
     return _each(images.join(packed, "sheet_id", "left"), IMAGE + ", extra string", work)
-
-
-RADIUS = 6378137.0
-
-
-def to_mercator(lonlat: np.ndarray) -> np.ndarray:
-    lat = np.clip(lonlat[:, 1], -85.051129, 85.051129)
-    return np.column_stack([np.radians(lonlat[:, 0]) * RADIUS, np.log(np.tan(np.pi / 4 + np.radians(lat) / 2)) * RADIUS])
-
-
-TILE = "sheet_id string, z int, x long, y long, height int, width int, data binary"
-
-
-def warp_to_tiles(images: DataFrame, gcps: DataFrame, zoom: int, size: int = 256) -> DataFrame:
-    """Every sheet resampled to the web tiles that it touches: sheet_id, z, x, y, height, width, data (BGRA).
-
-    Pixels outside both the ring of control points and the sheet's `pixel_cutlines` (rings on the upright
-    image) are transparent, and so are tiles' parts off the image.
-    """
-    world = 2 * np.pi * RADIUS
-
-    def work(row):
-        o = SheetOptions.of(getattr(row, "extra", None))
-        image = pixels_of(row)
-        pixel = np.array([[p["px"], p["py"]] for p in row.gcps])
-        merc = to_mercator(np.array([[p["x"], p["y"]] for p in row.gcps]))
-        n = size << zoom
-        place = np.column_stack([(merc[:, 0] / world + 0.5) * n, (0.5 - merc[:, 1] / world) * n])
-        spline = K.ThinPlateSpline(place, pixel)
-        more, reach = np.zeros(image.shape[:2], bool), [place]
-        for ring in o.pixel_cutlines:
-            more |= K.fill_polygon(*image.shape[:2], np.array(ring, float))
-            reach.append(K.ThinPlateSpline(pixel, place)(np.array(ring, float)))
-        reach = np.concatenate(reach)
-        lo, hi = np.floor(reach.min(0) / size).astype(int), np.floor((reach.max(0) - 1e-9) / size).astype(int)
-        out = []
-        for ty in range(lo[1], hi[1] + 1):
-            for tx in range(lo[0], hi[0] + 1):
-                yy, xx = np.mgrid[:size, :size]
-                at = spline(np.column_stack([(xx + tx * size + 0.5).ravel(), (yy + ty * size + 0.5).ravel()]))
-                px, py = at[:, 0].reshape(size, size), at[:, 1].reshape(size, size)
-                colour = K.sample(image, px, py, o.warp_resampling_method)
-                inside = K.fill_polygon(size, size, place - (tx * size + 0.5, ty * size + 0.5))
-                if o.pixel_cutlines:
-                    r, c = (np.clip(np.rint(v), 0, k - 1).astype(int) for v, k in ((py, image.shape[0]), (px, image.shape[1])))
-                    inside |= more[r, c]
-                inside &= (px > -0.5) & (px < image.shape[1] - 0.5) & (py > -0.5) & (py < image.shape[0] - 0.5)
-                tile = np.dstack([colour, np.where(inside, 255, 0).astype(np.uint8)])
-                tile[~inside] = 0
-                out.append((row.sheet_id, zoom, tx, ty, size, size, tile.tobytes()))
-        return out
-
-    return _each(images.join(gcps, "sheet_id"), TILE, work)

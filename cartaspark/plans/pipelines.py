@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import bounds, corners, retile as R, sheets as S, tiles as T
+from ..operators import bounds, corners, retile as R, sheets as S, tiles as T, warp as W
 from ..sources import archive, geojson, tilestore
 from ..sources.scratch import materialise
 
@@ -42,8 +42,8 @@ def process_sheets(sheets: DataFrame, images: DataFrame, zoom: int, finder: S.Fi
     good = found.where("problem is null").select("sheet_id", "corners")
     gcps = corners.control_points(todo.select("sheet_id", "ring"), good)
     lines = grid_lines(good, gcps) if callable(grid_lines) else grid_lines
-    clean = upright if lines is None else S.remove_grid_lines(upright, lines)
-    blocks = materialise(S.warp_to_tiles(clean, gcps, zoom), "blocks")
+    clean = upright if lines is None else materialise(S.remove_grid_lines(upright, lines), "clean")
+    blocks = materialise(W.warp_blocks(clean, gcps, zoom), "blocks")
     digest = blocks.groupBy("sheet_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("/", "z", "x", "y", F.sha2("data", 256)))), ","), 256).alias("digest"))
     ring = F.transform("ring", lambda p: F.array(p["x"], p["y"]))
     geometry = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartaspark.functions import geometry as G, scalar as S, tilemath as M
-from cartaspark.operators import bounds as B, corners as C, gridlines as L, raster as X, retile as R, sheets as H, tiles as T
+from cartaspark.operators import bounds as B, corners as C, gridlines as L, raster as X, retile as R, sheets as H, tiles as T, warp as W
 from cartaspark.plans import pipelines as P
 from cartaspark.sources import geojson, listing, tilestore
 from cartaspark.streaming import bounds as stream
@@ -318,7 +318,7 @@ def test_pixel_cutlines_widen_the_sheet(spark):
     shown = []
     for extra in (None, '{"pixel_cutlines": [[[28, 12], [38, 12], [38, 28], [28, 28]]]}'):
         images = spark.createDataFrame([("a", 40, 40, bytearray(image.tobytes()), extra)], H.IMAGE + ", extra string")
-        blocks = H.warp_to_tiles(images, gcps, 4, 64).collect()
+        blocks = W.warp_to_tiles(images, gcps, 4, 64).collect()
         shown.append(sum(int((np.frombuffer(r["data"], np.uint8)[3::4] > 0).sum()) for r in blocks))
     assert 1.2 < shown[1] / shown[0] < 1.5  # 20 x 20 pixels and 8 x 16 more
 
