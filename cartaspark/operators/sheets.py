@@ -13,17 +13,17 @@ from dataclasses import asdict, dataclass, fields
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.colour import COLOURS
 from ..sources.scratch import materialise
-from . import contours as C, kernels as K, polygons as P
+from . import contours as C, jpeg, kernels as K, polygons as P
 
 IMAGE = "sheet_id string, height int, width int, data binary"
 
 
-#: Options that are accepted and change nothing, as there is no codec with a quality.
-WITHOUT_EFFECT = {"jpeg_export_quality", "warp_jpeg_export_quality"}
+#: Options that are accepted and change nothing: what is warped is kept as it is until it is exported.
+WITHOUT_EFFECT = {"warp_jpeg_export_quality"}
 
 
 @dataclass(frozen=True)
@@ -67,6 +67,8 @@ class SheetOptions:
     picked_corner_max_dist_from_contour_ratio: float | None = None
     warp_resampling_method: str = "bilinear"
     warp_output_height: int = 6500
+    shrunk_jpeg_quality: int = 95
+    jpeg_export_quality: int = 75
     finder: str = "nearest_intersection"
     remove_text: bool = True
     text_removal_engine: str = "tesseract"
@@ -77,6 +79,8 @@ class SheetOptions:
         if self.resize_width is not None and self.resize_height is not None:
             raise ValueError("give a resize width or a resize height, not both")
         K.reach(self.warp_resampling_method)
+        for quality in (self.shrunk_jpeg_quality, self.jpeg_export_quality):
+            jpeg.tables(quality)
 
     @classmethod
     def of(cls, extra: str | None) -> SheetOptions:
@@ -89,6 +93,13 @@ class SheetOptions:
 
 
 DEFAULTS = asdict(SheetOptions())
+
+
+def whole_option(name: str) -> Column:
+    """The whole number that the column `extra` gives for an option, or its default."""
+    return F.coalesce(F.get_json_object("extra", f"$.{name}").try_cast("int"), F.lit(DEFAULTS[name]))
+
+
 Finder = Callable[[np.ndarray, tuple[int, int], float, SheetOptions], tuple[float, float]]
 
 
@@ -148,8 +159,11 @@ def biggest_contour(mask: np.ndarray, erode: int, use_box_area: bool, most: floa
 
 
 def map_area(image: np.ndarray, o: SheetOptions) -> dict:
-    """Box, ring, minimal rectangle and angle of the map on the shrunk image, and how much smaller that is: by the first colour that leads to a large enough map."""
-    small = K.shrink(image, *shrink_size(*image.shape[:2], o))
+    """Box, ring, minimal rectangle and angle of the map on the shrunk image, and how much smaller that is: by the first colour that leads to a large enough map.
+
+    The shrunk image is coded as JPEG and decoded first, which takes single pixels out.
+    """
+    small = jpeg.round_trip(K.shrink(image, *shrink_size(*image.shape[:2], o)), o.shrunk_jpeg_quality)
     h, w = small.shape[:2]
     problem = "no map area"
     for colour in (o.band_color,) if o.band_color is not None else o.band_color_choices:

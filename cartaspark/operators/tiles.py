@@ -11,7 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from . import jpeg
 
 KEY = ["z", "x", "y"]
 TILE = "z int, x long, y long, data binary"
@@ -110,3 +112,22 @@ def encode_png(tiles: DataFrame, size: int = 256) -> DataFrame:
         return data.map(lambda d: png(np.frombuffer(d, np.uint8).reshape(size, size, 4)))
 
     return tiles.withColumn("data", encoded("data"))
+
+
+def encode_jpeg(tiles: DataFrame, quality: int | Column = 75, size: int = 256) -> DataFrame:
+    """data as JPEG files; mask has a bit for each pixel, set where the tile is opaque, row by row, and is null where all are.
+
+    JPEG has no alpha: pixels keep the colour that they have below it.  A quality may be a column.
+    """
+
+    @F.pandas_udf("struct<data binary, mask binary>")
+    def encoded(data: pd.Series, quality: pd.Series) -> pd.DataFrame:
+        out = []
+        for raw, q in zip(data, quality, strict=True):
+            image = np.frombuffer(raw, np.uint8).reshape(size, size, 4)
+            on = image[..., 3] > 0
+            out.append((jpeg.encode(image, int(q)), None if on.all() else np.packbits(on).tobytes()))
+        return pd.DataFrame(out, columns=["data", "mask"])
+
+    made = tiles.withColumn("_jpeg", encoded("data", F.lit(quality).cast("int") if isinstance(quality, int) else quality.cast("int")))
+    return made.withColumn("data", F.col("_jpeg.data")).withColumn("mask", F.col("_jpeg.mask")).drop("_jpeg")

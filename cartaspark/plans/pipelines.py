@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import bounds, corners, retile as R, sheets as S, tiles as T, warp as W
+from ..operators import bounds, corners, jpeg, retile as R, sheets as S, tiles as T, warp as W
 from ..sources import archive, geojson, tilestore
 from ..sources.scratch import materialise
 
@@ -25,7 +25,8 @@ def process_sheets(sheets: DataFrame, images: DataFrame, zoom: int, finder: S.Fi
 
     sheets: sheet_id, ring (closed, lon/lat, from upper left counter-clockwise), extra (JSON or null);
     images: sheet_id, height, width, data.  Sheets in `done` (sheet_id) are skipped.  Returns the stages
-    areas, rotations, corners, gcps, blocks, bounds and problems.  Areas, deskewed images, corners and blocks
+    areas, rotations, corners, gcps, blocks, exports (blocks as JPEG of the sheet's quality, with masks),
+    bounds and problems.  Areas, deskewed images, corners and blocks
     are written to the shared folder once, as several stages read them; the rest runs when it is used.
     Corners are sought on the image with its grid lines, many of them lie on crossings; what is warped
     is the image without them.  `grid_lines` is a table (see sheets.remove_grid_lines), or a callable that
@@ -45,11 +46,13 @@ def process_sheets(sheets: DataFrame, images: DataFrame, zoom: int, finder: S.Fi
     clean = upright if lines is None else materialise(S.remove_grid_lines(upright, lines), "clean")
     blocks = materialise(W.warp_blocks(clean, gcps, zoom), "blocks")
     digest = blocks.groupBy("sheet_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("/", "z", "x", "y", F.sha2("data", 256)))), ","), 256).alias("digest"))
+    quality = todo.select("sheet_id", S.whole_option("jpeg_export_quality").alias("_quality"))
+    exports = T.encode_jpeg(blocks.join(quality, "sheet_id"), F.col("_quality")).drop("_quality")
     ring = F.transform("ring", lambda p: F.array(p["x"], p["y"]))
     geometry = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
     exported = todo.select("sheet_id", geometry.alias("geom_json")).join(digest, "sheet_id")
     problems = areas.select("sheet_id", "problem").unionByName(found.select("sheet_id", "problem")).where("problem is not null").distinct()
-    return {"areas": areas, "rotations": turns, "corners": found, "gcps": gcps, "blocks": blocks, "bounds": exported, "problems": problems}
+    return {"areas": areas, "rotations": turns, "corners": found, "gcps": gcps, "blocks": blocks, "exports": exports, "bounds": exported, "problems": problems}
 
 
 def build_tiles(blocks: DataFrame, min_zoom: int, max_zoom: int, priority: DataFrame | None = None, size: int = 256, resampling: str = "mean") -> DataFrame:
@@ -62,12 +65,14 @@ def build_tiles(blocks: DataFrame, min_zoom: int, max_zoom: int, priority: DataF
     return T.drop_transparent(reduce(DataFrame.unionByName, levels))
 
 
-def tile(blocks: DataFrame, path: str, name: str, description: str, attribution: str, max_zoom: int, min_zoom: int = 0, extension: str = "png", priority: DataFrame | None = None, size: int = 256, resampling: str = "lanczos") -> DataFrame:
-    """Build a pyramid from blocks, encode it, write it as a tile store; returns its metadata (one row `value`), also written under `path`/_metadata."""
+def tile(blocks: DataFrame, path: str, name: str, description: str, attribution: str, max_zoom: int, min_zoom: int = 0, extension: str = "png", priority: DataFrame | None = None, size: int = 256, resampling: str = "lanczos", quality: int = 75) -> DataFrame:
+    """Build a pyramid from blocks, encode it (png, or jpeg of a quality), write it as a tile store; returns its metadata (one row `value`), also written under `path`/_metadata."""
     kind = tilestore.tile_format(extension)
-    if kind != "png":
-        raise ValueError(f"no codec for {kind} at hand; only png tiles can be written")
-    tiles = T.encode_png(build_tiles(blocks, min_zoom, max_zoom, priority, size, resampling), size)
+    if kind not in ("png", "jpeg"):
+        raise ValueError(f"no codec for {kind} at hand; only png and jpeg tiles can be written")
+    jpeg.tables(quality)  # a wrong quality must not cost a pyramid
+    tiles = build_tiles(blocks, min_zoom, max_zoom, priority, size, resampling)
+    tiles = T.encode_png(tiles, size) if kind == "png" else T.encode_jpeg(tiles, quality, size).drop("mask")
     tilestore.write_store(tiles, path)
     about = [F.lit(v) for v in (name, description, attribution, kind, "1", min_zoom, max_zoom)]
     value = blocks.sparkSession.range(1).select(tilestore.metadata_json(*about).alias("value"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import colour, geometry as G, projections as J, scalar as S, tilemath as M
-from ..operators import bounds as B, contours, corners as C, gridlines as L, kernels as K, ocrtext as O, polygons as P, raster as X, retile as R, sheets as H, tiles as T
+from ..operators import bounds as B, contours, corners as C, gridlines as L, jpeg, kernels as K, ocrtext as O, polygons as P, raster as X, retile as R, sheets as H, tiles as T
 from ..sources import archive, geojson, listing, tilestore
 from ..sources.scratch import shared_path
 from .fixtures import relation, with_relations
@@ -609,6 +609,29 @@ def mercator_round_trip(spark, sf):
     return rows.select("sheet_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
+# coded images
+
+@query(
+    "px",
+    f"""WITH wave AS (SELECT u, r, CASE WHEN u = 0 THEN sqrt(0.125) ELSE 0.5 END * cos((2 * r + 1) * u * pi() / 16) AS c FROM range(0, 8) a(u), range(0, 8) b(r)),
+    half AS (SELECT sheet_id, u, p.c, sum((v - 128) * w.c) AS s FROM px p JOIN wave w ON w.r = p.r GROUP BY ALL),
+    waves AS (SELECT sheet_id, h.u, w.u AS v, sum(s * w.c) AS s FROM half h JOIN wave w ON w.r = h.c GROUP BY ALL)
+    SELECT sheet_id, CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v, CAST(round_even(round(s / {jpeg.tables(75)[0].tolist()}[CAST(u * 8 + v + 1 AS INTEGER)], 6), 0) AS BIGINT) AS q FROM waves""",
+)
+def jpeg_coefficients(spark, sf):
+    """Cosine coefficients of grey 8 x 8 images, quantised as JPEG of quality 75 has them."""
+    grey = relation(spark, sf, "px").groupBy("sheet_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "c", "v"))), lambda p: p["v"].cast("int")).alias("grey"))
+
+    def work(frames):
+        table = jpeg.tables(75)[0]
+        for frame in frames:
+            for sheet, v in zip(frame["sheet_id"], frame["grey"], strict=True):
+                q = jpeg.coefficients(np.asarray(v).reshape(8, 8), table)[0, 0]
+                yield pd.DataFrame({"sheet_id": sheet, "u": jpeg.ZIGZAG // 8, "v": jpeg.ZIGZAG % 8, "q": q})
+
+    return grey.mapInPandas(work, "sheet_id long, u long, v long, q long")
+
+
 # text boxes, strings, metadata
 
 @query(
