@@ -12,10 +12,11 @@ lines that happen to repeat on the next page and keeps adverts that do not:
 * blocks inside ``<article>`` or ``<main>`` stay, even if a neighbour has them as well;
 * blocks inside navigation, header, footer, aside, form and similar elements, or in elements whose
   class or id names an advert, notice, sidebar or comment, go, even if no neighbour has them.  Inside
-  ``<article>`` or ``<main>`` headers are text, and a name counts only if it is a whole class (or the
-  id of a ``div``) that says advert, comments, newsletter, sharing or the like, and outside containers
-  such as ``div`` and ``section`` only if no other class stands beside it: ``entry-header``,
-  ``related-work``, ``<p class="share price">`` and the ids of headings name parts of the text.
+  ``<article>`` or ``<main>`` headers are text, and a name counts only if all words of a class (or of
+  the id of a ``div``) say advert, comments, cookies, notice, sharing or the like, or where such a thing
+  stands (``sidebar-left``, ``reader-comments``), and outside containers such as ``div`` and ``section``
+  (``menu`` and ``notice``: anywhere) only if no other class stands beside it: ``entry-header``, ``related-work``, ``<p class="share price">``
+  and the ids of headings name parts of the text.  Formulas are text, their annotations are not.
 
 Every page's result says how many blocks it had, how many differencing found shared, and how many
 the markup overruled.  Character references are decoded, white space inside a block becomes one
@@ -44,7 +45,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 # fixed values of HTML
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "select", "annotation", "annotation-xml"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
@@ -53,8 +54,13 @@ BLOCK = {
 CHROME = {"nav", "header", "footer", "aside", "form", "menu", "button", "dialog", "head"}
 TEXT = {"article", "main"}
 _CHROME_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|related|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
-#: Whole classes of what is no text even inside an article.
-_CHROME_IN_TEXT = re.compile(r"(?:ads?|adsbygoogle|adverts?|advertisements?|breadcrumbs?|comments?|navbar|newsletter|pager|pagination|popup|promo|share|sharing|sidebar|sponsored|subscribe)(?:-(?:area|bar|box|buttons?|container|form|list|section|signup|slot|unit|wrapper))?", re.I)
+#: Inside an article a class or id names what is no text if it is made of these words alone, at least one of the first set, or two of them.
+_CHROME_WORDS = set("ad ads adsbygoogle advert adverts advertisement advertisements advertorial banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus menu nav navbar navigation newsletter notice notices pager pagination popup promo promos share sharing sidebar sponsor sponsored subscribe".split())
+_WITH_OTHERS = set("related social".split())
+_PLACES = set("area bar block bottom box button buttons container content form items left links list modal overlay posts articles stories reader readers right section signup site slot text thread top unit user widget wrap wrapper".split())
+#: Classes that also stand beside others on parts of a text.
+_ALONE = {"menu", "notice", "notices"}
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _CHROME_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu", "menubar", "toolbar"}
 CLOSES = {"p": BLOCK - {"body", "html", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 MAIN, OTHER, CHROME_KIND = 2, 1, 0
@@ -62,6 +68,12 @@ MAIN, OTHER, CHROME_KIND = 2, 1, 0
 CONTAINER = {"div", "section", "aside", "ul", "ol", "dl", "table", "figure", "ins"}
 
 
+def _chrome_in_text(name: str) -> bool:
+    words = [w.lower() for w in _WORD.findall(name)]
+    known = all(w in _CHROME_WORDS or w in _WITH_OTHERS or w in _PLACES or w.isdigit() for w in words)
+    return known and (any(w in _CHROME_WORDS for w in words) or len(words) > 1 and any(w in _WITH_OTHERS for w in words))
+
+
 def _names_chrome(tag: str, name: str, value: str, in_text: bool) -> bool:
     """Whether a class or id names what is never text."""
     if tag in ("html", "body", *TEXT):
@@ -69,9 +81,10 @@ def _names_chrome(tag: str, name: str, value: str, in_text: bool) -> bool:
     if not in_text:
         return _CHROME_NAME.search(value) is not None
     if name == "id":
-        return tag == "div" and any(_CHROME_IN_TEXT.fullmatch(word) for word in value.split())
-    named = [_CHROME_IN_TEXT.fullmatch(word) is not None for word in value.split()]
-    return any(named) and (tag in CONTAINER or all(named))
+        return tag == "div" and any(map(_chrome_in_text, value.split()))
+    words = value.split()
+    named = [word for word in words if _chrome_in_text(word)]
+    return bool(named) and (len(named) == len(words) or tag in CONTAINER and any(word.lower() not in _ALONE for word in named))
 
 
 def _kind(tag: str, attributes: str, inherited: int, in_text: bool) -> int:

@@ -1,16 +1,21 @@
 """A table of immutable shards with size-tiered compaction and a versioned manifest.
 
 * ``append`` writes arriving rows as one *run*, a folder of small immutable shards, and commits a
-  manifest that lists it.  The bytes of the arrival, not the number of its tasks, set how many shards
-  it gets: one for each ``target_bytes / fanout``.
+  manifest that lists it.  The arrival is read once, by as many tasks as its plan has.  The bytes that
+  were written, not the number of those tasks, set how many shards it gets: one for each
+  ``target_bytes / fanout``.  Only where the tasks left more, or left some above the target, the shards
+  are packed once more, without a shuffle, before the run is committed.
 * ``compact`` puts runs into tiers of similar size (a factor of ``fanout`` wide).  A tier with at least
   ``fanout`` runs is merged: one Spark job reads their shards and packs them, without a shuffle, into
   shards of about ``target_bytes``, which are one run again.  Runs whose shards have reached half the
   target on average are never rewritten, so a row is written about log_fanout(target / arrival) times.
   A merge that does not lower the number of shards is thrown away, so compaction always ends.
 * A commit writes ``manifest/<version>.json`` under a temporary name and renames it without
-  overwriting; the rename is atomic, and of two writers of one version one fails and can retry.  The
-  manifest has one entry for each run, however many shards and rows that holds.
+  overwriting; of two writers of one version one fails and tries again on top of the other's.  That
+  rename is atomic on HDFS and local disks; on object stores whose rename is a copy only one writer at a
+  time is safe.  Any number of writers may append; of compactions only one may run, and one whose runs
+  another has merged meanwhile gives up its own.  The manifest has one entry for each run, however many
+  shards and rows that holds.
 * Readers use the newest manifest.  Runs that the newest ``keep_versions`` manifests do not name any
   more are deleted by the commit that retires them; ``vacuum`` also deletes what failed jobs left.
 
@@ -25,8 +30,9 @@ import json
 import math
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import BinaryType, DataType, NumericType, StringType, StructType
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from .shared import hadoop_fs
 
@@ -35,19 +41,9 @@ class CommitConflict(RuntimeError):
     """Another writer has committed this version."""
 
 
-def _width(name: str, kind: DataType) -> Column:
-    """About the bytes that a column's value takes."""
-    column = F.col(f"`{name}`")
-    if isinstance(kind, (StringType, BinaryType)):
-        return F.octet_length(column).cast("long")
-    if isinstance(kind, NumericType) or not isinstance(kind, StructType) and kind.typeName() not in ("array", "map", "variant"):
-        return F.lit(8).cast("long")
-    return F.octet_length(F.to_json(F.struct(column))).cast("long")
-
-
 class ShardedTable:
-    def __init__(self, spark: SparkSession, root: str, target_bytes: int = 256 << 20, fanout: int = 4, first_tier_bytes: int = 1 << 20, keep_versions: int = 2):
-        self.spark, self.root, self.target, self.fanout, self.first, self.keep = spark, root.rstrip("/"), target_bytes, fanout, first_tier_bytes, max(1, keep_versions)
+    def __init__(self, spark: SparkSession, root: str, target_bytes: int = 256 << 20, fanout: int = 4, first_tier_bytes: int = 1 << 20, keep_versions: int = 2, tries: int = 100):
+        self.spark, self.root, self.target, self.fanout, self.first, self.keep, self.tries = spark, root.rstrip("/"), target_bytes, fanout, first_tier_bytes, max(1, keep_versions), tries
 
     # manifest
 
@@ -63,16 +59,44 @@ class ShardedTable:
         return max(self._versions(), default=0)
 
     def manifest(self, version: int | None = None) -> dict:
-        version = self.version() if version is None else version
+        """The manifest of a version, or the newest."""
+        for _ in range(self.tries):
+            wanted = self.version() if version is None else version
+            found = self._manifest(wanted)
+            if found:
+                return found
+            if version is not None:
+                break
+        raise ValueError(f"no version {wanted}")
+
+    def _manifest(self, version: int) -> dict | None:
+        """The manifest of a version; None if it is not there, as another writer may have retired it."""
         if not version:
             return {"version": 0, "schema": None, "runs": []}
         fs, at = hadoop_fs(self.spark, f"{self.root}/manifest/{version:010d}.json")
-        stream = fs.open(at)
+        try:
+            stream = fs.open(at)
+        except Py4JJavaError as error:
+            if "FileNotFound" in str(error.java_exception):
+                return None
+            raise
         try:
             return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
+    def _publish(self, schema: str | None, add: list[dict], remove: set[str] = frozenset()) -> dict | None:
+        """Commit a change on top of the newest version, again if another writer was first; None if a run to remove has gone."""
+        for _ in range(self.tries):
+            base = self.manifest()
+            if not remove <= {r["run"] for r in base["runs"]}:
+                return None
+            try:
+                return self._commit(base["version"], schema or base["schema"], [*(r for r in base["runs"] if r["run"] not in remove), *add])
+            except CommitConflict:
+                continue
+        raise CommitConflict(f"{self.tries} tries, and always another writer was first")
+
     def _commit(self, base: int, schema: str, runs: list[dict]) -> dict:
         made = {"version": base + 1, "schema": schema, "runs": sorted(runs, key=lambda r: r["run"])}
         jvm = self.spark.sparkContext._jvm
@@ -99,11 +123,12 @@ class ShardedTable:
         """Delete manifests older than the newest `keep_versions` and the runs that only they name."""
         versions = [v for v in self._versions() if v <= newest]
         old, live = versions[: -self.keep], versions[-self.keep :]
-        if not old:
+        kept, past = [self._manifest(v) for v in live], [self._manifest(v) for v in old]
+        if not old or not all(kept):  # a later writer is already at it
             return
-        named = {r["run"] for v in live for r in self.manifest(v)["runs"]}
-        for version in old:
-            gone = [r["run"] for r in self.manifest(version)["runs"] if r["run"] not in named]
+        named = {r["run"] for m in kept for r in m["runs"]}
+        for version, manifest in zip(old, past, strict=True):
+            gone = [r["run"] for r in manifest["runs"] if r["run"] not in named] if manifest else []
             for path in (*(f"data/{run}" for run in gone), f"manifest/{version:010d}.json"):
                 fs, at = hadoop_fs(self.spark, f"{self.root}/{path}")
                 fs.delete(at, True)
@@ -127,13 +152,20 @@ class ShardedTable:
             return None
         return {"run": run, "shards": n, "bytes": size, "rows": rows}
 
+    def _drop(self, run: dict) -> None:
+        fs, at = hadoop_fs(self.spark, f"{self.root}/data/{run['run']}")
+        fs.delete(at, True)
+
     def append(self, df: DataFrame) -> dict:
         """Write arriving rows as a run of small shards and commit it."""
-        base = self.manifest()
-        widths = [F.coalesce(_width(f.name, f.dataType), F.lit(0).cast("long")) for f in df.schema.fields]
-        size = df.agg(F.sum(sum(widths[1:], widths[0])) if widths else F.lit(0)).first()[0] or 0
-        run = self._write(df.coalesce(max(1, math.ceil(size * self.fanout / self.target))))
-        return self._commit(base["version"], df.schema.json(), [*base["runs"], *([run] if run else [])])
+        schema = df.schema.json()
+        run = self._write(df)
+        if run:
+            shards = math.ceil(run["bytes"] * self.fanout / self.target)
+            if run["shards"] > shards or run["bytes"] > run["shards"] * self.target:
+                staged, run = run, self._pack(schema, [run], max(1, self.target // self.fanout))
+                self._drop(staged)
+        return self._publish(schema, [run] if run else [])
 
     # compaction
 
@@ -151,32 +183,27 @@ class ShardedTable:
         return [v for v in full if math.ceil(sum(r["bytes"] for r in v) / self.target) < sum(r["shards"] for r in v)]
 
     def compact_once(self) -> bool:
-        """Merge every full tier once; False if no merge lowered the number of shards."""
-        base = self.manifest()
-        runs, changed = {r["run"]: r for r in base["runs"]}, False
+        """Merge every full tier once, a commit for each; False if no merge lowered the number of shards."""
+        base, changed = self.manifest(), False
         for group in self.plan(base["runs"]):
-            made = self._merge(base["schema"], group)
-            if (made["rows"] if made else 0) != sum(r["rows"] for r in group):
-                raise RuntimeError("a merge changed the number of rows")
-            if made["shards"] >= sum(r["shards"] for r in group):
-                fs, at = hadoop_fs(self.spark, f"{self.root}/data/{made['run']}")
-                fs.delete(at, True)
-                continue
-            for run in group:
-                del runs[run["run"]]
-            runs[made["run"]], changed = made, True
-        if changed:
-            self._commit(base["version"], base["schema"], list(runs.values()))
+            made = self._pack(base["schema"], group, self.target)
+            if made["shards"] < sum(r["shards"] for r in group) and self._publish(None, [made], {r["run"] for r in group}):
+                changed = True
+            else:
+                self._drop(made)
         return changed
 
-    def _merge(self, schema: str, group: list[dict]) -> dict | None:
-        """Pack the shards of a group into splits of the target size, each of which becomes one shard."""
-        own = self.spark.newSession()
-        for key, value in (("maxPartitionBytes", self.target), ("openCostInBytes", 0), ("minPartitionNum", max(1, sum(r["bytes"] for r in group) // self.target))):
+    def _pack(self, schema: str, group: list[dict], shard_bytes: int) -> dict:
+        """Read the shards of runs in splits of a size, each of which becomes one shard of a new run."""
+        size, own = sum(r["bytes"] for r in group), self.spark.newSession()
+        for key, value in (("maxPartitionBytes", shard_bytes), ("openCostInBytes", 0), ("minPartitionNum", max(1, size // shard_bytes))):
             own.conf.set(f"spark.sql.files.{key}", str(value))
         packed = own.read.schema(_schema(schema)).parquet(*[f"{self.root}/data/{r['run']}" for r in group])
-        # never more tasks than shards of the target size, whatever the session says about splits
-        return self._write(packed.coalesce(max(1, math.ceil(sum(r["bytes"] for r in group) / self.target))))
+        # never more tasks than shards of that size, whatever the session says about splits
+        made = self._write(packed.coalesce(max(1, math.ceil(size / shard_bytes))))
+        if (made["rows"] if made else 0) != sum(r["rows"] for r in group):
+            raise RuntimeError("packing changed the number of rows")
+        return made
 
     def compact(self) -> dict:
         """Merge until no tier is full; every round lowers the number of shards."""

@@ -203,6 +203,17 @@ def test_blocks_of_the_benchmark_give_the_same(spark, make_docs):
     assert len(whole) == 9 and sorted(D.find_overlaps(docs, items, block_chars=300).collect()) == whole
 
 
+def test_chrome_by_name_inside_main_and_article():
+    gone = ["cookie-notice", "cookie-banner", "notice", "ad-banner", "sidebar-left", "menu", "related-posts", "social-share", "reader-comments", "comment-thread", "commentlist", "adSlot-2", "user_comments", "SocialLinks"]
+    kept = ["entry-header", "related-work", "social-history", "share price-list", "noticeable", "adaptation", "sidebars-of-law", "related", "content", "2"]
+    for tag in ("main", "article"):
+        got = [t for t, k in H.blocks(f"<{tag}>" + "".join(f"<div class='{c}'>{c}</div>" for c in gone + kept) + f"</{tag}>") if k]
+        assert got == [c for c in kept if c != "share price-list"]  # a container goes by any of its classes
+    assert [t for t, k in H.blocks("<article><div id='disqus_thread'>x</div><p id='comments'>y</p></article>") if k] == ["y"]
+    formula = "<article><p>so <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding='application/x-tex'>x=1</annotation></semantics></math> holds</p></article>"
+    assert [t for t, k in H.blocks(formula) if k] == ["so x=1 holds"]
+
+
 def test_odd_markup():
     assert H.blocks("<p data-x=don't>two</p><p title='a > b'>three</p><p data-y=it's>four") == [("two", 1), ("three", 1), ("four", 1)]
     assert [t for t, k in H.blocks("<article><p class='share price'>a</p><section class='social-history'>b</section><p>c <button>buy</button> d</p><div class=ad>e</div></article>") if k] == ["a", "b", "c d"]

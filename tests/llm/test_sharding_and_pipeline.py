@@ -88,6 +88,92 @@ def test_a_merge_without_gain_ends_compaction(spark, tmp_path, monkeypatch):
     assert store.compact()["version"] == before and store.read().count() == 30
 
 
+def test_an_arrival_is_read_by_all_tasks_of_its_plan_and_once(spark, tmp_path):
+    store = ShardedTable(spark, f"file://{tmp_path}/t", target_bytes=1 << 20)
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        reads.add(1)
+        yield from frames
+
+    run = store.append(spark.range(0, 120, 1, 12).mapInPandas(counted, "id long"))["runs"][0]
+    assert reads.value == 12 and (run["shards"], run["rows"]) == (1, 120)
+    assert [p.name for p in (tmp_path / "t/data").iterdir()] == [run["run"]]
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    one, two = (ShardedTable(spark, f"file://{tmp_path}/t", target_bytes=1 << 20, fanout=2, keep_versions=1) for _ in range(2))
+    one.append(spark.range(0, 10))
+    commit = one._commit
+
+    def late(base, schema, runs):
+        """The other writer commits first, once."""
+        monkeypatch.setattr(one, "_commit", commit)
+        two.append(spark.range(10, 20))
+        return commit(base, schema, runs)
+
+    monkeypatch.setattr(one, "_commit", late)
+    one.append(spark.range(20, 30))
+    assert one.version() == 3 and sorted(r.id for r in two.read().collect()) == list(range(30))
+
+    def merged(base, schema, runs):
+        monkeypatch.setattr(one, "_commit", commit)
+        two.compact()
+        return commit(base, schema, runs)
+
+    monkeypatch.setattr(one, "_commit", merged)
+    assert not one.compact_once()  # its runs have gone
+    assert sorted(r.id for r in one.read().collect()) == list(range(30)) and one.vacuum() == 0
+
+
+def test_writers_at_the_same_time(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def write(k):
+        store = ShardedTable(spark, f"file://{tmp_path}/t", keep_versions=2)
+        for n in range(3):
+            store.append(spark.range(100 * k + 10 * n, 100 * k + 10 * n + 10, 1, 1))
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(write, range(3)))
+    store = ShardedTable(spark, f"file://{tmp_path}/t")
+    assert store.version() == 9 and sorted(r.id for r in store.read().collect()) == sorted(100 * k + n for k in range(3) for n in range(30))
+
+
+def test_tiers_over_many_mixed_arrivals(spark, tmp_path):
+    """After every arrival: all rows once, no full tier that a merge would help, each row written no more often than tiers allow."""
+    import random
+
+    rng, fanout, first, target = random.Random(4), 3, 4000, 1 << 16
+    store = ShardedTable(spark, f"file://{tmp_path}/t", target_bytes=target, fanout=fanout, first_tier_bytes=first, keep_versions=1)
+    written, pack = [0], store._pack
+
+    def counting(schema, group, size):
+        made = pack(schema, group, size)
+        written[0] += made["rows"]
+        return made
+
+    store._pack = counting
+    total = 0
+    for _ in range(40):
+        n = rng.choice([0, 1, 20, 60, 300, 1500])
+        store.append(spark.range(total, total + n, 1, rng.choice([1, 3])).selectExpr("id", "sha2(string(id), 256) AS text"))
+        total += n
+        made = store.compact()
+        sizes: dict[int, list[dict]] = {}
+        for r in made["runs"]:
+            if r["bytes"] < r["shards"] * target // 2:
+                tier, edge = 0, first
+                while r["bytes"] > edge:
+                    tier, edge = tier + 1, edge * fanout
+                sizes.setdefault(tier, []).append(r)
+        assert all(len(v) < fanout or -(-sum(r["bytes"] for r in v) // target) >= sum(r["shards"] for r in v) for v in sizes.values())
+        assert sum(r["rows"] for r in made["runs"]) == total
+    got = store.read()
+    assert got.count() == total and got.select("id").distinct().count() == total
+    assert len(made["runs"]) < 20 and written[0] <= 6 * total
+
+
 def test_tiers_group_similar_sizes(spark):
     store = ShardedTable(spark, "file:///nowhere", target_bytes=1 << 30, fanout=4, first_tier_bytes=100)
     sizes = [50, 80, 100, 10, 150, 390, 399, 450, 1500, 800]
