@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # fixed values
@@ -46,8 +47,16 @@ def write_store(tiles: DataFrame, path: str) -> None:
     before = _versions(spark, path)
     new, at = jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(f"{root}/v{max(before, default=0) + 1}")
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(at) or not fs.rename(new, at):
-        raise RuntimeError(f"another writer made {at} meanwhile")
+    # the rename of FileContext fails where that of FileSystem would move the folder into the other writer's
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(new, at, how)
+    except Py4JJavaError as error:
+        fs.delete(new, True)
+        if "FileAlreadyExists" in str(error.java_exception):
+            raise RuntimeError(f"another writer made {at} meanwhile") from error
+        raise
     for old in sorted(before)[:-1]:
         fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/v{old}"), True)
 

@@ -227,6 +227,9 @@ def test_process_finds_corners_and_exports(spark):
     assert all(abs(a - c) <= 2 and abs(b - d) <= 2 for (a, b), (c, d) in zip(corners, want, strict=True))
     blocks = out["blocks"].collect()
     assert blocks and all(len(b["data"]) == 4 * 256 * 256 for b in blocks)
+    exports = {(r["z"], r["x"], r["y"]): r for r in out["exports"].collect()}
+    assert exports.keys() == {(b["z"], b["x"], b["y"]) for b in blocks}
+    assert all(bytes(r["data"]).startswith(b"\xff\xd8\xff") and len(r["mask"]) == 256 * 32 for r in exports.values())
     row = one(out["bounds"])
     assert json.loads(row["geom_json"])["type"] == "Polygon" and len(row["digest"]) == 64
     pyramid = P.build_tiles(out["blocks"], 4, 6)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cartaspark.operators import jpeg, tiles as T
+from cartaspark.operators import jpeg, sheets, tiles as T
 from cartaspark.plans import pipelines
 from cartaspark.sources import images, tilestore
 
@@ -81,6 +81,25 @@ def test_tiles_keep_their_opacity_as_a_mask(spark):
     assert (np.unpackbits(np.frombuffer(two.mask, np.uint8)).reshape(16, 16) == (part[..., 3] > 0)).all()
 
 
+def test_a_sheet_sets_its_quality(spark):
+    rows = spark.createDataFrame([("a", '{"jpeg_export_quality": 40}'), ("b", None), ("c", "{}"), ("d", '{"jpeg_export_quality": "no"}')], "sheet_id string, extra string")
+    assert {r.sheet_id: r.q for r in rows.select("sheet_id", sheets.whole_option("jpeg_export_quality").alias("q")).collect()} == {"a": 40, "b": 75, "c": 75, "d": 75}
+    for extra in ('{"jpeg_export_quality": 0}', '{"shrunk_jpeg_quality": 101}'):
+        with pytest.raises(ValueError, match="quality"):
+            sheets.SheetOptions.of(extra)
+
+
+def test_two_writers_of_one_store_version(spark, tmp_path, monkeypatch):
+    tiles = spark.createDataFrame([(1, 0, 0, b"a")], "z int, x long, y long, data binary")
+    path = f"file://{tmp_path}/t"
+    tilestore.write_store(tiles, path)
+    monkeypatch.setattr(tilestore, "_versions", lambda *_: [])  # the other writer was not there yet when this one looked
+    with pytest.raises(RuntimeError, match="another writer"):
+        tilestore.write_store(tiles, path)
+    monkeypatch.undo()
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v1"] and tilestore.read_store(spark, path).count() == 1
+
+
 def test_a_pyramid_of_jpeg_tiles(spark, tmp_path):
     image = np.dstack([scene(16, 16), np.full((16, 16), 255, np.uint8)])
     blocks = spark.createDataFrame([("s", 1, 0, 0, image.tobytes()), ("s", 1, 1, 1, image.tobytes())], "sheet_id string, z int, x long, y long, data binary")
