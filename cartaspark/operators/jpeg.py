@@ -1,7 +1,7 @@
 """Baseline JPEG of BGR images as array work: cosine transform by blocks, quality tables, Huffman codes made for the image.
 
-Colour planes are halved both ways, as encoders do by default.  Meant for tiles and shrunk images: about 100
-bytes of memory a pixel.
+Colour planes are halved both ways, as encoders do by default.  Meant for tiles and shrunk images: coding
+takes 70 to 110 bytes of memory a pixel (noise at quality 100: 280), the round trip 90.
 """
 
 from __future__ import annotations
