@@ -14,9 +14,10 @@ expanded into all pairs:
    group; shingles of buckets far above the average are dealt to many tasks.  The hash arrays and
    bitmaps (about eight bits for each shingle) of all grouped classes are written once.
 3. *Stars.*  In each group every class is held against one class of its size band: first the
-   smallest, then, for ROUNDS rounds, the first by a new random order (one pair a row).  Pairs whose
-   bitmaps allow a link are verified by exact sorted-array intersection; components of the links
-   found so far are contracted, and pairs inside a component are not looked at again.
+   smallest, then, for up to ROUNDS rounds, the first by a new random order (one pair a row).  Pairs
+   whose bitmaps allow a link are verified by exact sorted-array intersection.  Each round's links are
+   contracted: they join components of the rounds before, so the graph holds new links only, and pairs
+   inside a component are not looked at again.  When a round finds few links, the tiles come next.
 4. *Tiles.*  What is left, rows of *different* components in one group, is dealt into tiles of two
    adjacent size bands (sets further apart in size cannot link); a large tile is split into blocks.
    Within a tile bit counts bound the overlap of each pair from above; the pairs that remain are
@@ -60,8 +61,8 @@ NEED_BITS = (20, 27)
 HOT_ROWS, HOT_TIMES = 4096, 8
 #: Nodes from here on stand for rows without an id.
 LEAST_SURROGATE = 3 << 61
-#: Rounds of stars in random orders.
-ROUNDS = 2
+#: Rounds of stars in random orders, at the most: one that finds less than a link for FEW open rows is the last.
+ROUNDS, FEW = 2, 64
 #: Rows of one side of a tile block, and the widest bitmap.  A bitmap that is too narrow bounds less, it loses nothing.
 BLOCK_ROWS, MOST_BITS = 2048, 1 << 16
 SIGNATURE = "doc_id long, n long, d1 long, d2 long, counts binary"
@@ -341,8 +342,18 @@ def _only(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return sets.select("doc_id", "hashes").mapInArrow(pick, "doc_id long, hashes binary")
 
 
+PAIRS = "a long, b long, p long, q long"
+
+
+def _pairs(rows: DataFrame, other: str, p: str, q: str) -> DataFrame:
+    """PAIRS of doc_id and another id, whose components are p and q: a < b, each pair once."""
+    low = F.col("doc_id") < F.col(other)
+    ends = F.least("doc_id", other).alias("a"), F.greatest("doc_id", other).alias("b")
+    return rows.select(*ends, F.when(low, F.col(p)).otherwise(F.col(q)).alias("p"), F.when(low, F.col(q)).otherwise(F.col(p)).alias("q")).distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) of ids that link, by exact intersection of their sorted hash arrays (sets: doc_id, hashes)."""
+    """The components (p, q) of the pairs that link, by exact intersection of their sorted hash arrays (sets: doc_id, hashes)."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,29 +362,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 one, two = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 common = overlap(one, two)
                 ok.append(100 * common >= threshold * (len(one) + len(two) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["p", "q"]).filter(pa.array(ok, pa.bool_()))
 
     one, two = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("p", "q", "x", "y").mapInArrow(check, "p long, q long")
 
 
 def _allowed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and bit counts allow a link."""
+    """The PAIRS whose sizes and bit counts allow a link."""
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for n1, n2, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+            for n1, n2, x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6), batch.column(7), strict=True):
                 x, y = x.as_py(), y.as_py()
                 width = 8 * min(len(x), len(y))
                 one, two = (fold(int.from_bytes(v, "little"), 8 * len(v), width) for v in (x, y))
                 ok.append(may_link(n1, one, n2, two, threshold))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "p", "q"]).filter(pa.array(ok, pa.bool_()))
 
     one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("x"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("y"))
     near = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where((100 * F.col("n1") >= threshold * F.col("n2")) & (100 * F.col("n2") >= threshold * F.col("n1")))
-    return near.select("a", "b", "n1", "n2", "x", "y").mapInArrow(bound, "a long, b long")
+    return near.select("a", "b", "p", "q", "n1", "n2", "x", "y").mapInArrow(bound, PAIRS)
 
 
 def _band(threshold: int, shift: float = 0.0):
@@ -381,21 +392,25 @@ def _band(threshold: int, shift: float = 0.0):
     return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / threshold + 1e-6)) + shift).cast("int")
 
 
-def _unsettled(grouped: DataFrame, labels: DataFrame) -> DataFrame:
+def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """rows with `component` as what it was merged into (merged: node, component)."""
+    new = merged.select(F.col("node").alias("component"), F.col("component").alias("_new"))
+    return rows.join(new, "component", "left").withColumn("component", F.coalesce("_new", "component")).drop("_new")
+
+
+def _unsettled(grouped: DataFrame, merged: DataFrame) -> DataFrame:
     """Rows of groups that hold several components and an early row: token, n, doc_id, early, component."""
-    rows = grouped.select("token", "n", "doc_id", "early").join(labels.select(F.col("node").alias("doc_id"), "component").hint("merge"), "doc_id", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "doc_id"))
+    rows = _relabelled(grouped.select("token", "n", "doc_id", "early", "component"), merged)
     mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or("early").alias("any")).where("lo < hi and any").select("token")
     return rows.join(mixed.hint("merge"), "token", "left_semi").select("token", "n", "doc_id", "early", "component")
 
 
 def _stars(open_: DataFrame, threshold: int, round_: int) -> DataFrame:
-    """Pairs (a, b) of each class with the first class, by a random order of this round, of its group's size band; none inside a component."""
+    """PAIRS of each class with the first class, by a random order of this round, of its group's size band; none inside a component."""
     rows = open_.withColumn("band", _band(threshold, (round_ % 2) / 2))
     first = F.min(F.struct(F.xxhash64(F.lit(round_), "doc_id").alias("h"), F.col("doc_id").alias("center"), F.col("component").alias("own"))).alias("c")
     bands = rows.groupBy("token", "band").agg(first, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token", "band", "c.center", "c.own")
-    pairs = rows.join(bands.hint("merge"), ["token", "band"]).where("component <> own")
-    return pairs.select(F.least("center", "doc_id").alias("a"), F.greatest("center", "doc_id").alias("b")).distinct()
+    return _pairs(rows.join(bands.hint("merge"), ["token", "band"]).where("component <> own"), "center", "component", "own")
 
 
 TILE = "first long, tile int, block1 int, block2 int, n long, doc_id long, component long, low boolean, block int, bits binary"
@@ -416,8 +431,8 @@ def _tiles(open_: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return rows.join(sets.select("doc_id", "bits"), "doc_id").select(*[x.split()[0] for x in TILE.split(", ")])
 
 
-def compare(rows: list[tuple], across: bool, threshold: int) -> Iterator[tuple[int, int]]:
-    """Pairs of ids in one tile block, of different components, that sizes and bit counts allow.
+def compare(rows: list[tuple], across: bool, threshold: int) -> Iterator[tuple[int, int, int, int]]:
+    """PAIRS in one tile block, of different components, that sizes and bit counts allow.
 
     rows: (n, doc_id, component, low, block, bits).  Rows of the lower band meet each other and those of
     the upper band; across two blocks only rows of different blocks meet.
@@ -437,8 +452,8 @@ def compare(rows: list[tuple], across: bool, threshold: int) -> Iterator[tuple[i
         mine, missing = (np.bitwise_count(v).sum(1, dtype=np.int64) for v in (words[i] & ~words[j], words[j] & ~words[i]))
         over = np.minimum(n[i] - mine, n[j] - missing)
         for k in j[100 * over >= threshold * (n[i] + n[j] - over)].tolist():
-            a, b = int(doc[i]), int(doc[k])
-            yield (a, b) if a < b else (b, a)
+            a, b, p, q = (int(x) for x in (doc[i], doc[k], component[i], component[k]))
+            yield (a, b, p, q) if a < b else (b, a, q, p)
 
 
 def _tile_pairs(tiles: DataFrame, threshold: int) -> DataFrame:
@@ -453,7 +468,7 @@ def _tile_pairs(tiles: DataFrame, threshold: int) -> DataFrame:
                     seen.add(pair)
                     out.append(pair)
                 if len(out) >= 100_000:
-                    yield _batch(out, "a long, b long")
+                    yield _batch(out, PAIRS)
                     out.clear()
                 if len(seen) > 1_000_000:  # only saves repeats
                     seen.clear()
@@ -465,14 +480,14 @@ def _tile_pairs(tiles: DataFrame, threshold: int) -> DataFrame:
                     yield from close()
                     key, group = (first, tile, one, two), []
                 group.append(tuple(row))
-            yield _batch(out, "a long, b long")
+            yield _batch(out, PAIRS)
             out.clear()
         yield from close()
-        yield _batch(out, "a long, b long")
+        yield _batch(out, PAIRS)
         release()
 
     dealt = tiles.repartition("first", "tile", "block1", "block2").sortWithinPartitions("first", "tile", "block1", "block2")
-    return dealt.mapInArrow(stream, "a long, b long").distinct()
+    return dealt.mapInArrow(stream, PAIRS).distinct()
 
 
 def _components(docs: DataFrame, k: int, threshold: int) -> DataFrame:
@@ -493,24 +508,33 @@ def _components(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     ties = rows.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a < b")
     ties = ties.select("a", F.col("doc_id").alias("b")).unionByName(rows.join(ties.hint("merge"), "doc_id").select("a", F.col("class_id").alias("b"))).where("a <> b").distinct()
 
-    pairs = grouped.where("center <> doc_id").select(F.least("center", "doc_id").alias("a"), F.greatest("center", "doc_id").alias("b")).distinct()
-    labels = None
+    grouped = grouped.withColumn("component", F.col("doc_id"))
+    pairs = _pairs(grouped.where("center <> doc_id"), "center", "doc_id", "center")
+    labelled = rows.withColumn("component", F.col("class_id"))
+    merged, links, tiled = None, 0, False
     for round_ in range(ROUNDS + 2):  # the first centers, random ones, then all that is left
         if round_:
-            grouped = scratch.save(_unsettled(grouped, labels), f"open-{round_}")
-            pairs = _stars(grouped, threshold, round_) if round_ <= ROUNDS else _tile_pairs(_tiles(grouped, sets, threshold), threshold)
-        pairs = scratch.save(_allowed(pairs, sets, threshold) if round_ <= ROUNDS else pairs, f"pairs-{round_}")
+            grouped = scratch.save(_unsettled(grouped, merged), f"open-{round_}")
+            scratch.drop("grouped" if round_ == 1 else f"open-{round_ - 1}")
+            rows_left = grouped.count()
+            if not rows_left:
+                break
+            tiled = round_ > ROUNDS or links * FEW < rows_left
+            pairs = _tile_pairs(_tiles(grouped, sets, threshold), threshold) if tiled else _stars(grouped, threshold, round_)
+        pairs = scratch.save(pairs if tiled else _allowed(pairs, sets, threshold), f"pairs-{round_}")
         own = scratch.save(_only(sets, pairs), f"sets-{round_}", 500)
         found = scratch.save(_verified(pairs, own, threshold), f"links-{round_}", 500)  # two sets a row
-        scratch.drop(f"pairs-{round_}", f"sets-{round_}", "grouped" if round_ == 1 else f"open-{round_ - 1}")
-        if labels is None or not found.isEmpty():
-            # earlier components as stars: the graph stays as small as its nodes
-            edges = found.unionByName(ties if labels is None else labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            labels = connected_components(edges, scratch, f"components-{round_}")
-    scratch.drop(f"open-{ROUNDS + 1}", "sets", "signed")
-
-    labelled = rows.join(labels.withColumnRenamed("node", "class_id").hint("merge"), "class_id", "left")
-    final = labelled.select(F.col("doc_id").alias("node"), F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component"), F.col("class_id").alias("class"))
+        scratch.drop(f"pairs-{round_}", f"sets-{round_}")
+        links = found.count()
+        # the nodes of this round's graph are the components of the rounds before
+        edges = found.toDF("a", "b")
+        merged = connected_components(edges if round_ else edges.unionByName(ties), scratch, f"components-{round_}")
+        labelled = _relabelled(labelled, merged)
+        if tiled:
+            break
+    scratch.drop(f"open-{round_}", "sets", "signed")
+
+    final = labelled.select(F.col("doc_id").alias("node"), F.col("n").alias("n_shingles"), "component", F.col("class_id").alias("class"))
     final = scratch.save(final, "final")
     scratch.drop("rows", *[f"links-{i}" for i in range(ROUNDS + 2)])
     return final

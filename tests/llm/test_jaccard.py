@@ -149,3 +149,52 @@ def test_whole_query_on_the_small_tables(spark):
     rows = [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op2_ngram_jaccard(spark, sf).select("doc_id", F.col("n_shingles"), "component_id").collect()}
     assert got == brute_force(rows)
+
+
+def tasks_of(spark, run):
+    """What `run` returns, and the number of Spark's tasks meanwhile."""
+    context = spark.sparkContext
+    context.setJobGroup("counted", "counted")
+    try:
+        out = run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    status = context.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup("counted") for s in status.getJobInfo(j).stageIds}
+    return out, sum(i.numCompletedTasks for i in map(status.getStageInfo, stages) if i)
+
+
+def test_a_small_graph_needs_no_exchange(spark):
+    """Its tasks do not grow with the number of shuffle partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+        found, tasks = tasks_of(spark, lambda: connected_components(edges, Scratch(spark, "t"), "c").where("node <> component").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r[0]: r[1] for r in found} == {i: 0 for i in range(1, 51)}
+    assert tasks < 61 * 2
+
+
+def test_graphs_larger_than_a_chunk(spark, monkeypatch):
+    from cartaspark.llm import components
+
+    monkeypatch.setattr(components, "CHUNK", 4)
+    rng = random.Random(3)
+    edges = [(rng.randrange(150), rng.randrange(150)) for _ in range(90)] + [(7, i) for i in range(200, 260)] + [(i, i + 1) for i in range(300, 330)]
+    got = {r[0]: r[1] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), "c").collect()}
+    root = {n: n for e in edges for n in e}
+    for _ in edges:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {n: got.get(n, n) for n in root} == root
+
+
+@pytest.mark.parametrize("few", [0, 1 << 40])
+def test_all_rounds_of_stars_or_none_give_the_same(make_docs, monkeypatch, few):
+    monkeypatch.setattr(J, "FEW", few)
+    rows = corpus(9)
+    check(make_docs(rows), rows)
