@@ -554,3 +554,40 @@ def test_stream_of_bounds(spark, tmp_path):
 def test_windowed_counts(spark):
     rows = spark.createDataFrame([("2024-01-01 00:00:10", "a"), ("2024-01-01 00:01:00", "a"), ("2024-01-01 00:07:00", "a")], "ts string, op string").withColumn("ts", F.to_timestamp("ts"))
     assert sorted(r["n"] for r in stream.windowed_counts(rows).collect()) == [1, 2]
+
+
+def test_text_masks_by_grown_boxes():
+    """Boxes that grow by themselves mark what widening the whole mask after each box marks."""
+    from cartaspark.operators import kernels as K
+
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        boxes = list(zip(*rng.integers(-6, 30, (2, 5)).tolist(), *rng.integers(-3, 9, (2, 5)).tolist(), strict=True))
+        border, iterations = (int(v) for v in rng.integers(0, (5, 3)))
+        for engine in ("tesseract", "easyocr"):
+            want = np.zeros((24, 31), np.uint8)
+            for k, (x, y, w, h) in enumerate(boxes):
+                want[max(0, y) : max(0, y + h + 1), max(0, x) : max(0, x + w + 1)] = 255
+                for _ in range(iterations if border and (engine == "easyocr" or k == 4) else 0):
+                    want = K.dilate(want, border, border)
+            assert (H.text_mask(24, 31, boxes, engine, border, iterations) == want).all()
+
+
+def test_pixels_under_text_of_many_sheets(spark):
+    """Sheets stream by in batches smaller than they are, with boxes without a place among them."""
+    rng = np.random.default_rng(9)
+    rows = [(f"s{k % 7}" if k % 3 else None, k, *rng.integers(0, 60, 2).tolist(), *rng.integers(1, 9, 2).tolist()) for k in range(100)]
+    rows += [("s1", 100, None, 2, 3, 4), ("empty", 101, None, 2, 3, 4), ("outside", 102, 500, 2, 3, 4)]
+    boxes = spark.createDataFrame(rows, "sheet_id string, patch long, x long, y long, w long, h long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        found = {(r["sheet_id"], r["engine"]): r["pixels"] for r in H.text_pixels(boxes, "patch", 70, 130, 3, 1).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for sheet in {r[0] for r in rows} - {"empty", "outside"}:
+        # a box without a place grows nothing itself, but those before it grow once more
+        own = [r[2:] if r[2] is not None else (500, 0, 1, 1) for r in rows if r[0] == sheet]
+        want |= {(sheet, e): int((H.text_mask(70, 130, own, e, 3, 1) > 0).sum()) for e in H.ENGINES}
+    assert found == want
