@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import inside
 from ..functions.scalar import between_multiples
-from .polygons import buffered
+from .polygons import buffered, spread
 from .sheets import transform_points
 
 
@@ -34,7 +34,7 @@ def on_sheet(lines: DataFrame, cutlines: DataFrame, bounds_check_buffer: float =
     """Pixel lines (sheet_id, px1, py1, px2, py2, ...) of which either end lies in the sheet's cutline (sheet_id, ring), widened by a buffer with mitred corners."""
     if bounds_check_buffer:
         # a widened ring may have holes: a point in an odd number of its rings is inside
-        parts = buffered(cutlines.withColumn("_by", F.lit(bounds_check_buffer)), "_by").withColumnRenamed("parts", "_parts")
+        parts = buffered(spread(cutlines, "sheet_id").withColumn("_by", F.lit(bounds_check_buffer)), "_by").withColumnRenamed("parts", "_parts")
         within = lambda n: F.size(F.filter("_parts", lambda r: inside(r, F.col(f"px{n}"), F.col(f"py{n}")))) % 2 == 1
         return lines.join(parts, "sheet_id").where(within(1) | within(2)).drop("_parts")
     both = lines.join(cutlines.select("sheet_id", F.col("ring").alias("_ring")), "sheet_id")

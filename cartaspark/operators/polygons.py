@@ -9,22 +9,29 @@ A union winds around each ring once.  A buffer with mitred corners winds around
 edges: parts in which that ring crosses itself, and edges that a shift inwards has turned around, are
 wound around the other way or not at all, and so go.  Rings are given without their end repeated;
 "counter-clockwise" is meant where y grows upwards.
+
+The arrays hold the edges of many arrangements at once; `group` tells which one an edge belongs to, and
+ascends.  So a batch of small sheets costs array operations of the batch's length, not calls a sheet.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Places are whole numbers up to this, from the least corner on, so that products of differences are exact; whole pixels of images of any usual size are exact too.
 GRID = 1 << 26
 #: A mitre longer than so many shifts is cut off.
 MITRE_LIMIT = 5.0
+#: More than any whole place; places and groups make up one sorting key.
+SPAN = GRID << 2
+#: Pairs of edges looked at together, and edges of arrangements made together (one alone may have more).
+PAIRS, EDGES = 1 << 17, 1 << 14
 
 
 class NotOnePolygon(ValueError):
@@ -39,141 +46,275 @@ def doubled_area(ring: np.ndarray) -> float:
     return float(_cross(ring, np.roll(ring, -1, 0)).sum())
 
 
-def _pieces(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges cut where they meet others; coordinates are whole numbers before and after."""
+def _ranges(first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i, j) with j from first[i] to last[i], that one left out, PAIRS or so at a time."""
+    counts = np.maximum(last - first, 0)
+    ends = np.cumsum(counts)
+    lo = 0
+    while lo < len(counts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, "right")))
+        n = counts[lo:hi]
+        i = np.repeat(np.arange(lo, hi), n)
+        yield i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + first[i]
+        lo = hi
+
+
+def _neighbours(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each point of rings of these sizes, one after the other, the places of the one before and the one after it."""
+    at, last = np.arange(sizes.sum()), np.cumsum(sizes)
+    before, after = at - 1, at + 1
+    some = sizes > 0
+    before[(last - sizes)[some]], after[last[some] - 1] = last[some] - 1, (last - sizes)[some]
+    return before, after
+
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums over runs of these sizes."""
+    out = np.zeros(len(sizes))
+    if len(values):
+        some = sizes > 0
+        out[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some])
+    return out
+
+
+def _pieces(start: np.ndarray, end: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges cut where they meet others of their group; coordinates are whole numbers before and after."""
+    order = np.argsort(group * SPAN + np.minimum(start[:, 0], end[:, 0]).astype(np.int64), kind="stable")
+    start, end, group = start[order], end[order], group[order]
     low, high = np.minimum(start, end), np.maximum(start, end)
-    order = np.argsort(low[:, 0], kind="stable")
-    sorted_low = low[order, 0]
     way = end - start
-    cuts: list[list[np.ndarray]] = [[] for _ in start]
-    for rank, i in enumerate(order.tolist()):
-        # the sweep: only edges that begin before this one ends
-        others = order[rank + 1 : np.searchsorted(sorted_low, high[i, 0], "right")]
-        others = others[(low[others, 1] <= high[i, 1]) & (high[others, 1] >= low[i, 1])]
-        if not len(others):
-            continue
-        gap = start[others] - start[i]
-        turn = _cross(way[i], way[others])
+    own = np.arange(len(start))
+    edges, points = [own, own], [start, end]
+    # the sweep: only edges that begin before this one ends
+    until = np.searchsorted(group * SPAN + low[:, 0].astype(np.int64), group * SPAN + high[:, 0].astype(np.int64), "right")
+    for i, j in _ranges(own + 1, until):
+        near = (low[j, 1] <= high[i, 1]) & (high[j, 1] >= low[i, 1])
+        i, j = i[near], j[near]
+        gap, one, two = start[j] - start[i], way[i], way[j]
+        turn, along = _cross(one, two), _cross(gap, one)
         with np.errstate(divide="ignore", invalid="ignore"):
-            t, u = _cross(gap, way[others]) / turn, _cross(gap, way[i]) / turn
-        inside = (turn != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-        for j, point in zip(others[inside].tolist(), np.rint(start[i] + t[inside, None] * way[i]), strict=True):
-            cuts[i].append(point)
-            cuts[j].append(point)
-        for j in others[(turn == 0) & (_cross(gap, way[i]) == 0)].tolist():  # along one line
-            for own, other in ((i, j), (j, i)):
-                for point in (start[other], end[other]):
-                    if ((point >= low[own]) & (point <= high[own])).all():
-                        cuts[own].append(point)
-    one, two = [], []
-    for i, more in enumerate(cuts):
-        points = np.array([start[i], end[i], *more])
-        points = points[np.argsort((points - start[i]) @ way[i], kind="stable")]
-        points = points[np.concatenate(([True], (points[1:] != points[:-1]).any(1)))]
-        one.append(points[:-1])
-        two.append(points[1:])
-    return np.concatenate(one), np.concatenate(two)
-
-
-def _boundary(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            t, u = _cross(gap, two) / turn, along / turn
+        met = np.flatnonzero((turn != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1))
+        point = np.rint(start[i[met]] + t[met, None] * one[met])
+        edges += [i[met], j[met]]
+        points += [point, point]
+        line = np.flatnonzero((turn == 0) & (along == 0))  # along one line
+        for a, b in ((i[line], j[line]), (j[line], i[line])):
+            for point in (start[b], end[b]):
+                on = ((point >= low[a]) & (point <= high[a])).all(1)
+                edges.append(a[on])
+                points.append(point[on])
+    edge, point = np.concatenate(edges), np.concatenate(points)
+    order = np.lexsort((((point - start[edge]) * way[edge]).sum(1), edge))
+    edge, point = edge[order], point[order]
+    other = np.concatenate(([True], (edge[1:] != edge[:-1]) | (point[1:] != point[:-1]).any(1)))
+    edge, point = edge[other], point[other]
+    on = np.flatnonzero(edge[1:] == edge[:-1])
+    return point[on], point[on + 1], group[edge[on]]
+
+
+def _boundary(start: np.ndarray, end: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pieces with a face that counts on their left and one that does not on their right."""
     forward = (start[:, 0] < end[:, 0]) | ((start[:, 0] == end[:, 0]) & (start[:, 1] < end[:, 1]))
     one, two = np.where(forward[:, None], start, end), np.where(forward[:, None], end, start)
-    both, which = np.unique(np.concatenate([one, two], 1), axis=0, return_inverse=True)
-    net = np.zeros(len(both), np.int64)
-    np.add.at(net, which.ravel(), np.where(forward, 1, -1))
-    both, net = both[net != 0], net[net != 0]
-    one, two = both[:, :2], both[:, 2:]
-    middle = (one + two) / 2
-    around = np.zeros(len(both), np.int64)
-    for lo in range(0, len(both), 256):  # pieces that cross the ray to the right, itself left out
-        x, y = middle[lo : lo + 256, :1], middle[lo : lo + 256, 1:]
-        up, down = (one[:, 1] <= y) & (two[:, 1] > y), (two[:, 1] <= y) & (one[:, 1] > y)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            right = one[:, 0] + (y - one[:, 1]) * (two[:, 0] - one[:, 0]) / (two[:, 1] - one[:, 1]) > x
-        sign = np.where(up & right, 1, np.where(down & right, -1, 0))
-        sign[np.arange(len(x)), lo + np.arange(len(x))] = 0
-        around[lo : lo + 256] = sign @ net
+    order = np.lexsort((_code(two), _code(one), group))
+    one, two, group, net = one[order], two[order], group[order], np.where(forward, 1, -1)[order]
+    first = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (one[1:] != one[:-1]).any(1) | (two[1:] != two[:-1]).any(1))))
+    net = np.add.reduceat(net, first)
+    kept = first[net != 0]
+    one, two, group, net = one[kept], two[kept], group[kept], net[net != 0]
+    x, y = ((one + two) / 2).T
+    # pieces that cross the ray to the right, itself left out; level ones cross none
+    steep = np.flatnonzero(one[:, 1] != two[:, 1])
+    steep = steep[np.argsort(group[steep] * SPAN + np.minimum(one[steep, 1], two[steep, 1]).astype(np.int64), kind="stable")]
+    a, b = one[steep], two[steep]
+    top, (dx, dy) = np.maximum(a[:, 1], b[:, 1]), (b - a).T
+    sign = np.where(dy > 0, net[steep], -net[steep])
+    key = group[steep] * SPAN + np.minimum(a[:, 1], b[:, 1]).astype(np.int64)
+    around = np.zeros(len(one), np.int64)
+    for i, j in _ranges(np.searchsorted(key, group * SPAN, "left"), np.searchsorted(key, group * SPAN + np.floor(y).astype(np.int64), "right")):
+        near = top[j] > y[i]
+        i, j = i[near], j[near]
+        right = (a[j, 0] + (y[i] - a[j, 1]) * dx[j] / dy[j] > x[i]) & (steep[j] != i)
+        i = i[right]
+        if len(i):
+            found = np.bincount(i - i[0], sign[j[right]])
+            around[i[0] : i[0] + len(found)] += found.astype(np.int64)
     # pieces run to the right, or straight up: the ray leaves a rising one from its right side, others from their left
     rising = two[:, 1] > one[:, 1]
     left = np.where(rising, around + net, around)
     right = left - net
     keep, turn = (left > 0) & (right <= 0), (left <= 0) & (right > 0)
-    return np.concatenate([one[keep], two[turn]]), np.concatenate([two[keep], one[turn]])
+    group = np.concatenate([group[keep], group[turn]])
+    order = np.argsort(group, kind="stable")
+    return np.concatenate([one[keep], two[turn]])[order], np.concatenate([two[keep], one[turn]])[order], group[order]
 
 
-def _chain(start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-    """Rings of boundary pieces; where several go on, the one furthest to the left, so that rings that touch stay apart."""
-    leaving: dict[tuple, list[int]] = {}
-    for k, point in enumerate(map(tuple, start.tolist())):
-        leaving.setdefault(point, []).append(k)
-    used, out = np.zeros(len(start), bool), []
-    for first in range(len(start)):
-        if used[first]:
+def _code(point: np.ndarray) -> np.ndarray:
+    """A whole place as one number."""
+    return point[:, 0].astype(np.int64) * SPAN + point[:, 1].astype(np.int64)
+
+
+def _nodes(*places: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """Numbers of places (points, groups), equal ones alike, in all of the arrays."""
+    code, group = np.concatenate([_code(p) for p, _ in places]), np.concatenate([g for _, g in places])
+    order = np.lexsort((code, group))
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(np.concatenate(([0], (code[order][1:] != code[order][:-1]) | (group[order][1:] != group[order][:-1])))[: len(order)])
+    return np.split(number, np.cumsum([len(p) for p, _ in places])[:-1])
+
+
+def _chain(start: np.ndarray, end: np.ndarray, leave: np.ndarray, arrive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rings of boundary pieces between numbered places: the pieces in their order, and the number of each ring's.
+
+    Where several go on, the one furthest to the left does, so that rings that touch stay apart.
+    """
+    order = np.argsort(leave, kind="stable")
+    first, last = np.searchsorted(leave[order], arrive, "left"), np.searchsorted(leave[order], arrive, "right")
+    following = np.where(first < last, order[np.minimum(first, len(order) - 1)], -1)
+
+    def turn(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        way, ahead = end[i] - start[i], end[j] - start[j]
+        return np.arctan2(_cross(way, ahead), (way * ahead).sum(1))
+
+    several = np.flatnonzero(last - first > 1)
+    for i, j in _ranges(first[several], last[several]):
+        i, j = several[i], order[j]
+        best = np.lexsort((-j, turn(i, j), i))  # of each i the last one is the furthest to the left
+        best = best[np.concatenate((i[best][1:] != i[best][:-1], [True]))]
+        following[i[best]] = j[best]
+    following = following.tolist()
+    used, walk, sizes = bytearray(len(start)), [], []
+    for begin in range(len(start)):
+        if used[begin]:
             continue
-        ring, k = [], first
+        k, before = begin, len(walk)
         while not used[k]:
-            used[k] = True
-            ring.append(start[k])
-            options = [j for j in leaving.get(tuple(end[k].tolist()), ()) if not used[j] or j == first]
-            if not options:
-                break
-            way = end[k] - start[k]
-            ahead = end[options] - start[options]
-            k = options[int(np.arctan2(_cross(way, ahead), ahead @ way).argmax())]
-        out.append(np.array(ring))
-    return out
+            used[k] = 1
+            walk.append(k)
+            ahead = following[k]
+            if ahead < 0 or (used[ahead] and ahead != begin):
+                left = [j for j in order[first[k] : last[k]].tolist() if not used[j] or j == begin]
+                if not left:
+                    break
+                ahead = left[int(turn(np.full(len(left), k), np.array(left)).argmax())]
+            k = ahead
+        sizes.append(len(walk) - before)
+    return np.array(walk, np.int64), np.array(sizes, np.int64)
 
 
 @dataclass(frozen=True)
-class Grid:
-    """The whole-number places of some rings: a power of two as unit, counted from an origin."""
+class Rings:
+    """Rings of many groups (which ascend): their points one after the other, their sizes and their groups."""
 
-    unit: float
-    origin: np.ndarray
+    points: np.ndarray
+    sizes: np.ndarray
+    group: np.ndarray
 
     @classmethod
-    def of(cls, rings: list[np.ndarray]) -> Grid:
-        points = np.concatenate([np.zeros((0, 2)), *(np.asarray(r, float).reshape(-1, 2) for r in rings)])
-        if not len(points):
-            return cls(1.0, np.zeros(2))
-        extent = float(np.ptp(points, axis=0).max()) or 1.0
-        unit = 2.0 ** math.ceil(math.log2(extent / (GRID - 2)))
-        return cls(unit, np.floor(points.min(0) / unit) * unit)
-
-    def whole(self, ring: np.ndarray) -> np.ndarray:
-        return np.rint((np.asarray(ring, float) - self.origin) / self.unit)
-
-    def places(self, ring: np.ndarray) -> np.ndarray:
-        return ring * self.unit + self.origin
-
-
-def _faces(curves: list[np.ndarray], grid: Grid, known: list[np.ndarray]) -> list[np.ndarray]:
-    """Rings around the faces that closed curves (whole numbers) wind around at least once; points inside straight runs stay where they are `known`."""
-    edges = [(c, np.roll(c, -1, 0)) for c in curves if len(c) > 1]
-    if not edges:
-        return []
-    start, end = np.concatenate([a for a, _ in edges]), np.concatenate([b for _, b in edges])
+    def of(cls, rings: list[np.ndarray], group: int = 0) -> Rings:
+        parts = [np.asarray(r, float).reshape(-1, 2) for r in rings]
+        return cls(np.concatenate([np.zeros((0, 2)), *parts]), np.array([len(r) for r in parts], np.int64), np.full(len(parts), group, np.int64))
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
+
+    def split(self) -> list[np.ndarray]:
+        return np.split(self.points, np.cumsum(self.sizes)[:-1]) if len(self.sizes) else []
+
+    def take(self, kept: np.ndarray) -> Rings:
+        """Those of the rings that a mask has."""
+        return Rings(self.points[np.repeat(kept, self.sizes)], self.sizes[kept], self.group[kept])
+
+    def within(self, lo: int, hi: int) -> Rings:
+        """The rings of groups from lo to hi, that one left out."""
+        a, b = np.searchsorted(self.group, (lo, hi))
+        ends = np.concatenate(([0], np.cumsum(self.sizes)))
+        return Rings(self.points[ends[a] : ends[b]], self.sizes[a:b], self.group[a:b])
+
+    @classmethod
+    def joined(cls, parts: list[Rings]) -> Rings:
+        """All of these, in their order."""
+        return cls(*(np.concatenate([getattr(p, c) for p in (cls.of([]), *parts)]) for c in ("points", "sizes", "group")))
+
+    def areas(self) -> np.ndarray:
+        """Doubled areas, over 0 for those that run counter-clockwise."""
+        return _sums(_cross(self.points, self.points[_neighbours(self.sizes)[1]]), self.sizes)
+
+    def turned(self, which: np.ndarray) -> Rings:
+        """These rings with some of them running the other way."""
+        at = np.arange(len(self.points))
+        return Rings(self.points[np.where(np.repeat(which, self.sizes), np.repeat(2 * self.starts + self.sizes - 1, self.sizes) - at, at)], self.sizes, self.group)
+
+
+def _slices(rings: Rings) -> Iterator[Rings]:
+    """Rings of whole groups, EDGES points or so at a time."""
+    ends = np.cumsum(rings.sizes)
+    last = np.flatnonzero(np.concatenate((rings.group[1:] != rings.group[:-1], [True]))[: len(ends)])  # of each group
+    lo = 0
+    while lo < len(last):
+        base = ends[last[lo - 1]] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends[last], base + EDGES, "right")))
+        yield rings.within(int(rings.group[last[lo]]), int(rings.group[last[hi - 1]]) + 1)
+        lo = hi
+
+
+def _faces(curves: Rings, known: bool) -> Rings:
+    """Rings around the faces that the closed curves of each group wind around at least once; points inside straight runs stay where they are `known` as one of the curves'.
+
+    Places become whole numbers in a grid of each group's own: a power of two as unit, counted from an origin.
+    """
+    return Rings.joined([_faces_of(part, known) for part in _slices(curves) if len(part.points)])
+
+
+def _faces_of(curves: Rings, known: bool) -> Rings:
+    groups, own = np.unique(np.repeat(curves.group, curves.sizes), return_inverse=True)
+    begin = np.searchsorted(own, np.arange(len(groups)))
+    low, high = np.minimum.reduceat(curves.points, begin), np.maximum.reduceat(curves.points, begin)
+    extent = (high - low).max(1)
+    unit = np.exp2(np.ceil(np.log2(np.where(extent > 0, extent, 1.0) / (GRID - 2))))[:, None]
+    origin = np.floor(low / unit) * unit
+    start = np.rint((curves.points - origin[own]) / unit[own])
+    end = start[_neighbours(curves.sizes)[1]]
     real = (start != end).any(1)
     if not real.any():
-        return []
-    rings = _chain(*_boundary(*_pieces(start[real], end[real])))
-    given = {p for c in known for p in map(tuple, c.tolist())}
-    out = []
-    for ring in rings:
-        bend = _cross(ring - np.roll(ring, 1, 0), np.roll(ring, -1, 0) - ring) != 0
-        ring = ring[bend | np.array([tuple(p) in given for p in ring.tolist()])]
-        if len(ring) > 2 and abs(doubled_area(ring)) > 4 * len(ring) * np.ptp(ring, axis=0).max():  # else a sliver of rounding
-            out.append(grid.places(ring))
-    return out
+        return Rings.of([])
+    one, two, group = _boundary(*_pieces(start[real], end[real], own[real]))
+    if not len(one):
+        return Rings.of([])
+    leave, arrive, given = _nodes((one, group), (two, group), (start[:0], own[:0]) if not known else (start, own))
+    walk, sizes = _chain(one, two, leave, arrive)
+    point = one[walk]
+    before, after = _neighbours(sizes)
+    bend = _cross(point - point[before], point[after] - point) != 0
+    if known:
+        bend |= np.isin(leave[walk], given)
+    ring = np.repeat(np.arange(len(sizes)), sizes)
+    rings = Rings(point[bend], np.bincount(ring[bend], minlength=len(sizes)), group[walk[np.cumsum(sizes) - sizes]])
+    rings = rings.take(rings.sizes > 2)
+    if not len(rings.sizes):
+        return Rings.of([])
+    wide = (np.maximum.reduceat(rings.points, rings.starts) - np.minimum.reduceat(rings.points, rings.starts)).max(1)
+    rings = rings.take(np.abs(rings.areas()) > 4 * rings.sizes * wide)  # else a sliver of rounding
+    own = np.repeat(rings.group, rings.sizes)
+    return Rings(rings.points * unit[own] + origin[own], rings.sizes, groups[rings.group])
+
+
+def unions(rings: Rings) -> Rings:
+    """The rings around what any of some simple rings of each group encloses: outer ones counter-clockwise, holes clockwise."""
+    return _faces(_curves(rings), True)
+
+
+def _curves(rings: Rings) -> Rings:
+    """Rings that enclose something, counter-clockwise; one with a place that is not known encloses nothing."""
+    rings = rings.take((rings.sizes > 2) & (_sums(~np.isfinite(rings.points).all(1), rings.sizes) == 0))
+    return rings.turned(rings.areas() < 0)
 
 
 def union(rings: list[np.ndarray]) -> list[np.ndarray]:
     """The rings around what any of some simple rings encloses: outer ones counter-clockwise, holes clockwise."""
-    grid = Grid.of(rings)
-    whole = [grid.whole(r) for r in rings if len(r) > 2]
-    whole = [r if doubled_area(r) > 0 else r[::-1] for r in whole]
-    return _faces(whole, grid, whole)
+    return unions(Rings.of(rings)).split()
 
 
 def cutline(rings: list[np.ndarray], area: list[np.ndarray] | None = None) -> np.ndarray:
@@ -185,47 +326,61 @@ def cutline(rings: list[np.ndarray], area: list[np.ndarray] | None = None) -> np
     if len(outer) != 1:
         raise NotOnePolygon(f"expected one polygon, not {len(outer)}")
     ring = outer[0][::-1]
-    near = [np.hypot(*(ring - p).T) for r in rings for p in np.asarray(r, float)]
-    first = next((int(d.argmin()) for d in near if d.min() < 1e-6), 0)
+    given = np.concatenate([np.asarray(r, float).reshape(-1, 2) for r in rings])
+    far = np.concatenate([np.hypot(*np.moveaxis(part[:, None] - ring, 2, 0)).min(1) for part in np.split(given, range(1024, len(given), 1024))])
+    near = np.flatnonzero(far < 1e-6)
+    first = int(np.hypot(*(ring - given[near[0]]).T).argmin()) if len(near) else 0
     return np.trunc(np.round(np.roll(ring, -first, 0), 6)).astype(int)
 
 
+def buffers(rings: Rings, by: np.ndarray) -> Rings:
+    """Rings around simple rings, one a group, widened by `by` each (below 0: narrowed) with mitred corners; none where nothing is left."""
+    fit = (rings.sizes > 2) & (_sums(~np.isfinite(rings.points).all(1), rings.sizes) == 0) & np.isfinite(by)
+    rings, by = rings.take(fit), by[fit]
+    rings = rings.turned(rings.areas() < 0)
+    before, _ = _neighbours(rings.sizes)
+    other = (rings.points != rings.points[before]).any(1)
+    rings = Rings(rings.points[other], _sums(other, rings.sizes).astype(np.int64), rings.group)
+    same = rings.take((by == 0) & (rings.sizes > 0))
+    rings, by = rings.take((by != 0) & (rings.sizes > 0)), by[(by != 0) & (rings.sizes > 0)]
+    p, by, ring = rings.points, np.repeat(by, rings.sizes), np.repeat(np.arange(len(rings.sizes)), rings.sizes)
+    before, after = _neighbours(rings.sizes)
+    way = p[after] - p
+    way /= np.hypot(*way.T)[:, None]
+    out = np.column_stack([way[:, 1], -way[:, 0]]) * by[:, None]
+    turn, ahead = _cross(way[before], way), (way[before] * way).sum(1)
+    # the sides part at this corner: go on to where they meet, unless that is too far away
+    part = (turn * by >= 0) & (ahead > -1 + 1e-12) | (np.abs(turn) < 1e-12) & (ahead > 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        tip = (out[before] + out) / (1 + ahead)[:, None]
+        near = part & (np.hypot(*tip.T) <= MITRE_LIMIT * np.abs(by))
+    far = part & ~near
+    count = np.where(near, 1, np.where(far, 2, 3))
+    at = np.cumsum(count) - count
+    shifted = np.empty((int(count.sum()), 2))
+    shifted[at[near]] = (p + tip)[near]
+    # cut off at right angles to the corner's bisector, MITRE_LIMIT shifts away
+    k, size = np.flatnonzero(far), np.abs(by[far])
+    middle = tip[k] / np.hypot(*tip[k].T)[:, None]
+    side = np.column_stack([-middle[:, 1], middle[:, 0]])
+    reach = MITRE_LIMIT * size
+    half = (size - reach * np.abs((middle * out[k]).sum(1)) / size) / np.maximum(1e-12, np.abs((side * out[k]).sum(1)) / size)
+    centre, half = p[k] + middle * reach[:, None], side * (half * np.where((side * out[before[k]]).sum(1) > 0, 1, -1))[:, None]
+    shifted[at[k]], shifted[at[k] + 1] = centre + half, centre - half
+    # the sides run into each other: by way of the corner, what is too much is wound around the other way
+    k = np.flatnonzero(~part)
+    shifted[at[k]], shifted[at[k] + 1], shifted[at[k] + 2] = p[k] + out[before[k]], p[k], p[k] + out[k]
+    found = Rings.joined([_faces(Rings(shifted, np.bincount(ring, count, len(rings.sizes)).astype(np.int64), rings.group), False), same])
+    order = np.argsort(found.group, kind="stable")
+    if (order[1:] > order[:-1]).all():
+        return found
+    at = np.repeat(found.starts[order], found.sizes[order]) + np.arange(len(found.points)) - np.repeat(np.cumsum(found.sizes[order]) - found.sizes[order], found.sizes[order])
+    return Rings(found.points[at], found.sizes[order], found.group[order])
+
+
 def buffer(ring: np.ndarray, by: float) -> list[np.ndarray]:
     """Rings around a simple ring widened by `by` (below 0: narrowed) with mitred corners; none if nothing is left."""
-    p = np.asarray(ring, float)
-    if len(p) < 3:
-        return []
-    if doubled_area(p) < 0:
-        p = p[::-1]
-    p = p[(p != np.roll(p, 1, 0)).any(1)]
-    if by == 0:
-        return [p]
-    way = np.roll(p, -1, 0) - p
-    way /= np.hypot(*way.T)[:, None]
-    out = np.column_stack([way[:, 1], -way[:, 0]]) * by
-    shifted = []
-    for k in range(len(p)):
-        before, after = way[k - 1], way[k]
-        turn, ahead = float(_cross(before, after)), float(before @ after)
-        if turn * by >= 0 and ahead > -1 + 1e-12 or abs(turn) < 1e-12 and ahead > 0:
-            # the sides part at this corner: go on to where they meet, unless that is too far away
-            tip = (out[k - 1] + out[k]) / (1 + ahead)
-            if np.hypot(*tip) <= MITRE_LIMIT * abs(by):
-                shifted.append(p[k] + tip)
-            else:
-                # cut off at right angles to the corner's bisector, MITRE_LIMIT shifts away
-                middle = tip / np.hypot(*tip)
-                side = np.array([-middle[1], middle[0]])
-                reach = MITRE_LIMIT * abs(by)
-                half = (abs(by) - reach * abs(float(middle @ out[k])) / abs(by)) / max(1e-12, abs(float(side @ out[k])) / abs(by))
-                centre = p[k] + middle * reach
-                order = 1 if float(side @ out[k - 1]) > 0 else -1
-                shifted += [centre + side * half * order, centre - side * half * order]
-        else:
-            # the sides run into each other: by way of the corner, what is too much is wound around the other way
-            shifted += [p[k] + out[k - 1], p[k], p[k] + out[k]]
-    grid = Grid.of([np.array(shifted)])
-    return _faces([grid.whole(np.array(shifted))], grid, [])
+    return buffers(Rings.of([ring]), np.array([by], float)).split()
 
 
 def contains(rings: list[np.ndarray], points: np.ndarray) -> np.ndarray:
@@ -247,14 +402,63 @@ RING = "array<struct<x: double, y: double>>"
 CUTLINES = f"sheet_id string, ring {RING}, area double, holes int, problem string"
 
 
-def _points(ring) -> np.ndarray:
-    """A ring column's value without its end repeated."""
-    p = np.array([[q["x"], q["y"]] for q in ring], float).reshape(-1, 2)
-    return p[:-1] if len(p) > 1 and (p[0] == p[-1]).all() else p
+def _rings(column: pa.Array) -> Rings:
+    """Rings of an Arrow column without their ends repeated, a group a row."""
+    x, y = (c.to_numpy(zero_copy_only=False) for c in column.flatten().flatten())
+    points, sizes = np.column_stack([x, y]).astype(float), column.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    last = np.cumsum(sizes) - 1
+    closed = sizes > 1
+    closed[closed] = (points[(last - sizes + 1)[closed]] == points[last[closed]]).all(1)
+    kept = np.ones(len(points), bool)
+    kept[last[closed]] = False
+    return Rings(points[kept], sizes - closed, np.arange(len(sizes)))
+
 
+def _column(rings: Rings) -> pa.Array:
+    """Rings as an Arrow column, their ends repeated."""
+    ends = np.cumsum(rings.sizes + 1)
+    at = np.arange(len(rings.points) + len(rings.sizes)) - np.repeat(np.arange(len(rings.sizes)), rings.sizes + 1)
+    at[ends - 1] = rings.starts
+    points = pa.StructArray.from_arrays([pa.array(rings.points[at, k]) for k in (0, 1)], names=["x", "y"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), points)
 
-def _column(ring: np.ndarray) -> list[dict]:
-    return [{"x": float(x), "y": float(y)} for x, y in (*ring, ring[0])]
+
+def _sheets(batches: Iterator[pa.RecordBatch], curves: bool) -> Iterator[tuple[pa.Array, Rings]]:
+    """Ids of whole sheets and their rings (groups are places among the ids) from batches (sheet_id, ring) sorted by sheet.
+
+    As `curves` rings are counter-clockwise, and of a sheet with very many of them what they enclose together comes instead.
+    """
+    last, open_, least = None, [], EDGES  # the sheet that may go on, and its rings so far
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        runs = pc.run_end_encode(batch.column(0))
+        ids, ends = runs.values, runs.run_ends.to_numpy()
+        rings = _rings(batch.column(1))
+        rings = Rings(rings.points, rings.sizes, np.searchsorted(ends, rings.group, "right"))
+        rings = _curves(rings) if curves else rings
+        if last is not None and last.equals(ids[:1]):
+            rings = Rings.joined([*open_, rings])
+        elif last is not None:
+            yield last, Rings.joined(open_)
+            least = EDGES
+        if len(ids) > 1:
+            yield ids[:-1], rings.within(0, len(ids) - 1)
+            least = EDGES
+        own = rings.within(len(ids) - 1, len(ids))
+        own = Rings(own.points, own.sizes, np.zeros_like(own.group))
+        if curves and len(own.points) > least:
+            own = _faces(own, True)
+            least = max(EDGES, 2 * len(own.points))
+        last, open_ = ids[-1:], [own]
+    if last is not None:
+        yield last, Rings.joined(open_)
+
+
+def _measures(area: Rings, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Areas and numbers of holes of n groups."""
+    doubled = area.areas()
+    return np.bincount(area.group, doubled, n) / 2, np.bincount(area.group, doubled < 0, n).astype(np.int32)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -270,30 +474,57 @@ def cutlines(corners: DataFrame, extra: DataFrame) -> DataFrame:
     ring, and one of fewer than three points, encloses nothing.
     """
     both = corners.select("sheet_id", "ring", F.lit(0).alias("ord")).unionByName(extra.select("sheet_id", "ring", F.lit(1).alias("ord")))
-    packed = spread(both.where("ring is not null").withColumn("sheet_id", F.col("sheet_id").cast("string")), "sheet_id").groupBy("sheet_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("ring").cast(RING).alias("ring")))).alias("rings"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                rings = [_points(r["ring"]) for r in row.rings]
-                area = union(rings)
+    clean = both.where("ring is not null").select(F.col("sheet_id").cast("string").alias("sheet_id"), F.col("ring").cast(RING).alias("ring"), "ord")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, rings in _sheets(batches, False):
+            united = unions(rings)
+            area, holes = _measures(united, len(ids))
+            found, place, problems = [], [], []
+            for k in range(len(ids)):
                 try:
-                    ring, problem = _column(cutline(rings, area)), None
+                    found.append(cutline(rings.within(k, k + 1).split(), united.within(k, k + 1).split()))
+                    place.append(len(found) - 1)
+                    problems.append(None)
                 except NotOnePolygon as e:
-                    ring, problem = None, str(e)
-                out.append((row.sheet_id, ring, sum(map(doubled_area, area)) / 2, sum(doubled_area(r) < 0 for r in area), problem))
-            yield pd.DataFrame(out, columns=["sheet_id", "ring", "area", "holes", "problem"])
+                    place.append(None)
+                    problems.append(str(e))
+            yield pa.RecordBatch.from_arrays([ids, _column(Rings.of(found)).take(pa.array(place, pa.int64())), pa.array(area), pa.array(holes), pa.array(problems, pa.string())], names=["sheet_id", "ring", "area", "holes", "problem"])
 
-    return packed.mapInPandas(run, CUTLINES)
+    return spread(clean, "sheet_id").sortWithinPartitions("sheet_id", "ord", "ring").drop("ord").mapInArrow(run, CUTLINES)
 
 
-def buffered(rings: DataFrame, by: str) -> DataFrame:
-    """sheet_id and parts (array of closed rings) of rings (sheet_id, ring, and a column with the shift) with mitred corners; no parts if nothing is left."""
+def union_areas(shapes: DataFrame, ring: Column) -> DataFrame:
+    """sheet_id, area and holes of the union of every sheet's rings, without their cutline.
+
+    `ring` is an expression over the columns of shapes (with sheet_id), made only after rows have moved; a null
+    one has no part.  Sheets are sorted and stream by: a task holds the rings of a batch, and of a sheet that
+    is larger than that what its rings so far enclose.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, rings in _sheets(batches, True):
+            area, holes = _measures(_faces(rings, True), len(ids))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(area), pa.array(holes)], names=["sheet_id", "area", "holes"])
+
+    sorted_ = spread(shapes, "sheet_id").sortWithinPartitions("sheet_id")
+    made = sorted_.select(F.col("sheet_id").cast("string").alias("sheet_id"), ring.cast(RING).alias("ring")).where("ring is not null")
+    return made.mapInArrow(run, "sheet_id string, area double, holes int")
+
+
+def buffered(rings: DataFrame, by: str, *carried: str) -> DataFrame:
+    """sheet_id and parts (array of closed rings) of rings (sheet_id, ring, and a column with the shift) with mitred corners, and the columns that are carried along; no parts if nothing is left.
+
+    Rings are widened where they are; nothing is shuffled.
+    """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame([(row.sheet_id, [_column(r) for r in buffer(_points(row.ring), float(row.by))]) for row in frame.itertuples(index=False)], columns=["sheet_id", "parts"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = buffers(_rings(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False).astype(float))
+                ends = np.concatenate(([0], np.cumsum(np.bincount(found.group, minlength=batch.num_rows))))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _column(found)), *batch.columns[3:]], names=["sheet_id", "parts", *carried])
 
-    clean = rings.where("ring is not null").select(F.col("sheet_id").cast("string").alias("sheet_id"), F.col("ring").cast(RING).alias("ring"), F.col(by).cast("double").alias("by"))
-    return spread(clean, "sheet_id").mapInPandas(run, f"sheet_id string, parts array<{RING}>")
+    clean = rings.where("ring is not null").select(F.col("sheet_id").cast("string").alias("sheet_id"), F.col("ring").cast(RING).alias("ring"), F.col(by).cast("double").alias("_by"), *carried)
+    more = "".join(f", `{c}` {clean.schema[c].dataType.simpleString()}" for c in carried)
+    return clean.mapInArrow(run, f"sheet_id string, parts array<{RING}>{more}")

@@ -179,3 +179,33 @@ def test_contour_rings_of_sheets_in_parts(spark, tmp_path, kept):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     want = con.execute(f"SELECT sheet_id, x, y, w, h, holes FROM ({ORACLES['contour_rings']})").fetchall()
     assert sorted(map(tuple, QUERIES["contour_rings"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_buffers_of_many_rings_are_made_together(monkeypatch):
+    """Rings of a batch widened at once are those widened one by one, by few passes over their edges."""
+    rng = np.random.default_rng(5)
+    rings, by = [], rng.choice([-2.0, -1.0, 0.0, 1.5, 3.0], 60)
+    for k in range(60):
+        angle = np.sort(rng.random(int(rng.integers(3, 9)))) * 2 * np.pi
+        rings.append((np.column_stack([np.cos(angle), np.sin(angle)]) * (rng.random(len(angle)) * 10 + 2)[:, None])[:: -1 if k % 2 else 1])
+    rings[7], rings[8], rings[9] = rings[7][:2], np.full((4, 2), np.nan), np.ones((3, 2))  # nothing is enclosed
+    passes, real = [], P._pieces
+    monkeypatch.setattr(P, "_pieces", lambda *edges: passes.append(1) or real(*edges))
+    found = P.buffers(P.Rings(np.concatenate(rings), np.array([len(r) for r in rings]), np.arange(60)), by)
+    assert len(passes) == 1
+    for k in range(60):
+        assert [r.tolist() for r in found.within(k, k + 1).split()] == [r.tolist() for r in P.buffer(rings[k], by[k])]
+
+
+def test_a_point_for_each_row(spark, tmp_path):
+    """An order that comes twice is two rows, not four."""
+    import duckdb
+
+    from cartaspark.plans.queries import ORACLES, QUERIES
+
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    orders.unionByName(orders.limit(200)).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = con.execute(f"SELECT patch, sheet_id, inside FROM ({ORACLES['point_in_buffer']})").fetchall()
+    assert sorted(map(tuple, QUERIES["point_in_buffer"](spark, str(tmp_path)).collect())) == sorted(want)
