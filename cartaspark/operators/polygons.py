@@ -32,6 +32,8 @@ MITRE_LIMIT = 5.0
 SPAN = GRID << 2
 #: Pairs of edges looked at together, and edges of arrangements made together (one alone may have more).
 PAIRS, EDGES = 1 << 17, 1 << 14
+#: Arrangements made together at most, so that a group and two places make up a number of 64 bits.
+GROUPS = 1 << 12
 
 
 class NotOnePolygon(ValueError):
@@ -80,92 +82,106 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _pieces(start: np.ndarray, end: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Edges cut where they meet others of their group; coordinates are whole numbers before and after."""
     order = np.argsort(group * SPAN + np.minimum(start[:, 0], end[:, 0]).astype(np.int64), kind="stable")
-    start, end, group = start[order], end[order], group[order]
-    low, high = np.minimum(start, end), np.maximum(start, end)
-    way = end - start
-    own = np.arange(len(start))
-    edges, points = [own, own], [start, end]
+    group = group[order]
+    (sx, sy), (ex, ey) = np.ascontiguousarray(start[order].T), np.ascontiguousarray(end[order].T)
+    lx, ly, hx, hy, wx, wy = np.minimum(sx, ex), np.minimum(sy, ey), np.maximum(sx, ex), np.maximum(sy, ey), ex - sx, ey - sy
+    own = np.arange(len(sx))
+    edges, xs, ys = [own, own], [sx, ex], [sy, ey]
+
+    def cut(edge: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+        edges.append(edge)
+        xs.append(x)
+        ys.append(y)
+
     # the sweep: only edges that begin before this one ends
-    until = np.searchsorted(group * SPAN + low[:, 0].astype(np.int64), group * SPAN + high[:, 0].astype(np.int64), "right")
+    until = np.searchsorted(group * SPAN + lx.astype(np.int64), group * SPAN + hx.astype(np.int64), "right")
     for i, j in _ranges(own + 1, until):
-        near = (low[j, 1] <= high[i, 1]) & (high[j, 1] >= low[i, 1])
+        near = np.flatnonzero((ly[j] <= hy[i]) & (hy[j] >= ly[i]))
         i, j = i[near], j[near]
-        gap, one, two = start[j] - start[i], way[i], way[j]
-        turn, along = _cross(one, two), _cross(gap, one)
+        gx, gy, ax, ay, bx, by = sx[j] - sx[i], sy[j] - sy[i], wx[i], wy[i], wx[j], wy[j]
+        turn, along = ax * by - ay * bx, gx * ay - gy * ax
         with np.errstate(divide="ignore", invalid="ignore"):
-            t, u = _cross(gap, two) / turn, along / turn
+            t, u = (gx * by - gy * bx) / turn, along / turn
         met = np.flatnonzero((turn != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1))
-        point = np.rint(start[i[met]] + t[met, None] * one[met])
-        edges += [i[met], j[met]]
-        points += [point, point]
+        i_met, j_met, t, u = i[met], j[met], t[met], u[met]
+        x, y = np.rint(sx[i_met] + t * ax[met]), np.rint(sy[i_met] + t * ay[met])
+        for edge, v in ((i_met, t), (j_met, u)):  # ends are there already
+            amid = (v > 0) & (v < 1)
+            cut(edge[amid], x[amid], y[amid])
         line = np.flatnonzero((turn == 0) & (along == 0))  # along one line
-        for a, b in ((i[line], j[line]), (j[line], i[line])):
-            for point in (start[b], end[b]):
-                on = ((point >= low[a]) & (point <= high[a])).all(1)
-                edges.append(a[on])
-                points.append(point[on])
-    edge, point = np.concatenate(edges), np.concatenate(points)
-    order = np.lexsort((((point - start[edge]) * way[edge]).sum(1), edge))
-    edge, point = edge[order], point[order]
-    other = np.concatenate(([True], (edge[1:] != edge[:-1]) | (point[1:] != point[:-1]).any(1)))
-    edge, point = edge[other], point[other]
+        for c, d in ((i[line], j[line]), (j[line], i[line])):
+            for x, y in ((sx[d], sy[d]), (ex[d], ey[d])):
+                on = (x >= lx[c]) & (x <= hx[c]) & (y >= ly[c]) & (y <= hy[c])
+                cut(c[on], x[on], y[on])
+    edge, x, y = np.concatenate(edges), np.concatenate(xs), np.concatenate(ys)
+    share = ((x - sx[edge]) * wx[edge] + (y - sy[edge]) * wy[edge]) / (wx * wx + wy * wy)[edge]
+    order = np.argsort(2 * edge + share, kind="stable")
+    edge, x, y = edge[order], x[order], y[order]
+    other = np.flatnonzero(np.concatenate(([True], (edge[1:] != edge[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+    edge, code = edge[other], _code(x[other], y[other], group[edge[other]])
     on = np.flatnonzero(edge[1:] == edge[:-1])
-    return point[on], point[on + 1], group[edge[on]]
-
-
-def _boundary(start: np.ndarray, end: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pieces with a face that counts on their left and one that does not on their right."""
-    forward = (start[:, 0] < end[:, 0]) | ((start[:, 0] == end[:, 0]) & (start[:, 1] < end[:, 1]))
-    one, two = np.where(forward[:, None], start, end), np.where(forward[:, None], end, start)
-    order = np.lexsort((_code(two), _code(one), group))
-    one, two, group, net = one[order], two[order], group[order], np.where(forward, 1, -1)[order]
-    first = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (one[1:] != one[:-1]).any(1) | (two[1:] != two[:-1]).any(1))))
-    net = np.add.reduceat(net, first)
-    kept = first[net != 0]
-    one, two, group, net = one[kept], two[kept], group[kept], net[net != 0]
-    x, y = ((one + two) / 2).T
+    places, number = _numbered(code)
+    return number[on], number[on + 1], places
+
+
+def _code(x: np.ndarray, y: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Whole places of groups (GROUPS at most) as numbers that ascend by group, x and y."""
+    return (group * GRID + x.astype(np.int64)).astype(np.uint64) * np.uint64(GRID) + y.astype(np.uint64)
+
+
+def _decoded(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and groups of such numbers."""
+    high, grid = (code // np.uint64(GRID)).astype(np.int64), np.uint64(GRID)
+    return np.column_stack([high % GRID, (code % grid).astype(np.int64)]).astype(float), high // GRID
+
+
+def _numbered(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and of each value its number among them."""
+    order = np.argsort(code)
+    ranked = code[order]
+    first = np.concatenate(([True], ranked[1:] != ranked[:-1]))[: len(code)]
+    number = np.empty(len(code), np.int64)
+    number[order] = np.cumsum(first) - 1
+    return ranked[first], number
+
+
+def _boundary(start: np.ndarray, end: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces (between numbered places) with a face that counts on their left and one that does not on their right."""
+    forward = start < end
+    piece, number = _numbered(np.minimum(start, end) * len(places) + np.maximum(start, end))
+    net = np.bincount(number, np.where(forward, 1, -1), len(piece)).astype(np.int64)
+    piece, net = piece[net != 0], net[net != 0]
+    low, high = piece // len(places), piece % len(places)
+    point, of = _decoded(places)
+    group = of[low]
+    (ax, ay), (bx, by) = np.ascontiguousarray(point[low].T), np.ascontiguousarray(point[high].T)
+    x, y = (ax + bx) / 2, (ay + by) / 2
     # pieces that cross the ray to the right, itself left out; level ones cross none
-    steep = np.flatnonzero(one[:, 1] != two[:, 1])
-    steep = steep[np.argsort(group[steep] * SPAN + np.minimum(one[steep, 1], two[steep, 1]).astype(np.int64), kind="stable")]
-    a, b = one[steep], two[steep]
-    top, (dx, dy) = np.maximum(a[:, 1], b[:, 1]), (b - a).T
+    steep = np.flatnonzero(ay != by)
+    key = group[steep] * SPAN + np.minimum(ay, by)[steep].astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    steep, key = steep[order], key[order]
+    cx, cy, dx, dy, top = ax[steep], ay[steep], (bx - ax)[steep], (by - ay)[steep], np.maximum(ay, by)[steep]
     sign = np.where(dy > 0, net[steep], -net[steep])
-    key = group[steep] * SPAN + np.minimum(a[:, 1], b[:, 1]).astype(np.int64)
-    around = np.zeros(len(one), np.int64)
+    around = np.zeros(len(piece), np.int64)
     for i, j in _ranges(np.searchsorted(key, group * SPAN, "left"), np.searchsorted(key, group * SPAN + np.floor(y).astype(np.int64), "right")):
-        near = top[j] > y[i]
+        near = np.flatnonzero(top[j] > y[i])
         i, j = i[near], j[near]
-        right = (a[j, 0] + (y[i] - a[j, 1]) * dx[j] / dy[j] > x[i]) & (steep[j] != i)
+        right = np.flatnonzero((cx[j] + (y[i] - cy[j]) * dx[j] / dy[j] > x[i]) & (steep[j] != i))
         i = i[right]
         if len(i):
             found = np.bincount(i - i[0], sign[j[right]])
             around[i[0] : i[0] + len(found)] += found.astype(np.int64)
     # pieces run to the right, or straight up: the ray leaves a rising one from its right side, others from their left
-    rising = two[:, 1] > one[:, 1]
-    left = np.where(rising, around + net, around)
+    left = np.where(by > ay, around + net, around)
     right = left - net
     keep, turn = (left > 0) & (right <= 0), (left <= 0) & (right > 0)
-    group = np.concatenate([group[keep], group[turn]])
-    order = np.argsort(group, kind="stable")
-    return np.concatenate([one[keep], two[turn]])[order], np.concatenate([two[keep], one[turn]])[order], group[order]
-
-
-def _code(point: np.ndarray) -> np.ndarray:
-    """A whole place as one number."""
-    return point[:, 0].astype(np.int64) * SPAN + point[:, 1].astype(np.int64)
-
-
-def _nodes(*places: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
-    """Numbers of places (points, groups), equal ones alike, in all of the arrays."""
-    code, group = np.concatenate([_code(p) for p, _ in places]), np.concatenate([g for _, g in places])
-    order = np.lexsort((code, group))
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(np.concatenate(([0], (code[order][1:] != code[order][:-1]) | (group[order][1:] != group[order][:-1])))[: len(order)])
-    return np.split(number, np.cumsum([len(p) for p, _ in places])[:-1])
+    both = np.flatnonzero(keep | turn)
+    return np.where(turn, high, low)[both], np.where(turn, low, high)[both]
 
 
-def _chain(start: np.ndarray, end: np.ndarray, leave: np.ndarray, arrive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rings of boundary pieces between numbered places: the pieces in their order, and the number of each ring's.
+def _chain(leave: np.ndarray, arrive: np.ndarray, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rings of boundary pieces between numbered places (points): the pieces in their order, and the number of each ring's.
 
     Where several go on, the one furthest to the left does, so that rings that touch stay apart.
     """
@@ -174,7 +190,7 @@ def _chain(start: np.ndarray, end: np.ndarray, leave: np.ndarray, arrive: np.nda
     following = np.where(first < last, order[np.minimum(first, len(order) - 1)], -1)
 
     def turn(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        way, ahead = end[i] - start[i], end[j] - start[j]
+        way, ahead = point[arrive[i]] - point[leave[i]], point[arrive[j]] - point[leave[j]]
         return np.arctan2(_cross(way, ahead), (way * ahead).sum(1))
 
     several = np.flatnonzero(last - first > 1)
@@ -184,8 +200,8 @@ def _chain(start: np.ndarray, end: np.ndarray, leave: np.ndarray, arrive: np.nda
         best = best[np.concatenate((i[best][1:] != i[best][:-1], [True]))]
         following[i[best]] = j[best]
     following = following.tolist()
-    used, walk, sizes = bytearray(len(start)), [], []
-    for begin in range(len(start)):
+    used, walk, sizes = bytearray(len(leave)), [], []
+    for begin in range(len(leave)):
         if used[begin]:
             continue
         k, before = begin, len(walk)
@@ -255,7 +271,7 @@ def _slices(rings: Rings) -> Iterator[Rings]:
     lo = 0
     while lo < len(last):
         base = ends[last[lo - 1]] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(ends[last], base + EDGES, "right")))
+        hi = min(lo + GROUPS, max(lo + 1, int(np.searchsorted(ends[last], base + EDGES, "right"))))
         yield rings.within(int(rings.group[last[lo]]), int(rings.group[last[hi - 1]]) + 1)
         lo = hi
 
@@ -280,18 +296,20 @@ def _faces_of(curves: Rings, known: bool) -> Rings:
     real = (start != end).any(1)
     if not real.any():
         return Rings.of([])
-    one, two, group = _boundary(*_pieces(start[real], end[real], own[real]))
-    if not len(one):
+    one, two, places = _pieces(start[real], end[real], own[real])
+    leave, arrive = _boundary(one, two, places)
+    if not len(leave):
         return Rings.of([])
-    leave, arrive, given = _nodes((one, group), (two, group), (start[:0], own[:0]) if not known else (start, own))
-    walk, sizes = _chain(one, two, leave, arrive)
-    point = one[walk]
+    point, group = _decoded(places)
+    walk, sizes = _chain(leave, arrive, point)
+    at = leave[walk]
+    point, group = point[at], group[at]
     before, after = _neighbours(sizes)
     bend = _cross(point - point[before], point[after] - point) != 0
     if known:
-        bend |= np.isin(leave[walk], given)
+        bend |= np.isin(places, _code(*start.T, own))[at]
     ring = np.repeat(np.arange(len(sizes)), sizes)
-    rings = Rings(point[bend], np.bincount(ring[bend], minlength=len(sizes)), group[walk[np.cumsum(sizes) - sizes]])
+    rings = Rings(point[bend], np.bincount(ring[bend], minlength=len(sizes)), group[np.cumsum(sizes) - sizes])
     rings = rings.take(rings.sizes > 2)
     if not len(rings.sizes):
         return Rings.of([])
